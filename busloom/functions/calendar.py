@@ -68,12 +68,17 @@ def resolve_clock(text, anchor, tz: str | None = LOCAL_TZ) -> Column:
     us = F.unix_micros(base) + (h * 3600 + m * 60 + s).cast("long") * F.lit(1_000_000)
     wall = F.timestamp_micros(us)
     utc_us = F.unix_micros(F.to_utc_timestamp(wall, tz) if tz else wall)
-    gap = utc_us - F.unix_micros(anchor)
-    fixed = (
-        F.when(gap < -90 * 60 * 1_000_000, utc_us + day_s)
-        .when(gap > 12 * 3600 * 1_000_000, utc_us - day_s)
-        .otherwise(utc_us)
-    )
+    around = F.unix_micros(anchor)
+
+    def roll(us):
+        return (
+            F.when(us - around < -90 * 60 * 1_000_000, us + day_s)
+            .when(us - around > 12 * 3600 * 1_000_000, us - day_s)
+            .otherwise(us)
+        )
+
+    # bound once through a one-element array, so the clock maths is not repeated per branch
+    fixed = F.get(F.transform(F.array(utc_us), roll), F.lit(0))
     return F.when(ok, F.timestamp_micros(fixed))
 
 

@@ -205,8 +205,8 @@ def q20(spark, sf):
 
 @query("q23_regularity_measures", oracle("segments", """
 SELECT letreiro, sentido, n, round(c_vh, 6) AS c_vh, round(espera_s, 6) AS espera_s,
-  CASE WHEN c_vh <= 0.21 THEN 'A' WHEN c_vh <= 0.30 THEN 'B' WHEN c_vh <= 0.39 THEN 'C' WHEN c_vh <= 0.52 THEN 'D'
-    WHEN c_vh <= 0.74 THEN 'E' ELSE 'F' END AS classe
+  CASE WHEN c_vh <= 0.21 THEN 1 WHEN c_vh <= 0.30 THEN 2 WHEN c_vh <= 0.39 THEN 3 WHEN c_vh <= 0.52 THEN 4
+    WHEN c_vh <= 0.74 THEN 5 ELSE 6 END AS classe
 FROM (SELECT letreiro, sentido, count(*) AS n, stddev_samp(headway_s) / avg(headway_s) AS c_vh,
     sum(headway_s * headway_s) / (2 * sum(headway_s)) AS espera_s
   FROM segments WHERE headway_s > 0 GROUP BY 1, 2)"""))

@@ -101,6 +101,49 @@ SELECT vec_id, label, floor(10000 * {e1}) AS x, floor(10000 * {e2}) AS y, vec_id
 FROM {embeddings}
 """, ["embeddings"])
 
+_add("track_points", """
+SELECT user_id AS linha, event_id AS seq, event_id * 3 AS x, (event_id * 37) % 200 AS y FROM {events}
+""", ["events"])
+
+_add("probes", """
+SELECT user_id AS linha, event_id AS pid, event_id * 3 + 7 AS x, (event_id * 37) % 200 + 11 + event_id % 90 AS y FROM {events}
+""", ["events"])
+
+_add("zone_edges", """
+WITH z AS (
+  SELECT n_name AS zona, CAST(n_nationkey AS BIGINT) AS ordem, -46.69 + (n_nationkey % 5) * 0.02 AS x0,
+    -23.61 + CAST(floor(n_nationkey / 5) AS BIGINT) * 0.02 AS y0 FROM {nation}
+), r AS (
+  SELECT zona, ordem, x0 AS xa, y0 AS ya, 0.025 AS w FROM z
+  UNION ALL SELECT zona, ordem, x0 + 0.008 AS xa, y0 + 0.008 AS ya, 0.006 AS w FROM z
+)
+SELECT zona, ordem, CAST(xa AS DOUBLE) AS x1, CAST(ya AS DOUBLE) AS y1, CAST(xa + w AS DOUBLE) AS x2, CAST(ya AS DOUBLE) AS y2 FROM r
+UNION ALL SELECT zona, ordem, CAST(xa + w AS DOUBLE) AS x1, CAST(ya AS DOUBLE) AS y1, CAST(xa + w AS DOUBLE) AS x2, CAST(ya + w AS DOUBLE) AS y2 FROM r
+UNION ALL SELECT zona, ordem, CAST(xa + w AS DOUBLE) AS x1, CAST(ya + w AS DOUBLE) AS y1, CAST(xa AS DOUBLE) AS x2, CAST(ya + w AS DOUBLE) AS y2 FROM r
+UNION ALL SELECT zona, ordem, CAST(xa AS DOUBLE) AS x1, CAST(ya + w AS DOUBLE) AS y1, CAST(xa AS DOUBLE) AS x2, CAST(ya AS DOUBLE) AS y2 FROM r
+""", ["nation"])
+
+_add("trips", """
+SELECT viagem_id AS trip_id, min(concat(letreiro, '-10')) AS route_id, min(sentido) - 1 AS direction_id,
+  CASE WHEN min(o) % 50 = 0 THEN NULL ELSE concat('S', CAST(min(cl) AS VARCHAR(9))) END AS shape_id, min(cl) AS cl
+FROM {passages} GROUP BY viagem_id
+""", ["passages"])
+
+_add("stop_times", """
+SELECT viagem_id AS trip_id, cp AS stop_id, ordem AS stop_sequence, t_chegada - t0 AS arrival_s FROM {passages}
+""", ["passages"])
+
+_add("routes", """
+SELECT concat(letreiro, '-10') AS route_id, CASE WHEN min(cl) % 7 = 0 THEN 1 ELSE 3 END AS route_type
+FROM {passages} GROUP BY letreiro
+""", ["passages"])
+
+_add("frequencies", """
+SELECT concat(letreiro, '-10-', CAST(sentido - 1 AS VARCHAR(3))) AS trip_id, o % 20 AS h0, o % 20 + o % 7 AS h1,
+  CAST(300 + (o % 13) * 60 AS DOUBLE) AS headway_secs
+FROM {passages} WHERE ordem = 1
+""", ["passages"])
+
 _DIALECT = {
     "spark": {
         "secs": "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000) AS BIGINT)",
