@@ -54,31 +54,28 @@ def holiday_mmdd(ts, days) -> Column:
     return F.date_format(local(ts), "MM-dd").isin(list(days))
 
 
+def clock_ok(text) -> Column:
+    """Whether a text reads as HH:MM[:SS]."""
+    t = F.trim(F.col(text) if isinstance(text, str) else text)
+    return t.rlike(r"^([01]?\d|2[0-3]):[0-5]?\d(:[0-5]?\d)?$")
+
+
 def resolve_clock(text, anchor, tz: str | None = LOCAL_TZ) -> Column:
     """HH:MM[:SS] near an instant: more than 90 min behind rolls a day on, 12 h ahead a day back."""
     text = F.col(text) if isinstance(text, str) else text
     anchor = F.col(anchor) if isinstance(anchor, str) else anchor
     hms = F.split(F.trim(text), ":")
-    ok = F.trim(text).rlike(r"^\d{1,2}:\d{1,2}(:\d{1,2})?")
+    ok = clock_ok(text)
     h, m = F.get(hms, F.lit(0)).try_cast("int"), F.get(hms, F.lit(1)).try_cast("int")
     s = F.coalesce(F.get(hms, F.lit(2)).try_cast("int"), F.lit(0))
-    ok = ok & h.between(0, 23) & m.between(0, 59) & s.between(0, 59)
     base = F.date_trunc("day", local(anchor, tz) if tz else anchor)
     day_s = 86_400 * 1_000_000
     us = F.unix_micros(base) + (h * 3600 + m * 60 + s).cast("long") * F.lit(1_000_000)
     wall = F.timestamp_micros(us)
     utc_us = F.unix_micros(F.to_utc_timestamp(wall, tz) if tz else wall)
-    around = F.unix_micros(anchor)
-
-    def roll(us):
-        return (
-            F.when(us - around < -90 * 60 * 1_000_000, us + day_s)
-            .when(us - around > 12 * 3600 * 1_000_000, us - day_s)
-            .otherwise(us)
-        )
-
-    # bound once through a one-element array, so the clock maths is not repeated per branch
-    fixed = F.get(F.transform(F.array(utc_us), roll), F.lit(0))
+    gap = utc_us - F.unix_micros(anchor)
+    days = F.when(gap < -90 * 60 * 1_000_000, 1).when(gap > 12 * 3600 * 1_000_000, -1).otherwise(0)
+    fixed = utc_us + days * F.lit(day_s)
     return F.when(ok, F.timestamp_micros(fixed))
 
 

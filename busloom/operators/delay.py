@@ -10,7 +10,7 @@ from busloom.functions import calendar as cal
 from busloom.functions.geo import cell_id
 from busloom.operators.asof import seconds_between
 from busloom.operators.ordered import lagged
-from busloom.operators.quantiles import group_quantiles, with_group_median
+from busloom.operators.quantiles import summarize, with_group_median
 
 
 def consecutive_segments(arrivals: DataFrame, p: Params = Params()) -> DataFrame:
@@ -120,16 +120,20 @@ def build_segments(arrivals, line_stops, lines, p: Params = Params()) -> DataFra
 
 
 def delay_summary(seg: DataFrame) -> DataFrame:
-    one = seg.agg(
-        F.count("*").alias("trechos"),
-        F.countDistinct("viagem_id").alias("viagens"),
-        F.countDistinct("cl").alias("linhas"),
-        F.round(F.avg("atrasado"), 4).alias("taxa_atraso"),
+    rows = summarize(
+        seg, [],
+        [
+            F.count("*").alias("trechos"),
+            F.countDistinct("viagem_id").alias("viagens"),
+            F.countDistinct("cl").alias("linhas"),
+            F.round(F.avg("atrasado"), 4).alias("taxa_atraso"),
+        ],
+        {
+            "atraso_s": {"_m": 0.5, "_p": 0.9},
+            "percurso_tipico_s": {"_r": 0.5},
+            "velocidade_kmh": {"_v": 0.5},
+        },
     )
-    d = group_quantiles(seg, [], "atraso_s", {"_m": 0.5, "_p": 0.9})
-    r = group_quantiles(seg, [], "percurso_tipico_s", {"_r": 0.5})
-    v = group_quantiles(seg, [], "velocidade_kmh", {"_v": 0.5})
-    rows = one.crossJoin(d).crossJoin(r).crossJoin(v)  # one row each
     return rows.select(
         "trechos", "viagens", "linhas", "taxa_atraso",
         F.round("_m", 1).alias("atraso_mediano_s"),
@@ -154,18 +158,10 @@ def group_profile(seg: DataFrame, keys: list[str], lines: bool = False) -> DataF
     ]
     if lines:
         aggs.append(F.countDistinct("cl").alias("linhas"))
-    base = seg.groupBy(*keys).agg(*aggs)
-    d = group_quantiles(seg, keys, "atraso_s", {"atraso_mediano_s": 0.5, "atraso_p90_s": 0.9})
-    v = group_quantiles(seg, keys, "velocidade_kmh", {"vel_mediana": 0.5})
-    return _join_on(_join_on(base, d, keys), v, keys)
-
-
-def _join_on(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    cond = F.lit(True)
-    for k in keys:
-        b = b.withColumnRenamed(k, "_j_" + k)
-        cond = cond & F.col(k).eqNullSafe(F.col("_j_" + k))
-    return a.join(b, cond, "left").drop(*["_j_" + k for k in keys])
+    return summarize(
+        seg, keys, aggs,
+        {"atraso_s": {"atraso_mediano_s": 0.5, "atraso_p90_s": 0.9}, "velocidade_kmh": {"vel_mediana": 0.5}},
+    )
 
 
 def hourly_typical(arrivals: DataFrame, before=None, p: Params = Params()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from busloom.functions import calendar as cal
-from busloom.operators.quantiles import group_quantiles
+from busloom.operators.quantiles import summarize
 
 
 def bus_routes(routes: DataFrame) -> DataFrame:
@@ -121,11 +121,9 @@ def real_vs_planned(seg: DataFrame, bridge_: DataFrame, stop_times: DataFrame, k
     )
     v = v.join(plan, "cl").where(F.col("trechos") / (F.col("n_paradas") - 1) >= coverage)
     v = v.withColumn("prog_s", F.col("trechos") * F.col("trecho_prog_s")).withColumn("razao", F.col("real_s") / F.col("prog_s"))
-    base = v.groupBy(*keys).agg(
+    aggs = [
         F.count("*").alias("viagens"),
         (100 * F.avg(F.when(F.col("razao") > 1, 1).otherwise(0))).alias("acima_pct"),
         (100 * F.avg(F.when(F.col("razao") >= 1.2, 1).otherwise(0))).alias("acima20_pct"),
-    )
-    q = group_quantiles(v, keys, "razao", {"razao_mediana": 0.5})
-    r = group_quantiles(v, keys, "real_s", {"real_mediano_s": 0.5})
-    return base.join(q, keys).join(r, keys)
+    ]
+    return summarize(v, keys, aggs, {"razao": {"razao_mediana": 0.5}, "real_s": {"real_mediano_s": 0.5}})

@@ -11,7 +11,7 @@ from busloom.functions.geo import cell_id
 from busloom.operators.asof import asof_join, seconds_between
 from busloom.operators.delay import add_headway
 from busloom.operators.ordered import latest_per_key
-from busloom.operators.quantiles import group_quantiles
+from busloom.operators.quantiles import summarize
 
 
 def clean_forecasts(fc: DataFrame, order: str, p: Params = Params()) -> DataFrame:
@@ -84,24 +84,27 @@ def pair_summary(matched: DataFrame, pairs: DataFrame, p: Params = Params()) ->
     ).withColumn(
         "taxa_casamento", F.round(F.col("casadas") / F.nullif("previsoes_avaliadas", F.lit(0)), 3)
     )
-    b = pairs.agg(
-        F.count("*").alias("validas"),
-        F.round(F.avg("erro_s"), 1).alias("erro_medio_s"),
-        F.round(F.avg("erro_abs_s"), 1).alias("mae_s"),
-        F.round(F.sqrt(F.avg(F.col("erro_s").cast("double") * F.col("erro_s"))), 1).alias("rmse_s"),
-        share(F.col("erro_s") >= p.late_error_s, "prob_atraso_acima_5min"),
-        share(F.col("erro_s") <= p.early_error_s, "prob_adiantado_1min"),
+    b = summarize(
+        pairs, [],
+        [
+            F.count("*").alias("validas"),
+            F.round(F.avg("erro_s"), 1).alias("erro_medio_s"),
+            F.round(F.avg("erro_abs_s"), 1).alias("mae_s"),
+            F.round(F.sqrt(F.avg(F.col("erro_s").cast("double") * F.col("erro_s"))), 1).alias("rmse_s"),
+            share(F.col("erro_s") >= p.late_error_s, "prob_atraso_acima_5min"),
+            share(F.col("erro_s") <= p.early_error_s, "prob_adiantado_1min"),
+        ],
+        {"erro_s": {"erro_mediano_s": 0.5}},
     )
-    m = group_quantiles(pairs, [], "erro_s", {"erro_mediano_s": 0.5})
-    return a.crossJoin(b).crossJoin(m)  # one row each
+    return a.crossJoin(b)  # one row each
 
 
 def error_table(
     pairs: DataFrame, keys: list[str], probs: dict[str, float], extra: list, min_n: int = 1
 ) -> DataFrame:
     """Counts, given aggregates and quantiles of the error by key."""
-    base = pairs.groupBy(*keys).agg(F.count("*").alias("n"), *extra).where(F.col("n") >= min_n)
-    return base.join(group_quantiles(pairs, keys, "erro_s", probs), keys)
+    out = summarize(pairs, keys, [F.count("*").alias("n"), *extra], {"erro_s": probs})
+    return out.where(F.col("n") >= min_n)
 
 
 def line_ranking(pairs: DataFrame, min_n: int = 50, p: Params = Params()) -> DataFrame:

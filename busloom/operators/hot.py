@@ -21,8 +21,8 @@ MAX_SLICES = 20_000
 
 
 def leaf_bytes(df: DataFrame) -> int:
-    """Bytes of the leaves of the optimised plan, as estimated by Spark."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Bytes of the leaves of the plan, as estimated by Spark (file sizes for scans)."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 

@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from busloom.config import LOCAL_TZ
 from busloom.functions import calendar as cal
-from busloom.operators.ordered import lagged, latest_per_key
-from busloom.operators.quantiles import group_quantiles
-from busloom.schemas import FORECAST_PAYLOAD, POSITIONS_PAYLOAD, VEHICLE, _s
-
-_VS = f"array<{_s(VEHICLE).simpleString()}>"
+from busloom.operators.ordered import Ordered, lagged, latest_per_key
+from busloom.schemas import FORECAST_PAYLOAD, POSITIONS_PAYLOAD, SUBLINE_LIST, VEHICLE_LIST
 
 
 def parse_instant(text) -> Column:
@@ -60,13 +57,13 @@ def flatten_forecasts(
     d = df.withColumn("_j", F.from_json(payload, FORECAST_PAYLOAD))
     stops = F.coalesce("_j.ps", F.array("_j.p"))
     d = d.withColumn("_s", F.explode(stops)).where("_s.cp IS NOT NULL")
-    blk = "array<struct<cl:bigint,sl:int,vs:" + _VS + ">>"
+    blk = "array<struct<cl:bigint,sl:int,vs:" + VEHICLE_LIST + ">>"
     own = F.when(
         F.col("_s.vs").isNotNull(),
         F.array(F.struct(F.col(cl).cast("bigint").alias("cl"), F.col(way).cast("int").alias("sl"), F.col("_s.vs").alias("vs"))),
     ).otherwise(F.array().cast(blk))
     subs = F.transform(
-        F.coalesce("_s.l", F.array().cast(FORECAST_PAYLOAD["p"].dataType["l"].dataType)),
+        F.coalesce("_s.l", F.array().cast(SUBLINE_LIST)),
         lambda x: F.struct(
             F.coalesce(F.nullif(x["cl"], F.lit(0)), F.col(cl).cast("bigint")).alias("cl"),
             F.coalesce(F.nullif(x["sl"], F.lit(0)), F.col(way).cast("int")).alias("sl"),
@@ -93,11 +90,14 @@ def choose_zone(df: DataFrame, text: str, ts: str) -> DataFrame:
     parts = []
     for name, tz in (("local", LOCAL_TZ), ("utc", None)):
         h = (F.unix_micros(cal.resolve_clock(text, ts, tz)) - F.unix_micros(ts)) / 1e6
-        parts.append(df.select(F.lit(name).alias("fuso"), h.alias("h")))
-    d = parts[0].unionByName(parts[1]).where("h IS NOT NULL")
-    rate = d.groupBy("fuso").agg(F.round(F.avg(F.when(F.col("h").between(-120, 3600), 1).otherwise(0)), 3).alias("fracao_plausivel"))
-    med = group_quantiles(d, ["fuso"], "h", {"_m": 0.5})
-    upper = d.join(med, "fuso").where(F.col("h") >= F.col("_m")).groupBy("fuso").agg(F.min("h").alias("horizonte_mediano_s"))
+        parts.append(df.where(cal.clock_ok(text)).select(F.lit(name).alias("fuso"), h.alias("h")))
+    # counted once: the clock maths runs over the rows a single time
+    d = parts[0].unionByName(parts[1]).groupBy("fuso", "h").agg(F.count("*").alias("n"))
+    ok = F.sum(F.when(F.col("h").between(-120, 3600), F.col("n")).otherwise(0))
+    rate = d.groupBy("fuso").agg(F.round(ok / F.sum("n"), 3).alias("fracao_plausivel"), F.sum("n").alias("_n"))
+    cum = Ordered(d, ["fuso"], ["h"]).running_sum({"_c": "n"}).df.join(rate.select("fuso", "_n"), "fuso")
+    upper = cum.where(F.col("_c") > F.floor(F.col("_n") / 2)).groupBy("fuso").agg(F.min("h").alias("horizonte_mediano_s"))
+    rate = rate.drop("_n")
     out = rate.join(upper, "fuso")
     best = out.agg(F.max(F.struct("fracao_plausivel", F.when(F.col("fuso") == "local", 1).otherwise(0).alias("l"), "fuso")).alias("_b"))
     return out.crossJoin(best).withColumn("escolhido", F.col("fuso") == F.col("_b.fuso")).drop("_b")  # one row

@@ -61,15 +61,13 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per key with the named quantiles of `value` (nulls ignored)."""
     df = df.select(*keys, value)
-    if is_small(df):
-        return _native(df, keys, value, probs, count)
-    limit = setting(df.sparkSession, HOT_GROUP_ROWS)
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    if not hot.limit(1).count():
+    if not any_hot(df, keys):
         return _native(df, keys, value, probs, count)
     if not keys:
         return ranked_quantiles(df, keys, value, probs, count)
+    limit = setting(df.sparkSession, HOT_GROUP_ROWS)
     # at most rows / limit hot keys
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     ks = hot.select(*[F.col(k).alias("_hot_" + k) for k in keys])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_hot_" + k)) for k in keys])
     cold_part = _native(df.join(ks, cond, "left_anti"), keys, value, probs, count)
@@ -77,6 +75,36 @@ def group_quantiles(
     return cold_part.unionByName(hot_part)
 
 
+def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    if not keys:
+        return a.crossJoin(F.broadcast(b))  # one row each
+    b = b.withColumnsRenamed({k: "_j_" + k for k in keys})
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col("_j_" + k)) for k in keys])
+    return a.join(b, cond, "left").drop(*["_j_" + k for k in keys])
+
+
+def any_hot(df: DataFrame, keys: list[str]) -> bool:
+    """Whether some group is above the hot limit; free for inputs known to be small."""
+    if is_small(df):
+        return False
+    limit = setting(df.sparkSession, HOT_GROUP_ROWS)
+    return bool(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).limit(1).count())
+
+
+def summarize(df: DataFrame, keys: list[str], aggs: list, quantiles: dict[str, dict[str, float]]) -> DataFrame:
+    """Plain aggregates and exact quantiles of several columns by key.
+
+    One pass and one shuffle unless a group is hot; then each column is ranked across slices.
+    """
+    if not any_hot(df, keys):
+        q = [F.percentile(v, p).alias(o) for v, names in quantiles.items() for o, p in names.items()]
+        return df.groupBy(*keys).agg(*aggs, *q)
+    out = df.groupBy(*keys).agg(*aggs)
+    for v, names in quantiles.items():
+        out = _join_null_safe(out, group_quantiles(df, keys, v, names), keys)
+    return out
+
+
 def with_group_median(
     df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, where=None
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from busloom.functions import calendar as cal
 from busloom.operators import reports as R
 from busloom.operators import delay as D
+from busloom.operators.quantiles import summarize
 from busloom.plans.q_delay import epoch, pairs_of, rounded, seg_of
 from busloom.plans.registry import query
 from busloom.plans.standins import Bus, oracle, sql_date
@@ -140,10 +141,9 @@ def q13(spark, sf):
 SELECT tipo, hora, count(*) AS n, round(100 * avg(atrasado), 6) AS taxa_pct, round(quantile_cont(atraso_rel, 0.9), 6) AS p90_rel
 FROM segments GROUP BY ALL"""))
 def q14(spark, sf):
-    from busloom.operators.quantiles import group_quantiles
-    s = typed_segments(Bus(spark, sf))
-    g = s.groupBy("tipo", "hora").agg(F.count("*").alias("n"), F.round(100 * F.avg("atrasado"), 6).alias("taxa_pct"))
-    return rounded(g.join(group_quantiles(s, ["tipo", "hora"], "atraso_rel", {"p90_rel": 0.9}), ["tipo", "hora"]), "p90_rel")
+    aggs = [F.count("*").alias("n"), F.round(100 * F.avg("atrasado"), 6).alias("taxa_pct")]
+    g = summarize(typed_segments(Bus(spark, sf)), ["tipo", "hora"], aggs, {"atraso_rel": {"p90_rel": 0.9}})
+    return rounded(g, "p90_rel")
 
 
 @query("q15_lines_by_stop", oracle("segments", """

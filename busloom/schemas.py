@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "tinyint": T.ByteType(),
+    "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "date": T.DateType(),
+}
 
 
-def _s(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def _s(columns: str) -> T.StructType:
+    """From `name type` pairs; needs no running session, unlike a DDL string."""
+    pairs = (c.split() for c in columns.split(","))
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in pairs])
 
 
 # The data model.
@@ -57,15 +65,15 @@ TABLES = {
     ),
 }
 
-VEHICLE = "p string, a boolean, t string, ta string, py double, px double"
-POSITIONS_PAYLOAD = _s(
-    f"hr string, l array<struct<c:string, cl:bigint, sl:int, lt0:string, lt1:string, qv:int, "
-    f"vs:array<struct<{VEHICLE.replace(' ', ':').replace(',:', ',')}>>>>, "
-    f"vs array<struct<{VEHICLE.replace(' ', ':').replace(',:', ',')}>>"
+# Payload shapes as type strings for from_json.
+VEHICLE_LIST = "array<struct<p:string,a:boolean,t:string,ta:string,py:double,px:double>>"
+POSITIONS_PAYLOAD = (
+    "hr string, l array<struct<c:string,cl:bigint,sl:int,lt0:string,lt1:string,qv:int,"
+    f"vs:{VEHICLE_LIST}>>, vs {VEHICLE_LIST}"
 )
-_V = f"array<struct<{VEHICLE.replace(' ', ':').replace(',:', ',')}>>"
-_STOP = f"struct<cp:bigint, np:string, py:double, px:double, vs:{_V}, l:array<struct<c:string, cl:bigint, sl:int, vs:{_V}>>>"
-FORECAST_PAYLOAD = _s(f"hr string, ps array<{_STOP}>, p {_STOP}")
+SUBLINE_LIST = f"array<struct<c:string,cl:bigint,sl:int,vs:{VEHICLE_LIST}>>"
+_STOP = f"struct<cp:bigint,np:string,py:double,px:double,vs:{VEHICLE_LIST},l:{SUBLINE_LIST}>"
+FORECAST_PAYLOAD = f"hr string, ps array<{_STOP}>, p {_STOP}"
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

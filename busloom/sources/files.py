@@ -147,10 +147,10 @@ def itinerary_feature(stops: DataFrame, shape: DataFrame, key: str) -> DataFrame
 def spacing_summary(stops: DataFrame, key: str) -> DataFrame:
     """Stops, total length, and spacing between stops of each itinerary."""
     from busloom.operators.ordered import lagged
-    from busloom.operators.quantiles import group_quantiles
+    from busloom.operators.quantiles import summarize
 
     st = lagged(stops, [key], ["ordem", "cp"], {"_s": "s_m"}).withColumn("espaco_m", F.col("s_m") - F.col("_s"))
-    g = st.groupBy(key).agg(
+    aggs = [
         F.count("*").alias("paradas"), F.max("s_m").alias("extensao_m"), F.min("espaco_m").alias("espaco_min_m"),
-        F.max("espaco_m").alias("espaco_max_m"), F.avg("espaco_m").alias("espaco_medio_m"))
-    return g.join(group_quantiles(st, [key], "espaco_m", {"espaco_mediano_m": 0.5}), key)
+        F.max("espaco_m").alias("espaco_max_m"), F.avg("espaco_m").alias("espaco_medio_m")]
+    return summarize(st, [key], aggs, {"espaco_m": {"espaco_mediano_m": 0.5}})
