@@ -23,7 +23,9 @@ MAX_SLICES = 20_000
 def leaf_bytes(df: DataFrame) -> int:
     """Bytes of the leaves of the plan, as estimated by Spark (file sizes for scans)."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    # a reference to a common table expression repeats leaves already counted at its definition
+    return sum(int(x.stats().sizeInBytes()) for x in found if x.nodeName() != "CTERelationRef")
 
 
 def is_small(df: DataFrame) -> bool:
