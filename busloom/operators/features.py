@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from busloom.config import HOLIDAYS_MMDD, Params
 from busloom.functions import calendar as cal
@@ -16,42 +17,44 @@ from busloom.operators.ordered import Ordered, lagged
 from busloom.operators.quantiles import group_quantiles, summarize, with_group_median
 from busloom.operators.rolling import recent_state, rolling_median
 from busloom.operators.spatial import radius_join
+from busloom.session import cut_lineage
 
 P = Params()
 
 
 # -- splits
-def row_at(df: DataFrame, order: list[str], share: float) -> DataFrame:
-    """The row at rank int(n * share) of the global order, as one row of `_b_` columns."""
-    n = df.agg(F.count("*").alias("_n"))
-    ranked = Ordered(df.select(*order), [], order).row_number("_rn").df
-    k = F.least(F.floor(F.col("_n") * F.lit(share)), F.col("_n") - 1) + 1
-    hit = ranked.crossJoin(F.broadcast(n)).where(F.col("_rn") == k)  # one row
-    return hit.select(*[F.col(c).alias("_b_" + c) for c in order])
+def _plain(df: DataFrame, c: str) -> Column:
+    """An order column as a value that travels unchanged to the driver and back."""
+    return F.unix_micros(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c)
 
 
-def before_row(df: DataFrame, order: list[str], share: float, out: str) -> DataFrame:
-    """Flag the first int(n * share) rows of the order."""
-    b = row_at(df, order, share)
-    flag = F.struct(*order) < F.struct(*[F.col("_b_" + c).alias(c) for c in order])
-    return df.crossJoin(F.broadcast(b)).withColumn(out, flag).drop(*b.columns)  # one row
+def rows_at(df: DataFrame, order: list[str], ranks: list[int]) -> list[list]:
+    """The rows at the given 0-based ranks of the global order (a handful of scalars)."""
+    cols = df.select(*[_plain(df, c).alias(c) for c in order])
+    ranked = Ordered(cols, [], order).row_number("_rn").df
+    got = {r["_rn"] - 1: list(r)[:-1] for r in ranked.where(F.col("_rn").isin([k + 1 for k in ranks])).select(*order, "_rn").collect()}
+    return [got[k] for k in ranks]
+
+
+def before(df: DataFrame, order: list[str], row: list) -> Column:
+    return F.struct(*[_plain(df, c).alias(c) for c in order]) < F.struct(*[F.lit(v).alias(c) for c, v in zip(order, row)])
 
 
 def time_split(df: DataFrame, order: list[str], p: Params = P, out: str = "parte") -> DataFrame:
     """'treino', 'validacao' (the last part of train) or 'teste' by time order and row count."""
-    d = before_row(df, order, p.train_share, "_tr")
-    b = row_at(d.where("_tr"), order, 1 - p.validation_share)
-    fit = F.struct(*order) < F.struct(*[F.col("_b_" + c).alias(c) for c in order])
-    return (
-        d.crossJoin(F.broadcast(b))  # one row
-        .withColumn(out, F.when(~F.col("_tr"), "teste").when(fit, "treino").otherwise("validacao"))
-        .drop("_tr", *b.columns)
-    )
+    n = df.count()
+    train = int(n * p.train_share)
+    fit = int(train * (1 - p.validation_share))
+    test_row, val_row = rows_at(df, order, [train, fit])
+    return df.withColumn(
+        out, F.when(before(df, order, val_row), "treino").when(before(df, order, test_row), "validacao").otherwise("teste"))
 
 
 def cutoff_instant(df: DataFrame, time: str, share: float = 0.7) -> DataFrame:
     """Instant at rank int(n * share): a row of the data, not an interpolated quantile."""
-    return row_at(df, [time], share).withColumnRenamed("_b_" + time, "corte")
+    n = df.count()
+    us = rows_at(df, [time], [min(int(n * share), n - 1)])[0][0]
+    return df.sparkSession.range(1).select(F.timestamp_micros(F.lit(us)).alias("corte"))
 
 
 # -- reference and target
@@ -83,11 +86,12 @@ def add_target(df: DataFrame, p: Params = P) -> DataFrame:
 
 def model_base(seg: DataFrame, by_type: bool = False, p: Params = P) -> DataFrame:
     """Split, train-only reference and target of the delay models. Keeps the full-period median."""
-    d = seg.withColumnRenamed("percurso_tipico_s", "semana_s")
+    # read many times below and by every feature: materialised once in the shared folder
+    d = cut_lineage(seg.withColumnRenamed("percurso_tipico_s", "semana_s"))
     d = time_split(d, ["t_origem", "viagem_id", "ordem_origem"], p)
     levels = BY_TYPE if by_type else BY_TYPE[1:]
     d = hierarchical_reference(d, "tempo_percurso_s", levels, F.col("parte") != "teste", "percurso_tipico_s")
-    return add_target(d, p)
+    return cut_lineage(add_target(d, p))
 
 
 def relative_deviation() -> Column:
@@ -161,7 +165,7 @@ def trip_state(df: DataFrame, typical: DataFrame) -> DataFrame:
 
 def modelling_table(pairs, arrivals, links, p: Params = P) -> DataFrame:
     """The forecast-error table: one row per poll, with targets."""
-    d = pairs.where(F.col("confianca") >= p.min_confidence_delay).drop("hora", "dia_semana", "faixa")
+    d = cut_lineage(pairs.where(F.col("confianca") >= p.min_confidence_delay).drop("hora", "dia_semana", "faixa"))
     cut = cutoff_instant(d, "t_chegada", p.train_share).head()
     typical = hourly_typical(arrivals, before=F.lit(cut["corte"]))
     err = arrival_errors(d)
@@ -213,20 +217,23 @@ def sliding_windows(series: DataFrame, steps: int = 8) -> DataFrame:
 # -- graph of stops
 def stop_nodes(pairs: DataFrame, share: float = 0.7) -> DataFrame:
     """Node statistics from the start of the period; target from the rest."""
-    us = F.unix_micros("t_chegada").cast("double")
-    d = pairs.withColumn("_us", us)
-    cut = group_quantiles(d, [], "_us", {"_cut": share})
-    d = d.crossJoin(F.broadcast(cut))  # one row
-    early, late = d.where("_us < _cut"), d.where("_us >= _cut")
+    d = pairs.withColumn("_us", F.unix_micros("t_chegada").cast("double"))
+    cut = group_quantiles(d, [], "_us", {"_cut": share}).head()["_cut"]
+    early = F.col("_us") < F.lit(cut)
+
+    def of(c):
+        return F.when(early, F.col(c))
+
+    d = d.withColumns({"_e": of("erro_s"), "_h": of("headway_obs_s"), "_f": F.when(~early, F.col("erro_s"))})
     nodes = summarize(
-        early, ["cp"],
+        d, ["cp"],
         [
-            F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"), F.avg("erro_s").alias("erro_medio"),
-            F.coalesce(F.stddev_samp("erro_s"), F.lit(0.0)).alias("erro_desvio"), F.countDistinct("cl").alias("linhas"),
+            F.avg(of("lat")).alias("lat"), F.avg(of("lon")).alias("lon"), F.count("_e").alias("n"), F.avg("_e").alias("erro_medio"),
+            F.coalesce(F.stddev_samp("_e"), F.lit(0.0)).alias("erro_desvio"), F.countDistinct(of("cl")).alias("linhas"),
         ],
-        {"erro_s": {"erro_mediano": 0.5}, "headway_obs_s": {"headway": 0.5}},
+        {"_e": {"erro_mediano": 0.5}, "_h": {"headway": 0.5}, "_f": {"alvo": 0.5}},
     )
-    return nodes.join(group_quantiles(late, ["cp"], "erro_s", {"alvo": 0.5}), "cp", "left")
+    return nodes.where("n > 0")
 
 
 def stop_edges(nodes: DataFrame, seg: DataFrame, radius_m: float = 400.0) -> DataFrame:
@@ -511,7 +518,7 @@ def out_of_fold_spread(base: DataFrame, day: Column) -> DataFrame:
     var = (s2 - s * s / n) / F.nullif(n - 1, F.lit(0))
     return j.groupBy(*keys, F.col("_d").alias("dia")).agg(
         F.percentile("alvo_s", 0.75, F.col("_n")).alias("oof_p75_s"), F.percentile("alvo_s", 0.9, F.col("_n")).alias("oof_p90_s"),
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("oof_dp_s"))
+        F.sqrt(F.when(n > 1, F.greatest(var, F.lit(0.0)))).alias("oof_dp_s"))
 
 
 def rain_features(df: DataFrame, rain: DataFrame, step: float = 0.05) -> DataFrame:

@@ -11,6 +11,7 @@ from busloom.operators.delay import hourly_typical
 from busloom.plans.q_delay import epoch, pairs_of, rounded, seg_of
 from busloom.plans.registry import query
 from busloom.plans.standins import Bus, derive, oracle, sql_hour, sql_weekday
+from busloom.session import cut_lineage
 
 HOL = ("2024-01-01",)
 ID = ["viagem_id", "ordem_origem"]
@@ -183,7 +184,7 @@ WHERE cp_origem IN (SELECT cp FROM n) AND cp_destino IN (SELECT cp FROM n) GROUP
 UNION ALL SELECT p.cp, q.cp, 0.0, 'vizinhanca' FROM n p, n q WHERE p.cp <> q.cp AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 400""".strip()))
 def w13(spark, sf):
     b = Bus(spark, sf)
-    return W.stop_edges(W.stop_nodes(pairs_of(b)), seg_of(b))
+    return W.stop_edges(cut_lineage(W.stop_nodes(pairs_of(b))), seg_of(b))
 
 
 @query("w14_day_type", oracle("segments", "SELECT viagem_id, ordem_origem, tipo FROM segments"))
