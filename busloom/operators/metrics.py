@@ -44,13 +44,13 @@ def ranking_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
     g = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_n"))
     g = g.withColumn("_q", F.col("_n") - F.col("_p"))
     g = Ordered(g, [], ["_s"]).running_sum({"_cp": "_p", "_cq": "_q"}).df
-    tot = g.agg(F.sum("_p").alias("_P"), F.sum("_q").alias("_Q"))
+    tot = g.agg(F.sum("_p").alias("_tp"), F.sum("_q").alias("_tq"))
     g = g.crossJoin(F.broadcast(tot))  # one row
     below = F.col("_cq") - F.col("_q")
-    auc = F.sum(F.col("_p") * (below + F.col("_q") / 2)) / F.max(F.col("_P").cast("double") * F.col("_Q"))
-    tp = F.col("_P") - F.col("_cp") + F.col("_p")
-    fp = F.col("_Q") - F.col("_cq") + F.col("_q")
-    ap = F.sum(F.col("_p") / F.col("_P") * tp / (tp + fp))
+    auc = F.sum(F.col("_p") * (below + F.col("_q") / 2)) / F.max(F.col("_tp").cast("double") * F.col("_tq"))
+    tp = F.col("_tp") - F.col("_cp") + F.col("_p")
+    fp = F.col("_tq") - F.col("_cq") + F.col("_q")
+    ap = F.sum(F.col("_p") / F.col("_tp") * tp / (tp + fp))
     return g.agg(auc.alias("auc"), ap.alias("pr_auc"))
 
 

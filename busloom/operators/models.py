@@ -24,15 +24,15 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, loss: str = "
         VectorAssembler(inputCols=[c + "_i" for c in cols], outputCol="_x", handleInvalid="keep"),
     ]
     common = dict(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=7, validationIndicatorCol="_val", subsamplingRate=0.8)
-    gbt = GBTClassifier(**common, predictionCol="classe", probabilityCol="_pv") if loss == "logistic" else GBTRegressor(**common, lossType=loss, predictionCol="previsto")
+    gbt = GBTClassifier(**common, predictionCol="classe") if loss == "logistic" else GBTRegressor(**common, lossType=loss, predictionCol="previsto")
     return Pipeline(stages=[*stages, gbt]).fit(d)
 
 
 def predict(model, df: DataFrame, features: list[str]) -> DataFrame:
     out = model.transform(df.withColumns({f"_f_{c}": F.col(c).cast("double") for c in features}))
-    if "_pv" in out.columns:
-        out = out.withColumn("prob", vector_to_array("_pv")[1])
-    return out.drop(*[c for c in out.columns if c.startswith("_f_")], "_x", "_pv", "rawPrediction")
+    if "probability" in out.columns:
+        out = out.withColumn("prob", vector_to_array("probability")[1])
+    return out.drop(*[c for c in out.columns if c.startswith("_f_")], "_x", "probability", "rawPrediction")
 
 
 def importance(model, features: list[str], spark) -> DataFrame:
