@@ -45,10 +45,10 @@ def st_dbscan(
     cell = [*by, "cx", "cy", "ct"]
     n = p.groupBy(*cell).agg(F.count("*").alias("_n"))
     p = cut_lineage(p.join(n, cell).withColumn("cheia", F.col("_n") >= F.col("_m")).drop("_n"))
-    reach = F.array(*[F.lit(i).cast("long") for i in (-2, -1, 0, 1, 2)])
-    around = p
-    for c, span in (("cx", reach), ("cy", reach), ("ct", F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)]) if t else None)):
-        around = around.withColumn("q" + c[1], F.col(c) + (F.explode(span) if span is not None else F.lit(0).cast("long")))
+    def beside(c, k):
+        return F.explode(F.sequence(F.col(c) - k, F.col(c) + k))
+
+    around = p.withColumn("qx", beside("cx", 2)).withColumn("qy", beside("cy", 2)).withColumn("qt", beside("ct", 1) if t else F.col("ct"))
     near = (F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)) <= F.col("_e") * F.col("_e")) & (
         F.abs(F.col("t") - F.col("t2")) <= F.col("_et"))
     thin = around.where(~F.col("cheia"))
@@ -119,9 +119,10 @@ def _links_of_full_cells(full: DataFrame, by, cell, timed: bool) -> DataFrame:
         box = _boxes(full, by, cell, level)
         right = box.select(*by, *[F.col(c).alias(c + "_b") for c in side])
         if level == 0:
-            span = F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long"))
-            tspan = F.sequence(F.lit(-1 if timed else 0).cast("long"), F.lit(1 if timed else 0).cast("long"))
-            l = box.withColumn("cx_b", F.col("cx") + F.explode(span)).withColumn("cy_b", F.col("cy") + F.explode(span)).withColumn("ct_b", F.col("ct") + F.explode(tspan))
+            def beside(c, k):
+                return F.explode(F.sequence(F.col(c) - k, F.col(c) + k))
+
+            l = box.withColumn("cx_b", beside("cx", 2)).withColumn("cy_b", beside("cy", 2)).withColumn("ct_b", beside("ct", 1 if timed else 0))
             pairs = l.join(right, [*by, "cx_b", "cy_b", "ct_b"]).where(F.struct("cx", "cy", "ct") < F.struct(F.col("cx_b").alias("cx"), F.col("cy_b").alias("cy"), F.col("ct_b").alias("ct")))
         else:
             def up(suffix):

@@ -144,6 +144,17 @@ SELECT concat(letreiro, '-10-', CAST(sentido - 1 AS VARCHAR(3))) AS trip_id, o %
 FROM {passages} WHERE ordem = 1
 """, ["passages"])
 
+_add("gps", """
+SELECT o * 10 + ordem AS rid, cl, prefixo, t_chegada AS ta, CAST(ordem * 420 + k % 91 - 45 AS DOUBLE) AS x, CAST(cl * 300 + k % 331 - 165 AS DOUBLE) AS y,
+  CAST(ordem * 420 + k % 91 - 45 AS DOUBLE) AS s, CAST(abs(k % 331 - 165) AS DOUBLE) AS dist
+FROM {passages}
+""", ["passages"], ["ta"])
+
+_add("gps_stops", """
+SELECT cl, cp, min(ordem) AS ordem, CAST(min(ordem) * 420 AS DOUBLE) AS x, CAST(cl * 300 AS DOUBLE) AS y, CAST(min(ordem) * 420 AS DOUBLE) AS s_m
+FROM {passages} GROUP BY cl, cp
+""", ["passages"])
+
 _DIALECT = {
     "spark": {
         "secs": "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000) AS BIGINT)",
