@@ -12,6 +12,7 @@ from busloom.operators.asof import seconds_between
 from busloom.operators.ingest import drop_exact_duplicates
 from busloom.operators.ordered import Ordered
 from busloom.operators.quantiles import summarize
+from busloom.session import cut_lineage
 
 P = Params()
 VEHICLE = ["cl", "prefixo"]
@@ -165,7 +166,8 @@ def build_arrivals(pos: DataFrame, shape: DataFrame, stops: DataFrame, tie: str
     segs = PL.polyline_segments(shape, "cl", "seq")
     placed = order_stops(stops.withColumns(xy), segs, p)
     pts = drop_exact_duplicates(pos.where("ta IS NOT NULL"), tie).withColumns(xy).withColumn("dia", F.to_date("ta"))
-    s = PL.project_track(pts, segs, "cl", ["prefixo", "dia"], "ta")
+    # the one stage that leaves the JVM: run once, read by the steps below
+    s = cut_lineage(PL.project_track(pts, segs, "cl", ["prefixo", "dia"], "ta"))
     return grade_arrivals(detect_arrivals(segment_trips(on_route(s, p), tie, p), placed, tie, p), p)
 
 
