@@ -138,7 +138,7 @@ def c11(spark, sf):
     return C.top_flows(daily(Bus(spark, sf))).select("rotulo", F.array_join("fluxos", "; ").alias("fluxos"))
 
 
-@query("c12_label_back", rec(oracle("pts", dbscan_sql("some", 150.0, 5).strip().replace(", nb AS", ", some AS (SELECT * FROM pts WHERE id % 4 > 0), nb AS", 1) + " SELECT pts.id, coalesce(rotulo, -3) AS rotulo FROM pts LEFT JOIN lab ON lab.id = pts.id")))
+@query("c12_label_back", rec(oracle("pts", dbscan_sql("alguns", 150.0, 5).strip().replace(", nb AS", ", alguns AS (SELECT * FROM pts WHERE id % 4 > 0), nb AS", 1) + " SELECT pts.id, coalesce(rotulo, -3) AS rotulo FROM pts LEFT JOIN lab ON lab.id = pts.id")))
 def c12(spark, sf):
     p = Bus(spark, sf).points.withColumnRenamed("vec_id", "id")
     return C.label_back(p.select("id"), DB.st_dbscan(p.where("id % 4 > 0"), "id", "x", "y", 150.0, 5), "id")
