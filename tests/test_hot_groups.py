@@ -28,7 +28,7 @@ def test_hot_group_is_sliced(rows, hot):
     assert cut.hot
     size = cut.df.groupBy("k", "_slice").count().toPandas()
     assert size["count"].max() < 200 and len(size[size.k == "hot"]) > 3
-    assert (size[size.k != "hot"]._slice == 0).all()
+    assert (size[size.k != "hot"]["_slice"] == 0).all()
 
 
 def test_ordered_operations(rows, hot):
