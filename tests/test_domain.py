@@ -166,3 +166,34 @@ def test_streams_equal_batch(spark, tmp_path):
     q = L.write_raw(L.new_positions(stream()), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == n
+
+
+def test_external_readers(spark, tmp_path):
+    osm = {"elements": [{"type": "node", "id": 1, "lat": -23.5, "lon": -46.6, "tags": {"highway": "traffic_signals"}},
+                        {"type": "way", "id": 2, "tags": {"maxspeed": "50"}, "geometry": [{"lat": 1.0, "lon": 2.0}]}]}
+    (tmp_path / "o.json").write_text(json.dumps(osm))
+    rows = FL.read_map_extract(spark, str(tmp_path / "o.json")).collect()
+    assert rows[0].tags == {"highway": "traffic_signals"} and rows[1].geometry[0].lon == 2.0
+    (tmp_path / "p.jsonl").write_text('{"ts":"2024-01-01T00:00:00Z","ponto":"a","status":200,"velocidade_kmh":12.5}\n{"ponto":"a","status":500}\n')
+    assert FL.read_probes(spark, str(tmp_path / "p.jsonl")).count() == 1
+    spark.createDataFrame([(1.0, 2.0, 0.5)], "lat double, lon double, chuva_mm double").withColumn("hora_local", F.current_timestamp()).write.parquet(str(tmp_path / "r"))
+    assert FL.read_rain(spark, str(tmp_path / "r")).head().chuva_mm == 0.5
+
+
+def test_only_algorithms_that_ran_are_replaced(spark, tmp_path):
+    p = str(tmp_path / "c")
+    TB.replace_partitions(spark.createDataFrame([("a", 1), ("b", 2)], "algoritmo string, n int"), p, "algoritmo")
+    TB.replace_partitions(spark.createDataFrame([("b", 3)], "algoritmo string, n int"), p, "algoritmo")
+    assert {(r.algoritmo, r.n) for r in spark.read.parquet(p).collect()} == {("a", 1), ("b", 3)}
+
+
+def test_live_headway(spark, tmp_path):
+    a = Bus(spark, SF).arrivals.select("cl", "cp", "t_chegada", "viagem_id")
+    a.drop("viagem_id").coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(a.drop("viagem_id").schema).parquet(str(tmp_path / "in"))
+    q = L.live_headway(s).writeStream.format("memory").queryName("s_headway").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    from busloom.operators.delay import add_headway
+    want = add_headway(a, ("cl", "cp")).agg(F.count("headway_s"), F.sum("headway_s")).head()
+    got = spark.table("s_headway").where("NOT isnan(headway_s)").agg(F.count("headway_s"), F.sum("headway_s")).head()
+    assert tuple(got) == tuple(want)
