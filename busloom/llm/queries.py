@@ -30,5 +30,6 @@ def op1(spark, sf_dir):
 
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return ranking.apply(docs, ranking.fit(docs, table(spark, sf_dir, "labels")))
+    measured = ranking.measure(table(spark, sf_dir, "documents"))
+    return ranking.apply(measured, ranking.fit(measured, table(spark, sf_dir, "labels")))
+

@@ -17,11 +17,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from busloom.llm import calibrate, stats
-from busloom.llm.common import bounded_sample, filter_texts, held_out, keep, over_texts, sigmoid
+from busloom.llm.common import bounded_sample, filter_texts, held_out, keep, sigmoid
+from busloom.llm.quality_rules import rule_counts
 
 #: Labelled rows and pairs that the weights are learned from.
 SAMPLE_ROWS, PAIRS = 8192, 60_000
@@ -52,9 +54,8 @@ class Ranker:
         return sigmoid(self.slope * (self.raw(x) - self.cut) + np.log(DECISION / (1 - DECISION)))
 
 
-def statistics(texts: list[str]) -> np.ndarray:
-    table = np.array([stats.counts(x) for x in texts], dtype=np.int64).reshape(-1, len(stats.NAMES))
-    return stats.shares(dict(zip(stats.NAMES, table.T)))[1]
+def matrix(counted) -> np.ndarray:
+    return stats.shares({n: np.asarray(counted[n]) for n in stats.NAMES})[1]
 
 
 def learn(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 11) -> Ranker:
@@ -82,25 +83,19 @@ def learn(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 11) -> R
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS) -> Ranker | None:
-    """None when a label is missing."""
-    known = calibrate.clean_labels(labels).where(~held_out())
-    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text").join(known, "doc_id")
-    width = len(stats.shares({n: np.zeros(1) for n in stats.NAMES})[0])
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of every text: a narrow table, so that no text is shuffled to its label."""
+    return keep(rule_counts(docs))
+
 
-    measured = keep(over_texts(labelled, lambda texts: {"x": list(statistics(texts))}, "x array<double>", ("doc_id", "label")))
+def fit(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS) -> Ranker | None:
+    """None when a label is missing."""
+    measured = measured.where(F.col("doc_id").isNotNull() & ~held_out()).join(calibrate.clean_labels(labels), "doc_id")
     seen = bounded_sample(measured, "doc_id", sample_rows)
     if seen["label"].nunique() < 2:
         return None
-    x = np.stack(seen["x"].to_numpy()).reshape(-1, width)
-    model = learn(x, seen["label"].to_numpy(), pairs)
-
-    def place(frames):
-        for part in frames:
-            if len(part):
-                yield pd.DataFrame({"label": part["label"], "score": model.score(np.stack(part["x"].to_numpy()))})
-
-    hist = calibrate.label_histogram(measured.mapInPandas(place, "label int, score double"), "score")
+    model = learn(matrix(seen), seen["label"].to_numpy(), pairs)
+    hist = calibrate.label_histogram(scored(measured, model), "score")
     cut = float(np.clip(calibrate.best_cut(hist), 1e-6, 1 - 1e-6))
     # the score at that quantile becomes DECISION
     model.cut += (np.log(cut / (1 - cut)) - np.log(DECISION / (1 - DECISION))) / model.slope
@@ -108,17 +103,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pair
 
 
 def scores(model: Ranker | None, texts: list[str]) -> np.ndarray:
-    return np.full(len(texts), 0.5) if model is None else model.score(statistics(texts))
+    if model is None or not texts:
+        return np.full(len(texts), 0.5)
+    return model.score(matrix(dict(zip(stats.NAMES, np.array([stats.counts(x) for x in texts], dtype=np.int64).T))))
 
 
-def apply(docs: DataFrame, model: Ranker | None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row."""
+def scored(measured: DataFrame, model: Ranker | None) -> DataFrame:
+    """The counts with a score for every row."""
+
+    def run(batches):
+        for part in batches:
+            x = matrix({n: part.column(n).to_numpy(zero_copy_only=False) for n in stats.NAMES})
+            s = np.full(len(x), 0.5) if model is None else model.score(x)
+            yield part.append_column("score", pa.array(s, type=pa.float64()))
 
-    def run(texts):
-        s = scores(model, texts)
-        return {"score": s, "predicted": (s >= DECISION).astype(np.int32)}
+    return measured.mapInArrow(run, StructType([*measured.schema.fields, StructField("score", DoubleType())]))
 
-    return over_texts(docs, run, "score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+def apply(measured: DataFrame, model: Ranker | None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row."""
+    return scored(measured, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Ranker | None) -> DataFrame:

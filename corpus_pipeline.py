@@ -13,7 +13,7 @@ from busloom.session import checkpoint_dir
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking model doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return ranking.keep_good(docs, ranking.fit(docs, labels))
+    return ranking.keep_good(docs, ranking.fit(ranking.measure(docs), labels))
 
 
 STAGES = [("quality_classifier", quality_classifier)]
