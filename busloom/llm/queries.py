@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from busloom.llm import quality_rules, ranking
+from busloom.llm import bpe, quality_rules, ranking
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,9 @@ def op10(spark, sf_dir):
     measured = ranking.measure(table(spark, sf_dir, "documents"))
     return ranking.apply(measured, ranking.fit(measured, table(spark, sf_dir, "labels")))
 
+
+@query("op4_bpe")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
