@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, chat, quality_rules, ranking, shards, url_lists
+from busloom.llm import bpe, chat, html_text, quality_rules, ranking, shards, url_lists
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,8 @@ def op6(spark, sf_dir):
 @query("op8_histogram_shards")
 def op8(spark, sf_dir):
     return shards.apply(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_main_text")
+def op9(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
