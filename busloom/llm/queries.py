@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, chat, html_text, quality_rules, ranking, shards, url_lists
+from busloom.llm import bpe, chat, html_text, pii, quality_rules, ranking, shards, url_lists
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,9 @@ def op8(spark, sf_dir):
 @query("op9_main_text")
 def op9(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_personal_data")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.apply(docs, pii.fit(docs))
