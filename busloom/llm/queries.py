@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, chat, html_text, pii, quality_rules, ranking, shards, url_lists
+from busloom.llm import bpe, chat, decontaminate, html_text, pii, quality_rules, ranking, shards, url_lists
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,8 @@ def op9(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.apply(docs, pii.fit(docs))
+
+
+@query("op2_decontamination")
+def op2(spark, sf_dir):
+    return decontaminate.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
