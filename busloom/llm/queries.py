@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, chat, decontaminate, html_text, pii, quality_rules, ranking, shards, url_lists
+from busloom.llm import bpe, chat, decontaminate, html_text, jaccard, pii, quality_rules, ranking, shards, url_lists
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op7(spark, sf_dir):
 @query("op2_decontamination")
 def op2(spark, sf_dir):
     return decontaminate.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_ngram_jaccard")
+def op5(spark, sf_dir):
+    return jaccard.apply(table(spark, sf_dir, "documents"))
