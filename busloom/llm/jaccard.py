@@ -295,3 +295,16 @@ def apply(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     placed = named.join(least, "c").select("node", "component_id")
     out = sketched.select("doc", "n", "node").join(placed, "node", "left")
     return out.select(F.col("doc").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that of the smallest id, with all columns; of repeated rows of one id and text one.
+
+    Rows without an id can't be told apart and all stay.
+    """
+    placed = keep(apply(docs, doc_id, text, k, percent))
+    out = only(docs, keep(placed.where(F.col("component_id") < F.col(doc_id)).select(doc_id).distinct()), doc_id, "left_anti")
+    again = keep(placed.groupBy(doc_id).count().where(F.col(doc_id).isNotNull() & (F.col("count") > 1)).select(doc_id))
+    if again.isEmpty():
+        return out
+    return only(out, again, doc_id, "left_anti").unionByName(only(out, again, doc_id).dropDuplicates([doc_id, text]))

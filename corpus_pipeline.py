@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from busloom.llm import ranking
+from busloom.llm import bpe, decontaminate, jaccard, pii, ranking
 from busloom.session import checkpoint_dir
 
+#: Near duplicates: shingles of five words, similarity of 80 in 100.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+TOKENIZER = "word_bpe_49k.json"
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking model doesn't reject."""
@@ -16,7 +21,34 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return ranking.keep_good(docs, ranking.fit(ranking.measure(docs), labels))
 
 
-STAGES = [("quality_classifier", quality_classifier)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of smallest id."""
+    return jaccard.keep_one(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, personal data replaced by its kind; n_chars follows the text."""
+    out = pii.mask(docs, pii.fit(docs))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its token ids."""
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), tuple(docs.columns)).withColumn("n_tokens", F.size("ids"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("bpe_encoding", tokens),
+]
 
 #: Trained models and tokenizers can't be said in SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
