@@ -83,3 +83,16 @@ def filter_texts(df: DataFrame, fn: Callable[[list[str]], np.ndarray], text: str
             yield part.filter(pa.array(fn(["" if x is None else x for x in part.column(text).to_pylist()]), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def rewrite_texts(df: DataFrame, fn: Callable[[list[str]], list[str]], text: str = "text") -> DataFrame:
+    """All columns, each text replaced by what fn makes of it; null stays null."""
+
+    def run(batches):
+        for part in slices(batches, text):
+            given = part.column(text).to_pylist()
+            made = fn(["" if x is None else x for x in given])
+            at = part.schema.get_field_index(text)
+            yield part.set_column(at, part.schema.field(at), pa.array([None if x is None else y for x, y in zip(given, made)], part.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)

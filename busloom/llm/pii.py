@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from busloom.llm import tagger
-from busloom.llm.common import over_texts
+from busloom.llm.common import over_texts, rewrite_texts
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, CONTEXT = 64, 32, 24
@@ -257,7 +257,4 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask(docs: DataFrame, model: tagger.Tagger | None, text: str = "text") -> DataFrame:
     """All columns, personal data masked; null texts stay null."""
-    others = tuple(c for c in docs.columns if c != text)
-    given = docs.withColumn("_given", F.col(text).isNotNull())
-    out = over_texts(given, lambda texts: {"_masked": [masked(x, s) for x, (_, s) in zip(texts, find(model, texts))]}, "_masked string", (*others, "_given"), text)
-    return out.select(*(F.when(F.col("_given"), F.col("_masked")).alias(text) if c == text else F.col(c) for c in docs.columns))
+    return rewrite_texts(docs, lambda texts: [masked(x, s) for x, (_, s) in zip(texts, find(model, texts))], text)

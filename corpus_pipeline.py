@@ -38,8 +38,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids."""
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), tuple(docs.columns)).withColumn("n_tokens", F.size("ids"))
+    """Every document with its token ids; columns of these names are replaced."""
+    kept = tuple(c for c in docs.columns if c not in ("ids", "n_tokens"))
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), kept).withColumn("n_tokens", F.size("ids"))
 
 
 STAGES = [
