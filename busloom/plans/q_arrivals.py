@@ -228,16 +228,24 @@ def v07(spark, sf):
     return V.share_near_layer(matched(b)[1], layers(b)[1], "geo_faixa")
 
 
-TEXTS = ["2ª a 6ª das 06-09h e das 17-20h; Sáb. das 06-14h", "INTEGRAL", "Dom. das 7:30-12h", ""]
+def lane_text(key):
+    """A timetable text whose hours follow the key: two spans and two kinds of days, all day, one span, none."""
+    k = F.col(key)
+    two = F.concat(F.lit("De 2ª a 5ª, "), (5 + k % 5).cast("string"), F.lit("-"), (11 + k % 7).cast("string"), F.lit("h e 16:15-19h; sáb. 8-"), (12 + k % 3).cast("string"), F.lit("h"))
+    one = F.concat(F.lit("dom. "), (6 + k % 4).cast("string"), F.lit(":45-13h"))
+    return F.when(k % 4 == 0, two).when(k % 4 == 1, F.lit("Integral")).when(k % 4 == 2, one).otherwise("")
 
 
 @query("v08_lane_timetables", """
-SELECT s_suppkey AS faixa, CAST(dia AS INTEGER) AS dia, CAST(a AS DOUBLE) AS h_ini, CAST(b AS DOUBLE) AS h_fim FROM supplier JOIN (
-  SELECT 0 AS m, unnest([0, 1, 2, 3, 4]) AS dia, 6.0 AS a, 9.0 AS b UNION ALL SELECT 0, unnest([0, 1, 2, 3, 4]), 17.0, 20.0 UNION ALL SELECT 0, 5, 6.0, 14.0
-  UNION ALL SELECT 1, unnest([0, 1, 2, 3, 4, 5, 6]), 0.0, 24.0 UNION ALL SELECT 2, 6, 7.5, 12.0 UNION ALL SELECT 3, unnest([0, 1, 2, 3, 4, 5, 6]), 0.0, 24.0) ON m = s_suppkey % 4""")
+WITH k AS (SELECT s_suppkey AS faixa, s_suppkey % 4 AS m FROM supplier),
+w AS (SELECT faixa, unnest(range(0, 4)) AS dia, 5.0 + faixa % 5 AS a, 11.0 + faixa % 7 AS b FROM k WHERE m = 0
+  UNION ALL SELECT faixa, unnest(range(0, 4)), 16.25, 19.0 FROM k WHERE m = 0
+  UNION ALL SELECT faixa, 5, 8.0, 12.0 + faixa % 3 FROM k WHERE m = 0
+  UNION ALL SELECT faixa, 6, 6.75 + faixa % 4, 13.0 FROM k WHERE m = 2
+  UNION ALL SELECT faixa, unnest(range(0, 7)), 0.0, 24.0 FROM k WHERE m IN (1, 3))
+SELECT faixa, CAST(dia AS INTEGER) AS dia, CAST(a AS DOUBLE) AS h_ini, CAST(b AS DOUBLE) AS h_fim FROM w""")
 def v08(spark, sf):
-    t = F.element_at(F.array(*[F.lit(x) for x in TEXTS]), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return V.lane_windows(Bus(spark, sf).table("supplier").select(F.col("s_suppkey").alias("faixa"), t.alias("txt")), "txt")
+    return V.lane_windows(Bus(spark, sf).table("supplier").select(F.col("s_suppkey").alias("faixa"), lane_text("s_suppkey").alias("txt")), "txt")
 
 
 def agenda(b):
@@ -259,8 +267,7 @@ def v10(spark, sf):
     pairs, pts, _ = matched(b)
     lights, lane = layers(b)
     share = V.share_per_feature(pts, lane).join(pairs.select("par", "cp_origem", "cp_destino"), "par")
-    t = F.element_at(F.array(*[F.lit(x) for x in TEXTS]), (F.col("feicao") % 4 + 1).cast("int"))
-    lanes = V.lane_windows(share.withColumn("txt", t), "txt").drop("par", "feicao")
+    lanes = V.lane_windows(share.withColumn("txt", lane_text("feicao")), "txt").drop("par", "feicao")
     d = V.attach_layers(seg_of(b), ID, V.lights_on_pairs(pairs, pts, lights), V.market_agenda(pts, agenda(b)), lanes)
     return d.select(*ID, "geo_semaforos", "geo_feira_dia", "geo_feira_agora", "geo_faixa_ativa")
 
