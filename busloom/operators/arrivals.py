@@ -28,13 +28,10 @@ def continuous_blocks(pos: DataFrame, gap_s: float = 1200.0, tie: str = "rid", p
     return d.join(keep, [*VEHICLE, "bloco"])
 
 
-def observed_shape(pos: DataFrame, stops: DataFrame, candidates: int = 60, tie: str = "rid", p: Params = P) -> DataFrame:
+def observed_shape(pos: DataFrame, stops: DataFrame, tie: str = "rid", p: Params = P) -> DataFrame:
     """Per line, the simplified track that serves its stops best: columns cl, seq, x, y and scores."""
     blocks = continuous_blocks(pos, tie=tie, p=p).withColumn("faixa_id", F.concat_ws("|", *VEHICLE, "bloco"))
-    size = blocks.groupBy("cl", "faixa_id").agg(F.max("pontos").alias("pontos"))
-    w = Window.partitionBy("cl").orderBy(F.desc("pontos"), "faixa_id")
-    top = size.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= candidates)
-    tracks = blocks.join(top.select("faixa_id"), "faixa_id", "left_semi").withColumn("seq", F.unix_micros("ta"))
+    tracks = blocks.withColumn("seq", F.unix_micros("ta"))
     # one sample per instant, so the order along a track is unambiguous
     tracks = tracks.groupBy("cl", "faixa_id", "seq").agg(F.min("x").alias("x"), F.min_by("y", "x").alias("y"))
     slim = PL.simplify(tracks, "faixa_id", "seq", 10.0)

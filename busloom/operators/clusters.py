@@ -43,17 +43,6 @@ def weighted_kmeans(samples: DataFrame, k: int, weight: str = "peso", seed: int
     return model.transform(d).drop("_v")
 
 
-def capped_thresholds(n: int, cap: int, min_pts: int) -> tuple[float, int]:
-    """Sampling share and scaled density when a sampled run is asked for."""
-    share = min(1.0, cap / max(n, 1))
-    return share, max(3, round(min_pts * share)) if share < 1 else min_pts
-
-
-def hash_sample(df: DataFrame, pid: str, share: float, seed: int = 13) -> DataFrame:
-    """A fixed share of rows by hash: no sort, the same rows every time."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), pid), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-
-
 def impacted_stops(samples: DataFrame, base: DataFrame) -> DataFrame:
     overall = base.agg(F.avg("evento").alias("_r"))
     return samples.crossJoin(F.broadcast(overall)).where(F.col("taxa") >= F.col("_r")).drop("_r")  # one row

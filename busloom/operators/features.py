@@ -309,7 +309,8 @@ def covered_stop(base: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 def forecast_deviation(base: DataFrame, forecasts: DataFrame, max_age_s: float = 300.0) -> DataFrame:
     """Latest forecast for the covered stop, as the share of its deviation due to this segment."""
-    ev = forecasts.select("prefixo", F.col("cp").alias("cp_api"), "ts_coleta", "t_previsto", "qid")
+    named = forecasts.where(F.col("cp").isNotNull())  # a forecast without a stop is for no covered stop
+    ev = named.select("prefixo", F.col("cp").alias("cp_api"), "ts_coleta", "t_previsto", "qid")
     d = asof_join(
         covered_stop(base, forecasts), ev, ["prefixo", "cp_api"], "t_origem", "ts_coleta", {"_tp": "t_previsto"}, "qid", max_age_s,
         event_time_out="_tc")

@@ -215,14 +215,28 @@ def layers(b):
     return at.withColumnRenamed("s_suppkey", "semaforo"), lane
 
 
-@query("v06_lights_on_pairs")
+# the streets are straight along x, so a pair's points are the multiples of 10 m between its stops
+derive("pair_of_stops", ["gps_stops"], """
+SELECT concat(p.o, '>', p.d) AS par, p.o AS cp_origem, p.d AS cp_destino, p.m.cl AS cl, p.m.a AS a, p.m.b AS b, p.m.extensao_m AS extensao_m FROM (
+  SELECT cp AS o, nxt AS d, min({'cl': cl, 'a': s_m, 'b': s_nxt, 'extensao_m': s_nxt - s_m}) AS m
+  FROM (SELECT *, lead(cp) OVER w AS nxt, lead(s_m) OVER w AS s_nxt FROM gps_stops WINDOW w AS (PARTITION BY cl ORDER BY s_m, cp))
+  WHERE s_nxt - s_m > 0 AND s_nxt - s_m < 8000 GROUP BY 1, 2) AS p""")
+derive("pair_points", ["pair_of_stops"], "SELECT par, cp_origem, cp_destino, k.x, cl * 300 AS y FROM pair_of_stops JOIN (SELECT unnest(range(0, 4001, 10)) AS x) AS k ON k.x BETWEEN a AND b")
+derive("lights", [], "SELECT s_suppkey AS id, s_suppkey * 131 % 3500 AS x, s_suppkey % 29 * 300 + 300 + s_suppkey % 40 AS y FROM supplier")
+
+
+@query("v06_lights_on_pairs", oracle("pair_of_stops pair_points lights", """
+SELECT p.par, cp_origem, cp_destino, extensao_m, coalesce(n, 0) AS geo_semaforos, coalesce(n, 0) / greatest(extensao_m / 1000, 0.05) AS geo_semaforos_km
+FROM pair_of_stops AS p LEFT JOIN (SELECT par, count(DISTINCT id) AS n FROM pair_points AS q JOIN lights AS l ON (q.x - l.x) ** 2 + (q.y - l.y) ** 2 <= 400 GROUP BY 1) AS c ON c.par = p.par"""))
 def v06(spark, sf):
     b = Bus(spark, sf)
     pairs, pts, _ = matched(b)
     return V.lights_on_pairs(pairs, pts, layers(b)[0])
 
 
-@query("v07_share_near_layer")
+@query("v07_share_near_layer", oracle("pair_points lights", """
+SELECT par, avg(CASE WHEN near THEN 1.0 ELSE 0.0 END) AS geo_faixa FROM (
+  SELECT par, EXISTS (SELECT 1 FROM lights AS l, range(0, 301, 10) AS t(d) WHERE (q.x - l.x - d) ** 2 + (q.y - l.y) ** 2 <= 225) AS near FROM pair_points AS q) GROUP BY 1"""))
 def v07(spark, sf):
     b = Bus(spark, sf)
     return V.share_near_layer(matched(b)[1], layers(b)[1], "geo_faixa")
@@ -255,7 +269,10 @@ def agenda(b):
     return V.market_windows(m, "d", "h")
 
 
-@query("v09_market_agenda")
+@query("v09_market_agenda", oracle("pair_points lights", """
+SELECT DISTINCT cp_origem, cp_destino, id AS feira, dia, CASE WHEN id % 2 = 0 THEN 7.5 ELSE 7.0 END::DOUBLE AS h_ini, CASE WHEN id % 2 = 0 THEN 13.0 ELSE 14.0 END::DOUBLE AS h_fim
+FROM pair_points AS q JOIN lights AS l ON (q.x - l.x) ** 2 + (q.y - l.y) ** 2 <= 40000
+JOIN (SELECT unnest([0, 1, 1, 2]) AS m, unnest([1, 5, 6, 2]) AS dia) AS d ON d.m = l.id % 3"""))
 def v09(spark, sf):
     b = Bus(spark, sf)
     return V.market_agenda(matched(b)[1], agenda(b))

@@ -92,13 +92,6 @@ def c07(spark, sf):
     return DB.st_dbscan(p, "id", "x", "y", 200.0, 8).where("NOT nucleo").select("id", "rotulo")
 
 
-@query("c08_sampled_run")
-def c08(spark, sf):
-    p = Bus(spark, sf).points.withColumnRenamed("vec_id", "id")
-    share, least = C.capped_thresholds(p.count(), 400, 6)
-    return DB.st_dbscan(C.hash_sample(p, "id", share), "id", "x", "y", 200.0, least)
-
-
 @query("c09_impacted_stops", oracle("segments", """
 SELECT cp_destino AS cp, round(avg(atrasado), 6) AS taxa FROM segments GROUP BY 1 HAVING count(*) >= 20 AND avg(atrasado) >= (SELECT avg(atrasado) FROM segments)"""))
 def c09(spark, sf):
@@ -138,10 +131,10 @@ def c11(spark, sf):
     return C.top_flows(daily(Bus(spark, sf))).select("rotulo", F.array_join("fluxos", "; ").alias("fluxos"))
 
 
-@query("c12_label_back", rec(oracle("pts", dbscan_sql("alguns", 150.0, 5).strip().replace(", nb AS", ", alguns AS (SELECT * FROM pts WHERE id % 4 > 0), nb AS", 1) + " SELECT pts.id, coalesce(rotulo, -3) AS rotulo FROM pts LEFT JOIN lab ON lab.id = pts.id")))
+@query("c12_label_back", rec(oracle("pts", dbscan_sql("pts", 150.0, 5).strip() + " SELECT pts.id, coalesce(rotulo, -3) AS rotulo FROM pts LEFT JOIN lab ON lab.id = pts.id")))
 def c12(spark, sf):
     p = Bus(spark, sf).points.withColumnRenamed("vec_id", "id")
-    return C.label_back(p.select("id"), DB.st_dbscan(p.where("id % 4 > 0"), "id", "x", "y", 150.0, 5), "id")
+    return C.label_back(p.select("id"), DB.st_dbscan(p, "id", "x", "y", 150.0, 5), "id")
 
 
 @query("c13_daily_episodes", ep(" SELECT CAST(dia AS BIGINT) AS dia, id, rotulo FROM ep"))
@@ -198,7 +191,7 @@ def c18(spark, sf):
 @query("c19_episode_context")
 def c19(spark, sf):
     b = Bus(spark, sf)
-    e = cut_lineage(C.episode_table(daily(b)).orderBy(F.desc("n"), "rotulo").limit(3))
+    e = cut_lineage(C.episode_table(daily(b)))
     return C.episode_context(e, seg_of(b).withColumn("t", F.col("t_chegada")))
 
 

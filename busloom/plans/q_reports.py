@@ -164,10 +164,10 @@ def q15(spark, sf):
 SELECT a.cp, n, CASE WHEN trim(coalesce(nome, '')) <> '' THEN nome ELSE concat('parada ', a.cp) END AS nome,
   round(coalesce(s.lat, la), 6) AS lat, round(coalesce(s.lon, lo), 6) AS lon
 FROM (SELECT cp, count(*) AS n, avg(lat) AS la, avg(lon) AS lo FROM arrivals GROUP BY cp) a
-LEFT JOIN (SELECT * FROM stops WHERE cp % 3 > 0) s ON s.cp = a.cp"""))
+LEFT JOIN (SELECT cp, CASE WHEN cp % 3 > 0 THEN nome END AS nome, CASE WHEN cp % 3 > 0 THEN lat END AS lat, CASE WHEN cp % 3 > 0 THEN lon END AS lon FROM stops) s ON s.cp = a.cp"""))
 def q16(spark, sf):
     b = Bus(spark, sf)
-    return rounded(R.official_place(b.arrivals, b.stops.where("cp % 3 > 0")), "lat", "lon")
+    return rounded(R.official_place(b.arrivals, b.stops.withColumns({c: F.when(F.col("cp") % 3 > 0, F.col(c)) for c in ("nome", "lat", "lon")})), "lat", "lon")
 
 
 @query("q17_flows_on_map", oracle("segments line_stops stops lines", """

@@ -289,7 +289,7 @@ def e32(spark, sf):
 def e33(spark, sf):
     d = cut_lineage(seg(sf, spark))
     f = d.select("cp_destino", F.col("t_chegada").alias("t"), F.col("velocidade_kmh").alias("vel_kmh"))
-    p = d.where("confianca >= 0.9").select("cp_destino", F.col("t_chegada").alias("t"), F.concat_ws("#", "viagem_id", "ordem_origem").alias("pid"), F.col("velocidade_kmh").alias("vel_sonda"))
+    p = d.select("cp_destino", F.col("t_chegada").alias("t"), F.concat_ws("#", "viagem_id", "ordem_origem").alias("pid"), F.col("velocidade_kmh").alias("vel_sonda"))
     m = E.probe_against_fleet(p, f, "cp_destino", 60, 3)
     return m.agg(F.count("*").alias("n"), F.corr("vel_sonda", "vel_frota").alias("correlacao"))
 

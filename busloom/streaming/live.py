@@ -51,9 +51,11 @@ def changed_positions(rows: DataFrame, forget_s: int = 7200) -> DataFrame:
         state.update((last,))
         state.setTimeoutDuration(forget_s * 1000)
 
-    known = conform(rows, "posicoes").where("prefixo IS NOT NULL AND ta IS NOT NULL")
-    return known.groupBy("prefixo", "cl").applyInPandasWithState(
+    rows = conform(rows, "posicoes")
+    known = F.col("prefixo").isNotNull() & F.col("ta").isNotNull()
+    changed = rows.where(known).groupBy("prefixo", "cl").applyInPandasWithState(
         step, TABLES["posicoes"], "ultimo long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return changed.unionByName(rows.where(~known))  # without a vehicle or instant nothing is known to repeat
 
 
 def write_raw(rows: DataFrame, path: str, checkpoint: str, every: str | None = None):

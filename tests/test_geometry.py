@@ -101,3 +101,32 @@ def test_two_times_one_place(spark):
     both = st_dbscan(df, "id", "x", "y", 400.0, 10, t="t", eps_t=1800.0)
     assert both.where("rotulo <> -1").select("rotulo").distinct().count() == 2
     assert st_dbscan(df, "id", "x", "y", 400.0, 10).where("rotulo <> -1").select("rotulo").distinct().count() == 1
+
+
+def farthest_first(pts, tol):
+    """Indices kept by definition: split at the point farthest from the chord segment, while one is beyond tol."""
+    def gap(p, a, b):
+        vx, vy = b[0] - a[0], b[1] - a[1]
+        n = vx * vx + vy * vy
+        t = 0.0 if n == 0 else min(1.0, max(0.0, ((p[0] - a[0]) * vx + (p[1] - a[1]) * vy) / n))
+        return ((p[0] - a[0] - t * vx) ** 2 + (p[1] - a[1] - t * vy) ** 2) ** 0.5
+
+    if len(pts) < 3:
+        return list(range(len(pts)))
+    d = [gap(p, pts[0], pts[-1]) for p in pts[1:-1]]
+    if max(d) <= tol:
+        return [0, len(pts) - 1]
+    m = 1 + d.index(max(d))
+    return farthest_first(pts[: m + 1], tol)[:-1] + [m + i for i in farthest_first(pts[m:], tol)]
+
+
+def test_simplify_keeps_turns(spark):
+    """A track that turns back beyond the end of its chord keeps the turn; random tracks as by definition."""
+    rng = np.random.default_rng(8)
+    tracks = {0: [(0, 0), (500, 0), (10, 0)], 1: [(0, 0), (0, 0), (0, 0)], 2: [(0, 0), (5, 5)]}
+    tracks |= {k: np.cumsum(rng.normal(0, 20, (60, 2)), axis=0).tolist() for k in range(3, 8)}
+    rows = [(k, i, float(x), float(y)) for k, t in tracks.items() for i, (x, y) in enumerate(t)]
+    df = spark.createDataFrame(rows, "k int, seq int, x double, y double")
+    want = sorted((k, i) for k, t in tracks.items() for i in farthest_first(t, 15.0))
+    for out in (PL.simplify(df, "k", "seq", 15.0), PL.simplify_rounds(df.where("k <> 2"), "k", "seq", 15.0).unionByName(df.where("k = 2"))):
+        assert sorted((r.k, r.seq) for r in out.collect()) == want
