@@ -7,21 +7,23 @@ prefix is extended: frequent tokens fall in classes by hash, a class of c tokens
 prefix ends when rare tokens and counts reach d + 1; whichever d tokens a partner lacks, a rare token or a pair is shared.
 So rare tokens are indexed alone and frequent ones in pairs.
 
-  1. Equal sets are one class. Counts of the tokens in prefixes by hash show which are frequent (above RARE).
-  2. Only classes whose prefix holds a frequent token are looked at again: all their tokens are counted, and they get extended
-     prefixes.
-  3. Sets that share a rare token, which few do, are paired if their sizes and the token's places in them leave a link
-     possible. Sets that share a pair of frequent tokens meet in a star: each is paired with the bucket's hub alone.
-  4. Pairs are tried on their stored prefixes, which rule out chance meetings, then verified on whole sets.
-  5. Members of a pair bucket that are still in different components are paired unless sizes, or what each shares with the hub,
-     rule a link out, and verified. No link between components is lost, and none within one is needed.
-
-Nothing of it is collected but frequent tokens and then only up to BROADCAST_ROWS; beyond that they are joined. Buckets are
-joined, not gathered, so adaptive execution can split those of a hot signature.
+  1. Equal sets are one class. Of each the head is stored, twice as many tokens by hash as a prefix needs; counts over all
+     heads show which tokens are frequent (above RARE).
+  2. Heads with d + 1 rare tokens give the prefix at once. The others' sets are looked at again, whole: all their tokens are
+     counted too, and they get extended prefixes.
+  3. Sets that share rare tokens are paired if their sizes and the number of them leave a link possible. Sets that share a pair
+     of frequent tokens meet in a star: each is paired with the bucket's hub alone.
+  4. The stars, and one pair of each set with a rare token, are verified on whole sets. What they link is one component.
+  5. The other pairs between components are verified; so are members of a bucket of frequent pairs in different components,
+     unless sizes, or what each shares with the hub, rule a link out. No link between components is lost, and none within one is
+     needed.
+
+Nothing is collected but frequent tokens, and those only up to BROADCAST_ROWS; beyond that they are joined. A bucket of a rare
+token is bounded and gathered; those of frequent pairs are joined, so adaptive execution can split a hot one.
 
 Defined cases: null and empty texts have size 0 and link with nothing; below K words the whole sequence is the one token;
-repeated rows share a component; a row with a null doc_id takes part and gets the component's smallest id, null if there is
-none; other columns are not read. Tokens and sets are told apart by 64-bit hashes.
+repeated rows share a component; a row with a null doc_id links with equal sets only and gets the component's smallest id, null
+if there is none; other columns are not read. Tokens and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from busloom.llm.components import components
 
 K, PERCENT = 3, 90
 #: A token in more prefixes than this is frequent; tokens that a class of frequent tokens has for each 16 of a set.
-RARE, CLASS_TOKENS = 16, 16
+RARE, CLASS_TOKENS = 64, 16
 #: Rows up to which the smaller side of a filter is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -106,21 +108,21 @@ def partnered(n: int, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """(doc, n, node, prefix): prefix holds the first d + 1 tokens by hash."""
+    """(doc, n, node, head): head holds the first 2 (d + 1) tokens by hash."""
 
     def run(texts):
         sets = [token_set(x, k) for x in texts]
         return {
             "n": list(map(len, sets)),
             "node": [node_of(t) if len(t) else None for t in sets],
-            "prefix": [t[: may_lose(len(t), percent) + 1] if partnered(len(t), percent) and len(t) else [] for t in sets],
+            "head": [t[: 2 * may_lose(len(t), percent) + 2] if partnered(len(t), percent) and len(t) else [] for t in sets],
         }
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    return over_texts(given, run, "n int, node long, prefix array<long>", ("doc",))
+    return over_texts(given, run, "n int, node long, head array<long>", ("doc",))
 
 
-def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def only(df: DataFrame, ids: DataFrame, key, how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is in ids (how: left_semi) or isn't (left_anti); ids are broadcast if counted few."""
     few = ids.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if few else ids, key, how)
@@ -163,41 +165,58 @@ def extended(t: np.ndarray, often: np.ndarray, percent: int) -> tuple[list, list
     return rare.tolist(), pairs, freq.tolist()
 
 
-SIGNED = "rare array<long>, pairs array<long>, freq array<long>"
+def sent_tokens(frequent: DataFrame):
+    """The frequent tokens as a broadcast sorted array, None if they are too many."""
+    if frequent.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return None
+    return frequent.sparkSession.sparkContext.broadcast(np.sort(np.array([r.tok for r in frequent.collect()], dtype=np.int64)))
+
+
+def marked(known: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Which tokens of t are among the known."""
+    return known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t if len(known) else np.zeros(len(t), bool)
 
 
-def signatures(sets: DataFrame, frequent: DataFrame, percent: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(node, n, rare, pairs, freq) with frequent tokens told by a broadcast array, or by a join if there are too many."""
-    kinds = {"node": pa.int64(), "n": pa.int32(), "rare": pa.list_(pa.int64()), "pairs": pa.list_(pa.int64()), "freq": pa.list_(pa.int64())}
+def without_frequent(heads: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(node, n, head) to (node, n, rare): the head's rare tokens, in order."""
+    sent = sent_tokens(frequent)
+    if sent is None:
+        left = heads.select("node", "n", F.explode("head").alias("tok")).join(frequent, "tok", "left_anti").groupBy("node").agg(F.array_sort(F.collect_list("tok")).alias("rare"))
+        return heads.select("node", "n").join(left, "node", "left").select("node", "n", F.coalesce("rare", F.array().cast("array<bigint>")).alias("rare"))
 
-    def batch(nodes, ns, made):
-        columns = [nodes, ns, *(pa.array([m[j] for m in made], kinds[c]) for j, c in enumerate(("rare", "pairs", "freq")))]
-        return pa.RecordBatch.from_arrays(columns, names=list(kinds))
+    def run(batches):
+        for b in batches:
+            heads_ = [np.asarray(h.values) for h in b.column("head")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array([h[~marked(sent.value, h)] for h in heads_], pa.list_(pa.int64()))], names=["node", "n", "rare"])
+
+    return heads.select("node", "n", "head").mapInArrow(run, "node long, n int, rare array<long>")
 
-    if frequent.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        sent = sets.sparkSession.sparkContext.broadcast(np.sort(np.array([r.tok for r in frequent.collect()], dtype=np.int64)))
 
-        def run(batches):
-            known = sent.value
-            for b in batches:
-                made = []
-                for t in b.column("t"):
-                    t = np.asarray(t.values)
-                    at = np.minimum(np.searchsorted(known, t), max(len(known) - 1, 0))
-                    made.append(extended(t, known[at] == t if len(known) else np.zeros(len(t), bool), percent))
-                yield batch(b.column("node"), b.column("n"), made)
+SIGNED = "rare array<long>, pairs array<long>, freq array<long>"
 
-        return sets.mapInArrow(run, f"node long, n int, {SIGNED}")
 
-    marks = sets.select("node", "n", F.explode("t").alias("tok")).join(frequent.withColumn("often", F.lit(True)), "tok", "left")
-    gathered = marks.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("tok", F.col("often").isNotNull().alias("often")))).alias("m"))
+def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, reps: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(node, n, rare, pairs, freq) of whole sets; frequent tokens come as a broadcast array, or by a join if they are too many."""
+    sent = sent_tokens(frequent)
+    if sent is not None:
+
+        def run(texts):
+            sets = [token_set(x, k) for x in texts]
+            rare, pairs, freq = zip(*(extended(t, marked(sent.value, t), percent) for t in sets))
+            return {"node": [node_of(t) if len(t) else None for t in sets], "n": list(map(len, sets)), "rare": rare, "pairs": pairs, "freq": freq}
+
+        given = only(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")), reps.select(F.col("rep").alias("doc")).distinct(), "doc")
+        return only(over_texts(given, run, f"node long, n int, {SIGNED}", ("doc",)).drop("doc"), reps.select("node").distinct(), "node")
+
+    tokens = sets_of(docs, doc_id, text, k, reps).dropDuplicates(["node"]).select("node", "n", F.explode("t").alias("tok"))
+    marks = tokens.join(frequent.withColumn("often", F.lit(True)), "tok", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("tok", F.col("often").isNotNull().alias("often")))).alias("m"))
 
     def run_joined(batches):
         for b in batches:
             made = [extended(np.array([x["tok"] for x in m], np.int64), np.array([x["often"] for x in m], bool), percent) for m in b.column("m").to_pylist()]
-            yield batch(b.column("node"), b.column("n"), made)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), *(pa.array(x, pa.list_(pa.int64())) for x in zip(*made))], names=["node", "n", "rare", "pairs", "freq"])
 
-    return gathered.mapInArrow(run_joined, f"node long, n int, {SIGNED}")
+    return marks.mapInArrow(run_joined, f"node long, n int, {SIGNED}")
 
 
 def reaches(shared: Column, n: Column, m: Column, percent: int) -> Column:
@@ -205,34 +224,14 @@ def reaches(shared: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def near_enough(differ: Column, n: Column, m: Column, percent: int) -> Column:
-    """Whether sets of sizes n and m with at least so many tokens in one of them alone can still link."""
-    return differ * (100 + percent) <= (n + m) * (100 - percent)
-
-
-def paired(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    return left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def renamed(df: DataFrame, end: str) -> DataFrame:
     return df.toDF(*(f"{c}_{end}" for c in df.columns))
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose stored prefixes don't rule a link out: up to the nearer end all tokens of both are known."""
-    nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    own = only(classes.select("node", "n", "prefix"), nodes, "node")
-    met = pairs.join(renamed(own, "a"), F.col("a") == F.col("node_a")).join(renamed(own, "b"), F.col("b") == F.col("node_b"))
-    end = F.least(F.element_at("prefix_a", -1), F.element_at("prefix_b", -1))
-    upto = lambda p: F.size(F.filter(p, lambda x: x <= end))
-    differ = upto("prefix_a") + upto("prefix_b") - 2 * F.size(F.array_intersect("prefix_a", "prefix_b"))
-    return met.where(near_enough(differ, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-
-
-def overlaps(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, classes: DataFrame, freq: DataFrame | None = None) -> DataFrame:
+def overlaps(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, reps: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """(a, b, n_a, n_b, shared) of each pair by its whole sets; with freq (node, freq) also what a's frequent tokens share with b."""
     nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = sets_of(docs, doc_id, text, k, only(classes.select("node", "rep"), nodes, "node"))
+    sets = sets_of(docs, doc_id, text, k, only(reps, nodes, "node"))
     met = pairs.join(renamed(sets, "a"), F.col("a") == F.col("node_a")).join(renamed(sets, "b"), F.col("b") == F.col("node_b"))
     out = ["a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("shared")]
     if freq is not None:
@@ -241,47 +240,74 @@ def overlaps(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int,
     return met.select(*out)
 
 
+def paired_by_rare(single: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets that share rare tokens enough.
+
+    A bucket has at most 2 * RARE members, RARE of heads and RARE of whole sets. All rare tokens of either up to the nearer end
+    of the two prefixes are known, so the set that ends first may have only so many of its own that b lacks.
+    """
+    bucket = single.select("node", "n", "r", "e", F.explode("rare").alias("tok")).groupBy("tok").agg(F.collect_list(F.struct("node", "n")).alias("m")).where(F.size("m") > 1)
+    fits = lambda x: F.filter("m", lambda y: (x["node"] < y["node"]) & reaches(F.least(x["n"], y["n"]), x["n"], y["n"], percent))
+    both = F.flatten(F.transform("m", lambda x: F.transform(fits(x), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    met = bucket.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("c"))
+    ends = single.select("node", "n", "r", "e").dropDuplicates(["node"])
+    met = met.join(renamed(ends, "a"), F.col("a") == F.col("node_a")).join(renamed(ends, "b"), F.col("b") == F.col("node_b"))
+    apart = lambda x, y: (F.col(f"r_{x}") - F.col("c")) * (100 + percent) <= F.col(f"n_{x}") * 100 - F.col(f"n_{y}") * percent
+    return met.where(((F.col("e_a") > F.col("e_b")) | apart("a", "b")) & ((F.col("e_b") > F.col("e_a")) | apart("b", "a"))).select("a", "b")
+
+
 def links(docs: DataFrame, sketched: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes, components of their nodes)."""
-    classes = keep(sketched.where("node is not null").groupBy("node").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    able = classes.where(F.size("prefix") > 0)
-    first = able.select("node", "n", F.posexplode("prefix").alias("i", "tok"))
-    common = first.groupBy("tok").count().where(F.col("count") > RARE).select("tok")
-    touched = keep(only(first, keep(common), "tok").select("node").distinct())
-    again = sets_of(docs, doc_id, text, k, only(able.select("node", "rep"), touched, "node"))
-    frequent = keep(again.select(F.explode("t").alias("tok")).groupBy("tok").count().where(F.col("count") > RARE).select("tok"))
-    touched = keep(only(first, frequent, "tok").select("node").distinct())
-    signed = keep(signatures(sets_of(docs, doc_id, text, k, only(able.select("node", "rep"), touched, "node")), frequent, percent))
-
-    # rare tokens: few sets hold one, so they are paired where sizes and places allow
-    single = only(first, touched, "node", "left_anti").unionByName(signed.select("node", "n", F.posexplode("rare").alias("i", "tok")))
-    x, y = single.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"), "tok"), single.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("tok").alias("tok_b"))
-    by_rare = paired(x, y, (F.col("tok") == F.col("tok_b")) & (F.col("a") < F.col("b")) & near_enough(F.col("i_a") + F.col("i_b"), F.col("n_a"), F.col("n_b"), percent) & reaches(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), percent))
+    classes = keep(sketched.where("node is not null").groupBy("node").agg(F.min("doc").alias("rep"), F.first("n").alias("n")))
+    reps = classes.select("node", "rep").where("rep is not null")
+    heads = only(sketched.where(F.size("head") > 0).withColumnRenamed("doc", "rep"), reps, ["rep", "node"])
+    many = lambda tok: tok.groupBy("tok").count().where(F.col("count") > RARE).select("tok")
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    deep_in = lambda f: keep(only(reps, keep(without_frequent(heads, f).where(F.size("rare") < need).select("node").distinct()), "node"))
+
+    first = keep(many(heads.select(F.explode("head").alias("tok"))))
+    deep, known = deep_in(first), -1
+    while True:  # until every token of a set looked at whole is counted; rarely more than twice
+        frequent = keep(first.unionByName(many(sets_of(docs, doc_id, text, k, deep).select(F.explode("t").alias("tok")))).distinct())
+        known, deep = deep.count(), deep_in(frequent)
+        if deep.count() == known:
+            break
+    signed = keep(signatures(docs, doc_id, text, k, percent, deep, frequent))
+
+    # rare tokens: few sets hold one
+    shallow = without_frequent(heads, frequent).where(F.size("rare") >= need).select("node", "n", F.slice("rare", F.lit(1), need).alias("rare"))
+    end = F.when(F.size("pairs") > 0, F.lit((1 << 63) - 1)).otherwise(F.element_at("rare", -1))
+    single = shallow.withColumn("pairs", F.array()).unionByName(signed.select("node", "n", "rare", "pairs")).where(F.size("rare") > 0)
+    single = single.select("node", "n", F.size("rare").alias("r"), end.alias("e"), "rare")
+    by_rare = keep(paired_by_rare(single, percent))
 
     # pairs of frequent tokens: each member with its bucket's hub
     member = keep(signed.where(F.size("pairs") > 0).select("node", "n", F.size("freq").alias("f"), F.explode("pairs").alias("sig")).distinct())
     hubs = member.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct((F.col("n") - F.col("f")).alias("rest"), "node", "n")).alias("hub")).where("c > 1").select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     bucket = keep(member.join(hubs, "sig"))
-    star = bucket.where((F.col("node") != F.col("hub")) & reaches(F.least("n", "hub_n"), F.col("n"), F.col("hub_n"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    starred = keep(overlaps(star, docs, doc_id, text, k, classes, signed.select("node", "freq")))
-    sure = overlaps(plausible(by_rare, classes, percent), docs, doc_id, text, k, classes)
+    star = bucket.where((F.col("node") != F.col("hub")) & reaches(F.least("n", "hub_n"), F.col("n"), F.col("hub_n"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+    # verified first: the stars, and each set with the smallest it shares rare tokens with; what they link is one component
+    nearest = by_rare.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("b"))
+    tried = keep(overlaps(keep(star.unionByName(nearest).distinct()), docs, doc_id, text, k, reps, signed.select("node", "freq")))
     linked = lambda df: df.where(reaches(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    edges = keep(linked(starred).unionByName(linked(sure)))
-    found = components(edges)
+    edges = linked(tried)
+    found = keep(components(edges))
 
-    # what is left of a bucket between components
-    own = bucket.join(found, "node", "left").join(starred.select(F.col("a").alias("node"), F.col("b").alias("hub"), "often"), ["node", "hub"], "left")
+    # what is left between components
+    in_one = lambda df, c: df.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+    apart = in_one(in_one(by_rare, "a"), "b").where("c_a <> c_b").select("a", "b")
+    own = bucket.join(found, "node", "left").join(tried.select(F.col("a").alias("node"), F.col("b").alias("hub"), "often"), ["node", "hub"], "left")
     own = own.select("sig", "node", "n", "f", F.coalesce("component", "node").alias("c"), F.when(F.col("node") == F.col("hub"), F.col("f")).otherwise(F.col("often")).alias("o"))
-    mixed_ = own.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    own = keep(own.join(mixed_, "sig"))
-    x, y = renamed(own, "a"), renamed(own, "b")
-    most = F.coalesce(F.least("o_a", "o_b") + F.least(F.col("f_a") - F.col("o_a"), F.col("f_b") - F.col("o_b")), F.least("f_a", "f_b"))
-    known = F.col("o_a").isNotNull() & F.col("o_b").isNotNull()
-    bound = F.when(known, most).otherwise(F.least("f_a", "f_b"))
-    rest = x.join(y, (F.col("sig_a") == F.col("sig_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & reaches(bound, F.col("n_a"), F.col("n_b"), percent))
-    rest = keep(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    torn = own.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+    own = keep(own.join(torn, "sig"))
+    bound = F.least(F.least("o_a", "o_b") + F.least(F.col("f_a") - F.col("o_a"), F.col("f_b") - F.col("o_b")), F.least("f_a", "f_b"))
+    bound = F.when(F.col("o_a").isNotNull() & F.col("o_b").isNotNull(), bound).otherwise(F.least("f_a", "f_b"))
+    rest = renamed(own, "a").join(renamed(own, "b"), (F.col("sig_a") == F.col("sig_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & reaches(bound, F.col("n_a"), F.col("n_b"), percent))
+    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(apart).distinct()
+    rest = keep(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = linked(overlaps(plausible(rest, classes, percent), docs, doc_id, text, k, classes))
+        more = linked(overlaps(rest, docs, doc_id, text, k, reps))
         found = components(edges.unionByName(more))
     return classes, found
 
