@@ -46,7 +46,7 @@ def documents():
     for i in range(190, 230):
         rows.append((i, " ".join(w + "***" for w in sentence(70, rnd).split())))
     rows += [(230 + i, rows[5][1]) for i in range(10)]
-    rows += [(240, rows[8][1] + " " + ITEM + " " + rows[9][1]), (241, rows[10][1] + " call +1 (234) 567-8901 now or a.b@mail.example.com")]
+    rows += [(240, rows[8][1] + " " + ITEM + " " + rows[9][1]), (241, "\n".join(sentence(12, rnd) for _ in range(8)) + " call +1 (234) 567-8901 now or a.b@mail.example.com")]
     rows += [(242, None), (243, ""), (244, "  \n "), (245, "one"), (246, "one"), (247, "two words"), (None, sentence(80, rnd)), (None, None), (248, "x" * 300_000), (249, "long " * 60_000), (5, rows[5][1]), (5, rows[6][1])]
     return rows
 
