@@ -57,7 +57,7 @@ def top_values(df: DataFrame, keys: list[str], value: str, k: int, out: str) ->
 
 
 def cluster_summary(d: DataFrame, keys: list[str] = ("rotulo",)) -> DataFrame:
-    """Centre, p90 radius, delay, stops, top lines and hours, time window and rank per cluster.
+    """Centre, p90 radius, delay, stops, top lines and hours, time window and impact (mean delay by events) per cluster, worst first.
 
     `d`: clustered events with rotulo, x, y, lat, lon, valor, t, cp, letreiro, hora.
     """
@@ -70,7 +70,16 @@ def cluster_summary(d: DataFrame, keys: list[str] = ("rotulo",)) -> DataFrame:
         F.countDistinct("cp").alias("paradas"), F.min("t").alias("inicio"), F.max("t").alias("fim")],
         {"_d": {"raio_m": 0.9}, "valor": {"atraso_mediano_s": 0.5, "atraso_p90_s": 0.9}})
     s = s.join(top_values(d, keys, "letreiro", 15, "linhas"), keys, "left").join(top_values(d, keys, "hora", 3, "horas"), keys, "left")
-    return s
+    return s.withColumn("impacto", F.col("atraso_medio_s") * F.col("n")).orderBy(F.desc("impacto"), *keys)
+
+
+def stop_cluster_summary(d: DataFrame, keys: list[str] = ("rotulo",)) -> DataFrame:
+    """The same for clusters of stops (`stop_samples` with labels): means weighted by the stops' observations."""
+    w = F.col("n")
+    mean = lambda c: F.sum(F.col(c) * w) / F.sum(w)
+    s = d.where("rotulo <> -1").groupBy(*keys).agg(
+        F.count("*").alias("paradas"), F.sum("n").alias("observacoes"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), mean("media").alias("atraso_medio_s"), mean("taxa").alias("prob_atraso"))
+    return s.withColumn("impacto", F.col("atraso_medio_s") * F.col("observacoes")).orderBy(F.desc("impacto"), *keys)
 
 
 def top_flows(d: DataFrame, k: int = 5) -> DataFrame:

@@ -145,7 +145,7 @@ def fleet_by_hour(seg: DataFrame, day: str, chosen: list[str], typical: Column)
 
 
 def inner_segments(seg: DataFrame, coverage: float = 0.7, least: int = 6) -> DataFrame:
-    """First and last regular segment of each line, leaving terminals out.
+    """First, second, last but one and last regular segment of each line, to leave terminals out.
 
     Regular = present in enough of the trips that have half of the segments; with fewer than
     `least` regular ones the whole range is kept.
@@ -154,13 +154,16 @@ def inner_segments(seg: DataFrame, coverage: float = 0.7, least: int = 6) -> Dat
     t = seg.groupBy("cl", "viagem_id").agg(F.countDistinct("ordem_origem").alias("_n")).join(size, "cl").where(F.col("_n") >= F.col("_k") / 2).select("cl", "viagem_id")
     tot = t.groupBy("cl").agg(F.count("*").alias("_t"))
     c = seg.join(t, ["cl", "viagem_id"], "left_semi").groupBy("cl", "ordem_origem").agg(F.countDistinct("viagem_id").alias("_c")).join(tot, "cl")
-    reg = c.where(F.col("_c") / F.col("_t") >= coverage).groupBy("cl").agg(F.min("ordem_origem").alias("_r0"), F.max("ordem_origem").alias("_r1"), F.count("*").alias("_rn"))
-    ok = F.coalesce(F.col("_rn") >= least, F.lit(False))
-    return size.join(reg, "cl", "left").select("cl", F.when(ok, F.col("_r0")).otherwise(F.col("_a")).alias("primeiro"), F.when(ok, F.col("_r1")).otherwise(F.col("_b")).alias("ultimo"))
+    reg = c.where(F.col("_c") / F.col("_t") >= coverage).groupBy("cl").agg(F.array_sort(F.collect_set("ordem_origem")).alias("_r"))
+    places = {"primeiro": (1, "_a"), "segundo": (2, "_a"), "penultimo": (-2, "_b"), "ultimo": (-1, "_b")}  # a line has tens of segments
+    at = lambda k, whole: F.when(F.size("_r") >= least, F.try_element_at("_r", F.lit(k))).otherwise(F.col(whole))
+    return size.join(reg, "cl", "left").select("cl", *[at(*p).alias(n) for n, p in places.items()])
 
 
-def trimmed(seg: DataFrame, ends: DataFrame, margin: int = 0) -> DataFrame:
-    return seg.join(ends, "cl").where((F.col("ordem_origem") >= F.col("primeiro") + margin) & (F.col("ordem_origem") <= F.col("ultimo") - margin)).drop("primeiro", "ultimo")
+def trimmed(seg: DataFrame, ends: DataFrame, margin: int = 0, first: str = "primeiro", last: str = "ultimo") -> DataFrame:
+    """Segments from `margin` after the first to `margin` before the last named in `ends`."""
+    inside = (F.col("ordem_origem") >= F.col(first) + margin) & (F.col("ordem_origem") <= F.col(last) - margin)
+    return seg.join(ends, "cl").where(inside).drop("primeiro", "segundo", "penultimo", "ultimo")
 
 
 def zone_table(seg: DataFrame, zone: str, min_n: int) -> DataFrame:

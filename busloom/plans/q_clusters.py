@@ -116,11 +116,11 @@ def ep(body):
 @query("c10_cluster_summary", ep("""
 , mid AS (SELECT dia, rotulo, avg(x) AS mx, avg(y) AS my FROM ep WHERE rotulo <> -1 GROUP BY 1, 2)
 SELECT e.rotulo, count(*) AS n, round(avg(valor), 6) AS atraso_medio_s, count(DISTINCT cp) AS paradas, min(t) AS inicio, max(t) AS fim, round(quantile_cont(sqrt(pow(x - mx, 2) + pow(y - my, 2)), 0.9), 4) AS raio_m,
-  median(valor) AS atraso_mediano_s FROM ep e JOIN mid m ON m.dia = e.dia AND m.rotulo = e.rotulo GROUP BY e.rotulo"""))
+  median(valor) AS atraso_mediano_s, round(avg(valor) * count(*), 3) AS impacto FROM ep e JOIN mid m ON m.dia = e.dia AND m.rotulo = e.rotulo GROUP BY e.rotulo"""))
 def c10(spark, sf):
     s = C.cluster_summary(daily(Bus(spark, sf)))
-    s = rounded(rounded(s, "atraso_medio_s"), "raio_m", digits=4)
-    return s.select("rotulo", "n", "atraso_medio_s", "paradas", F.unix_seconds("inicio").alias("inicio"), F.unix_seconds("fim").alias("fim"), "raio_m", "atraso_mediano_s")
+    s = rounded(rounded(rounded(s, "impacto", digits=3), "atraso_medio_s"), "raio_m", digits=4)
+    return s.select("rotulo", "n", "atraso_medio_s", "paradas", F.unix_seconds("inicio").alias("inicio"), F.unix_seconds("fim").alias("fim"), "raio_m", "atraso_mediano_s", "impacto")
 
 
 @query("c11_top_flows", ep("""

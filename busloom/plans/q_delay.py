@@ -172,8 +172,7 @@ SELECT (SELECT count(*) FROM pairs_all) AS previsoes_avaliadas,
 FROM pairs"""))
 def f06(spark, sf):
     b = Bus(spark, sf)
-    m = FC.match_arrivals(FC.clean_forecasts(b.forecasts, "qid"), b.arrivals)
-    return FC.pair_summary(m, FC.finish_pairs(FC.with_error(m)))
+    return FC.pair_summary(FC.match_arrivals(FC.clean_forecasts(b.forecasts, "qid"), b.arrivals))
 
 
 @query("f07_line_ranking", oracle("pairs", """

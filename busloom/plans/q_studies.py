@@ -135,9 +135,10 @@ def e13(spark, sf):
 
 
 derive("ends", ["segments", "full_trips"], """
-SELECT s.cl, CASE WHEN coalesce(rn, 0) >= 3 THEN r0 ELSE a END AS primeiro, CASE WHEN coalesce(rn, 0) >= 3 THEN r1 ELSE b END AS ultimo
+SELECT s.cl, CASE WHEN coalesce(rn, 0) >= 3 THEN l[1] ELSE a END AS primeiro, CASE WHEN coalesce(rn, 0) >= 3 THEN l[2] ELSE a END AS segundo,
+  CASE WHEN coalesce(rn, 0) >= 3 THEN l[-2] ELSE b END AS penultimo, CASE WHEN coalesce(rn, 0) >= 3 THEN l[-1] ELSE b END AS ultimo
 FROM (SELECT cl, count(DISTINCT ordem_origem) AS k, min(ordem_origem) AS a, max(ordem_origem) AS b FROM segments GROUP BY 1) s
-LEFT JOIN (SELECT cl, min(ordem_origem) AS r0, max(ordem_origem) AS r1, count(*) AS rn FROM (
+LEFT JOIN (SELECT cl, list(ordem_origem ORDER BY ordem_origem) AS l, count(*) AS rn FROM (
   SELECT c.cl, c.ordem_origem, count(DISTINCT c.viagem_id) / max(t.n) AS cob FROM segments c JOIN full_trips f ON f.viagem_id = c.viagem_id JOIN (SELECT cl, count(*) AS n FROM full_trips GROUP BY 1) t ON t.cl = c.cl
   GROUP BY 1, 2 HAVING cob >= 0.7) GROUP BY 1) r ON r.cl = s.cl""")
 derive("full_trips", ["segments"], """
@@ -151,11 +152,14 @@ def e14(spark, sf):
 
 @query("e15_zone_trims", oracle("segz full_trips ends", """
 , a AS (SELECT zona, round(100 * avg(atrasado), 6) AS todos FROM segz WHERE zona IS NOT NULL GROUP BY 1 HAVING count(*) >= 50),
-b AS (SELECT zona, round(100 * avg(atrasado), 6) AS sem_terminal FROM segz JOIN ends USING (cl) WHERE zona IS NOT NULL AND ordem_origem >= primeiro + 1 AND ordem_origem <= ultimo - 1 GROUP BY 1 HAVING count(*) >= 50)
-SELECT zona, todos, sem_terminal FROM a FULL JOIN b USING (zona)""".strip()))
+b AS (SELECT zona, round(100 * avg(atrasado), 6) AS sem_terminal FROM segz JOIN ends USING (cl) WHERE zona IS NOT NULL AND ordem_origem >= primeiro + 1 AND ordem_origem <= ultimo - 1 GROUP BY 1 HAVING count(*) >= 50),
+c AS (SELECT zona, round(100 * avg(atrasado), 6) AS sem_dois FROM segz JOIN ends USING (cl) WHERE zona IS NOT NULL AND ordem_origem > segundo AND ordem_origem < penultimo GROUP BY 1 HAVING count(*) >= 50)
+SELECT zona, todos, sem_terminal, sem_dois FROM a FULL JOIN b USING (zona) FULL JOIN c USING (zona)""".strip()))
 def e15(spark, sf):
     d = cut_lineage(segz(spark, sf))
-    return rounded(E.zone_variants({"todos": d, "sem_terminal": E.trimmed(d, E.inner_segments(d, 0.7, 3), 1)}, "zona", 50), "todos", "sem_terminal")
+    ends = cut_lineage(E.inner_segments(d, 0.7, 3))
+    cuts = {"todos": d, "sem_terminal": E.trimmed(d, ends, 1), "sem_dois": E.trimmed(d, ends, 1, "segundo", "penultimo")}
+    return rounded(E.zone_variants(cuts, "zona", 50), *cuts)
 
 
 @query("e16_zone_by_origin_or_midpoint")

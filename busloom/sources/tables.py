@@ -7,20 +7,24 @@ from datetime import datetime, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from busloom.operators.ordered import latest_per_key, lagged
-from busloom.schemas import conform, empty
+from busloom.schemas import TABLES, conform, empty
 
 
 def read_raw(
     spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None,
-    columns: list[str] | None = None, extra: str | None = None, time: str = "ts_coleta",
+    columns: list[str] | None = None, extra: str | None = None, time: str = "ts_coleta", table: str | None = None,
 ) -> DataFrame:
-    """Partitioned raw data in [start, end).
+    """Partitioned raw data in [start, end). With a table's name its declared schema is used, so that planning opens no file.
 
     `dt` is the day of the flush, so its pruning range is a day wider than the event range.
     """
-    df = spark.read.option("mergeSchema", True).parquet(path)
+    reader = spark.read
+    if table:
+        reader = reader.schema(T.StructType([f for f in TABLES[table].fields if f.name not in ("dt", "h")]).add("dt", "date").add("h", "string"))
+    df = reader.parquet(path)
     if start is not None:
         df = df.where(F.col(time) >= F.lit(start))
         if "dt" in df.columns:

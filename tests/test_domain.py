@@ -95,7 +95,7 @@ def test_raw_tables_and_derived(spark, tmp_path):
     TB.append_raw(p, path, "posicoes")
     TB.append_raw(p.limit(5), path, "posicoes")
     from datetime import datetime
-    got = TB.read_raw(spark, path, datetime(2024, 1, 10), datetime(2024, 1, 12), ["prefixo", "ts_coleta"])
+    got = TB.read_raw(spark, path, datetime(2024, 1, 10), datetime(2024, 1, 12), ["prefixo", "ts_coleta"], table="posicoes")
     assert 0 < got.count() < p.count()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "dt#" in plan.split("PartitionFilters")[1].split("]")[0]
