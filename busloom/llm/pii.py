@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from busloom.llm import tagger
-from busloom.llm.common import over_texts, rewrite_texts
+from busloom.llm.common import bounded_sample, keep, over_texts, rewrite_texts
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, CONTEXT = 64, 32, 24
@@ -160,8 +160,8 @@ def recombined(windows: list[tuple[str, str]], count: int, rng) -> list[tuple[st
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = 300) -> tagger.Tagger | None:
     """A tagger trained on a bounded sample of different windows; None if none of them holds a span."""
     made = over_texts(docs.select("text"), lambda texts: {"w": [[{"window": w, "tags": t} for w, t in labelled_windows(x)] for x in texts]}, "w array<struct<window:string,tags:string>>", ())
-    rows = made.select(F.explode("w").alias("w")).select("w.window", "w.tags").distinct().orderBy(F.xxhash64("window"), "window", "tags").limit(sample_rows).collect()
-    windows = [(r.window, r.tags) for r in rows]
+    seen = bounded_sample(keep(made.select(F.explode("w").alias("w")).groupBy("w.window").agg(F.min("w.tags").alias("tags"))), "window", sample_rows)
+    windows = list(zip(seen["window"], seen["tags"]))
     if not any(set(t) - {"0"} for _, t in windows):
         return None
     windows += recombined(windows, RECOMBINED, np.random.default_rng(3))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from busloom.llm import chat, components, decontaminate, jaccard, queries, shards, url_lists  # noqa: E402
+from busloom.llm import chat, common, components, decontaminate, jaccard, queries, shards, url_lists  # noqa: E402
 from busloom.session import make_session  # noqa: E402
 
 SYLLABLES = "an er in on re st th ou ha le".split()
@@ -97,6 +97,14 @@ def test_a_row_for_every_document(spark, filled, name):
     assert out.columns[0] == "doc_id"
 
 
+def test_bounded_sample(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id").repartition(5)
+    one, two = (common.bounded_sample(d, "doc_id", 100) for d in (df, df.coalesce(1)))
+    assert len(one) == 100 and one["doc_id"].tolist() == two["doc_id"].tolist()
+    assert sorted(common.bounded_sample(df.limit(150), "doc_id", 200)["doc_id"]) == sorted(r.doc_id for r in df.limit(150).collect())
+    assert len(common.bounded_sample(df.limit(0), "doc_id", 5)) == 0
+
+
 def test_quality_verdicts(spark, filled):
     kept = {r.doc_id: r for r in queries.QUERIES["op1_quality_rules"](spark, filled).collect()}
     assert sum(kept[i].kept for i in range(6, 160)) >= 146 and not any(kept[i].kept for i in range(190, 230))
