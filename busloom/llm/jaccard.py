@@ -14,8 +14,7 @@ So rare tokens are indexed alone and frequent ones in pairs.
   3. Sets that share rare tokens are paired if their sizes and the number of them leave a link possible. Sets that share a pair
      of frequent tokens meet in a star: each is paired with the bucket's hub alone.
   4. The stars, and one pair of each set with a rare token, are verified on whole sets. What they link is one component.
-  5. The other pairs between components are verified; so are members of a bucket of frequent pairs in different components,
-     unless sizes, or what each shares with the hub, rule a link out. No link between components is lost, and none within one is
+  5. The other pairs between components are verified; so are members of one hub's buckets in different components, unless sizes, or what each shares with the hub, rule a link out. No link between components is lost, and none within one is
      needed.
 
 Nothing is collected but frequent tokens, and those only up to BROADCAST_ROWS; beyond that they are joined. A bucket of a rare
@@ -297,13 +296,14 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str, text: str, k: int,
     # what is left between components
     in_one = lambda df, c: df.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
     apart = in_one(in_one(by_rare, "a"), "b").where("c_a <> c_b").select("a", "b")
-    own = bucket.join(found, "node", "left").join(tried.select(F.col("a").alias("node"), F.col("b").alias("hub"), "often"), ["node", "hub"], "left")
-    own = own.select("sig", "node", "n", "f", F.coalesce("component", "node").alias("c"), F.when(F.col("node") == F.col("hub"), F.col("f")).otherwise(F.col("often")).alias("o"))
-    torn = own.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    own = keep(own.join(torn, "sig"))
+    # sets that share a signature share its hub: members meet once for each hub, not for each signature
+    own = bucket.select("hub", "node", "n", "f").distinct().join(found, "node", "left").join(tried.select(F.col("a").alias("node"), F.col("b").alias("hub"), "often"), ["node", "hub"], "left")
+    own = own.select("hub", "node", "n", "f", F.coalesce("component", "node").alias("c"), F.when(F.col("node") == F.col("hub"), F.col("f")).otherwise(F.col("often")).alias("o"))
+    torn = own.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub")
+    own = keep(own.join(torn, "hub"))
     bound = F.least(F.least("o_a", "o_b") + F.least(F.col("f_a") - F.col("o_a"), F.col("f_b") - F.col("o_b")), F.least("f_a", "f_b"))
     bound = F.when(F.col("o_a").isNotNull() & F.col("o_b").isNotNull(), bound).otherwise(F.least("f_a", "f_b"))
-    rest = renamed(own, "a").join(renamed(own, "b"), (F.col("sig_a") == F.col("sig_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & reaches(bound, F.col("n_a"), F.col("n_b"), percent))
+    rest = renamed(own, "a").join(renamed(own, "b"), (F.col("hub_a") == F.col("hub_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & reaches(bound, F.col("n_a"), F.col("n_b"), percent))
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(apart).distinct()
     rest = keep(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
