@@ -12,6 +12,7 @@ other columns of the input are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -22,6 +23,8 @@ from busloom.llm.common import bounded_sample, keep, over_texts
 #: Labelled rows that the forest may be grown on.
 SAMPLE_ROWS = 8192
 TREES, SUBSAMPLE = 150, 256
+#: Rows labelled 0 for each labelled 1 in the sample, at most.
+RARE_SHARE = 0.05
 #: The statistics that a rule would bound.
 RULES = ("word_length", "symbols", "dup_lines", "repeats", "upper", "stops", "bangs", "pipes", "variety", "short_words")
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -59,6 +62,8 @@ def apply(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, tr
     if seen["label"].nunique() < 2:
         scored, usual = counted.withColumn("anomaly", F.lit(None).cast("double")), F.lit(True)
     else:
+        good, bad = seen[seen["label"] == 1], seen[seen["label"] == 0]
+        seen = pd.concat([good, bad.iloc[: max(1, int(RARE_SHARE * len(good)))]])  # a forest finds what is rare in its sample
         grown = forest.grow(rule_matrix({n: seen[n].to_numpy() for n in stats.NAMES}), trees, SUBSAMPLE)
         scored = with_anomaly(counted, grown)
         hist = calibrate.label_histogram(with_anomaly(labelled, grown).withColumn("usual", 1 - F.col("anomaly")), "usual")
