@@ -4,8 +4,10 @@ Texts are compared in a plain form: letters and digits in lower case, everything
 that a document holds with at most RATE edits a character shares all but Q q-grams per edit with it, and they lie on diagonals
 no further apart than the edits. So shared q-grams are counted per item in bands of diagonals; bands overlap by half, so one of
 them holds all diagonals of a region. Bands whose count reaches the bound for the shortest region that matters are aligned
-within the band; a document is contaminated by an item if the aligned region covers REGION characters of it, or all of a
-shorter item, within the edit budget.
+within the band; a document is contaminated by an item if it holds a region that covers REGION characters of it, or all of a
+shorter item, within the edit budget, wherever the edits lie. The best local alignment shows most such regions; where it
+doesn't, the furthest reach from each place of the item with each number of edits decides. Items so short that edits may leave
+no q-gram of Q characters are looked up by q-grams of SHORT_Q.
 
 Items come in blocks of bounded size, each broadcast as a sorted array of q-grams; every document is read whole against every
 block and no pair of documents or items is formed.
@@ -26,9 +28,13 @@ from busloom.llm.common import filter_texts, over_texts
 
 #: Length of a q-gram, edits allowed per character, and the shortest region of an item that counts, in plain characters.
 Q, RATE, REGION = 12, 0.05, 80
+#: Length of a q-gram for items whose edits may leave none of Q characters.
+SHORT_Q = 10
 #: Characters of items in one block, and what an edit costs in an alignment against 1 for a match.
 BLOCK_CHARS, COST = 4_000_000, 10
 FILTER_BITS = 20
+#: Starts that are followed at a time.
+STARTS = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 PLANE = 1 << 16
@@ -54,16 +60,16 @@ def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
     return form[at], at
 
 
-def grams(form: np.ndarray) -> np.ndarray:
+def grams(form: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit code of each q-gram."""
-    if len(form) < Q:
+    if len(form) < q:
         return np.empty(0, np.uint64)
     code, size = form.astype(np.uint64), 1
     whole, done = None, 0
-    left = Q
-    while left:  # powers of two are joined into Q
+    left = q
+    while left:  # powers of two are joined into q
         if left & 1:
-            whole = code[done : done + len(form) - Q + 1] * ODD if whole is None else (whole ^ code[done : done + len(form) - Q + 1]) * ODD
+            whole = code[done : done + len(form) - q + 1] * ODD if whole is None else (whole ^ code[done : done + len(form) - q + 1]) * ODD
             whole ^= whole >> np.uint64(29)
             done += size
         left >>= 1
@@ -73,55 +79,76 @@ def grams(form: np.ndarray) -> np.ndarray:
     return whole
 
 
-def needed(size: int) -> int:
-    """Shared q-grams of a region of that many characters within its edit budget."""
-    return max(1, size + 1 - Q - Q * int(size * RATE))
+def needed(size: int, q: int = Q) -> int:
+    """Shared q-grams of a region of that many characters within its edit budget; none are sure if it is below 1."""
+    return size + 1 - q - q * int(size * RATE)
 
 
 @dataclass
-class Index:
-    """The q-grams of a block of items: sorted codes, and where each occurs."""
+class Grams:
+    """The q-grams of items: sorted codes, and where each occurs."""
 
-    ids: list
-    forms: list[np.ndarray]
+    q: int
     codes: np.ndarray
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
+    least: int
+
+
+@dataclass
+class Index:
+    """A block of items and their q-grams by length."""
+
+    ids: list
+    forms: list[np.ndarray]
+    tables: list[Grams]
     bound: np.ndarray
     width: int
 
 
-def index(items: list[tuple[int, str]]) -> Index:
-    kept = [(i, f) for i, t in items if len(f := plain(t or "")[0]) >= Q]
-    codes = [grams(f) for _, f in kept]
-    flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
-    item = np.repeat(np.arange(len(kept)), [len(c) for c in codes]).astype(np.int64)
-    place = np.concatenate([np.arange(len(c)) for c in codes]).astype(np.int64) if codes else np.empty(0, np.int64)
+def grams_of(forms: list[np.ndarray], of: np.ndarray, q: int, bound: np.ndarray) -> Grams:
+    """The q-grams of the items at the places `of`."""
+    codes = [grams(forms[i], q) for i in of]
+    flat = np.concatenate(codes)
+    item = np.repeat(of, [len(c) for c in codes]).astype(np.int64)
+    place = np.concatenate([np.arange(len(c)) for c in codes]).astype(np.int64)
     order = np.argsort(flat, kind="stable")
     unique, first = np.unique(flat[order], return_index=True)
     maybe = np.zeros(1 << FILTER_BITS, bool)
     maybe[(unique >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    bound = np.array([needed(min(REGION, len(f))) for _, f in kept], np.int64)
-    width = 2 * max((int(len(f) * RATE) for _, f in kept), default=0) + 2
-    return Index([i for i, _ in kept], [f for _, f in kept], unique, np.append(first, len(flat)), item[order], place[order], maybe, bound, width)
+    return Grams(q, unique, np.append(first, len(flat)), item[order], place[order], maybe, int(bound[of].min()))
+
+
+def index(items: list[tuple[int, str]]) -> Index:
+    kept = [(i, f) for i, t in items if len(f := plain(t or "")[0]) >= Q]
+    forms = [f for _, f in kept]
+    sizes = [min(REGION, len(f)) for f in forms]
+    q = np.array([Q if needed(n) >= 1 else SHORT_Q for n in sizes], np.int64)
+    bound = np.array([needed(n, k) for n, k in zip(sizes, q.tolist())], np.int64)
+    width = 2 * max((int(len(f) * RATE) for f in forms), default=0) + 2
+    return Index([i for i, _ in kept], forms, [grams_of(forms, np.flatnonzero(q == k), int(k), bound) for k in np.unique(q)], bound, width)
 
 
 def bands(ix: Index, form: np.ndarray) -> list[tuple[int, int]]:
     """(item, first diagonal) of the bands that share enough q-grams; a diagonal is the place in the text less that in the item."""
-    code = grams(form)
-    if not len(code) or not len(ix.codes):
+    return sorted({x for g in ix.tables for x in bands_by(ix, g, form)})
+
+
+def bands_by(ix: Index, g: Grams, form: np.ndarray) -> list[tuple[int, int]]:
+    code = grams(form, g.q)
+    if not len(code):
         return []
-    at = np.flatnonzero(ix.maybe[(code >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-    k = np.minimum(np.searchsorted(ix.codes, code[at]), len(ix.codes) - 1)
-    hit = ix.codes[k] == code[at]
+    at = np.flatnonzero(g.maybe[(code >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+    k = np.minimum(np.searchsorted(g.codes, code[at]), len(g.codes) - 1)
+    hit = g.codes[k] == code[at]
     at, k = at[hit], k[hit]
-    if len(at) < ix.bound.min():
+    if len(at) < g.least:
         return []
-    times = ix.first[k + 1] - ix.first[k]
-    row = np.repeat(ix.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    item, diagonal = ix.item[row], np.repeat(at, times) - ix.place[row]
+    times = g.first[k + 1] - g.first[k]
+    row = np.repeat(g.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    item, diagonal = g.item[row], np.repeat(at, times) - g.place[row]
     found, where = [], np.repeat(at, times)
     half = ix.width // 2
     for shift in (0, half):
@@ -135,7 +162,7 @@ def bands(ix: Index, form: np.ndarray) -> list[tuple[int, int]]:
         of, band = pair >> 34, (pair & ((1 << 34) - 1)) - (1 << 33)
         good = count >= ix.bound[of]
         found += [(int(i), int(b) * ix.width - shift) for i, b in zip(of[good], band[good])]
-    return sorted(set(found))
+    return found
 
 
 def align(item: np.ndarray, text: np.ndarray, start: int, width: int) -> tuple[int, int, int, int, int]:
@@ -170,14 +197,57 @@ def align(item: np.ndarray, text: np.ndarray, start: int, width: int) -> tuple[i
     return i, to_item, i + start + k, to_text, edits
 
 
+def furthest(item: np.ndarray, text: np.ndarray, start: int, width: int) -> tuple[int, int, int, int, int] | None:
+    """The longest region within its budget on those diagonals, as align gives it, or None if there is none.
+
+    One half of a region of 2 * REGION characters or more is within the half's own budget, so there is a shorter one, of few
+    edits. From each start and for each number of edits the furthest place on each diagonal is all that counts.
+    """
+    m, n, c = len(item), len(text), np.arange(width)
+    least, most = min(REGION, m), int(min(m, 2 * REGION - 1) * RATE)
+    run = np.zeros((m + 1, width), np.int32)  # characters alike from here on
+    for i in range(m - 1, -1, -1):
+        j = i + start + c
+        run[i] = np.where((j >= 0) & (j < n) & (text[np.clip(j, 0, n - 1)] == item[i]), run[i + 1] + 1, 0)
+    limit = np.minimum(m, n - start - c)
+    best, rows = None, max(1, STARTS // width)
+    for low in range(0, m - least + 1, rows):
+        a, k = map(np.ravel, np.mgrid[low : min(low + rows, m - least + 1), 0:width])
+        # a start that the same diagonal reaches from one character before is no better than that one
+        fresh = (a + start + k >= 0) & (a <= limit[k]) & ((a == 0) | (run[np.maximum(a - 1, 0), k] == 0))
+        a, k = a[fresh], k[fresh]
+        if not len(a):
+            continue
+        none = np.full(len(a), -m - 2)
+        reach = {0: a + run[a, k]}
+        for e in range(most + 1):
+            if e:
+                last, reach = reach, {}
+                for d in range(-e, e + 1):
+                    # a changed character, one more in the text, one less in the text
+                    to = np.maximum(np.maximum(last.get(d, none) + 1, last.get(d - 1, none)), last.get(d + 1, none) + 1)
+                    at = np.clip(k + d, 0, width - 1)
+                    to = np.minimum(to, limit[at])
+                    reach[d] = np.where((to >= 0) & (at == k + d), to + run[np.maximum(to, 0), at], none)
+            for d, to in reach.items():
+                x = int((to - a).argmax())
+                size = int(to[x] - a[x])
+                if size >= least and e <= int(size * RATE) and (best is None or size > best[1] - best[0]):
+                    best = int(a[x]), int(to[x]), int(a[x] + start + k[x]), int(to[x] + start + k[x] + d), e
+    return best
+
+
 def regions(ix: Index, text: str) -> list[tuple[int, int, int, int, int, int]]:
     """(item, text from, to, item from, to, edits), in code points of the text and plain characters of the item; one per place."""
     form, at = plain(text)
     out: dict[tuple[int, int], tuple] = {}
     for i, start in bands(ix, form):
         item = ix.forms[i]
-        a, b, c, d, edits = align(item, form, start, ix.width)
-        if b - a >= min(REGION, len(item)) and edits <= int((b - a) * RATE):
+        held = align(item, form, start, ix.width)
+        if held[1] - held[0] < min(REGION, len(item)) or held[4] > int((held[1] - held[0]) * RATE):
+            held = furthest(item, form, start, ix.width)
+        if held:
+            a, b, c, d, edits = held
             found = (i, int(at[c]), int(at[d - 1]) + 1, a, b, edits)
             known = out.get((i, c))
             if known is None or known[2] < found[2]:

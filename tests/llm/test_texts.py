@@ -209,6 +209,65 @@ def test_lemma_loses_no_region():
     assert found == 100
 
 
+def plain_within_budget(item, text):
+    """Whether any stretch of the item that counts is in the text within its edits, by all stretches."""
+    least = min(decontaminate.REGION, len(item))
+    for a in range(len(item) - least + 1):
+        row = np.zeros(len(text) + 1, np.int64)
+        at = np.arange(len(text) + 1)
+        for b in range(a, len(item)):
+            best = np.minimum(row + 1, np.append(b - a + 1, row[:-1] + (text != item[b])))
+            row = np.minimum.accumulate(best - at) + at
+            if b + 1 - a >= least and row.min() <= int((b + 1 - a) * decontaminate.RATE):
+                return True
+    return False
+
+
+def edited(s, places, rnd):
+    for p in sorted(places, reverse=True):
+        s = s[:p] + rnd.choice(["#", "", "#" + s[p : p + 1]]).replace("#", rnd.choice("qxz")) + s[p + 1 :]
+    return s
+
+
+def test_edits_up_to_the_budget_anywhere():
+    rnd = random.Random(9)
+    letters = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    held = lambda item, text: bool(decontaminate.regions(decontaminate.index([(1, item)]), f"klmno {text} onmlk"))
+    item = letters(85)
+    assert held(item, item[:6] + "x" + item[7:])
+    for n in (20, 23, 24, 30, 59, 80, 85):
+        item, budget = letters(n), int(min(n, 80) * decontaminate.RATE)
+        for p in range(n):  # one edit at each place, and all of them in a row
+            assert held(item, edited(item, [p], rnd))
+            p = min(p, n - budget)
+            assert held(item, item[:p] + "x" * budget + item[p + budget :])
+        assert held(item, edited(item, range(budget), rnd)) and held(item, edited(item, range(n - budget, n), rnd))
+    # a good stretch amid edits that are too many, but few enough for the best alignment to bridge them
+    item = letters(300)
+    text = edited(item, [*range(6, 100, 12), *range(200, 300, 12)], rnd)
+    assert held(item, text)
+    assert not held(item, edited(item, range(6, 300, 12), rnd))
+
+
+def test_budget_against_all_stretches():
+    rnd, seen = random.Random(10), Counter()
+    for _ in range(150):
+        n = rnd.choice([20, 40, 79, 80, 84, 100, 130])
+        item = "".join(rnd.choice("abcd") for _ in range(n))
+        places = rnd.sample(range(n), min(n, rnd.randint(0, int(n * 0.09) + 1)))
+        if rnd.random() < 0.5:  # clustered
+            places = sorted({min(n - 1, p // 3) for p in places})
+        text = edited(item, places, rnd)
+        ix = decontaminate.index([(1, item)])
+        got = decontaminate.regions(ix, text)
+        want = plain_within_budget(ix.forms[0], decontaminate.plain(text)[0])
+        assert bool(got) == want, (item, text)
+        for _, _, _, a, b, edits in got:
+            assert b - a >= min(n, 80) and edits <= int((b - a) * decontaminate.RATE)
+        seen[want] += 1
+    assert min(seen.values()) > 20
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One\n two<br>three</p><p>x</p></article><footer>f</footer></body></html>", "T & U\nOne two three\nx"),
     ("<article><p>only &lt;b&gt; <i>this</i></p><div class='ad'>Buy</div><p>and this", "only <b> this\nand this"),
