@@ -3,9 +3,10 @@
 Markup is stripped to lines, one per block. What is never article text (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, comments of readers) is stripped with its element and leaves WINDOW empty lines. Each line weighs its
 characters outside links; weights are summed over WINDOW lines. Text surges where that sum passes a threshold and dives where
-it falls to zero; of the stretches between, the heaviest is the article. Lines inside an article or main element carry a bonus
-above the threshold, so such a page is cut at the borders of that element, and what its stripped parts divide is joined again:
-the text between the first surge and the last dive of the same container is kept whole.
+it falls to zero. Lines inside an article or main element carry a bonus above the threshold, so such a page is cut at the
+borders of that element. Elsewhere stripped parts and containers divide one article, so all stretches are joined: the text
+between the first surge and the last dive is kept whole, links and all, and with it the text that the lowest container common
+to their heavy lines holds before and after. Lines of links alone outside of that are no text.
 
 Defined cases: a null or empty page, or one without text, gives the empty string; elements left open end with the element around
 them or the page; a cut-off tag at the end of a page is dropped; white space within a block is one space; repeated rows are
@@ -14,6 +15,7 @@ extracted alike; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 
@@ -70,12 +72,14 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 LEAVES = set("p h1 h2 h3 h4 h5 h6 pre".split())
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, characters outside links, container, innermost article or main or 0) per block; stripped parts as empty lines."""
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], dict[int, int]]:
+    """(text, characters outside links, container, innermost article or main or 0) per block, stripped parts as empty lines; and
+    the container around each container, whose number is always smaller."""
     lines: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, container, article, whether it is dropped
     here: list[str] = []
     in_link, linked, number = False, 0, 0
+    around: dict[int, int] = {}
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -131,10 +135,12 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
         number += 1
         gone = stack[-1][3] or dropped(tag, m[4] or "")
         article = number if tag in ("article", "main") and not gone else stack[-1][2]
+        if tag in CONTAINERS:
+            around[number] = stack[-1][1]
         stack.append((tag, number if tag in CONTAINERS else stack[-1][1], article, gone))
     add(page[at:])
     end_line()
-    return lines
+    return lines, around
 
 
 GAP = ("", 0, 0, 0)
@@ -155,25 +161,40 @@ def stretches(weights: list[int], threshold: float) -> list[tuple[int, int]]:
     return out + ([(start, len(sums))] if start is not None else [])
 
 
+def common_container(of: set[int], around: dict[int, int]) -> int:
+    """The lowest container that holds all of these."""
+    seen, left = set(of), [-c for c in of]
+    heapq.heapify(left)
+    while len(left) > 1:
+        if (outer := around[-heapq.heappop(left)]) not in seen:
+            seen.add(outer)
+            heapq.heappush(left, -outer)
+    return -left[0]
+
+
 def main_text(page: str) -> str:
-    lines = lines_of(page)
+    lines, around = lines_of(page)
     weights = [n + BONUS if article and text else n for text, n, _, article in lines]
     if not any(weights):
         return ""
     found = stretches(weights, min(SURGE, max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))))
     start, stop = max(found, key=lambda x: sum(weights[x[0] : x[1]]))
-    # the container that holds most of the stretch; its other stretches belong to it
+    # the container that holds most of the heaviest stretch
     held: dict[tuple[int, int], int] = {}
     for i in range(start, stop):
         if lines[i][0]:
             kind = (1, lines[i][3]) if lines[i][3] else (0, lines[i][2])
             held[kind] = held.get(kind, 0) + weights[i]
     marked, best = max(held, key=lambda k: (held[k], k))
-    own = [i for i, x in enumerate(lines) if x[0] and x[3 if marked else 2] == best]
     if marked:
-        return "\n".join(lines[i][0] for i in own)
-    first, last = min(start, own[0]), max(stop - 1, own[-1])
-    return "\n".join(x[0] for x, w in zip(lines[first : last + 1], weights[first : last + 1]) if x[0] and w)
+        return "\n".join(x[0] for x in lines if x[0] and x[3] == best)
+    heavy = {lines[i][2] for a, b in found for i in range(a, b) if weights[i] >= min(SURGE, max(weights[a:b]))}
+    inside = {common_container(heavy, around)}
+    for c in around:  # from the outer ones in
+        if around[c] in inside:
+            inside.add(c)
+    own = [i for i, w in enumerate(weights) if w and (found[0][0] <= i < found[-1][1] or lines[i][2] in inside)]
+    return "\n".join(x[0] for x in lines[own[0] : own[-1] + 1] if x[0])
 
 
 def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), page: str = "html") -> DataFrame:

@@ -283,6 +283,29 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+A, B, C = ("A long first part. " * 11).strip(), ("The second part. " * 9).strip(), ("Third part here. " * 6).strip()
+DIVIDED = [
+    (f"<div><div><p>{A}</p></div><div class=ad>x</div><div><p>{B}</p></div></div>", [A, B]),
+    (f"<body><div><section><p>{B}</p></section><form>x</form><section><p>{A}</p></section><aside>y</aside><section><p>{C}</p><p>End.</p></section></div></body>", [B, A, C, "End."]),
+    (f"<div><p>{A}</p><p><a href=x>a paragraph that is a link</a></p><p>&copy; is a sign of law.</p><p>\u00ae too</p><p>{B}</p></div>", [A, "a paragraph that is a link", "© is a sign of law.", "® too", B]),
+    (f"<div><p>{A}</p><p><a href=x>one</a></p><p><a href=x>two</a></p><p><a href=x>three</a></p><p>{B}</p></div>", [A, "one", "two", "three", B]),
+    (f"<div>Top</div><div><h2>Head</h2><div class=ad>x</div><div><p>{A}</p></div><div><p>{B}</p></div><div class=ad>x</div><div><p>Short end.</p></div></div><div class=related>{C}</div>", ["Head", A, B, "Short end."]),
+    (f"<div><a href=x>Home</a></div><div><a href=x>News</a></div><div><p>{A}</p></div><div><p>{B}</p></div><div><a href=x>Home</a></div>", [A, B]),
+    (f"<nav>{C}</nav><div><p>{A}</p><div class=ad>x</div><p>{B}</p></div><footer>{C}</footer>", [A, B]),
+]
+
+
+@pytest.mark.parametrize("page,parts", DIVIDED)
+def test_divided_main_text(page, parts):
+    assert html_text.main_text(page) == "\n".join(parts)
+
+
+def test_containers_of_any_number():
+    assert html_text.main_text("".join(f"<div><p>{i} {A}</p></div>" for i in range(5000))).count("\n") == 4999
+    assert html_text.main_text("".join(f"<div><p>{A}</p>" for i in range(2000))).count("\n") == 1999
+    assert html_text.main_text("".join(f"<div><p>{A}</p><div class=ad>x</div>" for i in range(2000))).count("\n") == 1999
+
+
 def test_pages_of_any_size():
     body = "".join(f"<p>Paragraph {i} has some text in it.</p>" for i in range(20_000))
     assert html_text.main_text(f"<article>{body}</article>").count("\n") == 19_999
