@@ -180,7 +180,8 @@ def without_frequent(heads: DataFrame, frequent: DataFrame) -> DataFrame:
     """(node, n, head) to (node, n, rare): the head's rare tokens, in order."""
     sent = sent_tokens(frequent)
     if sent is None:
-        left = heads.select("node", "n", F.explode("head").alias("tok")).join(frequent, "tok", "left_anti").groupBy("node").agg(F.array_sort(F.collect_list("tok")).alias("rare"))
+        heads = heads.select("node", "n", "head").dropDuplicates(["node"])  # repeated rows would repeat their tokens
+        left = heads.select("node", F.explode("head").alias("tok")).join(frequent, "tok", "left_anti").groupBy("node").agg(F.array_sort(F.collect_list("tok")).alias("rare"))
         return heads.select("node", "n").join(left, "node", "left").select("node", "n", F.coalesce("rare", F.array().cast("array<bigint>")).alias("rare"))
 
     def run(batches):

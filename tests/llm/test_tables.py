@@ -6,6 +6,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,24 @@ def test_jaccard_chains_and_small_sets(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.apply(df).collect()) == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_jaccard_near_copies_of_repeated_rows(spark, monkeypatch, broadcast_rows):
+    """Near copies that lack the first tokens of a row that is repeated."""
+    monkeypatch.setattr(jaccard, "RARE", 16)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast_rows)
+    rows = []
+    for base in range(4):
+        words = [f"w{base}_{i}" for i in range(200)]
+        order = np.argsort([jaccard.token_set(" ".join(words[i : i + 3]), 3)[0] for i in range(198)])
+        near = [f"e{base}_{i}" if i in order[:3] + 1 else w for i, w in enumerate(words)]
+        rows += [(2 * base, " ".join(words))] * 10 + [(2 * base + 1, " ".join(near))]
+    rows += [(100, " ".join(f"often{i}" for i in range(60)))] * 20  # its tokens are frequent
+    want = brute_components(rows, 3, 90)
+    assert want[(1, 198, 0)] == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in jaccard.apply(df).collect()) == want
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 200)] + [(None, 3), (4, 4)]
