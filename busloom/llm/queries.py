@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, chat, decontaminate, html_text, jaccard, pii, quality_rules, ranking, shards, url_lists
+from busloom.llm import bpe, chat, decontaminate, html_text, jaccard, kronecker, pii, quality_rules, ranking, shards, url_lists
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,32 @@ def op2(spark, sf_dir):
 @query("op5_ngram_jaccard")
 def op5(spark, sf_dir):
     return jaccard.apply(table(spark, sf_dir, "documents"))
+
+
+#: Integer components, scores of all pairs with an anchor, then positives and bounded negatives.
+HARD_NEGATIVE_SQL = """
+with good as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as same,
+         cast(coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda z: coalesce(z[1] * z[2], 0))), 0) as bigint) as score
+  from good a join good r on a.vec_id <> r.vec_id where a.vec_id % 50 = 0),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+ranked as (
+  select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank,
+         id as negative_id, positive_score, score as negative_score
+  from positives join scores using (anchor_id)
+  where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from ranked where rank <= 3
+"""
+
+
+@query("op12_hard_negatives", HARD_NEGATIVE_SQL)
+def op12(spark, sf_dir):
+    return kronecker.mine(table(spark, sf_dir, "embeddings"))
