@@ -72,7 +72,7 @@ def gradients(m: Chain, features: np.ndarray, y: np.ndarray) -> tuple[float, np.
     return float((total - gold).mean()), (one - y) / n, pair / n, start / n
 
 
-def train(features: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 128, rate: float = 0.15, decay: float = 1e-4, seed: int = 3) -> Chain:
+def train(features: np.ndarray, y: np.ndarray, steps: int = 900, batch: int = 128, rate: float = 0.15, decay: float = 1e-4, seed: int = 3) -> Chain:
     """Slopes scaled by their squares so far (Adagrad), on batches drawn from the rows."""
     rng = np.random.default_rng(seed)
     m = Chain(np.zeros(TABLE), np.zeros((2, 2)), np.zeros(2))

@@ -6,7 +6,7 @@
   2. A chain with two tags is trained on windows of those tokens by forward-backward. Features of a token are its word, its
      beginnings and its neighbours, so a beginning that clean documents use as well gets a weight in between.
   3. Every whole text is one chain. Marginals come from forward-backward over all its tokens; runs of tokens of at least SPAN are
-     the offending spans. Their sum, their share of the words and the largest go through a logistic function to the score.
+     the offending spans. The sum of those from FAINT on, its share of the words and the largest go through a logistic function to the score.
   4. The score's cut is the one that parts best all labelled rows that are not held out; it is moved to DECISION.
 
 Fitted from at most SAMPLE_ROWS documents of each label and WINDOWS windows; the cut sees all labelled rows. Held-out rows, language,
@@ -38,6 +38,8 @@ SAMPLE_ROWS, WINDOWS, WIDTH = 4096, 6000, 24
 RATIO, ERRORS, LEAST_DOCS, LEAST_SHARE = 4.0, 1.75, 3, 0.01
 BEGINNINGS = (4, 5, 6, 7)
 SPAN, DECISION = 0.5, 0.5
+#: Marginals below are background and count for nothing in a document; words that a short document is short of.
+FAINT, SHORT = 0.1, 10
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers the scores of.
 REMEMBERED = 300_000
@@ -131,7 +133,7 @@ class Detector:
 
 def summary(n, mass, peak) -> np.ndarray:
     """What a document's marginals come to: their sum, their share and the largest."""
-    share = mass / np.maximum(n, 1)
+    share = mass / (n + SHORT)
     return np.stack([np.ones(len(n)), np.log1p(mass), np.log(share + 0.002), peak, np.minimum(share * 20, 2)], axis=1)
 
 
@@ -206,7 +208,7 @@ def tag(docs: DataFrame, chain: crf.Chain) -> DataFrame:
         each = np.split(flat_marginals(m, known, rows), np.cumsum(sizes)[:-1]) if rows else []
         return {
             "n_words": sizes,
-            "mass": [float(p.sum()) for p in each],
+            "mass": [float(p[p >= FAINT].sum()) for p in each],
             "peak": [float(p.max(initial=0)) for p in each],
             "spans": [spans_of(x, p) if p.max(initial=0) >= SPAN else [] for x, p in zip(texts, each)],
         }
