@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busloom.llm import bpe, chat, decontaminate, html_text, jaccard, kronecker, pii, quality_rules, ranking, shards, toxicity, url_lists
+from busloom.llm import bpe, chat, decontaminate, html_text, jaccard, kronecker, pii, quality_rules, ranking, shards, toxicity, url_lists, variants
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,8 @@ def op13(spark, sf_dir):
     out = toxicity.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"), shown.alias("spans"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return variants.apply(table(spark, sf_dir, "documents"))
