@@ -68,13 +68,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 51
             yield batch.slice(start)
 
 
-def over_texts(df: DataFrame, fn: Callable[[list[str]], dict], fields: str, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def over_texts(df: DataFrame, fn: Callable[[list[str]], dict], fields: str, carry: tuple[str, ...] = ("doc_id",), text: str = "text", chars: int = 2_000_000) -> DataFrame:
     """The carried columns as they are, and fields that fn makes from each text (null: empty), slice by slice."""
     out = StructType([df.schema[c] for c in carry] + StructType.fromDDL(fields).fields)
     kinds = to_arrow_schema(out)
 
     def run(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, chars=chars):
             made = fn(["" if x is None else x for x in part.column(text).to_pylist()])
             columns = [part.column(c).cast(kinds.field(c).type) if c in carry else pa.array(made[c], type=kinds.field(c).type) for c in kinds.names]
             yield pa.RecordBatch.from_arrays(columns, schema=kinds)

@@ -41,7 +41,10 @@ RARE, CLASS_TOKENS = 64, 16
 BROADCAST_ROWS = 1_000_000
 
 BASE, ODD, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-PIECE = 1 << 20
+#: Bytes hashed at once, and characters of texts whose sets are held at once: what a worker needs doesn't follow the length of texts.
+PIECE, SLICE_CHARS = 1 << 17, 400_000
+#: Bytes of an Arrow batch of texts or sets on its way to a worker.
+BATCH_BYTES = 8 << 20
 LETTERS = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64)
 POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -106,6 +109,13 @@ def partnered(n: int, percent: int) -> bool:
     return 100 * n >= percent * (n + 1)
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """From now on Arrow batches of the session hold BATCH_BYTES at most, besides one row of any length."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """(doc, n, node, head): head holds the first 2 (d + 1) tokens by hash."""
 
@@ -118,7 +128,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
         }
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    return over_texts(given, run, "n int, node long, head array<long>", ("doc",))
+    return over_texts(given, run, "n int, node long, head array<long>", ("doc",), chars=SLICE_CHARS)
 
 
 def only(df: DataFrame, ids: DataFrame, key, how: str = "left_semi") -> DataFrame:
@@ -135,18 +145,18 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, k: int, reps: DataFrame) ->
         sets = [token_set(x, k) for x in texts]
         return {"node": [node_of(t) if len(t) else None for t in sets], "n": list(map(len, sets)), "t": sets}
 
-    made = over_texts(given, run, "node long, n int, t array<long>", ("doc",)).drop("doc")
+    made = over_texts(given, run, "node long, n int, t array<long>", ("doc",), chars=SLICE_CHARS).drop("doc")
     return only(made, reps.select("node").distinct(), "node")
 
 
-def extended(t: np.ndarray, often: np.ndarray, percent: int) -> tuple[list, list, list]:
+def extended(t: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rare tokens alone, pair signatures, frequent tokens if there are pairs) of a set whose frequent tokens are marked."""
     n, need = len(t), may_lose(len(t), percent) + 1
     rare, freq = t[~often], t[often]
     if len(rare) >= need or not partnered(n, percent):
-        return rare[:need].tolist(), [], []
+        return rare[:need], t[:0], t[:0]
     level = lambda m: m.bit_length() - 1
-    pairs: list[int] = []
+    pairs: list[np.ndarray] = []
     for lv in sorted({level(max(1, n * percent // 100)), level(max(1, -(-n * percent // 100))), level(n)}):
         classes = max(1, (1 << lv) // CLASS_TOKENS)
         of = (mixed(freq.view(np.uint64)) % np.uint64(classes)).astype(np.int64)
@@ -160,15 +170,15 @@ def extended(t: np.ndarray, often: np.ndarray, percent: int) -> tuple[list, list
         for c in np.unique(of[later[:stop]]):
             own = part[of == c]
             a, b = np.triu_indices(len(own), 1)
-            pairs += mixed(mixed(own[a] + np.uint64(lv)) * BASE + own[b]).view(np.int64).tolist()
-    return rare.tolist(), pairs, freq.tolist()
+            pairs.append(mixed(mixed(own[a] + np.uint64(lv)) * BASE + own[b]).view(np.int64))
+    return rare, np.concatenate(pairs) if pairs else t[:0], freq
 
 
 def sent_tokens(frequent: DataFrame):
     """The frequent tokens as a broadcast sorted array, None if they are too many."""
     if frequent.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return None
-    return frequent.sparkSession.sparkContext.broadcast(np.sort(np.array([r.tok for r in frequent.collect()], dtype=np.int64)))
+    return frequent.sparkSession.sparkContext.broadcast(np.sort(frequent.select("tok").toPandas()["tok"].to_numpy(np.int64)))
 
 
 def marked(known: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -206,7 +216,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, re
             return {"node": [node_of(t) if len(t) else None for t in sets], "n": list(map(len, sets)), "rare": rare, "pairs": pairs, "freq": freq}
 
         given = only(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")), reps.select(F.col("rep").alias("doc")).distinct(), "doc")
-        return only(over_texts(given, run, f"node long, n int, {SIGNED}", ("doc",)).drop("doc"), reps.select("node").distinct(), "node")
+        return only(over_texts(given, run, f"node long, n int, {SIGNED}", ("doc",), chars=SLICE_CHARS).drop("doc"), reps.select("node").distinct(), "node")
 
     tokens = sets_of(docs, doc_id, text, k, reps).dropDuplicates(["node"]).select("node", "n", F.explode("t").alias("tok"))
     marks = tokens.join(frequent.withColumn("often", F.lit(True)), "tok", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("tok", F.col("often").isNotNull().alias("often")))).alias("m"))
@@ -315,6 +325,7 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str, text: str, k: int,
 
 def apply(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
+    bounded_batches(docs)
     sketched = keep(sketches(docs, doc_id, text, k, percent))
     classes, found = links(docs, sketched, doc_id, text, k, percent)
     named = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
