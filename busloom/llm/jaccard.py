@@ -110,9 +110,9 @@ def partnered(n: int, percent: int) -> bool:
 
 
 def bounded_batches(df: DataFrame) -> None:
-    """From now on Arrow batches of the session hold BATCH_BYTES at most, besides one row of any length."""
+    """From now on Arrow batches of the session hold BATCH_BYTES at most, besides one row of any length; a limit set by the user stays."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_BYTES:
+    if conf.get(name) == "67108864b":  # Spark's own
         conf.set(name, str(BATCH_BYTES))
 
 
