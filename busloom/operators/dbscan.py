@@ -2,7 +2,9 @@
 
 Points fall into cells so small that all points of a cell are neighbours. A cell with enough points
 is all core, with no pair formed. Points of thin cells (fewer than `min_pts` each) are compared with
-the cells around them, so every point meets a bounded number of them. Two full cells are linked by
+the points of the cells around them where these hold few. Of a crowded cell they meet a pyramid of counted
+boxes instead: a box wholly in reach counts as a number, one out of reach is dropped, and only those on the
+border are opened into their sub-cells, until `min_pts` are counted. Two full cells are linked by
 comparing boxes of ever finer sub-cells, and point pairs only where the boxes cannot decide.
 """
 
@@ -15,6 +17,7 @@ from busloom.operators.spatial import connected_components
 from busloom.session import cut_lineage
 
 LEVELS, BITS = 3, 3  # sub-cells: 3 levels, each splits an axis in 8
+CROWD = 64  # points from which on a full cell is met as boxes
 
 
 def _c(v) -> Column:
@@ -44,7 +47,7 @@ def st_dbscan(
     p = p.withColumns({c: F.shiftright("f" + c[1], sh) for c in ("cx", "cy", "ct")})
     cell = [*by, "cx", "cy", "ct"]
     n = p.groupBy(*cell).agg(F.count("*").alias("_n"))
-    p = cut_lineage(p.join(n, cell).withColumn("cheia", F.col("_n") >= F.col("_m")).drop("_n"))
+    p = cut_lineage(p.join(n, cell).withColumns({"cheia": F.col("_n") >= F.col("_m"), "lotada": (F.col("_n") >= F.col("_m")) & (F.col("_n") > CROWD)}).drop("_n"))
     def beside(c, k):
         return F.explode(F.sequence(F.col(c) - k, F.col(c) + k))
 
@@ -52,10 +55,14 @@ def st_dbscan(
     near = (F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)) <= F.col("_e") * F.col("_e")) & (
         F.abs(F.col("t") - F.col("t2")) <= F.col("_et"))
     thin = around.where(~F.col("cheia"))
-    other = p.select(*by, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"),
+    crowded = p.where("lotada")
+    other = p.where("NOT lotada").select(*by, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"),
                      F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("ct").alias("qt"))
     qcell = [*by, "qx", "qy", "qt"]
     met = thin.join(other, qcell).where(near).groupBy(*by, "id").agg(F.count("*").alias("_k"))
+    reach = None if crowded.isEmpty() else cut_lineage(_reach_of_crowded(thin, crowded, by))
+    if reach is not None:
+        met = met.unionByName(reach.select(*by, "id", "_k")).groupBy(*by, "id").agg(F.sum("_k").alias("_k"))
     core = p.join(met, [*by, "id"], "left").withColumn("nucleo", F.col("cheia") | (F.coalesce("_k", F.lit(0)) >= F.col("_m"))).drop("_k")
     core = cut_lineage(core)
     # nodes: cells with core points, named by their smallest core id
@@ -63,10 +70,14 @@ def st_dbscan(
     nodes = cores.groupBy(*cell).agg(F.min("id").alias("no"))
     full = cores.where("cheia")
     slim = cores.where("NOT cheia")
-    named = cores.join(nodes, cell).select(*by, F.col("no").alias("no2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"),
+    named = cores.where("NOT lotada").join(nodes, cell).select(*by, F.col("no").alias("no2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"),
                                           F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("ct").alias("qt"))
     near_slim = around.drop("cheia").join(slim.select(*by, "id"), [*by, "id"], "left_semi").join(nodes, cell)
     e1 = near_slim.join(named, qcell).where(near & (F.col("no") != F.col("no2"))).select(*by, "no", "no2").distinct()
+    if reach is not None:
+        far = nodes.select(*by, F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("ct").alias("qt"), F.col("no").alias("no2"))
+        near_crowd = reach.join(slim.select(*by, "id", "cx", "cy", "ct"), [*by, "id"]).join(nodes, cell).join(far, qcell)
+        e1 = e1.unionByName(near_crowd.select(*by, "no", "no2")).distinct()
     e2 = _links_of_full_cells(full, by, cell, t is not None)
     # ids are unique inside a group, so components are computed on group-qualified names
     key = lambda c: F.struct(*by, F.col(c).alias("n"))
@@ -75,10 +86,14 @@ def st_dbscan(
     comp = comp.select(*[F.col("v." + b).alias(b) for b in by], F.col("v.n").alias("no"), F.col("component.n").alias("rotulo"))
     label = nodes.join(comp, [*by, "no"])
     in_core = cores.join(label, cell).select(*by, "id", "nucleo", "rotulo")
-    hub = cores.join(label, cell).select(*by, F.col("rotulo").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"),
+    hub = cores.where("NOT lotada").join(label, cell).select(*by, F.col("rotulo").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"),
                                          F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("ct").alias("qt"))
     rest = core.where("NOT nucleo")
     edge = thin.join(rest.select(*by, "id"), [*by, "id"], "left_semi").join(hub, qcell).where(near)
+    edge = edge.select(*by, "id", "r2")
+    if reach is not None:
+        far = label.select(*by, F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("ct").alias("qt"), F.col("rotulo").alias("r2"))
+        edge = edge.unionByName(reach.join(rest.select(*by, "id"), [*by, "id"], "left_semi").join(far, qcell).select(*by, "id", "r2"))
     edge = edge.groupBy(*by, "id").agg(F.min("r2").alias("rotulo"))
     out = rest.select(*by, "id", "nucleo").join(edge, [*by, "id"], "left").withColumn("rotulo", F.coalesce("rotulo", F.lit(-1).cast(df.schema[pid].dataType)))
     return in_core.unionByName(out).withColumnRenamed("id", pid)
@@ -90,10 +105,52 @@ def _boxes(full: DataFrame, by, cell, level: int) -> DataFrame:
     d = full.withColumns({f"s{a}": F.shiftright("f" + a, s) for a in "xyt"})
     aggs = [f(c).alias(f"{n}{c}") for c in "xyt" for n, f in (("lo", F.min), ("hi", F.max))]
     return d.groupBy(*by, *cell[len(by):], "sx", "sy", "st").agg(
-        *aggs, F.min(F.struct("x", "y", "t")).alias("rep"), F.max(F.struct("x", "y", "t")).alias("rep2"), F.min("id").alias("no_min"),
+        *aggs, F.min(F.struct("x", "y", "t")).alias("rep"), F.max(F.struct("x", "y", "t")).alias("rep2"), F.count("*").alias("n"),
         F.first("_e").alias("_e"), F.first("_et").alias("_et"))
 
 
+def _reach_of_crowded(thin: DataFrame, crowded: DataFrame, by) -> DataFrame:
+    """(by, id, qx, qy, qt, _k): points of each crowded cell within reach of a thin point, if any; exact below `min_pts`.
+
+    A row is a thin point and a box, never one of a crowded cell's points unless its finest sub-cell lies on the border of reach.
+    """
+    pair, quad = [*by, "id"], ["qx", "qy", "qt"]
+    spot = ["x", "y", "t", "_e", "_et", "_m"]
+    todo = thin.select(*pair, *quad, *spot)
+    found = None
+    for level in range(LEVELS + 1):
+        box = _boxes(crowded, by, [*by, "cx", "cy", "ct"], level).drop("_e", "_et", "rep", "rep2")
+        box = box.withColumns({f"p{a}": F.shiftright(f"s{a}", BITS) for a in "xyt"}).withColumnsRenamed({f"c{a}": f"q{a}" for a in "xyt"})
+        if level == 0:
+            box = box.drop("px", "py", "pt")
+        met = todo.join(box, [*by, *quad, *([] if level == 0 else ["px", "py", "pt"])])
+        near = {a: F.greatest(F.lit(0.0), F.col("lo" + a) - F.col(a), F.col(a) - F.col("hi" + a)) for a in "xyt"}
+        far = {a: F.greatest(F.abs(F.col("lo" + a) - F.col(a)), F.abs(F.col(a) - F.col("hi" + a))) for a in "xyt"}
+        within = lambda g: (g["x"] * g["x"] + g["y"] * g["y"] <= F.col("_e") * F.col("_e")) & (g["t"] <= F.col("_et"))
+        met = cut_lineage(met.where(within(near)).select(*pair, *quad, *spot, "sx", "sy", "st", "n", within(far).alias("sure")))
+        got = met.where("sure").groupBy(*pair, *quad).agg(F.sum("n").alias("_k"))
+        found = got if found is None else found.unionByName(got).groupBy(*pair, *quad).agg(F.sum("_k").alias("_k"))
+        enough = found.withColumnRenamed("_k", "_have")
+        todo = met.where("NOT sure").join(enough, [*pair, *quad], "left").where(F.coalesce("_have", F.lit(0)) < F.col("_m"))
+        todo = cut_lineage(todo.select(*pair, *quad, *spot, *[F.col(f"s{a}").alias(f"p{a}") for a in "xyt"]))
+        if todo.isEmpty():
+            return found
+    last = crowded.select(*by, *[F.col(f"c{a}").alias(f"q{a}") for a in "xyt"], *[F.col(f"f{a}").alias(f"p{a}") for a in "xyt"], *[F.col(a).alias(a + "2") for a in "xyt"])
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    hit = todo.join(last, [*by, *quad, "px", "py", "pt"]).where((dx * dx + dy * dy <= F.col("_e") * F.col("_e")) & (F.abs(F.col("t") - F.col("t2")) <= F.col("_et")))
+    return found.unionByName(hit.groupBy(*pair, *quad).agg(F.count("*").alias("_k"))).groupBy(*pair, *quad).agg(F.sum("_k").alias("_k"))
+
+
+def near_components(df: DataFrame, pid: str, x: str, y: str, radius: float) -> DataFrame:
+    """(pid, component): components of points within `radius` of each other, named by their smallest id; no pair is listed.
+
+    With one point enough every cell is full, so cells are the nodes, linked by their boxes. Points without a place are alone.
+    """
+    got = st_dbscan(df.select(pid, x, y), pid, x, y, radius, 1).select(pid, F.col("rotulo").alias("component"))
+    lost = df.where(F.col(x).isNull() | F.col(y).isNull()).select(pid, F.col(pid).alias("component"))
+    return got.unionByName(lost)
+
+
 def _links_of_full_cells(full: DataFrame, by, cell, timed: bool) -> DataFrame:
     """Pairs of neighbouring full cells holding two points within reach, exactly."""
     names = full.groupBy(*cell).agg(F.min("id").alias("no"))

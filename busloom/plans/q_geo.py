@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from busloom.functions import geo
 from busloom.operators import polyline as PL
 from busloom.operators import spatial as S
+from busloom.operators.dbscan import near_components
 from busloom.plans.q_delay import rounded
 from busloom.plans.registry import query
 from busloom.plans.standins import Bus, derive, oracle
@@ -203,8 +204,7 @@ r AS (SELECT vec_id AS v, vec_id AS c FROM points UNION SELECT e.v, r.c FROM r J
 SELECT v, min(c) AS component FROM r GROUP BY v""".strip()).replace("WITH ", "WITH RECURSIVE ", 1))
 def g18(spark, sf):
     p = Bus(spark, sf).points.select("vec_id", "x", "y")
-    near = S.radius_join(p, p.withColumnRenamed("vec_id", "outro"), 80.0, extra=F.col("vec_id") > F.col("outro"))
-    return S.connected_components(near, "vec_id", "outro", p.select("vec_id"))
+    return near_components(p, "vec_id", "x", "y", 80.0).withColumnRenamed("vec_id", "v")
 
 
 @query("g19_grid_snap", oracle("positions", """

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from busloom.functions import geo
 from busloom.operators import polyline as PL
 from busloom.operators import spatial as S
-from busloom.operators.dbscan import st_dbscan
+from busloom.operators import dbscan
+from busloom.operators.dbscan import near_components, st_dbscan
 
 
 def one(df):
@@ -93,6 +94,54 @@ def test_dbscan_with_crowded_cells(spark, seed):
     assert (got.nucleo.to_numpy() == core).all() and (got.rotulo.to_numpy() == want).all()
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_thin_points_meet_boxes_of_crowded_cells(spark, seed, monkeypatch):
+    """Rings of thin points at the radius of crowded cells: some reach all of a cell, some a few or one of its points."""
+    monkeypatch.setattr(dbscan, "CROWD", 12)
+    r = np.random.default_rng(seed)
+    crowd = np.vstack([r.uniform((10, 10), (60, 60), (150, 2)), r.uniform((180, 40), (215, 60), (90, 2)), np.repeat([[320.0, 20.0]], 20, 0)])
+    way = r.uniform(0, 2 * np.pi, 40)
+    ring = np.column_stack([35 + np.cos(way) * r.uniform(70, 135, 40), 35 + np.sin(way) * r.uniform(70, 135, 40)])
+    xy = np.vstack([crowd, ring, [[320 + 100.0, 20.0], [320.0, 120.0], [320.0, 120.0000001]]])
+    pts = np.column_stack([xy, r.integers(0, 3000, len(xy)).astype(float)])
+    for times in (None, 1500.0):
+        core, want = brute(pts, 100.0, 8, times or 1e9)
+        df = spark.createDataFrame(pd.DataFrame(pts, columns=["x", "y", "t"]).assign(id=np.arange(len(pts))))
+        got = st_dbscan(df, "id", "x", "y", 100.0, 8, **({"t": "t", "eps_t": times} if times else {})).toPandas().sort_values("id")
+        assert (got.nucleo.to_numpy() == core).all() and (got.rotulo.to_numpy() == want).all()
+
+
+def test_a_crowd_beside_thin_points_gives_few_rows(spark):
+    """100,000 points in one cell and four thin ones around it."""
+    r = np.random.default_rng(8)
+    xy = np.vstack([r.uniform(0, 60, (100_000, 2)), [[30.0, 158.0], [30.0, 155.0], [159.0, 30.0], [300.0, 300.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1], "id": np.arange(len(xy))}))
+    cell = {f"c{a}": F.lit(0).cast("long") for a in "xyt"}
+    fine = 100 * 0.999999 / 2**0.5 / 512
+    crowd = df.where("id < 100000").withColumns(cell | {"t": F.lit(0.0), "_e": F.lit(100.0), "_et": F.lit(1.0), "ft": F.lit(0).cast("long"), "fx": F.floor(F.col("x") / fine), "fy": F.floor(F.col("y") / fine)})
+    thin = df.where("id >= 100000").withColumns({f"q{a}": F.lit(0).cast("long") for a in "xyt"} | {"t": F.lit(0.0), "_e": F.lit(100.0), "_et": F.lit(1.0), "_m": F.lit(1_000_000)})
+    got = {x.id: x._k for x in dbscan._reach_of_crowded(thin, crowd, []).collect()}
+    d = ((xy[100_000:, None] - xy[None, :100_000]) ** 2).sum(2) <= 1e4
+    assert got == {100_000 + k: n for k, n in enumerate(d.sum(1).tolist()) if n}
+
+
+def test_components_without_pairs(spark):
+    r = np.random.default_rng(9)
+    xy = np.vstack([r.uniform(0, 900, (220, 2)), np.repeat([[2000.0, 2000.0]], 20_000, 0), [[2000.0, 2049.9], [2000.0, 2101.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1], "id": np.arange(len(xy))})).unionByName(spark.createDataFrame([(None, 1.0, 99_999)], "x double, y double, id long"))
+    got = {x.id: x.component for x in near_components(df, "id", "x", "y", 50.0).collect()}
+    small = xy[:220]
+    near = ((small[:, None] - small[None]) ** 2).sum(2) <= 2500
+    want = np.arange(220)
+    while True:
+        low = np.array([want[near[k]].min() for k in range(220)])
+        if (low == want).all():
+            break
+        want = low
+    assert [got[k] for k in range(220)] == want.tolist() and {got[k] for k in range(220, 20_221)} == {220}
+    assert got[20_221] == 20_221 and got[99_999] == 99_999 and len(got) == len(xy) + 1
+
+
 def test_two_times_one_place(spark):
     r = np.random.default_rng(5)
     xy = r.normal(0, 85, (120, 2))
