@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from busloom.operators.ingest import flatten_positions
+from busloom.config import LOCAL_TZ
+from busloom.operators.ingest import choose_zone, flatten_forecasts, flatten_positions
 from busloom.schemas import TABLES, conform
-from busloom.sources.tables import with_partitions
+from busloom.sources.tables import read_derived, with_partitions
 
 
 def payload_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -70,6 +72,66 @@ def ingest(spark: SparkSession, folder: str, path: str, checkpoint: str, every:
     return write_raw(new_positions(rows), path, checkpoint, every)
 
 
+def mixed_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
+    """New files of JSON lines {ts_coleta, tipo, cl, letreiro, sentido, payload}; tipo is posicao or previsao."""
+    return (
+        spark.readStream.schema("ts_coleta timestamp, tipo string, cl int, letreiro string, sentido int, payload string")
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .json(folder)
+    )
+
+
+def write_batch(rows: DataFrame, path: str, table: str, batch: int) -> None:
+    """Rows of one batch under dt=/h=/lote=; a replayed batch writes the same folders again, so it adds nothing."""
+    out = with_partitions(conform(rows, table)).withColumn("lote", F.lit(batch).cast("long"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("dt", "h", "lote").parquet(path)
+
+
+def unseen(rows: DataFrame, path: str, table: str, batch: int, keys: list[str], hours: int = 2) -> DataFrame:
+    """One row for each key, without keys that earlier batches wrote in the hours before; rows with a NULL key always pass.
+
+    Only the folders of those hours are read, and only batches before this one, so a replay decides as the first run did.
+    """
+    full = F.lit(True)
+    for k in keys:
+        full = full & F.col(k).isNotNull()
+    once = rows.where(full).dropDuplicates(keys)
+    first = rows.agg(F.min("ts_coleta").alias("t")).first()["t"]
+    old = read_derived(rows.sparkSession, path, table)
+    if first is not None and "lote" in old.columns:
+        since = first - timedelta(hours=hours)
+        old = old.where((F.col("lote") < batch) & (F.col("dt") >= F.lit(since.date())) & (F.col("ts_coleta") >= F.lit(since)))
+        once = once.join(old.select(*keys).distinct(), keys, "left_anti")
+    return once.unionByName(rows.where(~full))
+
+
+def resolved_forecasts(rows: DataFrame) -> DataFrame:
+    """Forecast rows of one batch, their clock texts read in the zone that gives this batch the most plausible horizons."""
+    read = lambda tz: flatten_forecasts(rows, "payload", "ts_coleta", "cl", "letreiro", "sentido", tz)
+    local = read(LOCAL_TZ)
+    best = choose_zone(local.select("t_previsto_str", "ts_coleta"), "t_previsto_str", "ts_coleta").where("escolhido").select("fuso").first()
+    return read(None) if best is not None and best["fuso"] == "utc" else local
+
+
+def store_batch(batch: DataFrame, number: int, positions: str, forecasts: str) -> None:
+    """Both kinds of payload of one batch into their tables."""
+    rows = batch.persist()
+    try:
+        pos = flatten_positions(rows.where("tipo = 'posicao'").select("ts_coleta", "payload"), "payload", "ts_coleta")
+        write_batch(unseen(conform(pos, "posicoes"), positions, "posicoes", number, ["prefixo", "cl", "ta"]), positions, "posicoes", number)
+        fore = resolved_forecasts(rows.where("tipo = 'previsao'").select("ts_coleta", "cl", "letreiro", "sentido", "payload"))
+        write_batch(conform(fore, "previsoes"), forecasts, "previsoes", number)
+    finally:
+        rows.unpersist()
+
+
+def ingest_all(spark: SparkSession, folder: str, positions: str, forecasts: str, checkpoint: str, every: str | None = None):
+    """Positions and forecasts from one stream of payloads."""
+    w = mixed_stream(spark, folder).writeStream.option("checkpointLocation", checkpoint)
+    w = w.foreachBatch(lambda df, number: store_batch(df, number, positions, forecasts))
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
 def heartbeat(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Rows, distinct-ish vehicles and lines per minute of collection."""
     return rows.withWatermark("ts_coleta", late).groupBy(F.window("ts_coleta", "1 minute").alias("w")).agg(
