@@ -12,6 +12,7 @@ from busloom.functions import geo
 from busloom.operators.dbscan import st_dbscan
 from busloom.operators.ordered import Ordered
 from busloom.operators.quantiles import summarize
+from busloom.session import cut_lineage
 
 
 def unified_base(df: DataFrame, value: str, event: Column, time: str, stop: str) -> DataFrame:
@@ -143,15 +144,46 @@ def episode_profile(d: DataFrame) -> DataFrame:
 def shuffled_flags(seg: DataFrame, pid: str, groups: list[str], replicates: int, seed: int = 5) -> DataFrame:
     """Per replicate, the same number of late passages per group, on other passages.
 
-    Rows are ranked by a hash inside (replicate, group); hot groups are ranked across slices.
+    Rows are ranked by md5 of (seed, replicate, id) inside (replicate, group), so other engines can draw the same; hot groups are
+    ranked across slices.
     """
     d = seg.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    d = d.withColumn("_h", F.xxhash64(F.lit(seed), "replica", pid).cast("double"))
+    draw = F.md5(F.concat_ws(":", F.lit(seed), "replica", pid))
+    d = d.withColumn("_h", F.conv(F.substring(draw, 1, 13), 16, 10).cast("double"))  # 52 bits: exact
     k = seg.groupBy(*groups).agg(F.sum("atrasado").alias("_k"))
     r = Ordered(d, ["replica", *groups], ["_h", pid]).row_number("_r").df.join(k, groups)
     return r.withColumn("atrasado", (F.col("_r") <= F.col("_k")).cast("int")).drop("_h", "_r", "_k")
 
 
+def permutation_test(
+    seg: DataFrame, pid: str, zone: str, shuffles: dict[str, tuple[list[str], int]], min_days: int = 15, eps_m=400.0, eps_s=1800.0, min_pts=10
+) -> DataFrame:
+    """Recurrent zones as observed against shuffled late flags, per way of shuffling (name: groups it keeps, replicates).
+
+    `seg`: id, x, y, ts (seconds), dia, the zone, the group columns and the flag `atrasado`. All replicates and days are clustered in
+    one job; the observed flags are replicate 0. A zone is recurrent with an episode on `min_days` days.
+    """
+    seg = cut_lineage(seg)
+    parts = []
+    for name, (groups, replicates) in shuffles.items():
+        drawn = shuffled_flags(seg, pid, groups, replicates).unionByName(seg.withColumn("replica", F.lit(0)))
+        parts.append(drawn.where("atrasado = 1").withColumn("modelo", F.lit(name)).select("modelo", "replica", "dia", pid, "x", "y", "ts", zone))
+    late = parts[0]
+    for part in parts[1:]:
+        late = late.unionByName(part)
+    late = cut_lineage(late)
+    keys = ["modelo", "replica"]
+    lab = st_dbscan(late, pid, "x", "y", eps_m, min_pts, by=[*keys, "dia"], t="ts", eps_t=eps_s).drop("nucleo")
+    hit = late.join(lab, [*keys, "dia", pid]).where(f"{zone} IS NOT NULL")
+    runs = late.groupBy(*keys).agg(F.count("*").alias("_n"))  # a replicate without an episode counts as 0
+    z = runs.join(recurrent_zones(hit, keys, zone, min_days), keys, "left").select(*keys, F.coalesce("zonas_recorrentes", F.lit(0)).alias("z"))
+    seen = z.where("replica = 0").select("modelo", F.col("z").alias("observado"))
+    d = z.where("replica > 0").join(seen, "modelo")
+    return d.groupBy("modelo", "observado").agg(
+        F.count("*").alias("repeticoes"), F.avg("z").alias("media"), F.min("z").alias("minimo"), F.max("z").alias("maximo"),
+        F.avg(F.when(F.col("z") >= F.col("observado"), 1.0).otherwise(0.0)).alias("fracao_igual_ou_acima"))
+
+
 def recurrent_zones(labelled: DataFrame, keys: list[str], zone: str, min_days: int) -> DataFrame:
     """Zones with an episode on at least `min_days` days, counted per key."""
     d = labelled.where("rotulo <> -1").groupBy(*keys, zone).agg(F.countDistinct("dia").alias("_d"))

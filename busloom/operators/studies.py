@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml import Pipeline
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -196,22 +198,41 @@ def dispersion(seg: DataFrame, a: str, b: str, min_n: int = 30) -> DataFrame:
     return one(a, "entre_b_dentro_a").crossJoin(one(b, "entre_a_dentro_b"))  # one row each
 
 
-def deviance_steps(seg: DataFrame, steps: list[list[str]]) -> DataFrame:
-    """Logistic models on counts of cells, adding factors step by step: deviance, AIC, explained share."""
-    factors = sorted({c for s in steps for c in s})
-    cells = seg.groupBy(*factors).agg(F.count("*").alias("_n"), F.avg(F.col("atrasado").cast("double")).alias("_r")).cache()
-    rows, null = [], None
-    for cols in steps:
+def deviance_steps(seg: DataFrame, models: list[list[str]]) -> DataFrame:
+    """Logistic models of the late flag with the given factors, fitted on counts of cells: deviance of the single passages, AIC, and
+    the share of the deviance that each explains. Only cell counts are iterated over, however many passages they hold.
+    """
+    factors = sorted({c for m in models for c in m})
+    full = F.lit(True)
+    for c in factors:
+        full = full & F.col(c).isNotNull()
+    cells = seg.where(full).groupBy(*factors).agg(F.count("*").alias("_n"), F.avg(F.col("atrasado").cast("double")).alias("_r")).cache()
+    entropy = lambda p: F.when((p > 0) & (p < 1), p * F.log(p) + (1 - p) * F.log(1 - p)).otherwise(0.0)
+    mean = F.sum(F.col("_n") * F.col("_r")) / F.sum("_n")
+    whole = cells.agg((-2 * F.sum(F.col("_n") * entropy(F.col("_r")))).alias("within"), F.sum("_n").alias("n"), mean.alias("p")).first()
+    null = -2 * whole["n"] * sum(x * math.log(x) for x in (whole["p"], 1 - whole["p"]) if x > 0)
+    rows = []
+    for cols in models:
         idx = StringIndexer(inputCols=cols, outputCols=[c + "_i" for c in cols], stringOrderType="alphabetAsc")
         hot = OneHotEncoder(inputCols=[c + "_i" for c in cols], outputCols=[c + "_h" for c in cols])
         asm = VectorAssembler(inputCols=[c + "_h" for c in cols], outputCol="_x")
-        glm = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="_n", labelCol="_r", featuresCol="_x", maxIter=25, regParam=1e-6)
+        glm = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="_n", labelCol="_r", featuresCol="_x", maxIter=50, tol=1e-9, regParam=1e-9)
         m = Pipeline(stages=[idx, hot, asm, glm]).fit(cells.withColumns({c: F.col(c).cast("string") for c in cols}))
         s = m.stages[-1].summary
-        null = null or s.nullDeviance
-        rows.append(("+".join(cols), float(s.deviance), float(1 - s.deviance / null), int(s.rank)))
+        deviance = float(s.deviance) + whole["within"]
+        rows.append(("+".join(cols), deviance, deviance + 2 * int(s.rank), 1 - deviance / null, int(s.rank)))
     cells.unpersist()
-    return seg.sparkSession.createDataFrame(rows, "modelo string, deviance double, explicada double, parametros int")
+    return seg.sparkSession.createDataFrame(rows, "modelo string, deviance double, aic double, explicada double, parametros int")
+
+
+def deviance_decomposition(seg: DataFrame, base: str, first: str, second: str) -> DataFrame:
+    """Four nested models, base, base and either factor, both, and what each factor takes off the deviance in either order."""
+    models = {"base": [base], "com_a": [base, first], "com_b": [base, second], "ambos": [base, first, second]}
+    got = deviance_steps(seg, list(models.values())).collect()
+    dev = dict(zip(models, (r.deviance for r in got)))
+    drop = {"base": (None, None), "com_a": (dev["base"] - dev["com_a"], None), "com_b": (None, dev["base"] - dev["com_b"]), "ambos": (dev["com_b"] - dev["ambos"], dev["com_a"] - dev["ambos"])}
+    rows = [(*tuple(r), *drop[k]) for k, r in zip(models, got)]
+    return seg.sparkSession.createDataFrame(rows, "modelo string, deviance double, aic double, explicada double, parametros int, queda_a double, queda_b double")
 
 
 def lag_correlation(seg: DataFrame, value: Column, lags: list[int]) -> DataFrame:

@@ -10,6 +10,7 @@ from busloom.operators import spatial as S
 from busloom.operators.reports import modal_value
 from busloom.plans.q_delay import pairs_of, rounded, seg_of
 from busloom.plans.q_geo import ZONE_CELL
+from busloom.plans.q_reports import typed_segments
 from busloom.plans.registry import query
 from busloom.plans.standins import Bus, derive, oracle, sql_hour
 from busloom.session import cut_lineage
@@ -19,6 +20,13 @@ SELECT t0id AS id, dia, t_chegada AS t, {sql_x('lon')} AS x, {sql_y('lat')} AS y
 FROM (SELECT *, CAST(split_part(viagem_id, '-', 3) AS BIGINT) * 10 + ordem_origem AS t0id, {sql_hour('t_chegada')} AS hh FROM segments) WHERE atrasado = 1""")
 
 
+derive("segz", ["segments", "zone_edges"], """
+SELECT s.*, zona FROM segments s LEFT JOIN (SELECT lat, lon, arg_min(zona, ordem) AS zona FROM (
+  SELECT p.lat, p.lon, z.zona, z.ordem FROM (SELECT DISTINCT lat, lon FROM segments) p JOIN zone_edges z
+    ON (z.y1 > p.lat) <> (z.y2 > p.lat) AND p.lon < (z.x2 - z.x1) * (p.lat - z.y1) / (z.y2 - z.y1) + z.x1
+  GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1, 2) USING (lat, lon)""")
+
+
 def dbscan_sql(src: str, eps: float, minp: int, eps_t: float | None = None, by: str | None = None) -> str:
     """Brute force as SQL: neighbours, cores, transitive closure over cores, lowest cluster for borders."""
     b = f"a.{by} = b.{by} AND " if by else ""
@@ -178,14 +186,33 @@ def c17(spark, sf):
     return rounded(C.episode_profile(daily(Bus(spark, sf))), "um_veiculo", "duas_linhas", "linhas_p90")
 
 
-@query("c18_permutation_test")
+SHUFFLES = {"hora_tipo": (["cl", "sentido", "hora", "tipo"], 3), "hora_dia": (["cl", "sentido", "hora", "dia"], 2)}
+
+
+def shuffle_sql(k: int, name: str) -> str:
+    """Late passages of one way of shuffling: the first by md5 rank, as many as each group has; replicate 0 as observed."""
+    groups, n = SHUFFLES[name]
+    part = f"PARTITION BY r, {', '.join(groups)}"
+    draws = ", ".join(f"({r})" for r in range(1, n + 1))
+    return f"""SELECT {k} * 100 + r AS code, pid, dia, x, y, t, zona FROM (SELECT *, row_number() OVER ({part} ORDER BY ('0x' || substr(md5(concat_ws(':', 5, r, pid)), 1, 13))::BIGINT, pid) AS pos,
+  sum(atrasado) OVER ({part}) AS late_n FROM base, (VALUES {draws}) v(r)) WHERE pos <= late_n
+UNION ALL SELECT {k} * 100, pid, dia, x, y, t, zona FROM base WHERE atrasado = 1"""
+
+
+@query("c18_permutation_test", rec(oracle("segz", f"""
+, base AS (SELECT CAST(split_part(viagem_id, '-', 3) AS BIGINT) * 10 + ordem_origem AS pid, dia, cl, sentido, hora, tipo, zona, {sql_x('lon')} AS x, {sql_y('lat')} AS y, t_chegada AS t, atrasado FROM segz WHERE tipo = 'util'),
+ev AS (SELECT *, pid * 1000 + code AS id, dia * 1000 + code AS g FROM ({' UNION ALL '.join(shuffle_sql(k, n) for k, n in enumerate(SHUFFLES))}))
+{dbscan_sql("ev", 400.0, 4, 7200.0, "g").strip()},
+zn AS (SELECT code, zona, count(DISTINCT dia) AS d FROM ev JOIN lab ON lab.id = ev.id WHERE rotulo <> -1 AND zona IS NOT NULL GROUP BY 1, 2),
+z AS (SELECT code // 100 AS k, code % 100 AS r, count(*) FILTER (d >= 2) AS z FROM (SELECT DISTINCT code FROM ev) LEFT JOIN zn USING (code) GROUP BY 1, 2)
+SELECT CASE a.k {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(SHUFFLES))} END AS modelo, o.z AS observado, count(*) AS repeticoes, round(avg(a.z), 6) AS media, min(a.z) AS minimo, max(a.z) AS maximo,
+  round(avg(CASE WHEN a.z >= o.z THEN 1.0 ELSE 0.0 END), 6) AS fracao_igual_ou_acima FROM z a JOIN z o ON o.k = a.k AND o.r = 0 WHERE a.r > 0 GROUP BY a.k, o.z""".strip())))
 def c18(spark, sf):
     b = Bus(spark, sf)
     pid = F.split("viagem_id", "-")[2].cast("long") * 10 + F.col("ordem_origem")
-    s = seg_of(b).withColumns({"id": pid, "t": F.col("t_chegada"), "cp": F.col("cp_destino")}).select("id", "t", "cp", "lat", "lon", "cl", "sentido", "hora", "atrasado")
-    d = cut_lineage(C.shuffled_flags(cut_lineage(s), "id", ["cl", "sentido", "hora"], 3).where("atrasado = 1"))
-    lab = C.episodes_by_day(d, "id", 400.0, 7200.0, 4, extra_by=["replica"])
-    return C.recurrent_zones(lab.drop("nucleo").join(d.select("replica", "id", "cp"), ["replica", "id"]), ["replica"], "cp", 2)
+    s = zoned(b, C.with_xy(typed_segments(b).where("tipo = 'util'"))).withColumns({"id": pid, "ts": F.unix_seconds("t_chegada")})
+    s = s.select("id", "x", "y", "ts", "dia", "cl", "sentido", "hora", "tipo", "zona", "atrasado")
+    return rounded(C.permutation_test(s, "id", "zona", SHUFFLES, 2, 400.0, 7200.0, 4), "media", "fracao_igual_ou_acima")
 
 
 @query("c19_episode_context")

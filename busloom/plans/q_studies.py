@@ -13,13 +13,6 @@ from busloom.plans.registry import query
 from busloom.plans.standins import Bus, derive, oracle
 from busloom.session import cut_lineage
 
-derive("segz", ["segments", "zone_edges"], """
-SELECT s.*, zona FROM segments s LEFT JOIN (SELECT lat, lon, arg_min(zona, ordem) AS zona FROM (
-  SELECT p.lat, p.lon, z.zona, z.ordem FROM (SELECT DISTINCT lat, lon FROM segments) p JOIN zone_edges z
-    ON (z.y1 > p.lat) <> (z.y2 > p.lat) AND p.lon < (z.x2 - z.x1) * (p.lat - z.y1) / (z.y2 - z.y1) + z.x1
-  GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1, 2) USING (lat, lon)""")
-
-
 def seg(sf, spark):
     return typed_segments(Bus(spark, sf))
 
@@ -195,7 +188,8 @@ def e19(spark, sf):
 
 @query("e20_deviance_decomposition")
 def e20(spark, sf):
-    return E.deviance_steps(seg(sf, spark), [["faixa"], ["faixa", "letreiro"]])
+    d = segz(spark, sf).withColumn("tipo_hora", F.concat_ws("-", "tipo", F.col("hora")))
+    return E.deviance_decomposition(d, "tipo_hora", "letreiro", "zona")
 
 
 @query("e21_rate_by_typical_time", oracle("segments", """

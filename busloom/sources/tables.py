@@ -97,16 +97,25 @@ def coverage(df: DataFrame, name: str, time: str) -> DataFrame:
     return df.agg(F.count("*").alias("linhas"), F.min(time).alias("inicio"), F.max(time).alias("fim")).withColumn("conjunto", F.lit(name))
 
 
-def missing_days(spark: SparkSession, path: str, table: str, wanted: DataFrame) -> DataFrame:
+def present_days(spark: SparkSession, path: str) -> DataFrame:
+    """Days (column dt) that the table has files of, from the listing of its folders; no file is opened."""
+    try:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.col("dt").cast("date").alias("dt")).distinct()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], "dt date")
+        raise
+
+
+def missing_days(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Days of `wanted` (column dt) that the table does not hold yet."""
-    present = read_derived(spark, path, table)
-    return wanted.join(present.select("dt").distinct(), "dt", "left_anti")
+    return wanted.join(present_days(spark, path), "dt", "left_anti")
 
 
 def build_missing_days(spark, path, table, source: DataFrame, day: str, build, force: bool = False) -> None:
     """Run `build` over the source rows of days not yet present, and write only those partitions."""
     wanted = source.select(F.col(day).alias("dt")).distinct()
-    todo = wanted if force else missing_days(spark, path, table, wanted)
+    todo = wanted if force else missing_days(spark, path, wanted)
     part = source.join(todo.withColumnRenamed("dt", day), day, "left_semi")
     out = conform(build(part), table)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)

@@ -168,6 +168,41 @@ def test_streams_equal_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == n
 
 
+def test_present_days_open_no_file(spark, tmp_path):
+    for day in ("2024-01-01", "2024-01-02"):
+        (tmp_path / "t" / f"dt={day}").mkdir(parents=True)
+        (tmp_path / "t" / f"dt={day}" / "part-0.parquet").write_text("no parquet at all")
+    wanted = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-04')) AS dt")
+    assert sorted(str(r.dt) for r in TB.missing_days(spark, str(tmp_path / "t"), wanted).collect()) == ["2024-01-03", "2024-01-04"]
+    assert TB.missing_days(spark, str(tmp_path / "none"), wanted).count() == 4
+
+
+def test_deviance_decomposition_equals_a_plain_fit(spark):
+    import numpy as np
+
+    from busloom.operators import studies as E
+    r = np.random.default_rng(4)
+    f = [r.integers(0, k, 3000) for k in (4, 3, 5)]
+    y = (r.random(3000) < 1 / (1 + np.exp(-(0.5 * f[0] - 0.8 * f[1] + 0.2 * f[2] - 1)))).astype(int)
+    rows = [(f"h{a}", f"l{b}", None if k % 500 == 0 else f"z{c}", int(v)) for k, (a, b, c, v) in enumerate(zip(*f, y))]
+    got = {x.modelo: x for x in E.deviance_decomposition(spark.createDataFrame(rows, "h string, l string, z string, atrasado int"), "h", "l", "z").collect()}
+    keep = np.array([k % 500 != 0 for k in range(3000)])
+
+    def deviance(use):
+        x = np.concatenate([np.ones((3000, 1)), *[np.eye(f[k].max() + 1)[f[k]][:, 1:] for k in use]], axis=1)[keep]
+        w, v = np.zeros(x.shape[1]), y[keep]
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ w))
+            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (v - p))
+        p = 1 / (1 + np.exp(-x @ w))
+        return -2 * (v * np.log(p) + (1 - v) * np.log(1 - p)).sum(), x.shape[1]
+
+    want = {n: deviance(u) for n, u in (("h", [0]), ("h+l", [0, 1]), ("h+z", [0, 2]), ("h+l+z", [0, 1, 2]))}
+    for n, (d, k) in want.items():
+        assert abs(got[n].deviance - d) < 1e-3 and got[n].parametros == k and abs(got[n].aic - d - 2 * k) < 1e-3
+    assert abs(got["h+l+z"].queda_a - (want["h+z"][0] - want["h+l+z"][0])) < 1e-2 and abs(got["h+l"].queda_a - (want["h"][0] - want["h+l"][0])) < 1e-2
+
+
 def test_external_readers(spark, tmp_path):
     osm = {"elements": [{"type": "node", "id": 1, "lat": -23.5, "lon": -46.6, "tags": {"highway": "traffic_signals"}},
                         {"type": "way", "id": 2, "tags": {"maxspeed": "50"}, "geometry": [{"lat": 1.0, "lon": 2.0}]}]}
