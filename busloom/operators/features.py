@@ -426,22 +426,19 @@ def segment_graph(base: DataFrame, radius_m: float = 300.0) -> tuple[DataFrame,
     return nodes, edges.join(deg, ["de", "relacao"]).withColumn("peso", 1.0 / F.col("_g")).drop("_g")
 
 
-def network_state(base: DataFrame, bin_min: int = 5) -> DataFrame:
-    """State of every stop pair at the start of each bin, from passages finished before it."""
+def network_state(base: DataFrame, asked: DataFrame) -> DataFrame:
+    """State of stop pairs at the instants asked for (no, inicio), from passages finished before them.
+
+    A pair's state changes with a passage or as one grows old, so it is kept per passage and read by the last one before the
+    instant; its age says which parts still hold. Nothing is made for instants that nobody asks for.
+    """
     d = base.withColumns({"no": F.concat_ws(">", "cp_origem", "cp_destino"), "_rel": relative_deviation()})
     ev = d.where("alvo_s IS NOT NULL").select("no", "t_chegada", "viagem_id", "alvo_s", "_rel")
     ev = rolling_median(ev, ["no"], "t_chegada", "_rel", 900, "rel15", "_a")
     ev = rolling_median(ev, ["no"], "t_chegada", "_rel", 3600, "rel60", "_b")
     ev = rolling_median(ev, ["no"], "t_chegada", "alvo_s", 900, "desvio15", "n15")
-    span = base.agg(F.min("t_origem").alias("_a"), F.max("t_origem").alias("_b"))
-    step = bin_min * 60
-    first = F.floor(F.unix_seconds("_a") / step) * step
-    last = F.floor(F.unix_seconds("_b") / step) * step
-    starts = span.select(F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("_s"))
-    # the grid is bins x network nodes, its size is set by the map and the period
-    grid = d.select("no").distinct().crossJoin(F.broadcast(starts)).select("no", F.timestamp_seconds("_s").alias("inicio"))
     m = asof_join(
-        grid, ev, ["no"], "inicio", "t_chegada", {c: c for c in ("rel15", "rel60", "desvio15", "n15")}, "viagem_id", 3600, event_time_out="_et")
+        asked.select("no", "inicio"), ev, ["no"], "inicio", "t_chegada", {c: c for c in ("rel15", "rel60", "desvio15", "n15")}, "viagem_id", 3600, event_time_out="_et")
     age = seconds_between("inicio", "_et") / 60
     in15, in60 = F.coalesce(age <= 15, F.lit(False)), F.coalesce(age <= 60, F.lit(False))
     zero = F.lit(0.0)
@@ -456,6 +453,13 @@ def network_state(base: DataFrame, bin_min: int = 5) -> DataFrame:
     )
 
 
+def asked_bins(base: DataFrame, bin_min: int = 5) -> DataFrame:
+    """(no, inicio): the bins in which a passage of the pair begins, and so asks for its state."""
+    step = bin_min * 60
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("t_origem") / step) * step)
+    return base.select(F.concat_ws(">", "cp_origem", "cp_destino").alias("no"), start.alias("inicio")).distinct()
+
+
 def standardise(df: DataFrame, cols: list[str], train: Column) -> DataFrame:
     """(x - mean) / population sd of the train rows, NULL as 0, with a NULL indicator."""
     aggs = []
@@ -506,20 +510,36 @@ def segment_spread(base: DataFrame) -> DataFrame:
 def out_of_fold_spread(base: DataFrame, day: Column) -> DataFrame:
     """Per key and train day, the same spread from the other train days.
 
-    Values are counted per key and day first; each count then serves the other days of its key,
-    so the volume grows with days, not with rows of a group.
+    All other days are all days less this one, so counts and sums are subtracted. A quantile of the rest is found likewise: between
+    two neighbouring values of the day the count taken off is constant, so the value sought has a known rank among all days; of the
+    values that fall into their own stretch the smallest is it. Each value of a day is looked up once for each rank: volume follows rows.
     """
     keys = ["cl", "ordem_origem", "faixa"]
     tr = base.where("parte <> 'teste'").withColumn("dia", day)
-    cnt = tr.groupBy(*keys, "dia", "alvo_s").agg(F.count("*").alias("_n"))
-    days = tr.select(*keys, F.col("dia").alias("_d")).distinct()
-    j = cnt.join(days, keys).where("dia <> _d")
-    n, s = F.sum("_n"), F.sum(F.col("alvo_s") * F.col("_n"))
-    s2 = F.sum(F.col("alvo_s") * F.col("alvo_s") * F.col("_n"))
-    var = (s2 - s * s / n) / F.nullif(n - 1, F.lit(0))
-    return j.groupBy(*keys, F.col("_d").alias("dia")).agg(
-        F.percentile("alvo_s", 0.75, F.col("_n")).alias("oof_p75_s"), F.percentile("alvo_s", 0.9, F.col("_n")).alias("oof_p90_s"),
-        F.sqrt(F.when(n > 1, F.greatest(var, F.lit(0.0)))).alias("oof_dp_s"))
+    known = tr.where("alvo_s IS NOT NULL").withColumn("v", F.col("alvo_s").cast("double"))
+    own = cut_lineage(known.groupBy(*keys, "dia", "v").agg(F.count("*").alias("n")))
+    whole = own.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    moments = [F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s"), F.sum(F.col("v") * F.col("v") * F.col("n")).alias("q")]
+    per_day = tr.select(*keys, "dia").distinct().join(own.groupBy(*keys, "dia").agg(*moments), [*keys, "dia"], "left")
+    total = own.groupBy(*keys).agg(*moments).withColumnsRenamed({"n": "n_t", "s": "s_t", "q": "q_t"})
+    left = per_day.join(total, keys).select(*keys, "dia", *[(F.col(c + "_t") - F.coalesce(c, F.lit(0))).alias(c) for c in ("n", "s", "q")]).where("n > 0")
+    left = cut_lineage(left)
+    # ranks asked for: those beside each quantile's place among the rest
+    place = lambda p: F.lit(p) * (F.col("n") - 1)
+    ranks = left.select(*keys, "dia", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), f(place(p)).cast("long").alias("r")) for i, (p, f) in enumerate((p, f) for p in (0.75, 0.9) for f in (F.floor, F.ceil))])).alias("_r")).select(*keys, "dia", "_r.*")
+    # stretches between the day's own values, with what the day counts up to them
+    o = Ordered(own, [*keys, "dia"], ["v"]).running_sum({"c": "n"}).lead({"until": "v"}).df.select(*keys, "dia", F.col("v").alias("since"), "until", "c")
+    before = own.groupBy(*keys, "dia").agg(F.min("v").alias("until")).select(*keys, "dia", F.lit(None).cast("double").alias("since"), "until", F.lit(0).cast("long").alias("c"))
+    asked = ranks.join(o.unionByName(before), [*keys, "dia"], "left").withColumn("at", F.col("r") + F.coalesce("c", F.lit(0)) + 0.5)
+    steps = Ordered(whole, keys, ["v"]).running_sum({"below": "n"}, current=False).df.select(*keys, "v", F.coalesce("below", F.lit(0)).cast("double").alias("below"))
+    met = asof_join(asked, steps, keys, "at", "below", {"x": "v"}, "below")
+    met = met.where(F.col("until").isNull() | (F.col("x") < F.col("until")))
+    found = met.groupBy(*keys, "dia").pivot("i", [0, 1, 2, 3]).agg(F.min(F.greatest("x", "since")))
+    out = left.join(found, [*keys, "dia"])
+    mix = lambda p, lo, hi: F.col(lo) + (F.col(hi) - F.col(lo)) * (place(p) - F.floor(place(p)))
+    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
+    return out.select(
+        *keys, "dia", mix(0.75, "0", "1").alias("oof_p75_s"), mix(0.9, "2", "3").alias("oof_p90_s"), F.sqrt(F.when(F.col("n") > 1, F.greatest(var, F.lit(0.0)))).alias("oof_dp_s"))
 
 
 def rain_features(df: DataFrame, rain: DataFrame, step: float = 0.05) -> DataFrame:

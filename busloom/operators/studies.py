@@ -14,6 +14,8 @@ from busloom.operators.metrics import cluster_bootstrap, quantile_bins
 from busloom.operators.ordered import Ordered
 from busloom.operators.quantiles import group_quantiles, summarize, with_group_median
 from busloom.operators.reports import modal_value
+from busloom.operators.rolling import rolling_median
+from busloom.session import cut_lineage
 
 
 def rate(c="atrasado", scale=100.0) -> Column:
@@ -40,11 +42,12 @@ def trip_totals(seg: DataFrame, coverage: float = 0.8) -> DataFrame:
     return t.join(size, "cl").where(F.col("trechos") >= coverage * F.col("_k")).drop("_k")
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Rank with ties sharing the mean, for tables of groups (hours, zones, stops)."""
-    w = Window.orderBy(value)
-    same = Window.partitionBy(value)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
+def average_rank(df: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
+    """Rank with ties sharing the mean, of all rows or inside groups: a running sum over the counts of values."""
+    keys = list(by)
+    n = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    r = Ordered(n, keys, [value]).running_sum({"_c": "_n"}).df
+    return df.join(r.select(*keys, value, (F.col("_c") - (F.col("_n") - 1) / 2).alias(out)), [*keys, value])
 
 
 def correlations(groups: DataFrame, a: str, b: str) -> DataFrame:
@@ -302,15 +305,32 @@ def wet_effect(seg: DataFrame, wet: Column, stratum: str = "hora") -> DataFrame:
 
 
 def probe_against_fleet(probes: DataFrame, fleet: DataFrame, place: str, minutes: int = 10, least: int = 3) -> DataFrame:
-    """Each probe with the fleet's median speed at the place in the minutes before it.
+    """Each probe with the fleet's median speed at the place in the minutes up to it, if enough readings fall in them.
 
-    Both sides meet by place and time block of that length, so a probe sees two blocks.
+    Probes and readings of a place go through one ordered pass; probes have no speed there, so they don't count.
     """
-    w = minutes * 60
-    p = probes.withColumn("_b", F.floor(F.unix_seconds("t") / w)).withColumn("_k", F.explode(F.array(F.col("_b"), F.col("_b") - 1)))
-    f = fleet.select(place, F.col("t").alias("_t"), "vel_kmh", F.floor(F.unix_seconds("t") / w).alias("_k"))
-    j = p.join(f, [place, "_k"]).where((F.col("_t") < F.col("t")) & (F.unix_micros("t") - F.unix_micros("_t") <= w * 1_000_000))
-    return summarize(j, [place, "pid", "vel_sonda"], [F.count("*").alias("n")], {"vel_kmh": {"vel_frota": 0.5}}).where(F.col("n") >= least)
+    kept = [c for c in probes.columns if c not in (place, "t")]
+    p = probes.select(place, "t", F.struct(*kept).alias("_p"))
+    both = p.unionByName(fleet.select(place, "t", F.col("vel_kmh").alias("_v")), allowMissingColumns=True)
+    seen = rolling_median(both, [place], "t", "_v", minutes * 60, "vel_frota", "n").where(F.col("_p").isNotNull() & (F.col("n") >= least))
+    return seen.select(place, "t", "_p.*", "vel_frota", "n")
+
+
+def probe_correlations(met: DataFrame, place: str, least: int = 30) -> DataFrame:
+    """Rank correlations of probe and fleet speeds: as they are, relative to free flow (of the fleet: its p90 at the place), and the
+    median of those inside places with more than `least` probes.
+    """
+    top = group_quantiles(met, [place], "vel_frota", {"_livre": 0.9})
+    d = cut_lineage(met.join(top, place).withColumns({"_ra": F.col("vel_sonda") / F.col("vel_livre"), "_rb": F.col("vel_frota") / F.col("_livre")}))
+
+    def rho(a: str, b: str, by: list[str], out: str) -> DataFrame:
+        r = average_rank(average_rank(d, a, "_x", by), b, "_y", by)
+        spread = F.stddev_pop("_x") * F.stddev_pop("_y")  # none where all ranks are one
+        return r.groupBy(*by).agg(F.count("*").alias("_n"), (F.covar_pop("_x", "_y") / F.nullif(spread, F.lit(0.0))).alias(out))
+
+    inside = rho("vel_sonda", "vel_frota", [place], "_r").where(F.col("_n") > least).agg(F.median("_r").alias("dentro_mediana"), F.count("_r").alias("lugares"))
+    whole = rho("vel_sonda", "vel_frota", [], "velocidades").withColumnRenamed("_n", "n")
+    return whole.crossJoin(rho("_ra", "_rb", [], "relativas").drop("_n")).crossJoin(inside)  # one row each
 
 
 def segment_vs_trip(seg: DataFrame, keys: list[str], share: float = 0.2) -> DataFrame:

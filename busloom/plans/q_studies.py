@@ -283,13 +283,22 @@ def e32(spark, sf):
     return E.wet_effect(W.rain_features(typed_segments(b), rain_of(b)), F.col("chuva_cidade_1h_mm") > 1)
 
 
-@query("e33_probe_against_fleet")
+@query("e33_probe_against_fleet", oracle("segments", """
+, f AS (SELECT cp_destino, t_chegada AS t, velocidade_kmh AS v, concat(viagem_id, '#', ordem_origem) AS pid, median(velocidade_kmh) OVER w AS m, count(velocidade_kmh) OVER w AS n FROM segments
+  WINDOW w AS (PARTITION BY cp_destino ORDER BY t_chegada RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)),
+k AS (SELECT * FROM f WHERE n >= 3 AND v IS NOT NULL),
+q AS (SELECT *, v / (40 + cp_destino % 20) AS a, m / quantile_cont(m, 0.9) OVER (PARTITION BY cp_destino) AS b FROM k),
+r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS rv, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2 AS rm,
+  rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb,
+  rank() OVER (PARTITION BY cp_destino ORDER BY v) + (count(*) OVER (PARTITION BY cp_destino, v) - 1) / 2 AS pv, rank() OVER (PARTITION BY cp_destino ORDER BY m) + (count(*) OVER (PARTITION BY cp_destino, m) - 1) / 2 AS pm FROM q),
+i AS (SELECT corr(pv, pm) AS c FROM r GROUP BY cp_destino HAVING count(*) > 30 AND min(pv) < max(pv) AND min(pm) < max(pm))
+SELECT (SELECT count(*) FROM r) AS n, round((SELECT corr(rv, rm) FROM r), 6) AS velocidades, round((SELECT corr(ra, rb) FROM r), 6) AS relativas, round(median(c), 6) AS dentro_mediana, count(c) AS lugares FROM i""".strip()))
 def e33(spark, sf):
     d = cut_lineage(seg(sf, spark))
     f = d.select("cp_destino", F.col("t_chegada").alias("t"), F.col("velocidade_kmh").alias("vel_kmh"))
-    p = d.select("cp_destino", F.col("t_chegada").alias("t"), F.concat_ws("#", "viagem_id", "ordem_origem").alias("pid"), F.col("velocidade_kmh").alias("vel_sonda"))
-    m = E.probe_against_fleet(p, f, "cp_destino", 60, 3)
-    return m.agg(F.count("*").alias("n"), F.corr("vel_sonda", "vel_frota").alias("correlacao"))
+    pid = F.concat_ws("#", "viagem_id", "ordem_origem").alias("pid")
+    p = d.where("velocidade_kmh IS NOT NULL").select("cp_destino", F.col("t_chegada").alias("t"), pid, F.col("velocidade_kmh").alias("vel_sonda"), (40 + F.col("cp_destino") % 20).alias("vel_livre"))
+    return rounded(E.probe_correlations(E.probe_against_fleet(p, f, "cp_destino", 60, 3), "cp_destino"), "velocidades", "relativas", "dentro_mediana")
 
 
 @query("e34_segment_vs_trip", oracle("segments", """
