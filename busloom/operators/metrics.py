@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.operators.ordered import Ordered, lagged
@@ -249,6 +249,28 @@ def quantile_bins(df: DataFrame, value: str, k: int, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col(value).isNotNull(), c))
 
 
+AGE_LIMITS_S, AGE_NAMES = (60, 180, 600, 1800), ("< 1 min", "1-3 min", "3-10 min", "10-30 min")
+
+
+def error_by_age(df: DataFrame, age_s: str, err: str, trivial: str) -> DataFrame:
+    """Absolute error of a model and of the trivial answer by the age of the newest information; older or none is `sem dado`."""
+    band = F.lit("sem dado")
+    for limit, name in reversed(list(zip(AGE_LIMITS_S, AGE_NAMES))):
+        band = F.when((F.col(age_s) >= 0) & (F.col(age_s) < limit), name).otherwise(band)
+    n = F.sum("n").over(Window.partitionBy(F.lit(1)))  # five rows
+    g = df.groupBy(band.alias("idade")).agg(F.count("*").alias("n"), F.avg(F.abs(err)).alias("modelo"), F.avg(F.abs(trivial)).alias("trivial"))
+    return g.withColumns({"ganho": 1 - F.col("modelo") / F.nullif("trivial", F.lit(0.0)), "parcela": F.col("n") / n})
+
+
+def tail_bias(df: DataFrame, actual: str, predicted: str, share: float = 0.9) -> DataFrame:
+    """Rows at or above the quantile of what happened: real and predicted mean, and their part of the whole absolute error."""
+    cut = group_quantiles(df, [], actual, {"_cut": share}).head()["_cut"]
+    e, tail = F.abs(F.col(actual) - F.col(predicted)), F.col(actual) >= F.lit(cut)
+    return df.agg(
+        F.count_if(tail).alias("n"), F.lit(cut).alias("corte"), F.avg(F.when(tail, F.col(actual))).alias("real_media"),
+        F.avg(F.when(tail, F.col(predicted))).alias("previsto_media"), (F.sum(F.when(tail, e)) / F.sum(e)).alias("parcela"))
+
+
 def worst_share(df: DataFrame, keys: list[str], err: str, share: float = 0.05) -> DataFrame:
     """Share of all absolute error held by the worst `share` of groups (by mean error, min 20 rows)."""
     g = df.groupBy(*keys).agg(F.sum(err).alias("_s"), F.count("*").alias("_n"), F.avg(err).alias("_m")).where("_n >= 20")

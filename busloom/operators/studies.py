@@ -355,14 +355,19 @@ def flow_ranking(trips: DataFrame, keys: list[str], late: Column) -> DataFrame:
     return g.withColumns({"taxa_pct": 100 * F.col("k") / F.col("n"), "ic_baixo": 100 * lo, "ic_alto": 100 * hi})
 
 
-def anchored_trips(seg: DataFrame, ends: DataFrame, coverage: float = 0.9) -> DataFrame:
-    """Trips that run from the first to the last regular segment, with sane durations."""
+def anchored_trips(seg: DataFrame, ends: DataFrame, coverage: float = 0.9, least: int = 20) -> DataFrame:
+    """Trips that run from the first to the last regular segment, with sane durations, in cells (line, day type, day part) of at
+    least so many such trips. A trip's type and part are those of its first segment.
+    """
     n = ends.withColumn("_k", F.col("ultimo") - F.col("primeiro") + 1)
     t = trimmed(seg, ends).groupBy("cl", "viagem_id").agg(
-        F.count("*").alias("trechos"), F.sum("tempo_percurso_s").alias("duracao_s"), F.min("ordem_origem").alias("_a"), F.max("ordem_origem").alias("_b"))
+        F.count("*").alias("trechos"), F.sum("tempo_percurso_s").alias("duracao_s"), F.min("ordem_origem").alias("_a"), F.max("ordem_origem").alias("_b"),
+        F.min_by("tipo", "ordem_origem").alias("tipo"), F.min_by("faixa", "ordem_origem").alias("faixa"))
     t = t.join(n, "cl").where((F.col("_a") == F.col("primeiro")) & (F.col("_b") == F.col("ultimo")) & (F.col("trechos") >= coverage * F.col("_k")))
     t = with_group_median(t, ["cl"], "duracao_s", "mediana_s")
-    return t.where(F.col("duracao_s") <= 3 * F.col("mediana_s")).drop("_a", "_b", "_k", "primeiro", "ultimo")
+    t = t.where((F.col("duracao_s") > 0) & (F.col("duracao_s") <= 3 * F.col("mediana_s"))).drop("_a", "_b", "_k", "primeiro", "ultimo")
+    cells = t.groupBy("cl", "tipo", "faixa").agg(F.count("*").alias("n_celula")).where(F.col("n_celula") >= least)
+    return t.join(cells, ["cl", "tipo", "faixa"])
 
 
 def modal_stops(arrivals: DataFrame) -> DataFrame:

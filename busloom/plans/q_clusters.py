@@ -131,6 +131,20 @@ def c10(spark, sf):
     return s.select("rotulo", "n", "atraso_medio_s", "paradas", F.unix_seconds("inicio").alias("inicio"), F.unix_seconds("fim").alias("fim"), "raio_m", "atraso_mediano_s", "impacto")
 
 
+@query("c10_stop_clusters", rec(oracle("segments", f"""
+, sp AS (SELECT cp_destino AS id, count(*) AS n, avg(atraso_s) AS media, avg(atrasado) AS taxa, avg(lat) AS lat, avg(lon) AS lon FROM segments GROUP BY 1 HAVING count(*) >= 20),
+sxy AS (SELECT *, {sql_x('lon')} AS x, {sql_y('lat')} AS y FROM sp)
+{dbscan_sql("sxy", 2500.0, 3).strip()}
+SELECT rotulo, count(*) AS paradas, CAST(sum(n) AS BIGINT) AS observacoes, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(sum(media * n) / sum(n), 6) AS atraso_medio_s, round(sum(taxa * n) / sum(n), 6) AS prob_atraso,
+  round(sum(media * n), 3) AS impacto FROM sxy JOIN lab USING (id) WHERE rotulo <> -1 GROUP BY 1""".strip())))
+def c10_stops(spark, sf):
+    b = C.unified_base(seg_of(Bus(spark, sf)), "atraso_s", F.col("atrasado") == 1, "t_chegada", "cp_destino")
+    stops = cut_lineage(C.stop_samples(b))
+    lab = DB.st_dbscan(stops, "cp", "x", "y", 2500.0, 3).drop("nucleo")
+    s = C.stop_cluster_summary(stops.join(lab, "cp"))
+    return rounded(rounded(s, "impacto", digits=3), "lat", "lon", "atraso_medio_s", "prob_atraso")
+
+
 @query("c11_top_flows", ep("""
 , f AS (SELECT rotulo, concat(regiao_origem, ' > ', regiao_destino) AS fl, count(*) AS n FROM ep WHERE rotulo <> -1 AND regiao_origem IS NOT NULL AND regiao_destino IS NOT NULL GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY rotulo ORDER BY count(*) DESC, fl) <= 5)

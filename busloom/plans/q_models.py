@@ -6,6 +6,7 @@ from busloom.functions import calendar as cal
 from busloom.operators import features as W
 from busloom.operators import metrics as M
 from busloom.operators import models as ML
+from busloom.operators.asof import asof_join, seconds_between
 from busloom.plans.q_delay import pairs_of, rounded, seg_of
 from busloom.plans.q_features import ID, base_of
 from busloom.plans.registry import query
@@ -244,9 +245,13 @@ def m21(spark, sf):
 SELECT dia, config, count(*) AS n, round(avg(e), 6) AS mae_s, round(sum(e) / sum(real_s), 6) AS erro_rel, round(avg(CASE WHEN e <= 0.2 * real_s THEN 1 ELSE 0 END), 6) AS acerto20,
   round(avg(e) FILTER (real_s <= 180), 6) AS mae_curtos_s FROM wf JOIN k USING (viagem_id, ordem_origem) GROUP BY 1, 2""".strip()))
 def m22(spark, sf):
+    return rounded(compared(spark, sf), "mae_s", "erro_rel", "acerto20", "mae_curtos_s")
+
+
+def compared(spark, sf):
     d = wf(Bus(spark, sf)).select(F.concat_ws("#", *ID).alias("id"), F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("long").alias("dia"), "config",
                                   F.col("tempo_percurso_s").alias("real_s"), (F.col("previsto") - F.col("tempo_percurso_s")).alias("desvio_s"))
-    return rounded(M.daily_comparison(d, ["janela_7", "janela_toda"]), "mae_s", "erro_rel", "acerto20", "mae_curtos_s")
+    return M.daily_comparison(d, ["janela_7", "janela_toda"])
 
 
 @query("m23_learning_curve", oracle("segments", """
@@ -325,3 +330,32 @@ SELECT count(*) FILTER (m > c) AS grupos, round(sum(s) FILTER (m > c) / sum(s),
 def m31b(spark, sf):
     d = preds(Bus(spark, sf)).withColumn("e", F.abs(F.col("y") - F.col("a")))
     return rounded(M.worst_share(d, ["cl", "ordem_origem"], "e"), "parcela")
+
+
+@query("m31_error_by_age", oracle("segments", """
+, k AS (SELECT s.*, floor(s.atraso_s / 2) + s.cl % 7 - 3 AS a, s.t_origem - e.t_chegada AS idade_s FROM segments s ASOF LEFT JOIN (SELECT cl, ordem_origem, t_chegada FROM segments) e
+  ON e.cl = s.cl AND e.ordem_origem = s.ordem_origem AND s.t_origem > e.t_chegada)
+SELECT CASE WHEN idade_s < 60 THEN '< 1 min' WHEN idade_s < 180 THEN '1-3 min' WHEN idade_s < 600 THEN '3-10 min' WHEN idade_s < 1800 THEN '10-30 min' ELSE 'sem dado' END AS idade, count(*) AS n,
+  round(avg(abs(atraso_s - a)), 6) AS modelo, round(avg(abs(atraso_s)), 6) AS trivial, round(1 - avg(abs(atraso_s - a)) / avg(abs(atraso_s)), 6) AS ganho, round(count(*) / (SELECT count(*) FROM k), 6) AS parcela FROM k GROUP BY 1""".strip()))
+def m31_age(spark, sf):
+    d = seg_of(Bus(spark, sf))
+    own = d.select(*ID, "cl", "t_origem", F.col("atraso_s").alias("y"), (F.col("atraso_s") - (F.floor(F.col("atraso_s") / 2) + F.col("cl") % 7 - 3)).alias("e"))
+    m = asof_join(own, d.select("cl", "ordem_origem", "t_chegada", "viagem_id"), ["cl", "ordem_origem"], "t_origem", "t_chegada", {}, "viagem_id", event_time_out="_et")
+    m = m.withColumn("idade_s", seconds_between("t_origem", "_et"))
+    return rounded(M.error_by_age(m, "idade_s", "e", "y"), "modelo", "trivial", "ganho", "parcela")
+
+
+@query("m31_tail_bias", oracle("preds", """
+, k AS (SELECT quantile_cont(y, 0.9) AS q FROM preds)
+SELECT count(*) FILTER (y >= q) AS n, round(any_value(q), 6) AS corte, round(avg(y) FILTER (y >= q), 6) AS real_media, round(avg(a) FILTER (y >= q), 6) AS previsto_media,
+  round(sum(abs(y - a)) FILTER (y >= q) / sum(abs(y - a)), 6) AS parcela FROM preds, k""".strip()))
+def m31_tail(spark, sf):
+    return rounded(M.tail_bias(preds(Bus(spark, sf)), "y", "a"), "corte", "real_media", "previsto_media", "parcela")
+
+
+@query("m22_wins_by_day", oracle("wf", """
+, k AS (SELECT viagem_id, ordem_origem FROM wf GROUP BY 1, 2 HAVING count(*) = 2),
+d AS (SELECT dia, config, avg(e) AS m FROM wf JOIN k USING (viagem_id, ordem_origem) GROUP BY 1, 2)
+SELECT config, count(*) AS dias_vencidos FROM (SELECT dia, config FROM d QUALIFY row_number() OVER (PARTITION BY dia ORDER BY round(m, 9), config) = 1) GROUP BY 1""".strip()))
+def m22_wins(spark, sf):
+    return M.day_wins(compared(spark, sf).withColumn("mae_s", F.round("mae_s", 9)))

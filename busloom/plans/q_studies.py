@@ -202,7 +202,7 @@ def e21(spark, sf):
 @query("e22_anchored_trips")
 def e22(spark, sf):
     d = cut_lineage(seg(sf, spark))
-    return E.anchored_trips(d, E.inner_segments(d, 0.3, 3), 0.5)
+    return E.anchored_trips(d, E.inner_segments(d, 0.3, 3), 0.5, 2)
 
 
 @query("e23_flow_ranking", oracle("trip_tot lines", """
