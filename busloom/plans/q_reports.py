@@ -41,7 +41,7 @@ def tally(view: str, keys: str, numbers: str, least: int = 0, order: str = "", t
     """The numbers of each key of a view; keys with fewer rows than `least` and places after `top` are left out."""
     made = ", ".join(f"{NUMBERS[n]} AS {n}" for n in numbers.split())
     end = f" QUALIFY row_number() OVER (ORDER BY {order}) <= {top}" if top else ""
-    return f"SELECT * FROM (SELECT {keys}{with_keys}, {made}, count(*) AS _n FROM ({view}) GROUP BY {keys}) AS t WHERE _n >= {least}{end}".replace("SELECT * FROM (SELECT", "SELECT * EXCLUDE (_n) FROM (SELECT", 1)
+    return f"SELECT * EXCLUDE (_n) FROM (SELECT {keys}{with_keys}, {made}, count(*) AS _n FROM ({view}) GROUP BY {keys}) AS t WHERE _n >= {least}{end}"
 
 
 @query("q02_line_ranking", oracle("pairs", tally(
