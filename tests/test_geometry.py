@@ -37,6 +37,44 @@ def test_out_and_back_street(spark):
     assert back > way + 5000 and (got.s.diff().dropna() >= -1e-6).all()
 
 
+def plain_track(line, xs, ys, back=800.0, ahead=8000.0, accept=150.0):
+    """The rule of project_track said plainly: every sample against every segment, one after the other."""
+    a, v = line[:-1], np.diff(line, axis=0)
+    length = np.maximum(np.hypot(*v.T), 1e-12)
+    s1 = np.cumsum(length)
+    s0, prev, out = s1 - length, None, []
+    for p in np.column_stack([xs, ys]):
+        t = np.clip(((p - a) * v).sum(axis=1) / length**2, 0, 1)
+        d = np.hypot(*(a + t[:, None] * v - p).T)
+        k = d.argmin()
+        part = np.flatnonzero((s1 >= prev - back) & (s0 <= prev + ahead)) if prev is not None else []
+        if len(part):
+            w = part[d[part].argmin()]
+            k = k if d[w] > accept and d[k] < 0.6 * d[w] else w
+        prev = s0[k] + t[k] * length[k]
+        out.append((prev, d[k]))
+    return out
+
+
+def test_anchored_track_against_every_segment(spark):
+    r = np.random.default_rng(7)
+    lines = {1: np.cumsum(r.normal(0, 90, (400, 2)), axis=0), 2: np.column_stack([np.tile([0.0, 3000.0], 12), np.arange(24) * 40.0]), 3: np.array([[0.0, 0.0], [5.0, 0.0]])}
+    pts = [(k, i, float(x), float(y)) for k, line in lines.items() for i, (x, y) in enumerate(line)]
+    segs = PL.polyline_segments(spark.createDataFrame(pts, "cl int, seq int, x double, y double"), "cl", "seq")
+    rows, want = [], {}
+    for k, line in lines.items():
+        for vehicle in "abc":
+            at = line[np.sort(r.integers(0, len(line), 150))] + r.normal(0, {"a": 20, "b": 200, "c": 4000}[vehicle], (150, 2))
+            at[60:63] = at[0]  # back at the start, then on: the window doesn't hold it
+            rows += [(k, vehicle, i, float(x), float(y)) for i, (x, y) in enumerate(at)]
+            want |= {(k, vehicle, i): v for i, v in enumerate(plain_track(line, *at.T))}
+    rows += [(1, "a", 999, None, 1.0), (9, "a", 0, 1.0, 1.0)]
+    track = spark.createDataFrame(rows, "cl int, prefixo string, i int, x double, y double").repartition(5)
+    got = {(g.cl, g.prefixo, g.i): (g.s, g.dist) for g in PL.project_track(track, segs, "cl", ["prefixo"], "i").collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(a - b) for k in want for a, b in zip(got[k], want[k])) < 1e-6
+
+
 def test_simplify_rounds_equal_grouped(spark):
     r = np.random.default_rng(1)
     pdf = pd.DataFrame({"k": np.repeat(["a", "b"], 60), "seq": np.tile(np.arange(60), 2), "x": np.tile(np.arange(60) * 10.0, 2), "y": r.normal(0, 20, 120)})
