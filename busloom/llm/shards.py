@@ -1,13 +1,13 @@
 """Histogram sort into shards of near equal bytes.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours. Exact bytes below candidate boundaries are
+Rows are ordered by (hash of the text, doc_id, a number dealt to each row), so equal texts are neighbours. Exact bytes below candidate boundaries are
 counted over all partitions; each round looks only inside the ranges that still hold an unsettled splitter and halves them
 BITS times, until every splitter lies within TOLERANCE of its target or no finer boundary exists. Boundaries between texts
 come first, so a group of equal texts stays whole where the tolerance allows, and only a group too large for that is cut, by
-doc_id. Rows then move once, to (shard, slice); a slice is a hashed share of a shard, so a shard of any size has its slots
+doc_id, and among rows equal in both by the dealt number. Rows then move once, to (shard, slice); a slice is a hashed share of a shard, so a shard of any size has its slots
 numbered by many tasks.
 
-Defined cases: a null text has no bytes (size 8, crc 0); a null doc_id sorts first; repeated rows sort together; no rows, no
+Defined cases: a null text has no bytes (size 8, crc 0); a null doc_id sorts first; repeated rows are neighbours and parted where the law needs it; no rows, no
 splitters; the operator's own columns are named with a leading underscore.
 """
 
@@ -24,6 +24,9 @@ BITS, TOLERANCE = 11, 0.02
 #: Rows that one task numbers.
 SLICE_ROWS = 500_000
 SIGN = -(1 << 63)
+#: The order of the rows: hash of the text, doc_id, number among all rows.
+WORDS = ("_hash", "_id", "_row")
+WIDTH = 64 * len(WORDS)
 
 
 def row_bytes(text: str = "text") -> Column:
@@ -35,13 +38,17 @@ def row_crc(text: str = "text") -> Column:
 
 
 def with_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds _hash and _id, both longs that sort as signed numbers."""
-    return docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(SIGN)))
+    """Adds the WORDS of the order, longs that sort as signed numbers; write the result before it is read twice, as _row is dealt once."""
+    return docs.withColumns({
+        "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+        "_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(SIGN)),
+        "_row": F.monotonically_increasing_id(),
+    })
 
 
 @dataclass
 class Range:
-    """An interval of the 128-bit order: its first `bits` bits are `prefix`, `below` bytes lie before it."""
+    """An interval of the order, WIDTH bits long: its first `bits` bits are `prefix`, `below` bytes lie before it."""
 
     prefix: int
     bits: int
@@ -51,10 +58,11 @@ class Range:
 
 
 def leading(bits: int) -> Column:
-    """The first bits (at most 64) of either half of the order, as an unsigned number in a long; 0 bits: 0."""
-    half = F.col("_hash").bitwiseXOR(F.lit(SIGN)) if bits <= 64 else F.col("_id").bitwiseXOR(F.lit(SIGN))
-    n = bits if bits <= 64 else bits - 64
-    return F.lit(0).cast("long") if n == 0 else F.shiftrightunsigned(half, 64 - n)
+    """Of the first bits of the order, those in the last word that they reach, as an unsigned number in a long; 0 bits: 0."""
+    if not bits:
+        return F.lit(0).cast("long")
+    word = (bits - 1) // 64
+    return F.shiftrightunsigned(F.col(WORDS[word]).bitwiseXOR(F.lit(SIGN)), 64 * (word + 1) - bits)
 
 
 def signed(value: int) -> int:
@@ -63,31 +71,33 @@ def signed(value: int) -> int:
 
 
 def within(r: Range) -> Column:
-    if r.bits <= 64:
-        return leading(r.bits) == F.lit(signed(r.prefix))
-    tail = r.bits - 64
-    return (leading(64) == F.lit(signed(r.prefix >> tail))) & (leading(r.bits) == F.lit(signed(r.prefix & ((1 << tail) - 1))))
+    inside = F.lit(True)
+    for end in {*range(64, r.bits, 64), r.bits}:
+        bits = end - (end - 1) // 64 * 64 if end else 0
+        inside = inside & (leading(end) == F.lit(signed((r.prefix >> (r.bits - end)) & ((1 << bits) - 1))))
+    return inside
 
 
-def splitters(narrow: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """shards - 1 boundaries (_hash, _id): a row belongs to the shard whose number is the boundaries at or below it."""
+def splitters(narrow: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, ...]]:
+    """shards - 1 boundaries, a number for each of WORDS: a row belongs to the shard whose number is the boundaries at or below it."""
     total = narrow.agg(F.sum("size")).first()[0] or 0
     slack = tolerance * total / shards
     found: dict[int, int] = {}
     open_ = [Range(0, 0, 0, total, [(s, total * s / shards) for s in range(1, shards)])]
     while open_ and total:
         bits = open_[0].bits
-        step = min(BITS, 64 - bits if bits < 64 else 128 - bits)
+        step = min(BITS, 64 - bits % 64)
         place = F.lit(None).cast("int")
         for k, r in enumerate(open_):
             place = F.when(within(r), F.lit(k)).otherwise(place)
         fine = bits + step
         counts = narrow.withColumn("_range", place).where("_range is not null").groupBy("_range", leading(fine).alias("_part")).agg(F.sum("size").alias("size")).collect()
-        mask = (1 << (fine if fine <= 64 else fine - 64)) - 1
+        before = bits // 64 * 64
+        mask = (1 << (fine - before)) - 1
         nexts = []
         for k, r in enumerate(open_):
             parts = sorted(((c._part & mask), c["size"]) for c in counts if c._range == k)
-            high = (r.prefix >> max(r.bits - 64, 0)) << (fine - 64) if fine > 64 else 0
+            high = (r.prefix >> (bits - before)) << (fine - before)
             made, below = [], r.below
             for part, size in parts:
                 made.append(Range(high | part, fine, below, size))
@@ -95,39 +105,40 @@ def splitters(narrow: DataFrame, shards: int, tolerance: float = TOLERANCE) -> l
             for s, target in r.targets:
                 inside = next((m for m in made if m.below <= target < m.below + m.size), made[-1])
                 low, up = target - inside.below, inside.below + inside.size - target
-                if min(low, up) <= slack or fine == 128:
-                    found[s] = (inside.prefix + (up < low)) << (128 - fine)
+                if min(low, up) <= slack or fine == WIDTH:
+                    found[s] = (inside.prefix + (up < low)) << (WIDTH - fine)
                 else:
                     inside.targets.append((s, target))
             nexts += [m for m in made if m.targets]
         open_ = nexts
-    top = (1 << 128) - 1
+    top = (1 << WIDTH) - 1
     cut = [min(found[s], top) for s in sorted(found)]
-    return [((c >> 64) - (1 << 63), (c & ((1 << 64) - 1)) - (1 << 63)) for c in cut]
+    return [tuple((c >> end & ((1 << 64) - 1)) - (1 << 63) for end in range(WIDTH - 64, -1, -64)) for c in cut]
 
 
-def shard_of(cuts: list[tuple[int, int]]) -> Column:
+def shard_of(cuts: list[tuple[int, ...]]) -> Column:
     shard = F.lit(0)
-    for h, i in cuts:
-        shard = shard + ((F.col("_hash") > h) | ((F.col("_hash") == h) & (F.col("_id") >= i))).cast("int")
+    for h, i, r in cuts:
+        same_text = (F.col("_id") > i) | ((F.col("_id") == i) & (F.col("_row") >= r))
+        shard = shard + ((F.col("_hash") > h) | ((F.col("_hash") == h) & same_text)).cast("int")
     return shard
 
 
 def with_slots(placed: DataFrame, rows: int, shards: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Numbers each shard's rows from 0 without gaps: by slice, then in the order of the sort."""
     slices = max(1, -(-rows // (shards * slice_rows)))
-    cut = placed.withColumn("_slice", F.pmod(F.xxhash64("_id"), F.lit(slices)).cast("int"))
+    cut = placed.withColumn("_slice", F.pmod(F.xxhash64("_id", "_row"), F.lit(slices)).cast("int"))
     counts = cut.groupBy("shard", "_slice").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("shard").alias("_s"), F.col("_slice").alias("_l"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy("shard", "_slice").orderBy("_hash", "_id")
+    own = Window.partitionBy("shard", "_slice").orderBy(*WORDS)
     numbered = cut.withColumn("_row", F.row_number().over(own).cast("long") - 1)
     return numbered.join(starts, (F.col("shard") == F.col("_s")) & (F.col("_slice") == F.col("_l"))).withColumn("slot", F.col("_start") + F.col("_row")).drop("_s", "_l", "_start", "_row", "_slice")
 
 
 def apply(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
-    narrow = keep(with_order(docs).select("doc_id", row_bytes().alias("size"), row_crc().alias("text_crc32"), "_hash", "_id"))
+    narrow = keep(with_order(docs).select("doc_id", row_bytes().alias("size"), row_crc().alias("text_crc32"), *WORDS))
     placed = narrow.withColumn("shard", shard_of(splitters(narrow, shards)).cast("int"))
     out = with_slots(placed, narrow.count(), shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import sys
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,7 +221,7 @@ def test_shards(spark, filled):
 def test_shard_balance_and_slices(spark):
     rows = [(i, f"text {i % 50_000 // 7} " + "y" * (i % 90)) for i in range(20_000)] + [(20_000 + i, "the same") for i in range(12_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    narrow = shards.with_order(docs).select("doc_id", shards.row_bytes().alias("size"), "_hash", "_id")
+    narrow = common.keep(shards.with_order(docs).select("doc_id", shards.row_bytes().alias("size"), *shards.WORDS))
     cuts = shards.splitters(narrow, 24)
     assert len(cuts) == 23 and cuts == sorted(cuts)
     placed = narrow.withColumn("shard", shards.shard_of(cuts))
@@ -321,3 +323,17 @@ def test_pipeline_stages(spark, filled, tmp_path):
 def test_pipeline_of_nothing(spark, bare, tmp_path):
     assert [df.count() for _, df in run_stages(spark, bare, tmp_path)] == [0] * 5
     assert corpus_pipeline.run(spark, bare).count() == 0
+
+
+def test_shards_part_repeated_rows(spark):
+    """Rows equal in doc_id and text, nulls or not, don't keep a shard from its law."""
+    rows = [(i, f"text {i}") for i in range(2000)] + [(None, None)] * 2000 + [(5, "once more")] * 1500
+    out = shards.apply(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).toPandas()
+    assert len(out) == len(rows)
+    held = out.groupby("shard")["size"].sum()
+    assert sorted(held.index) == list(range(24)) and held.max() - held.min() <= 0.06 * held.sum() / 24 + 40
+    for _, part in out.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    crc = {(d, t): zlib.crc32((t or "").encode()) for d, t in rows}
+    got = {(None if pd.isna(d) else int(d), c) for d, c in zip(out.doc_id, out.text_crc32)}
+    assert got == {(d, c) for (d, _), c in crc.items()}
