@@ -42,3 +42,18 @@ def best_cut(hist: np.ndarray) -> float | None:
         return 0.0
     upper = edges[k] if k < len(edges) else edges[k - 1] + 1
     return float((edges[k - 1] + 1 + upper) / 2 * BIN)
+
+
+def quantile_cut(hist: np.ndarray) -> float | None:
+    """The quantile of the scores at the share of rows labelled 0: as many rows lie below it as there are rows labelled 0, to a bin.
+
+    In a gap between scores, the middle of it. None when a label is missing.
+    """
+    if not len(hist) or not hist[:, 1].sum() or not hist[:, 2].sum():
+        return None
+    edges, below = hist[:, 0], np.cumsum(hist[:, 1:].sum(axis=1))
+    k = int(np.argmin(np.abs(np.concatenate([[0], below]) - hist[:, 1].sum())))
+    if k == 0:
+        return float(edges[0] * BIN)
+    upper = edges[k] if k < len(edges) else edges[k - 1] + 1
+    return float((edges[k - 1] + 1 + upper) / 2 * BIN)

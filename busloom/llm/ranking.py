@@ -2,14 +2,15 @@
 
 Of two documents, the one labelled 1 is preferred over the one labelled 0. The chance of that preference is the logistic
 function of the difference of their scores, and a score is linear in the features, so the weights come from logistic loss
-on feature differences. The threshold is the score that best parts the labelled rows (the largest sum of the two hit rates,
-in bins of 0.001); no quantile is chosen. Scores are mapped to 0..1 so that this cut falls on DECISION.
+on feature differences. The threshold is a quantile of the scores of the labelled rows: the one at the share of rows
+labelled 0 (in bins of 0.001). Scores are mapped to 0..1 so that this cut falls on DECISION.
 
 Learned from labels of rows that are not held out (`common.held_out`): weights from a bounded sample (SAMPLE_ROWS rows,
 PAIRS pairs), the cut from all of them. Inputs of a score are counts of the text alone.
 
 Defined cases: null and empty texts score as a text without words; repeated rows score alike; null ids are scored and
-never learned from; without both labels every score is 0.5; other columns of the input are not read.
+never learned from; without both labels every score is 0.5; texts with equal counts tie and get one verdict; very long
+texts are counted whole; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def fit(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         return None
     model = learn(matrix(seen), seen["label"].to_numpy(), pairs)
     hist = calibrate.label_histogram(scored(measured, model), "score")
-    cut = float(np.clip(calibrate.best_cut(hist), 1e-6, 1 - 1e-6))
+    cut = float(np.clip(calibrate.quantile_cut(hist), 1e-6, 1 - 1e-6))
     # that score becomes DECISION
     model.cut += (np.log(cut / (1 - cut)) - np.log(DECISION / (1 - DECISION))) / model.slope
     return model

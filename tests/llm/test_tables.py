@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from busloom.llm import chat, common, components, decontaminate, jaccard, queries, shards, url_lists  # noqa: E402
+from busloom.llm import calibrate, chat, common, components, decontaminate, jaccard, queries, ranking, shards, stats, url_lists  # noqa: E402
 from busloom.session import make_session  # noqa: E402
 
 SYLLABLES = "an er in on re st th ou ha le".split()
@@ -337,3 +337,36 @@ def test_shards_part_repeated_rows(spark):
     crc = {(d, t): zlib.crc32((t or "").encode()) for d, t in rows}
     got = {(None if pd.isna(d) else int(d), c) for d, c in zip(out.doc_id, out.text_crc32)}
     assert got == {(d, c) for (d, _), c in crc.items()}
+
+
+def test_quantile_cut():
+    hist = np.array([[100, 3, 1], [200, 1, 0], [500, 1, 4], [900, 0, 10]], dtype=float)
+    assert calibrate.quantile_cut(hist) == pytest.approx((201 + 500) / 2 * calibrate.BIN)  # five rows labelled 0, five rows below
+    assert calibrate.quantile_cut(hist[3:]) is None and calibrate.quantile_cut(hist[:0]) is None
+
+
+def test_pairwise_fit_against_plain_descent():
+    """The Newton steps end where plain gradient descent on the same pairs ends."""
+    r = np.random.default_rng(3)
+    x = r.normal(0, 1, (400, len(stats.NAMES)))
+    y = (x[:, 0] - 0.5 * x[:, 1] + r.normal(0, 1, 400) > 0).astype(int)
+    model = ranking.learn(x, y, pairs=3000)
+    good, bad = model.features(x[y == 1]), model.features(x[y == 0])
+    pick = np.random.default_rng(11)
+    d = good[pick.integers(0, len(good), 3000)] - bad[pick.integers(0, len(bad), 3000)]
+    w = np.zeros(d.shape[1])
+    rate = 1 / (np.linalg.eigvalsh(d.T @ d / 4 / len(d))[-1] + ranking.L2)
+    for _ in range(30_000):
+        w -= rate * (d.T @ (common.sigmoid(d @ w) - 1) / len(d) + ranking.L2 * w)
+    assert np.abs(w - model.weights).max() < 0.02
+
+
+def test_held_out_labels_change_no_score(spark, filled):
+    """held_out is crc32 of the id as text, mod 5; turning those labels round leaves every score as it is."""
+    docs, labels = (spark.read.parquet(f"{filled}/{t}.parquet").select(*c) for t, c in (("documents", ("doc_id", "text")), ("labels", ("doc_id", "quality"))))
+    measured = ranking.measure(docs)
+    turned = labels.withColumn("quality", F.when(common.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (ranking.apply(measured, ranking.fit(measured, rows)).toPandas() for rows in (labels, turned))
+    key = ["doc_id", "score"]
+    assert a.sort_values(key)[key].reset_index(drop=True).equals(b.sort_values(key)[key].reset_index(drop=True))
+    assert all(h == (not pd.isna(d) and zlib.crc32(str(int(d)).encode()) % 5 == 0) for d, h in zip(a.doc_id, a.held_out))
