@@ -62,20 +62,24 @@ def utm_xy(lat, lon, central: float = -45.0) -> tuple[Column, Column]:
     d = F.radians(_c(lon) - F.lit(central)) * F.cos(phi)
     n = F.lit(a) / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
     t, c = F.tan(phi) * F.tan(phi), ep2 * F.cos(phi) * F.cos(phi)
-    m = a * (
-        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi
-        - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi)
-        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi)
-        - (35 * e2**3 / 3072) * F.sin(6 * phi)
+    h = f / (2 - f)  # third flattening
+    m = a / (1 + h) * (
+        (1 + h**2 / 4 + h**4 / 64) * phi
+        - (3 * h / 2 - 3 * h**3 / 16) * F.sin(2 * phi)
+        + (15 * h**2 / 16 - 15 * h**4 / 64) * F.sin(4 * phi)
+        - (35 * h**3 / 48) * F.sin(6 * phi)
+        + (315 * h**4 / 512) * F.sin(8 * phi)
     )
     east = k0 * n * (
         d + (1 - t + c) * F.pow(d, F.lit(3)) / 6
-        + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * F.pow(d, F.lit(5)) / 120
+        + (5 - 18 * t + t * t + c * (14 - 58 * t) + c * c * (13 - 64 * t) + c * c * c * (4 - 24 * t)) * F.pow(d, F.lit(5)) / 120
+        + (61 - 479 * t + 179 * t * t - t * t * t) * F.pow(d, F.lit(7)) / 5040
     ) + 500000.0
     north = k0 * (
         m + n * F.tan(phi) * (
             d * d / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(d, F.lit(4)) / 24
-            + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * F.pow(d, F.lit(6)) / 720
+            + (61 - 58 * t + t * t + c * (270 - 330 * t) + c * c * (445 - 680 * t)) * F.pow(d, F.lit(6)) / 720
+            + (1385 - 3111 * t + 543 * t * t - t * t * t) * F.pow(d, F.lit(8)) / 40320
         )
     ) + 10000000.0
     return east, north

@@ -181,16 +181,6 @@ def matched(b):
     return pairs, cut_lineage(pts), V.match_to_pairs(V.headings(b.gps), pts)
 
 
-@query("v03_match_to_pairs")
-def v03(spark, sf):
-    return matched(Bus(spark, sf))[2].select("rid", "par", "s")
-
-
-@query("v04_pair_speed")
-def v04(spark, sf):
-    return V.pair_speeds(matched(Bus(spark, sf))[2], 10.0, 300.0)
-
-
 derive("v10", ["segments"], recent_sql({"cp_origem": "cp_origem", "cp_destino": "cp_destino"}, "velocidade_kmh / 3.6", 600, src="segments", qcols="viagem_id, ordem_origem, extensao_m"))
 derive("v30", ["segments"], recent_sql({"cp_origem": "cp_origem", "cp_destino": "cp_destino"}, "velocidade_kmh / 3.6", 1800, src="segments", qcols="viagem_id, ordem_origem, extensao_m"))
 
@@ -225,6 +215,28 @@ derive("pair_points", ["pair_of_stops"], "SELECT par, cp_origem, cp_destino, k.x
 derive("lights", [], "SELECT s_suppkey AS id, s_suppkey * 131 % 3500 AS x, s_suppkey % 29 * 300 + 300 + s_suppkey % 40 AS y FROM supplier")
 
 
+derive("on_pairs", ["gps", "pair_of_stops", "pair_points"], """
+SELECT rid, prefixo, cl, ta, i, dt, par, arg_min(s, pos) AS s FROM (
+  SELECT h.* EXCLUDE (s), p.par, p.x - o.a AS s, row_number() OVER (PARTITION BY rid ORDER BY sqrt(pow(h.x - p.x, 2) + pow(h.y - p.y, 2)), p.par, p.x - o.a) AS pos FROM (
+    SELECT *, last_value(ux0 IGNORE NULLS) OVER (PARTITION BY prefixo ORDER BY ta, rid ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS ux FROM (
+      SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) >= 15 AND dt <= 300 THEN dx / sqrt(dx * dx + dy * dy) END AS ux0 FROM (
+        SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, ta - lag(ta) OVER w AS dt, row_number() OVER w AS i FROM gps WINDOW w AS (PARTITION BY prefixo ORDER BY ta, rid)))) h
+  JOIN pair_points p ON pow(h.x - p.x, 2) + pow(h.y - p.y, 2) <= 625 JOIN pair_of_stops o ON o.par = p.par)
+WHERE pos <= 6 AND ux > 0.5 GROUP BY ALL""")
+
+
+@query("v03_match_to_pairs", oracle("on_pairs", "SELECT rid, par, CAST(s AS DOUBLE) AS s FROM on_pairs"))
+def v03(spark, sf):
+    return matched(Bus(spark, sf))[2].select("rid", "par", "s")
+
+
+@query("v04_pair_speed", oracle("on_pairs", """
+SELECT m.par, m.ta AS t, round(greatest(m.s - p.s, 0) / m.dt, 6) AS vel_ms, m.cl AS cl_medidor, m.prefixo FROM on_pairs m
+JOIN on_pairs p ON p.prefixo = m.prefixo AND p.par = m.par AND p.i = m.i - 1 WHERE m.dt BETWEEN 10 AND 300 AND m.s - p.s >= -5"""))
+def v04(spark, sf):
+    return rounded(V.pair_speeds(matched(Bus(spark, sf))[2], 10.0, 300.0), "vel_ms").withColumn("t", F.unix_seconds("t"))
+
+
 @query("v06_lights_on_pairs", oracle("pair_of_stops pair_points lights", """
 SELECT p.par, cp_origem, cp_destino, extensao_m, coalesce(n, 0) AS geo_semaforos, coalesce(n, 0) / greatest(extensao_m / 1000, 0.05) AS geo_semaforos_km
 FROM pair_of_stops AS p LEFT JOIN (SELECT par, count(DISTINCT id) AS n FROM pair_points AS q JOIN lights AS l ON (q.x - l.x) ** 2 + (q.y - l.y) ** 2 <= 400 GROUP BY 1) AS c ON c.par = p.par"""))

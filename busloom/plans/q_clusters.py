@@ -27,12 +27,13 @@ SELECT s.*, zona FROM segments s LEFT JOIN (SELECT lat, lon, arg_min(zona, ordem
   GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1, 2) USING (lat, lon)""")
 
 
-def dbscan_sql(src: str, eps: float, minp: int, eps_t: float | None = None, by: str | None = None) -> str:
-    """Brute force as SQL: neighbours, cores, transitive closure over cores, lowest cluster for borders."""
+def dbscan_sql(src: str, eps: float | str, minp: int, eps_t: float | None = None, by: str | None = None) -> str:
+    """Brute force as SQL: neighbours, cores, transitive closure over cores, lowest cluster for borders. `eps` may name a column."""
+    reach = f"pow(a.{eps}, 2)" if isinstance(eps, str) else eps * eps
     b = f"a.{by} = b.{by} AND " if by else ""
     t = f" AND abs(a.t - b.t) <= {eps_t}" if eps_t else ""
     return f"""
-, nb AS (SELECT a.id AS u, b.id AS v FROM {src} a JOIN {src} b ON {b}pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {eps * eps}{t}),
+, nb AS (SELECT a.id AS u, b.id AS v FROM {src} a JOIN {src} b ON {b}pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {reach}{t}),
 co AS (SELECT u AS id FROM nb GROUP BY u HAVING count(*) >= {minp}),
 ce AS (SELECT u, v FROM nb WHERE u IN (SELECT id FROM co) AND v IN (SELECT id FROM co)),
 r AS (SELECT id AS v, id AS c FROM co UNION SELECT ce.v, r.c FROM r JOIN ce ON ce.u = r.v),
@@ -83,7 +84,12 @@ def c04(spark, sf):
     return DB.st_dbscan(p, "id", "x", "y", 150.0, 5)
 
 
-@query("c05_level_sweep")
+@query("c05_level_sweep", rec(oracle("pts", f"""
+, lv AS (SELECT id * 10 + k AS id, id AS pid, x, y, k AS g, raio FROM pts, (VALUES (0, 100.0::DOUBLE), (1, 150.0), (2, 250.0)) v(k, raio))
+{dbscan_sql("lv", "raio", 5, by="g").strip()},
+m AS (SELECT pid, g, rotulo // 10 AS rotulo FROM lv JOIN lab ON lab.id = lv.id WHERE rotulo <> -1),
+b AS (SELECT pid, rotulo FROM m JOIN (SELECT rotulo, count(DISTINCT g) AS vida FROM m GROUP BY 1) USING (rotulo) QUALIFY row_number() OVER (PARTITION BY pid ORDER BY vida DESC, g) = 1)
+SELECT id AS vec_id, coalesce(rotulo, -1) AS rotulo FROM pts LEFT JOIN b ON b.pid = pts.id""".strip())))
 def c05(spark, sf):
     return DB.level_sweep(Bus(spark, sf).points, "vec_id", "x", "y", [100.0, 150.0, 250.0], 5)
 
@@ -117,8 +123,8 @@ def daily(b, **kw):
 EP = dbscan_sql("late", 400.0, 4, 7200.0, "dia").strip() + ", ep AS (SELECT late.*, rotulo FROM late JOIN lab ON lab.id = late.id)"
 
 
-def ep(body):
-    return rec(oracle("late", EP + body))
+def ep(body, uses="late"):
+    return rec(oracle(uses, EP + body))
 
 
 @query("c10_cluster_summary", ep("""
@@ -164,12 +170,20 @@ def c13(spark, sf):
     return daily(Bus(spark, sf)).select(F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("long").alias("dia"), "id", "rotulo")
 
 
-@query("c14_parameter_grid")
+@query("c14_parameter_grid", rec(oracle("late", f"""
+, grid AS (SELECT id * 10 + k AS id, dia * 10 + k AS g, dia, t, x, y, cp, eps FROM late, (VALUES (0, 300.0::DOUBLE), (1, 600.0)) v(k, eps))
+{dbscan_sql("grid", "eps", 4, 7200.0, "g").strip()},
+m AS (SELECT grid.*, rotulo FROM grid JOIN lab ON lab.id = grid.id),
+e AS (SELECT eps, dia, rotulo, count(*) AS n, (max(t) - min(t)) / 60 AS dur FROM m WHERE rotulo <> -1 GROUP BY 1, 2, 3),
+z AS (SELECT eps, count(*) AS episodios, max(n) AS maior, median(n) AS tamanho_mediano, round(median(dur), 6) AS duracao_mediana_min FROM e GROUP BY 1),
+c AS (SELECT eps, count(*) FILTER (d >= 5) AS paradas_recorrentes FROM (SELECT eps, cp, count(DISTINCT dia) AS d FROM m WHERE rotulo <> -1 GROUP BY 1, 2) GROUP BY 1)
+SELECT n.*, episodios, maior, tamanho_mediano, duracao_mediana_min, paradas_recorrentes FROM (SELECT eps, count(*) AS eventos, round(100 * avg(CASE WHEN rotulo = -1 THEN 1 ELSE 0 END), 6) AS ruido_pct FROM m GROUP BY 1) n
+LEFT JOIN z ON z.eps = n.eps LEFT JOIN c ON c.eps = n.eps""".strip())))
 def c14(spark, sf):
     late = cut_lineage(late_of(Bus(spark, sf)))
     grid = late.withColumn("eps", F.explode(F.array(F.lit(300.0), F.lit(600.0))))
     lab = DB.st_dbscan(grid, "id", "x", "y", F.col("eps"), 4, by=["eps", "dia"], t="ts", eps_t=7200.0)
-    return C.grid_measures(cut_lineage(grid.join(lab.drop("nucleo"), ["eps", "dia", "id"])), ["eps"])
+    return rounded(C.grid_measures(cut_lineage(grid.join(lab.drop("nucleo"), ["eps", "dia", "id"])), ["eps"]), "ruido_pct", "duracao_mediana_min")
 
 
 def zoned(b, df):
@@ -184,12 +198,17 @@ def c15(spark, sf):
     return rounded(e, "duracao_min").select(F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("long").alias("dia"), "rotulo", "n", F.size("linhas").cast("long").alias("linhas_n"), "duracao_min", "hora_inicio")
 
 
-@query("c16_episodes_per_zone")
+@query("c16_episodes_per_zone", ep("""
+, z AS (SELECT dia, rotulo, zona FROM ep JOIN (SELECT DISTINCT lat, lon, zona FROM segz) USING (lat, lon) WHERE rotulo <> -1 AND zona IS NOT NULL
+  GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY dia, rotulo ORDER BY count(*) DESC, zona) = 1),
+e AS (SELECT zona, count(*) AS episodios, count(DISTINCT dia) AS dias FROM z GROUP BY 1)
+SELECT p.zona, passagens, coalesce(episodios, 0) AS episodios, coalesce(dias, 0) AS dias, round(1e4 * coalesce(episodios, 0) / passagens, 6) AS por_10mil
+FROM (SELECT zona, count(*) AS passagens FROM segz GROUP BY 1) p LEFT JOIN e ON e.zona = p.zona""", "late segz"))
 def c16(spark, sf):
     b = Bus(spark, sf)
     z = cut_lineage(zoned(b, daily(b)).where("rotulo <> -1"))
     e = modal_value(z.where("zona IS NOT NULL"), ["dia", "rotulo"], "zona", "zona")
-    return C.per_zone(e, zoned(b, seg_of(b)), "zona")
+    return rounded(C.per_zone(e, zoned(b, seg_of(b)), "zona"), "por_10mil")
 
 
 @query("c17_episode_profile", ep("""
@@ -229,11 +248,14 @@ def c18(spark, sf):
     return rounded(C.permutation_test(s, "id", "zona", SHUFFLES, 2, 400.0, 7200.0, 4), "media", "fracao_igual_ou_acima")
 
 
-@query("c19_episode_context")
+@query("c19_episode_context", ep(f"""
+, e AS (SELECT rotulo AS episodio, {sql_x('avg(lon)')} AS x, {sql_y('avg(lat)')} AS y, min(t) AS a, max(t) AS b FROM ep WHERE rotulo <> -1 GROUP BY dia, rotulo),
+s AS (SELECT {sql_x('lon')} AS x, {sql_y('lat')} AS y, t_chegada AS t, atrasado FROM segments)
+SELECT episodio, t // 900 * 900 AS bloco, count(*) AS n, round(avg(atrasado), 6) AS taxa FROM e JOIN s ON t BETWEEN a - 5400 AND b + 5400 AND pow(s.x - e.x, 2) + pow(s.y - e.y, 2) <= 490000 GROUP BY 1, 2"""))
 def c19(spark, sf):
     b = Bus(spark, sf)
     e = cut_lineage(C.episode_table(daily(b)))
-    return C.episode_context(e, seg_of(b).withColumn("t", F.col("t_chegada")))
+    return rounded(C.episode_context(e, seg_of(b).withColumn("t", F.col("t_chegada"))), "taxa").withColumn("bloco", F.unix_seconds("bloco"))
 
 
 @query("q21_stop_recurrence", ep("""

@@ -53,15 +53,15 @@ UTM_SQL = """
 t AS (SELECT *, sinh(atanh(sin(phi)) - 2 * sqrt(n) / (1 + n) * atanh(2 * sqrt(n) / (1 + n) * sin(phi))) AS tau FROM k),
 u AS (SELECT *, atan2(tau, cos(lam)) AS xi, asinh(sin(lam) / sqrt(tau * tau + cos(lam) * cos(lam))) AS eta,
   0.9996 * 6378137.0 / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) AS a,
-  n / 2 - 2 * n * n / 3 + 5 * n ** 3 / 16 AS a1, 13 * n * n / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM t)
-SELECT event_id, round(500000 + a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 1) AS x,
-  round(10000000 + a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 1) AS y FROM u"""
+  n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM t)
+SELECT event_id, round(500000 + a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 2) AS x,
+  round(10000000 + a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 2) AS y FROM u"""
 
 
 @query("g04_utm_projection", oracle("positions", UTM_SQL.strip()))
 def g04(spark, sf):
     east, north = geo.utm_xy("lat", "lon")
-    return Bus(spark, sf).positions.select("event_id", F.round(east, 1).alias("x"), F.round(north, 1).alias("y"))
+    return Bus(spark, sf).positions.select("event_id", F.round(east, 2).alias("x"), F.round(north, 2).alias("y"))
 
 
 @query("g05_polyline_segments", oracle("poly", """

@@ -173,10 +173,22 @@ def m14(spark, sf):
     return rounded(M.best_threshold(preds(Bus(spark, sf)), "c", "p"), "f1")
 
 
-@query("m15_classification_report")
+@query("m15_classification_report", oracle("preds", """
+, t AS (SELECT round(unnest(generate_series(1, 49)) * 0.02, 2) AS limiar),
+s AS (SELECT limiar, count(*) FILTER (p >= limiar AND c = 1) AS vp, count(*) FILTER (p >= limiar AND c = 0) AS fp, count(*) FILTER (p < limiar AND c = 1) AS fn FROM t, preds WHERE cl % 2 = 0 GROUP BY 1),
+best AS (SELECT CAST(limiar AS DOUBLE) AS limiar FROM s ORDER BY round(2 * vp / (2 * vp + fp + fn), 9) DESC, limiar LIMIT 1),
+test AS (SELECT * FROM preds WHERE cl % 2 = 1),
+k AS (SELECT limiar, count(*) AS n, avg(c) AS taxa_base, count(*) FILTER (p >= limiar AND c = 1) AS vp, count(*) FILTER (p >= limiar AND c = 0) AS fp, count(*) FILTER (p < limiar AND c = 0) AS vn,
+  count(*) FILTER (p < limiar AND c = 1) AS fn, avg(pow(p - c, 2)) AS b, avg(pow(0.25 - c, 2)) AS br FROM test, best GROUP BY 1),
+g AS (SELECT p, sum(c) AS pos, count(*) - sum(c) AS neg FROM test GROUP BY 1),
+w AS (SELECT *, sum(neg) OVER (ORDER BY p) - neg AS below, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM g),
+a AS (SELECT sum(pos * (below + neg / 2)) / max(np * nn) AS auc, sum(pos / np * tp / (tp + fp)) AS pr_auc FROM w)
+SELECT n, round(taxa_base, 6) AS taxa_base, vp, fp, vn, fn, round((vp + vn) / n, 6) AS acuracia, round(vp / (vp + fp), 6) AS precisao, round(vp / (vp + fn), 6) AS revocacao, round(2 * vp / (2 * vp + fp + fn), 6) AS f1, limiar,
+  round(2 * taxa_base / (taxa_base + 1), 6) AS f1_sempre_atrasado, round(auc, 6) AS auc, round(pr_auc, 6) AS pr_auc, round(b, 6) AS brier, round(br, 6) AS brier_ref, round(1 - b / br, 6) AS brier_skill FROM k, a""".strip()))
 def m15(spark, sf):
     d = W.cut_lineage(preds(Bus(spark, sf)))
-    return M.classification_report(d.where("cl % 2 = 0"), d.where("cl % 2 = 1"), "c", "p", 0.25)
+    r = M.classification_report(d.where("cl % 2 = 0"), d.where("cl % 2 = 1"), "c", "p", 0.25)
+    return rounded(r, "taxa_base", "acuracia", "precisao", "revocacao", "f1", "f1_sempre_atrasado", "auc", "pr_auc", "brier", "brier_ref", "brier_skill")
 
 
 @query("m16_mae_by_horizon", oracle("fsplit", FB + """

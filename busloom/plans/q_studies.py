@@ -155,7 +155,14 @@ def e15(spark, sf):
     return rounded(E.zone_variants(cuts, "zona", 50), *cuts)
 
 
-@query("e16_zone_by_origin_or_midpoint")
+@query("e16_zone_by_origin_or_midpoint", oracle("segz stops zone_edges", """
+, o AS (SELECT cp AS cp_origem, arg_min(zona, ordem) AS zona_origem FROM (SELECT p.cp, z.zona, z.ordem FROM stops p JOIN zone_edges z
+  ON (z.y1 > p.lat) <> (z.y2 > p.lat) AND p.lon < (z.x2 - z.x1) * (p.lat - z.y1) / (z.y2 - z.y1) + z.x1 GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1),
+j AS (SELECT segz.*, zona_origem FROM segz LEFT JOIN o USING (cp_origem)),
+m AS (SELECT zona, 100 * avg(atrasado) AS v FROM j WHERE zona IS NOT NULL GROUP BY 1 HAVING count(*) >= 30),
+q AS (SELECT zona_origem AS zona, 100 * avg(atrasado) AS r FROM j WHERE zona_origem IS NOT NULL GROUP BY 1 HAVING count(*) >= 30),
+k AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS a, rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2 AS b FROM m JOIN q USING (zona))
+SELECT count(*) AS n, round(corr(v, r), 6) AS pearson, round(corr(a, b), 6) AS spearman, (SELECT round(100 * avg(CAST(zona = zona_origem AS INTEGER)), 6) FROM j) AS concordancia_pct FROM k""".strip()))
 def e16(spark, sf):
     b = Bus(spark, sf)
     d = cut_lineage(segz(spark, sf))
@@ -163,7 +170,7 @@ def e16(spark, sf):
     j = d.join(st, "cp_origem", "left")
     z = E.zone_variants({"meio": j, "origem": j.drop("zona").withColumnRenamed("zona_origem", "zona")}, "zona", 30)
     agree = j.agg((100 * F.avg((F.col("zona") == F.col("zona_origem")).cast("double"))).alias("concordancia_pct"))
-    return E.correlations(z, "meio", "origem").crossJoin(agree)
+    return rounded(E.correlations(z, "meio", "origem").crossJoin(agree), "pearson", "spearman", "concordancia_pct")
 
 
 @query("e17_block_bootstrap")
@@ -277,10 +284,13 @@ def e31(spark, sf):
     return rounded(E.places_in_two_periods(cut_lineage(seg(sf, spark)), "cp_destino", F.col("dia") < "2024-01-16"), "pearson", "spearman")
 
 
-@query("e32_rain_effect")
+@query("e32_rain_effect", oracle("segments rain", """
+, y AS (SELECT h, avg(mm) AS city FROM rain GROUP BY 1),
+g AS (SELECT hora, avg(atrasado) FILTER (city > 1) AS a, avg(atrasado) FILTER (city <= 1) AS b, count(*) FILTER (city > 1) AS n FROM segments JOIN y ON h = t_origem // 3600 * 3600 GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_chuva, round(100 * sum(n * (a - b)) / sum(n), 6) AS diferenca_pp FROM g WHERE a IS NOT NULL AND b IS NOT NULL""".strip()))
 def e32(spark, sf):
     b = Bus(spark, sf)
-    return E.wet_effect(W.rain_features(typed_segments(b), rain_of(b)), F.col("chuva_cidade_1h_mm") > 1)
+    return rounded(E.wet_effect(W.rain_features(typed_segments(b), rain_of(b)), F.col("chuva_cidade_1h_mm") > 1), "diferenca_pp")
 
 
 @query("e33_probe_against_fleet", oracle("segments", """
