@@ -11,7 +11,7 @@ from busloom.operators import polyline as PL
 from busloom.plans.q_delay import epoch, rounded, seg_of
 from busloom.plans.q_features import ID, recent_sql
 from busloom.plans.registry import query
-from busloom.plans.standins import Bus, derive, oracle
+from busloom.plans.standins import Bus, derive, oracle, sql_hour, sql_weekday
 from busloom.session import cut_lineage
 
 
@@ -262,14 +262,17 @@ def lane_text(key):
     return F.when(k % 4 == 0, two).when(k % 4 == 1, F.lit("Integral")).when(k % 4 == 2, one).otherwise("")
 
 
-@query("v08_lane_timetables", """
+LANES = """
 WITH k AS (SELECT s_suppkey AS faixa, s_suppkey % 4 AS m FROM supplier),
 w AS (SELECT faixa, unnest(range(0, 4)) AS dia, 5.0 + faixa % 5 AS a, 11.0 + faixa % 7 AS b FROM k WHERE m = 0
   UNION ALL SELECT faixa, unnest(range(0, 4)), 16.25, 19.0 FROM k WHERE m = 0
   UNION ALL SELECT faixa, 5, 8.0, 12.0 + faixa % 3 FROM k WHERE m = 0
   UNION ALL SELECT faixa, 6, 6.75 + faixa % 4, 13.0 FROM k WHERE m = 2
   UNION ALL SELECT faixa, unnest(range(0, 7)), 0.0, 24.0 FROM k WHERE m IN (1, 3))
-SELECT faixa, CAST(dia AS INTEGER) AS dia, CAST(a AS DOUBLE) AS h_ini, CAST(b AS DOUBLE) AS h_fim FROM w""")
+SELECT faixa, CAST(dia AS INTEGER) AS dia, CAST(a AS DOUBLE) AS h_ini, CAST(b AS DOUBLE) AS h_fim FROM w"""
+
+
+@query("v08_lane_timetables", LANES.strip())
 def v08(spark, sf):
     return V.lane_windows(Bus(spark, sf).table("supplier").select(F.col("s_suppkey").alias("faixa"), lane_text("s_suppkey").alias("txt")), "txt")
 
@@ -281,16 +284,38 @@ def agenda(b):
     return V.market_windows(m, "d", "h")
 
 
-@query("v09_market_agenda", oracle("pair_points lights", """
+MARKETS = """
 SELECT DISTINCT cp_origem, cp_destino, id AS feira, dia, CASE WHEN id % 2 = 0 THEN 7.5 ELSE 7.0 END::DOUBLE AS h_ini, CASE WHEN id % 2 = 0 THEN 13.0 ELSE 14.0 END::DOUBLE AS h_fim
 FROM pair_points AS q JOIN lights AS l ON (q.x - l.x) ** 2 + (q.y - l.y) ** 2 <= 40000
-JOIN (SELECT unnest([0, 1, 1, 2]) AS m, unnest([1, 5, 6, 2]) AS dia) AS d ON d.m = l.id % 3"""))
+JOIN (SELECT unnest([0, 1, 1, 2]) AS m, unnest([1, 5, 6, 2]) AS dia) AS d ON d.m = l.id % 3"""
+
+
+@query("v09_market_agenda", oracle("pair_points lights", MARKETS))
 def v09(spark, sf):
     b = Bus(spark, sf)
     return V.market_agenda(matched(b)[1], agenda(b))
 
 
-@query("v10_attach_layers")
+# the lane nearest to each point of a pair, at most 15 m away
+derive("lane_points", ["pair_points", "lights"], """
+SELECT q.par, q.x, l.id FROM pair_points q JOIN lights l ON abs(q.y - l.y) <= 15, range(0, 301, 10) t(d) WHERE pow(q.x - l.x - d, 2) + pow(q.y - l.y, 2) <= 225
+GROUP BY q.par, q.x, l.id QUALIFY row_number() OVER (PARTITION BY q.par, q.x ORDER BY min(sqrt(pow(q.x - l.x - d, 2) + pow(q.y - l.y, 2))), l.id) = 1""")
+# pairs with the lights on them
+LIT = """(SELECT p.*, coalesce(n, 0) AS k FROM pair_of_stops AS p LEFT JOIN (
+  SELECT par, count(DISTINCT id) AS n FROM pair_points AS q JOIN {lights} AS l ON pow(q.x - l.x, 2) + pow(q.y - l.y, 2) <= 400 GROUP BY 1) AS c ON c.par = p.par)"""
+
+
+@query("v10_attach_layers", oracle("segments lane_points pair_of_stops pair_points lights", f"""
+, agenda AS ({MARKETS}),
+lanes AS (SELECT par, faixa, dia AS wd, h_ini, h_fim, fracao FROM (SELECT par, id, count(*) / max(t) AS fracao FROM lane_points JOIN (SELECT par, count(*) AS t FROM pair_points GROUP BY 1) USING (par) GROUP BY 1, 2)
+  JOIN ({LANES}) ON faixa = id),
+q AS (SELECT viagem_id, ordem_origem, cp_origem, cp_destino, {sql_weekday('t_origem')} AS wd, {sql_hour('t_origem')} + (t_origem - 10800) % 3600 // 60 / 60 AS h FROM segments),
+a AS (SELECT viagem_id, ordem_origem, count(*) AS fd, count(*) FILTER (h BETWEEN h_ini AND h_fim) AS fa FROM q JOIN agenda g ON g.cp_origem = q.cp_origem AND g.cp_destino = q.cp_destino AND g.dia = q.wd GROUP BY 1, 2),
+x AS (SELECT viagem_id, ordem_origem, sum(fracao) AS fx FROM q JOIN pair_of_stops p ON p.cp_origem = q.cp_origem AND p.cp_destino = q.cp_destino JOIN lanes l ON l.par = p.par AND l.wd = q.wd AND h >= h_ini AND h < h_fim GROUP BY 1, 2)
+SELECT q.viagem_id, q.ordem_origem, f.k AS geo_semaforos, CASE WHEN f.k IS NOT NULL THEN coalesce(fd, 0) END AS geo_feira_dia, CASE WHEN f.k IS NOT NULL THEN coalesce(fa, 0) END AS geo_feira_agora,
+  round(CASE WHEN f.k IS NOT NULL THEN least(1, coalesce(fx, 0)) END, 6) AS geo_faixa_ativa
+FROM q LEFT JOIN {LIT.format(lights='lights')} f ON f.cp_origem = q.cp_origem AND f.cp_destino = q.cp_destino
+LEFT JOIN a ON a.viagem_id = q.viagem_id AND a.ordem_origem = q.ordem_origem LEFT JOIN x ON x.viagem_id = q.viagem_id AND x.ordem_origem = q.ordem_origem""".strip()))
 def v10(spark, sf):
     b = Bus(spark, sf)
     pairs, pts, _ = matched(b)
@@ -298,10 +323,17 @@ def v10(spark, sf):
     share = V.share_per_feature(pts, lane).join(pairs.select("par", "cp_origem", "cp_destino"), "par")
     lanes = V.lane_windows(share.withColumn("txt", lane_text("feicao")), "txt").drop("par", "feicao")
     d = V.attach_layers(seg_of(b), ID, V.lights_on_pairs(pairs, pts, lights), V.market_agenda(pts, agenda(b)), lanes)
-    return d.select(*ID, "geo_semaforos", "geo_feira_dia", "geo_feira_agora", "geo_faixa_ativa")
+    return rounded(d, "geo_faixa_ativa").select(*ID, "geo_semaforos", "geo_feira_dia", "geo_feira_agora", "geo_faixa_ativa")
 
 
-@query("v11_map_extract_layers")
+@query("v11_map_extract_layers", oracle("pair_of_stops pair_points lights", f"""
+, e AS (SELECT a.id AS u, b.id AS v FROM lights a JOIN lights b ON a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 900),
+r AS (SELECT id AS v, id AS c FROM lights UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.v),
+m AS (SELECT c AS id, avg(x) AS x, avg(y) AS y FROM (SELECT v, min(c) AS c FROM r GROUP BY v) JOIN lights ON id = v GROUP BY 1),
+s AS (SELECT q.par, q.x, CAST(l.id % 3 * 10 + 30 AS DOUBLE) AS v FROM pair_points q JOIN lights l ON abs(q.y - l.y) <= 15, range(0, 301, 10) t(d) WHERE pow(q.x - l.x - d, 2) + pow(q.y - l.y, 2) <= 225
+  QUALIFY row_number() OVER (PARTITION BY q.par, q.x ORDER BY sqrt(pow(q.x - l.x - d, 2) + pow(q.y - l.y, 2)), l.id % 3) = 1)
+SELECT f.par, cp_origem, cp_destino, extensao_m, k AS geo_semaforos, k / greatest(extensao_m / 1000, 0.05) AS geo_semaforos_km, osm_velocidade
+FROM {LIT.format(lights='m')} f LEFT JOIN (SELECT par, median(v) AS osm_velocidade FROM s GROUP BY 1) z ON z.par = f.par""".strip()).replace("WITH ", "WITH RECURSIVE ", 1))
 def v11(spark, sf):
     b = Bus(spark, sf)
     pairs, pts, _ = matched(b)

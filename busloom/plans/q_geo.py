@@ -193,7 +193,19 @@ def g16(spark, sf):
     return S.locate(b.positions, cells, ZONE_CELL).select("event_id", "zona")
 
 
-@query("g17_convex_hull")
+# a pair of points is an edge of the hull if no point of the group lies right of it or further along it
+derive("hulls", ["points"], """
+WITH p AS (SELECT DISTINCT label, x, y FROM points WHERE label IS NOT NULL),
+e AS (SELECT a.label, a.x, a.y FROM p a JOIN p b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.label = a.label
+  AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - b.x) * (b.x - a.x) + (c.y - b.y) * (b.y - a.y) > 0)
+    OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0)))),
+w AS (SELECT *, atan2(y - avg(y) OVER k, x - avg(x) OVER k) AS g FROM e WINDOW k AS (PARTITION BY label)),
+o AS (SELECT *, arg_min(g, (x, y)) OVER (PARTITION BY label) AS g0 FROM w)
+SELECT label, count(*) AS vertices, concat('[', string_agg(concat('[', x, ',', y, ']'), ',' ORDER BY CASE WHEN g < g0 THEN 1 ELSE 0 END, g), ',', arg_min(concat('[', x, ',', y, ']'), (x, y)), ']') AS anel
+FROM o GROUP BY label HAVING count(*) > 2""")
+
+
+@query("g17_convex_hull", oracle("hulls", "SELECT label, CAST(vertices AS INTEGER) AS vertices, anel FROM hulls"))
 def g17(spark, sf):
     return S.convex_hulls(Bus(spark, sf).points, "label").select("label", "vertices", F.to_json("anel").alias("anel"))
 
