@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from busloom.functions import calendar as cal
 from busloom.functions import geo
 from busloom.operators.dbscan import st_dbscan
+from busloom.operators.metrics import draw
 from busloom.operators.ordered import Ordered
 from busloom.operators.quantiles import summarize
 from busloom.session import cut_lineage
@@ -148,8 +149,7 @@ def shuffled_flags(seg: DataFrame, pid: str, groups: list[str], replicates: int,
     ranked across slices.
     """
     d = seg.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draw = F.md5(F.concat_ws(":", F.lit(seed), "replica", pid))
-    d = d.withColumn("_h", F.conv(F.substring(draw, 1, 13), 16, 10).cast("double"))  # 52 bits: exact
+    d = d.withColumn("_h", draw(F.lit(seed), "replica", pid).cast("double"))  # 52 bits: exact
     k = seg.groupBy(*groups).agg(F.sum("atrasado").alias("_k"))
     r = Ordered(d, ["replica", *groups], ["_h", pid]).row_number("_r").df.join(k, groups)
     return r.withColumn("atrasado", (F.col("_r") <= F.col("_k")).cast("int")).drop("_h", "_r", "_k")

@@ -194,13 +194,20 @@ def per_line_table(errors: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("_a").alias("mae_dia_a"), F.avg("_b").alias("mae_dia_b"), F.count_if(F.col("_a") < F.col("_b")).alias("dias_a"), F.count("*").alias("dias"))
 
 
+def draw(*parts) -> Column:
+    """A number of 52 bits fixed by md5, so other engines can draw the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
+
+
+# Cumulative Poisson(1) probabilities.
+POISSON_CDF = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
+
+
 def poisson_weight(*parts) -> Column:
     """Poisson(1) draw fixed by a hash: the same replicate and unit always weigh the same."""
-    u = F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
-    # Cumulative Poisson(1) probabilities.
-    cdf = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    out = F.lit(len(cdf))
-    for k, c in reversed(list(enumerate(cdf))):
+    u = draw(*parts) / float(1 << 52)
+    out = F.lit(len(POISSON_CDF))
+    for k, c in reversed(list(enumerate(POISSON_CDF))):
         out = F.when(u < c, k).otherwise(out)
     return out
 

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from busloom.operators.metrics import cluster_bootstrap, quantile_bins
+from busloom.operators.metrics import cluster_bootstrap, draw, poisson_weight, quantile_bins
 from busloom.operators.ordered import Ordered
 from busloom.operators.quantiles import group_quantiles, summarize, with_group_median
 from busloom.operators.reports import modal_value
@@ -121,8 +121,6 @@ def date_bootstrap(seg: DataFrame, day: str, group: str, replicates: int = 300)
 
 def rate_difference(seg: DataFrame, unit: str, flag: Column, replicates: int = 300) -> DataFrame:
     """Difference of late rates between flagged and other rows, resampling whole days."""
-    from busloom.operators.metrics import poisson_weight
-
     s = seg.groupBy(unit).agg(*[F.sum(F.when(c, v).otherwise(0)).alias(n) for n, c, v in (
         ("a", flag, F.col("atrasado")), ("na", flag, F.lit(1)), ("b", ~flag, F.col("atrasado")), ("nb", ~flag, F.lit(1)))])
     r = s.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.lit(3), F.col("_r"), F.col(unit)))
@@ -251,11 +249,11 @@ def synthetic_trips(seg: DataFrame, cell: list[str], replicates: int = 20, seed:
 
     Donors are numbered inside their cell; a passage draws a number by hash and joins on it.
     """
-    d = seg.withColumn("_h", F.xxhash64(F.lit(seed), "viagem_id", "ordem_origem").cast("double"))
+    d = seg.withColumn("_h", draw(F.lit(seed), "viagem_id", "ordem_origem").cast("double"))
     don = Ordered(d, cell, ["_h", "viagem_id"]).row_number("_i").df.select(*cell, "_i", F.col("tempo_percurso_s").alias("_d"))
     size = seg.groupBy(*cell).agg(F.count("*").alias("_n"))
     q = seg.join(size, cell).withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    q = q.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed + 1), "replica", "viagem_id", "ordem_origem"), F.col("_n")) + 1)
+    q = q.withColumn("_i", draw(F.lit(seed + 1), "replica", "viagem_id", "ordem_origem") % F.col("_n") + 1)
     t = q.join(don, [*cell, "_i"]).groupBy("replica", "viagem_id").agg(F.sum("_d").alias("s"), F.sum("percurso_tipico_s").alias("m"))
     real = seg.groupBy("viagem_id").agg(F.sum("tempo_percurso_s").alias("s"), F.sum("percurso_tipico_s").alias("m"))
     sd = lambda x: F.stddev_samp(F.col("s") - F.col("m")).alias(x)

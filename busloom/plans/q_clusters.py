@@ -12,7 +12,7 @@ from busloom.plans.q_delay import pairs_of, rounded, seg_of
 from busloom.plans.q_geo import ZONE_CELL
 from busloom.plans.q_reports import typed_segments
 from busloom.plans.registry import query
-from busloom.plans.standins import Bus, derive, oracle, sql_hour
+from busloom.plans.standins import Bus, derive, oracle, sql_draw, sql_hour
 from busloom.session import cut_lineage
 
 derive("late", ["segments"], f"""
@@ -227,7 +227,7 @@ def shuffle_sql(k: int, name: str) -> str:
     groups, n = SHUFFLES[name]
     part = f"PARTITION BY r, {', '.join(groups)}"
     draws = ", ".join(f"({r})" for r in range(1, n + 1))
-    return f"""SELECT {k} * 100 + r AS code, pid, dia, x, y, t, zona FROM (SELECT *, row_number() OVER ({part} ORDER BY ('0x' || substr(md5(concat_ws(':', 5, r, pid)), 1, 13))::BIGINT, pid) AS pos,
+    return f"""SELECT {k} * 100 + r AS code, pid, dia, x, y, t, zona FROM (SELECT *, row_number() OVER ({part} ORDER BY {sql_draw('5', 'r', 'pid')}, pid) AS pos,
   sum(atrasado) OVER ({part}) AS late_n FROM base, (VALUES {draws}) v(r)) WHERE pos <= late_n
 UNION ALL SELECT {k} * 100, pid, dia, x, y, t, zona FROM base WHERE atrasado = 1"""
 

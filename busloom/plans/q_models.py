@@ -10,7 +10,7 @@ from busloom.operators.asof import asof_join, seconds_between
 from busloom.plans.q_delay import pairs_of, rounded, seg_of
 from busloom.plans.q_features import ID, base_of
 from busloom.plans.registry import query
-from busloom.plans.standins import Bus, derive, oracle
+from busloom.plans.standins import Bus, derive, oracle, sql_poisson
 
 # predictions derived from the passages: two rival errors, a probability, three quantiles
 derive("preds", ["segments"], """
@@ -296,10 +296,13 @@ def m26(spark, sf):
     return ML.ablation(model_rows(Bus(spark, sf)), FEATS[:4], {"transito": FEATS[6:8]}, "alvo_s", rounds=3)
 
 
-@query("m27_cluster_bootstrap")
+@query("m27_cluster_bootstrap", oracle("preds", f"""
+, s AS (SELECT viagem_id, sum(abs(a - y) - abs(b - y)) AS e, count(*) AS n FROM preds GROUP BY 1),
+r AS (SELECT r, sum(w * e) / nullif(sum(w * n), 0) AS v FROM (SELECT *, {sql_poisson('7', 'r', 'viagem_id')} AS w FROM s, range(1, 201) t(r)) GROUP BY 1)
+SELECT (SELECT round(sum(e) / sum(n), 6) FROM s) AS valor, round(quantile_cont(v, 0.025), 6) AS ic_baixo, round(quantile_cont(v, 0.975), 6) AS ic_alto FROM r""".strip()))
 def m27(spark, sf):
     d = preds(Bus(spark, sf))
-    return M.cluster_bootstrap(d, "viagem_id", F.abs(F.col("a") - F.col("y")) - F.abs(F.col("b") - F.col("y")), F.lit(1.0))
+    return rounded(M.cluster_bootstrap(d, "viagem_id", F.abs(F.col("a") - F.col("y")) - F.abs(F.col("b") - F.col("y")), F.lit(1.0)), "valor", "ic_baixo", "ic_alto")
 
 
 @query("m28_per_line", oracle("preds", """

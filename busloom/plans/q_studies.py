@@ -10,9 +10,12 @@ from busloom.plans.q_delay import rounded
 from busloom.plans.q_features import rain_of
 from busloom.plans.q_reports import typed_segments
 from busloom.plans.registry import query
-from busloom.plans.standins import Bus, derive, oracle
+from busloom.plans.standins import Bus, derive, oracle, sql_draw, sql_poisson
 from busloom.session import cut_lineage
 
+DIA_TEXT = "CAST(DATE '1970-01-01' + CAST(dia AS INTEGER) AS VARCHAR)"
+
+
 def seg(sf, spark):
     return typed_segments(Bus(spark, sf))
 
@@ -107,9 +110,12 @@ def e10(spark, sf):
     return rounded(E.rank_stability(segz(spark, sf).where("zona IS NOT NULL"), "zona", [0.1, 0.2, 0.4], 0.2), "spearman")
 
 
-@query("e11_late_by_date")
+@query("e11_late_by_date", oracle("segments", f"""
+, d AS (SELECT tipo, dia, 100 * avg(atrasado) AS v FROM segments GROUP BY 1, 2),
+r AS (SELECT tipo, r, sum(w * v) / nullif(sum(w), 0) AS m FROM (SELECT *, {sql_poisson('7', 'r', DIA_TEXT)} AS w FROM d, range(1, 301) t(r)) GROUP BY 1, 2)
+SELECT tipo, round((SELECT avg(v) FROM d WHERE d.tipo = r.tipo), 6) AS valor, round(quantile_cont(m, 0.025), 6) AS ic_baixo, round(quantile_cont(m, 0.975), 6) AS ic_alto FROM r GROUP BY tipo""".strip()))
 def e11(spark, sf):
-    return E.date_bootstrap(seg(sf, spark), "dia", "tipo")
+    return rounded(E.date_bootstrap(seg(sf, spark), "dia", "tipo"), "valor", "ic_baixo", "ic_alto")
 
 
 @query("e12_hour_windows", oracle("segments", """
@@ -127,13 +133,15 @@ def e13(spark, sf):
     return rounded(E.fleet_by_hour(seg(sf, spark), "dia", ["2024-01-10"], F.col("tipo") == "util"), "media_util", "razao").drop("dia")
 
 
-derive("ends", ["segments", "full_trips"], """
+ENDS = """
 SELECT s.cl, CASE WHEN coalesce(rn, 0) >= 3 THEN l[1] ELSE a END AS primeiro, CASE WHEN coalesce(rn, 0) >= 3 THEN l[2] ELSE a END AS segundo,
   CASE WHEN coalesce(rn, 0) >= 3 THEN l[-2] ELSE b END AS penultimo, CASE WHEN coalesce(rn, 0) >= 3 THEN l[-1] ELSE b END AS ultimo
 FROM (SELECT cl, count(DISTINCT ordem_origem) AS k, min(ordem_origem) AS a, max(ordem_origem) AS b FROM segments GROUP BY 1) s
 LEFT JOIN (SELECT cl, list(ordem_origem ORDER BY ordem_origem) AS l, count(*) AS rn FROM (
   SELECT c.cl, c.ordem_origem, count(DISTINCT c.viagem_id) / max(t.n) AS cob FROM segments c JOIN full_trips f ON f.viagem_id = c.viagem_id JOIN (SELECT cl, count(*) AS n FROM full_trips GROUP BY 1) t ON t.cl = c.cl
-  GROUP BY 1, 2 HAVING cob >= 0.7) GROUP BY 1) r ON r.cl = s.cl""")
+  GROUP BY 1, 2 HAVING cob >= {coverage}) GROUP BY 1) r ON r.cl = s.cl"""
+derive("ends", ["segments", "full_trips"], ENDS.format(coverage=0.7))
+derive("wide_ends", ["segments", "full_trips"], ENDS.format(coverage=0.3))
 derive("full_trips", ["segments"], """
 SELECT cl, viagem_id FROM (SELECT cl, viagem_id, count(DISTINCT ordem_origem) AS n FROM segments GROUP BY 1, 2) JOIN (SELECT cl, count(DISTINCT ordem_origem) AS k FROM segments GROUP BY 1) USING (cl) WHERE n >= k / 2""")
 
@@ -173,9 +181,12 @@ def e16(spark, sf):
     return rounded(E.correlations(z, "meio", "origem").crossJoin(agree), "pearson", "spearman", "concordancia_pct")
 
 
-@query("e17_block_bootstrap")
+@query("e17_block_bootstrap", oracle("segments", f"""
+, s AS (SELECT dia, sum(atrasado) FILTER (sentido = 1) AS a, count(*) FILTER (sentido = 1) AS na, sum(atrasado) FILTER (sentido <> 1) AS b, count(*) FILTER (sentido <> 1) AS nb FROM segments GROUP BY 1),
+r AS (SELECT r, 100 * (sum(w * a) / nullif(sum(w * na), 0) - sum(w * b) / nullif(sum(w * nb), 0)) AS d FROM (SELECT *, {sql_poisson('3', 'r', DIA_TEXT)} AS w FROM s, range(1, 301) t(r)) GROUP BY 1)
+SELECT (SELECT round(100 * (sum(a) / sum(na) - sum(b) / sum(nb)), 6) FROM s) AS diferenca_pp, round(quantile_cont(d, 0.025), 6) AS ic_baixo, round(quantile_cont(d, 0.975), 6) AS ic_alto FROM r""".strip()))
 def e17(spark, sf):
-    return E.rate_difference(seg(sf, spark), "dia", F.col("sentido") == 1)
+    return rounded(E.rate_difference(seg(sf, spark), "dia", F.col("sentido") == 1), "diferenca_pp", "ic_baixo", "ic_alto")
 
 
 @query("e18_standardised_rates", oracle("segments", """
@@ -206,7 +217,12 @@ def e21(spark, sf):
     return rounded(E.rate_by_bin(seg(sf, spark), "percurso_tipico_s", 4), "tarde_pct", "media")
 
 
-@query("e22_anchored_trips")
+@query("e22_anchored_trips", oracle("segments wide_ends", """
+, t AS (SELECT cl, viagem_id, segundo, penultimo, count(*) AS trechos, sum(tempo_percurso_s) AS duracao_s, arg_min(tipo, ordem_origem) AS tipo, arg_min(faixa, ordem_origem) AS faixa
+  FROM segments JOIN wide_ends USING (cl) WHERE ordem_origem BETWEEN primeiro AND ultimo GROUP BY cl, viagem_id, primeiro, segundo, penultimo, ultimo
+  HAVING min(ordem_origem) = primeiro AND max(ordem_origem) = ultimo AND count(*) >= 0.5 * (ultimo - primeiro + 1)),
+m AS (SELECT *, median(duracao_s) OVER (PARTITION BY cl) AS mediana_s FROM t)
+SELECT *, count(*) OVER (PARTITION BY cl, tipo, faixa) AS n_celula FROM (SELECT * FROM m WHERE duracao_s > 0 AND duracao_s <= 3 * mediana_s) QUALIFY n_celula >= 2""".strip()))
 def e22(spark, sf):
     d = cut_lineage(seg(sf, spark))
     return E.anchored_trips(d, E.inner_segments(d, 0.3, 3), 0.5, 2)
@@ -237,9 +253,14 @@ def e25(spark, sf):
     return rounded(E.lag_correlation(seg(sf, spark), F.log(1 + F.col("atraso_rel")), [1, 2]), "r1", "r2", digits=5)
 
 
-@query("e26_synthetic_trips")
+@query("e26_synthetic_trips", oracle("segments", f"""
+, d AS (SELECT *, row_number() OVER (PARTITION BY cl, ordem_origem, faixa ORDER BY {sql_draw('11', 'viagem_id', 'ordem_origem')}, viagem_id) AS i, count(*) OVER (PARTITION BY cl, ordem_origem, faixa) AS n FROM segments),
+q AS (SELECT *, {sql_draw('12', 'r', 'viagem_id', 'ordem_origem')} % n + 1 AS k FROM d, range(1, 11) t(r)),
+t AS (SELECT r, q.viagem_id, sum(d.tempo_percurso_s) - sum(q.percurso_tipico_s) AS e FROM q JOIN d ON d.cl = q.cl AND d.ordem_origem = q.ordem_origem AND d.faixa = q.faixa AND d.i = q.k GROUP BY 1, 2),
+o AS (SELECT viagem_id, sum(tempo_percurso_s) - sum(percurso_tipico_s) AS e FROM segments GROUP BY 1)
+SELECT (SELECT round(stddev_samp(e), 6) FROM o) AS dp_real_s, round(avg(s), 6) AS dp_sintetico_s FROM (SELECT stddev_samp(e) AS s FROM t GROUP BY r)""".strip()))
 def e26(spark, sf):
-    return E.synthetic_trips(cut_lineage(seg(sf, spark)), ["cl", "ordem_origem", "faixa"], 10)
+    return rounded(E.synthetic_trips(cut_lineage(seg(sf, spark)), ["cl", "ordem_origem", "faixa"], 10), "dp_real_s", "dp_sintetico_s")
 
 
 @query("e27_paired_difference", oracle("segments", """

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busloom.functions.geo import num
+from busloom.operators.metrics import POISSON_CDF
 
 TEXT: dict[str, str] = {}
 TIMES: dict[str, list[str]] = {}
@@ -250,4 +251,13 @@ def sql_part(h: str) -> str:
     )
 
 
+# -- oracle forms of draws fixed by md5
+def sql_draw(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT"
+
+
+def sql_poisson(*parts: str) -> str:
+    return f"len(list_filter({POISSON_CDF}::DOUBLE[], lambda p: {sql_draw(*parts)} / {1 << 52}::DOUBLE >= p))"
+
+
 __all__ = ["Bus", "oracle", "derive", "num"]
