@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from busloom.operators.quantiles import group_quantiles
 
@@ -44,22 +47,40 @@ def importance(model, features: list[str], spark) -> DataFrame:
 def walk_forward(df: DataFrame, day: str, windows: list[int | None], keys: list[str], value: str) -> DataFrame:
     """Median predictor re-learnt for every test day from the `w` days before it (None = all before).
 
-    One job for all folds: values are counted per key and day, and every count serves the test days
-    whose window holds it, so the volume is days x window, not rows x folds.
+    Values are counted per key and day once for all windows. The counts of a key are walked day by day: those of the days that come
+    into a window are added and those that leave it taken off, so each is met twice per window, however many days follow. A key
+    holds one count per day and value. Rows whose value is NULL are tested but teach nothing; days without a day before have no row.
     """
-    counts = df.groupBy(*keys, day, value).agg(F.count("*").alias("_n"))
-    days = df.select(F.col(day).alias("dia_teste")).distinct()
-    out = []
-    for w in windows:
-        near = (F.col(day) < F.col("dia_teste")) if w is None else (F.col(day) < F.col("dia_teste")) & (F.col(day) >= F.date_sub("dia_teste", w))
-        fold = counts.join(F.broadcast(days), near)  # the days of the period
-        ref = fold.groupBy(*keys, "dia_teste").agg(F.percentile(value, 0.5, F.col("_n")).alias("previsto"), F.sum("_n").alias("n_treino"))
-        test = df.withColumn("dia_teste", F.col(day)).join(ref, [*keys, "dia_teste"])
-        out.append(test.withColumn("config", F.lit(f"janela_{w or 'toda'}")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    counts = df.groupBy(*keys, number.alias("_d"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+
+    def folds(pdf):
+        pdf = pdf.sort_values("_d", kind="stable")
+        days, known = np.unique(pdf["_d"].to_numpy()), pdf["_v"].notna().to_numpy()
+        d, n = pdf["_d"].to_numpy()[known], pdf["_n"].to_numpy("int64")[known]
+        values, at = np.unique(pdf["_v"].to_numpy("float64")[known], return_inverse=True)
+        rows = []
+        for w in windows if len(values) else []:
+            held, first, last = np.zeros(len(values), "int64"), 0, 0
+            for t in days:
+                come = np.searchsorted(d, t)
+                np.add.at(held, at[last:come], n[last:come])
+                go = first if w is None else np.searchsorted(d, t - w)
+                np.subtract.at(held, at[first:go], n[first:go])
+                first, last = go, come
+                upto = held.cumsum()
+                if upto[-1]:
+                    middle = values[np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")]
+                    rows.append((t, middle.mean(), upto[-1], f"janela_{w or 'toda'}"))
+        out = pd.DataFrame(rows, columns=["_d", "previsto", "n_treino", "config"], dtype=object)
+        for k in reversed(keys):
+            out.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=object))
+        return out
+
+    schema = T.StructType([df.schema[k] for k in keys] + [
+        T.StructField("_d", T.IntegerType()), T.StructField("previsto", T.DoubleType()), T.StructField("n_treino", T.LongType()), T.StructField("config", T.StringType())])
+    ref = counts.groupBy(*keys).applyInPandas(folds, schema)
+    return df.withColumns({"dia_teste": F.col(day), "_d": number}).join(ref, [*keys, "_d"]).drop("_d")
 
 
 def learning_curve(df: DataFrame, day: str, test_from, ks: list[int], keys: list[str], value: str) -> DataFrame:
