@@ -126,7 +126,7 @@ def g09(spark, sf):
 r AS (SELECT linha, CAST(1 AS BIGINT) AS a, n AS b FROM t WHERE i = 1 UNION ALL (
   SELECT linha, CASE WHEN h = 0 THEN a ELSE k END AS a, CASE WHEN h = 0 THEN k ELSE b END AS b FROM (
     SELECT r.linha, r.a, r.b, m.i AS k, m.x - p.x AS px, m.y - p.y AS py, q.x - p.x AS vx, q.y - p.y AS vy,
-      CASE WHEN vx * vx + vy * vy > 0 THEN least(1.0, greatest(0.0, (px * vx + py * vy) / (vx * vx + vy * vy))) ELSE 0.0 END AS f, sqrt(pow(px - f * vx, 2) + pow(py - f * vy, 2)) AS dist
+      CASE WHEN vx * vx + vy * vy > 0 THEN least(1.0, greatest(0.0, (px * vx + py * vy) / (vx * vx + vy * vy))) ELSE 0.0 END AS f, round(sqrt(pow(px - f * vx, 2) + pow(py - f * vy, 2)), 6) AS dist
     FROM r JOIN t m ON m.linha = r.linha AND m.i > r.a AND m.i < r.b JOIN t p ON p.linha = r.linha AND p.i = r.a JOIN t q ON q.linha = r.linha AND q.i = r.b
     QUALIFY row_number() OVER (PARTITION BY r.linha, r.a, r.b ORDER BY dist DESC, m.i) = 1) far, (VALUES (0), (1)) s(h) WHERE dist > 60))
 SELECT linha, seq, x, y FROM t WHERE i = 1 OR EXISTS (SELECT 1 FROM r WHERE r.linha = t.linha AND r.b = t.i)""".strip()).replace("WITH ", "WITH RECURSIVE ", 1))
