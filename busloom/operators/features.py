@@ -430,7 +430,7 @@ def network_state(base: DataFrame, asked: DataFrame) -> DataFrame:
     """State of stop pairs at the instants asked for (no, inicio), from passages finished before them.
 
     A pair's state changes with a passage or as one grows old, so it is kept per passage and read by the last one before the
-    instant; its age says which parts still hold. Nothing is made for instants that nobody asks for.
+    instant; its age says which parts still hold.
     """
     d = base.withColumns({"no": F.concat_ws(">", "cp_origem", "cp_destino"), "_rel": relative_deviation()})
     ev = d.where("alvo_s IS NOT NULL").select("no", "t_chegada", "viagem_id", "alvo_s", "_rel")
@@ -453,11 +453,17 @@ def network_state(base: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
-def asked_bins(base: DataFrame, bin_min: int = 5) -> DataFrame:
-    """(no, inicio): the bins in which a passage of the pair begins, and so asks for its state."""
+def every_bin(base: DataFrame, bin_min: int = 5) -> DataFrame:
+    """(no, inicio): every pair at the start of every bin of the period.
+
+    Its size is set by the map and the period: bins times network nodes.
+    """
     step = bin_min * 60
-    start = F.timestamp_seconds(F.floor(F.unix_seconds("t_origem") / step) * step)
-    return base.select(F.concat_ws(">", "cp_origem", "cp_destino").alias("no"), start.alias("inicio")).distinct()
+    span = base.agg(F.min("t_origem").alias("_a"), F.max("t_origem").alias("_b"))
+    first, last = (F.floor(F.unix_seconds(c) / step) * step for c in ("_a", "_b"))
+    starts = span.select(F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("_s"))
+    nodes = base.select(F.concat_ws(">", "cp_origem", "cp_destino").alias("no")).distinct()
+    return nodes.crossJoin(F.broadcast(starts)).select("no", F.timestamp_seconds("_s").alias("inicio"))
 
 
 def standardise(df: DataFrame, cols: list[str], train: Column) -> DataFrame:

@@ -353,14 +353,14 @@ def w28(spark, sf):
 e AS (SELECT no, t_chegada, median(rel) OVER a AS r15, median(rel) OVER b AS r60, median(alvo_s) OVER a AS d15, count(alvo_s) OVER a AS n15 FROM v
   WINDOW a AS (PARTITION BY no ORDER BY t_chegada RANGE BETWEEN 899 PRECEDING AND CURRENT ROW), b AS (PARTITION BY no ORDER BY t_chegada RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)
   QUALIFY row_number() OVER (PARTITION BY no, t_chegada ORDER BY viagem_id DESC) = 1),
-g AS (SELECT DISTINCT concat(cp_origem, '>', cp_destino) AS no, t_origem // 1800 * 1800 AS s FROM base),
+g AS (SELECT no, s FROM (SELECT DISTINCT no FROM v), (SELECT unnest(generate_series(min(t_origem) // 1800, max(t_origem) // 1800)) * 1800 AS s FROM base)),
 m AS (SELECT g.no, g.s, (g.s - e.t_chegada) / 60 AS idade, r15, r60, d15, n15 FROM g ASOF LEFT JOIN e ON e.no = g.no AND g.s > e.t_chegada)
 SELECT no, s AS inicio, round(CASE WHEN idade <= 15 THEN r15 ELSE 0 END, 6) AS rel15, round(CASE WHEN idade <= 60 THEN r60 ELSE 0 END, 6) AS rel60,
   round(CASE WHEN idade <= 15 THEN d15 / 60 ELSE 0 END, 6) AS desvio15_min, round(CASE WHEN idade <= 15 THEN ln(1 + n15) ELSE 0 END, 6) AS log_n15,
   round(CASE WHEN idade <= 60 THEN ln(1 + idade) / {num(math.log1p(60))} ELSE 1 END, 6) AS idade, CAST(coalesce(idade <= 60, FALSE) AS INTEGER) AS presente FROM m""".strip()))
 def w29(spark, sf):
     d = base_of(Bus(spark, sf))
-    s = W.network_state(d, W.asked_bins(d, 30))
+    s = W.network_state(d, W.every_bin(d, 30))
     return rounded(epoch(s, "inicio"), "rel15", "rel60", "desvio15_min", "log_n15", "idade")
 
 
