@@ -70,9 +70,10 @@ def nearest_k(
     return pairs.withColumn("posicao", F.row_number().over(w)).where(F.col("posicao") <= k)
 
 
-def nearest_one(left, right, lid: str, value: Column, radius: float, x="x", y="y", on=None) -> DataFrame:
-    """(lid, dist, value columns) of the nearest right row: an aggregate, no sort."""
-    pairs = radius_join(left, right, radius, on=on, x=x, y=y)
+def nearest_one(left, right, lid: str, value: Column, radius: float, x="x", y="y", on=None, spread_left: bool = False) -> DataFrame:
+    """(lid, dist, value columns) of the nearest right row: an aggregate, no sort. `spread_left` where the right side is the
+    larger: it is not repeated, and not broadcast by an estimate that may come from before its rows were made."""
+    pairs = radius_join(right.hint("merge"), left, radius, on=on, x=x, y=y) if spread_left else radius_join(left, right, radius, on=on, x=x, y=y)
     best = F.min(F.struct("dist", value.alias("v"))).alias("_b")
     return pairs.groupBy(lid).agg(best).select(lid, F.col("_b.dist").alias("dist"), F.col("_b.v").alias("v"))
 
