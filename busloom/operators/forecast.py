@@ -24,17 +24,20 @@ def clean_forecasts(fc: DataFrame, order: str, p: Params = Params()) -> DataFram
     return latest_per_key(ok, ["cl", "cp", "prefixo", "ts_coleta"], [order])
 
 
-def match_arrivals(fc: DataFrame, arrivals: DataFrame, p: Params = Params()) -> DataFrame:
-    """First arrival at or after the poll (less the tolerance); unmatched forecasts stay."""
+def match_arrivals(fc: DataFrame, arrivals: DataFrame, p: Params = Params(), raw: DataFrame | None = None) -> DataFrame:
+    """First arrival at or after the poll (less the tolerance); unmatched forecasts stay. `raw`: the forecasts before
+    cleaning, enough to see that no group is hot."""
     a = arrivals.where(F.col("confianca") >= p.min_confidence_match)
     a = add_headway(a, ("cl", "cp"), out="headway_obs_s")
     a = a.withColumn("celula", cell_id("lat", "lon"))  # before the join: one per arrival
     us = p.past_tolerance_s * 1_000_000
     q = fc.withColumn("_key", F.timestamp_micros(F.unix_micros("ts_coleta") - us))
+    by = ["cl", "cp", "prefixo"]
+    bound = None if raw is None else raw.select(*by).unionByName(arrivals.select(*by))
     cols = ("viagem_id", "ordem", "confianca", "headway_obs_s", "lat", "lon", "celula")
     return asof_join(
-        q, a, ["cl", "cp", "prefixo"], "_key", "t_chegada", {c: c for c in cols}, "viagem_id",
-        p.horizon_max_s, "forward", exact=True, event_time_out="t_chegada",
+        q, a, by, "_key", "t_chegada", {c: c for c in cols}, "viagem_id",
+        p.horizon_max_s, "forward", exact=True, event_time_out="t_chegada", bound=bound,
     ).drop("_key")
 
 
@@ -69,7 +72,7 @@ def finish_pairs(df: DataFrame) -> DataFrame:
 
 
 def build_pairs(fc, arrivals, stops, order: str = "qid", p: Params = Params()) -> DataFrame:
-    m = match_arrivals(clean_forecasts(fc, order, p), arrivals, p)
+    m = match_arrivals(clean_forecasts(fc, order, p), arrivals, p, raw=fc)
     return finish_pairs(fill_stop_names(with_error(m, p), stops))
 
 

@@ -61,7 +61,7 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per key with the named quantiles of `value` (nulls ignored)."""
     df = df.select(*keys, value)
-    if not any_hot(df, keys):
+    if not any_hot(df, keys, [value]):
         return _native(df, keys, value, probs, count)
     if not keys:
         return ranked_quantiles(df, keys, value, probs, count)
@@ -83,12 +83,17 @@ def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, cond, "left").drop(*["_j_" + k for k in keys])
 
 
-def any_hot(df: DataFrame, keys: list[str]) -> bool:
-    """Whether some group is above the hot limit; free for inputs known to be small."""
+def any_hot(df: DataFrame, keys: list[str], values: list[str]) -> bool:
+    """Whether some group has more different values than the hot limit; free for inputs known to be small.
+
+    `percentile` keeps each value once with its count, so many rows of few values are no burden.
+    """
     if is_small(df):
         return False
     limit = setting(df.sparkSession, HOT_GROUP_ROWS)
-    return bool(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).limit(1).count())
+    n = df.groupBy(*keys).agg(*[F.approx_count_distinct(v).alias(f"_n{i}") for i, v in enumerate(values)])
+    # an estimate, so from half the limit on
+    return not n.where(F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in range(len(values))]) > limit / 2).isEmpty()
 
 
 def summarize(df: DataFrame, keys: list[str], aggs: list, quantiles: dict[str, dict[str, float]]) -> DataFrame:
@@ -96,7 +101,7 @@ def summarize(df: DataFrame, keys: list[str], aggs: list, quantiles: dict[str, d
 
     One pass and one shuffle unless a group is hot; then each column is ranked across slices.
     """
-    if not any_hot(df, keys):
+    if not any_hot(df, keys, list(quantiles)):
         q = [F.percentile(v, p).alias(o) for v, names in quantiles.items() for o, p in names.items()]
         return df.groupBy(*keys).agg(*aggs, *q)
     out = df.groupBy(*keys).agg(*aggs)
