@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busloom.operators.spatial import connected_components
-from busloom.session import cut_lineage
+from busloom.session import cut_round
 
 LEVELS, BITS = 3, 3  # sub-cells: 3 levels, each splits an axis in 8
 CROWD = 64  # points from which on a full cell is met as boxes
@@ -47,7 +47,7 @@ def st_dbscan(
     p = p.withColumns({c: F.shiftright("f" + c[1], sh) for c in ("cx", "cy", "ct")})
     cell = [*by, "cx", "cy", "ct"]
     n = p.groupBy(*cell).agg(F.count("*").alias("_n"))
-    p = cut_lineage(p.join(n, cell).withColumns({"cheia": F.col("_n") >= F.col("_m"), "lotada": (F.col("_n") >= F.col("_m")) & (F.col("_n") > CROWD)}).drop("_n"))
+    p = cut_round(p.join(n, cell).withColumns({"cheia": F.col("_n") >= F.col("_m"), "lotada": (F.col("_n") >= F.col("_m")) & (F.col("_n") > CROWD)}).drop("_n"))
     def beside(c, k):
         return F.explode(F.sequence(F.col(c) - k, F.col(c) + k))
 
@@ -60,11 +60,11 @@ def st_dbscan(
                      F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("ct").alias("qt"))
     qcell = [*by, "qx", "qy", "qt"]
     met = thin.join(other, qcell).where(near).groupBy(*by, "id").agg(F.count("*").alias("_k"))
-    reach = None if crowded.isEmpty() else cut_lineage(_reach_of_crowded(thin, crowded, by))
+    reach = None if crowded.isEmpty() else cut_round(_reach_of_crowded(thin, crowded, by))
     if reach is not None:
         met = met.unionByName(reach.select(*by, "id", "_k")).groupBy(*by, "id").agg(F.sum("_k").alias("_k"))
     core = p.join(met, [*by, "id"], "left").withColumn("nucleo", F.col("cheia") | (F.coalesce("_k", F.lit(0)) >= F.col("_m"))).drop("_k")
-    core = cut_lineage(core)
+    core = cut_round(core)
     # nodes: cells with core points, named by their smallest core id
     cores = core.where("nucleo")
     nodes = cores.groupBy(*cell).agg(F.min("id").alias("no"))
@@ -127,12 +127,12 @@ def _reach_of_crowded(thin: DataFrame, crowded: DataFrame, by) -> DataFrame:
         near = {a: F.greatest(F.lit(0.0), F.col("lo" + a) - F.col(a), F.col(a) - F.col("hi" + a)) for a in "xyt"}
         far = {a: F.greatest(F.abs(F.col("lo" + a) - F.col(a)), F.abs(F.col(a) - F.col("hi" + a))) for a in "xyt"}
         within = lambda g: (g["x"] * g["x"] + g["y"] * g["y"] <= F.col("_e") * F.col("_e")) & (g["t"] <= F.col("_et"))
-        met = cut_lineage(met.where(within(near)).select(*pair, *quad, *spot, "sx", "sy", "st", "n", within(far).alias("sure")))
+        met = cut_round(met.where(within(near)).select(*pair, *quad, *spot, "sx", "sy", "st", "n", within(far).alias("sure")))
         got = met.where("sure").groupBy(*pair, *quad).agg(F.sum("n").alias("_k"))
         found = got if found is None else found.unionByName(got).groupBy(*pair, *quad).agg(F.sum("_k").alias("_k"))
         enough = found.withColumnRenamed("_k", "_have")
         todo = met.where("NOT sure").join(enough, [*pair, *quad], "left").where(F.coalesce("_have", F.lit(0)) < F.col("_m"))
-        todo = cut_lineage(todo.select(*pair, *quad, *spot, *[F.col(f"s{a}").alias(f"p{a}") for a in "xyt"]))
+        todo = cut_round(todo.select(*pair, *quad, *spot, *[F.col(f"s{a}").alias(f"p{a}") for a in "xyt"]))
         if todo.isEmpty():
             return found
     last = crowded.select(*by, *[F.col(f"c{a}").alias(f"q{a}") for a in "xyt"], *[F.col(f"f{a}").alias(f"p{a}") for a in "xyt"], *[F.col(a).alias(a + "2") for a in "xyt"])
@@ -193,10 +193,10 @@ def _links_of_full_cells(full: DataFrame, by, cell, timed: bool) -> DataFrame:
         for a, b in (("rep", "rep_b"), ("rep2", "rep_b"), ("rep", "rep2_b"), ("rep2", "rep2_b")):
             sure = sure | reps(a, b)
         maybe = (dist2(False) <= e2) & (gap("t", False) <= F.col("_et"))
-        pairs = cut_lineage(pairs.where(maybe).withColumn("sim", sure).select(*by, *ids, *sub, "sim"))
+        pairs = cut_round(pairs.where(maybe).withColumn("sim", sure).select(*by, *ids, *sub, "sim"))
         yes = pairs.where("sim").select(*by, *ids).distinct()
         linked = yes if linked is None else linked.unionByName(yes)
-        open_pairs = cut_lineage(pairs.where("NOT sim").join(yes, [*by, *ids], "left_anti"))
+        open_pairs = cut_round(pairs.where("NOT sim").join(yes, [*by, *ids], "left_anti"))
         if not open_pairs.limit(1).count():
             break
     else:
@@ -217,7 +217,7 @@ def level_sweep(df: DataFrame, pid: str, x: str, y: str, levels: list[float], mi
     Life of a cluster = how many levels hold a cluster with the same smallest core point.
     """
     d = df.select(pid, x, y, F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("raio"))
-    lab = cut_lineage(st_dbscan(d, pid, x, y, F.col("raio"), min_pts, by=["raio"]))
+    lab = cut_round(st_dbscan(d, pid, x, y, F.col("raio"), min_pts, by=["raio"]))
     life = lab.where("rotulo <> -1").groupBy("rotulo").agg(F.countDistinct("raio").alias("vida"))
     best = lab.join(life, "rotulo").groupBy(pid).agg(F.max_by("rotulo", F.struct("vida", -F.col("raio"))).alias("rotulo"))
     return df.select(pid).join(best, pid, "left").withColumn("rotulo", F.coalesce("rotulo", F.lit(-1)))

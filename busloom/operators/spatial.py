@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busloom.functions.geo import M_PER_LAT, M_PER_LON, haversine_m
-from busloom.session import cut_lineage
+from busloom.session import cut_round
 
 
 def near_point(df: DataFrame, lat: float, lon: float, radius_m: float, la="lat", lo="lon") -> DataFrame:
@@ -194,7 +194,7 @@ def connected_components(edges: DataFrame, a: str, b: str, vertices: DataFrame |
     of rounds grows with the logarithm of the size. Rounds are cut by reliable checkpoints.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = cut_lineage(e)
+    e = cut_round(e)
 
     def state(d):
         return d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).head()
@@ -208,7 +208,7 @@ def connected_components(edges: DataFrame, a: str, b: str, vertices: DataFrame |
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut_lineage(small)
+        e = cut_round(small)
         now = state(e)
         if now == seen:
             break

@@ -6,9 +6,10 @@ from busloom.operators import features as W
 from busloom.operators import fleet as V
 from busloom.operators import polyline as PL
 from busloom.operators.asof import asof_join
+from busloom.operators.hot import leaf_bytes
 from busloom.operators.ordered import latest_per_key
 from busloom.operators.quantiles import any_hot
-from busloom.operators.spatial import nearest_one
+from busloom.operators.spatial import connected_components, nearest_one
 
 
 def plan(df):
@@ -59,3 +60,10 @@ def test_cells_of_long_segments(spark):
 def test_every_bin_of_every_pair(spark):
     d = spark.createDataFrame([(1, 2, 0), (1, 2, 7200), (3, 4, 100)], "cp_origem int, cp_destino int, s long").withColumn("t_origem", F.timestamp_seconds("s"))
     assert W.every_bin(d, 30).count() == 2 * 5
+
+
+def test_rounds_of_joins_keep_their_real_size(spark):
+    edges = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = connected_components(edges, "a", "b")
+    assert got.count() == 3001 and got.select("component").distinct().count() == 1
+    assert leaf_bytes(got) < 10 << 20  # was a number of more digits than Python reads
