@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,13 +64,15 @@ def _sliced_rolling(df, keys, time, value, lookback_s, median, count, total):
     names = [f.name for f in keep]
 
     def roll(pdf):
-        pdf = pdf.sort_values(time, kind="stable")
+        lost = pdf[pdf[time].isna()]  # rows without an instant are peers of each other
+        pdf = pdf[pdf[time].notna()].sort_values(time, kind="stable")
         r = pdf.set_index(time)[value].astype("float64").rolling(f"{int(lookback_s * 1e6)}us")
-        pdf[median] = r.median().to_numpy()
-        pdf[count] = r.count().astype("int64").to_numpy()
         # peers of one instant share the value at the last of them
-        last = pdf.groupby(time)[[median, count]].transform("last")
-        pdf[[median, count]] = last
+        at = pdf[time].to_numpy()
+        last = np.searchsorted(at, at, side="right") - 1
+        pdf = pdf.assign(**{median: r.median().to_numpy()[last], count: r.count().to_numpy()[last].astype("int64")})
+        if len(lost):
+            pdf = pd.concat([pdf, lost.assign(**{median: lost[value].astype("float64").median(), count: lost[value].count()})])
         return pdf.loc[pdf["_own"] == pdf["_slice"], names + [median, count]]
 
     return rows.groupBy(*keys, "_slice").applyInPandas(roll, schema)

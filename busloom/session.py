@@ -11,7 +11,7 @@ DENSE_WINDOW_ROWS = "spark.busloom.denseWindowRows"
 DEFAULTS = {
     HOT_GROUP_ROWS: 4_000_000,  # a group above this is split into slices
     SMALL_INPUT_BYTES: 256 << 20,  # below this no group can be hot: skip the check
-    DENSE_WINDOW_ROWS: 2_000,  # rows per look-back above which frames are too slow
+    DENSE_WINDOW_ROWS: 50,  # rows per look-back above which frames are too slow: each row reads all of its frame
 }
 
 
