@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,10 +208,10 @@ POISSON_CDF = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.999
 
 def poisson_weight(*parts) -> Column:
     """Poisson(1) draw fixed by a hash: the same replicate and unit always weigh the same."""
-    u = draw(*parts) / float(1 << 52)
+    u = F.md5(F.concat_ws(":", *parts))  # the draw's digits lead: they compare like the number
     out = F.lit(len(POISSON_CDF))
     for k, c in reversed(list(enumerate(POISSON_CDF))):
-        out = F.when(u < c, k).otherwise(out)
+        out = F.when(u < f"{math.ceil(Fraction(c) * (1 << 52)):013x}", k).otherwise(out)
     return out
 
 
