@@ -34,13 +34,14 @@ def observed_shape(pos: DataFrame, stops: DataFrame, tie: str = "rid", p: Params
     tracks = blocks.withColumn("seq", F.unix_micros("ta"))
     # one sample per instant, so the order along a track is unambiguous
     tracks = tracks.groupBy("cl", "faixa_id", "seq").agg(F.min("x").alias("x"), F.min_by("y", "x").alias("y"))
-    slim = PL.simplify(tracks, "faixa_id", "seq", 10.0)
+    # read by all steps below: simplified once
+    slim = cut_lineage(PL.simplify(tracks, "faixa_id", "seq", 10.0, bound=pos.select(*VEHICLE)))
     segs = PL.polyline_segments(slim, "faixa_id", "seq")
     length = segs.groupBy("faixa_id").agg(F.max("s1").alias("comprimento_m"), F.count("*").alias("_k")).where("comprimento_m >= 1500 AND _k >= 4")
     pts = slim.select("cl", "faixa_id").distinct().join(stops.select("cl", "cp", F.col("x").alias("px"), F.col("y").alias("py")), "cl")
     near = PL.nearest_on_line(pts, segs, "faixa_id", "cp", "px", "py")
     score = summarize(near, ["cl", "faixa_id"], [
-        F.avg(F.when(F.col("dist") <= p.stop_off_route_m, 1.0).otherwise(0.0)).alias("cobertura")], {"dist": {"dist_mediana_m": 0.5}})
+        F.avg(F.when(F.col("dist") <= p.stop_off_route_m, 1.0).otherwise(0.0)).alias("cobertura")], {"dist": {"dist_mediana_m": 0.5}}, bound=pts.select("cl", "faixa_id"))
     score = score.join(length.drop("_k"), "faixa_id").withColumn("nota", 100 * F.col("cobertura") - F.col("dist_mediana_m") / 50)
     best = score.groupBy("cl").agg(F.max_by(F.struct("faixa_id", "cobertura", "dist_mediana_m", "comprimento_m", "nota"), F.struct("nota", "faixa_id")).alias("_b"))
     return slim.join(best.select("cl", "_b.*"), ["cl", "faixa_id"])
@@ -85,9 +86,9 @@ def on_route(samples: DataFrame, p: Params = P) -> DataFrame:
     return d.join(n.drop("_n"), VEHICLE, "left_semi")
 
 
-def segment_trips(samples: DataFrame, tie: str = "rid", p: Params = P) -> DataFrame:
+def segment_trips(samples: DataFrame, tie: str = "rid", p: Params = P, bound: DataFrame | None = None) -> DataFrame:
     """Trip ids: a new trip after a silence or a jump backwards; at least three samples."""
-    o = Ordered(samples, VEHICLE, ["ta", tie]).lag({"_t": "ta", "_s": "s"})
+    o = Ordered(samples, VEHICLE, ["ta", tie], bound=bound).lag({"_t": "ta", "_s": "s"})
     gap = F.unix_seconds("ta") - F.unix_seconds("_t") > p.track_gap_s
     back = F.col("s") - F.col("_s") < -p.backward_m
     o.rows = o.rows.withColumn("_cut", F.coalesce(gap | back, F.lit(False)).cast("int"))
@@ -98,8 +99,8 @@ def segment_trips(samples: DataFrame, tie: str = "rid", p: Params = P) -> DataFr
     return d.withColumn("viagem_id", name).drop("_a", "_n")
 
 
-def _with_neighbours(trips: DataFrame, tie: str) -> DataFrame:
-    o = Ordered(trips, [*VEHICLE, "_trip"], ["ta", tie])
+def _with_neighbours(trips: DataFrame, tie: str, bound: DataFrame | None = None) -> DataFrame:
+    o = Ordered(trips, [*VEHICLE, "_trip"], ["ta", tie], bound=bound)
     cols = {"s": "s", "ta": "ta", "lat": "lat", "lon": "lon"}
     o.lead({f"{c}_1": v for c, v in cols.items()}).lag({"s_0": "s", "ta_0": "ta"})
     return o.df
@@ -110,9 +111,9 @@ def _line_stops(stops: DataFrame) -> DataFrame:
     return stops.groupBy("cl").agg(F.collect_list(F.struct("cp", "ordem", "s_m", F.col("lat").alias("plat"), F.col("lon").alias("plon"))).alias("_stops"))
 
 
-def detect_arrivals(trips: DataFrame, stops: DataFrame, tie: str = "rid", p: Params = P) -> DataFrame:
+def detect_arrivals(trips: DataFrame, stops: DataFrame, tie: str = "rid", p: Params = P, bound: DataFrame | None = None) -> DataFrame:
     """One event per trip and stop: first crossing of the stop's position, else the nearest sample."""
-    d = _with_neighbours(trips, tie).join(_line_stops(stops), "cl")
+    d = _with_neighbours(trips, tie, bound).join(_line_stops(stops), "cl")
     trip = [*VEHICLE, "_trip", "viagem_id"]
     reach = lambda k: (F.col("_smin") - p.arrival_radius_m <= k["s_m"]) & (k["s_m"] <= F.col("_smax") + p.arrival_radius_m)
     hit = F.filter("_stops", lambda k: reach(k) & (F.col("s") <= k["s_m"]) & (F.col("s_1") >= k["s_m"]))
@@ -160,12 +161,14 @@ def grade_arrivals(ev: DataFrame, p: Params = P) -> DataFrame:
 def build_arrivals(pos: DataFrame, shape: DataFrame, stops: DataFrame, tie: str = "rid", p: Params = P) -> DataFrame:
     """All lines in one plan. `pos`: cl, prefixo, ta, ts_coleta, lat, lon; `shape`: cl, seq, x, y."""
     xy = {"x": geo.to_x("lon"), "y": geo.to_y("lat")}
-    segs = PL.polyline_segments(shape, "cl", "seq")
-    placed = order_stops(stops.withColumns(xy), segs, p)
+    # tables of the map's size, read by each step below
+    segs = cut_lineage(PL.polyline_segments(cut_lineage(shape), "cl", "seq"))
+    placed = cut_lineage(order_stops(stops.withColumns(xy), segs, p))
     pts = drop_exact_duplicates(pos.where("ta IS NOT NULL"), tie).withColumns(xy).withColumn("dia", F.to_date("ta"))
     # the one stage that leaves the JVM: run once, read by the steps below
     s = cut_lineage(PL.project_track(pts, segs, "cl", ["prefixo", "dia"], "ta"))
-    return grade_arrivals(detect_arrivals(segment_trips(on_route(s, p), tie, p), placed, tie, p), p)
+    seen = s.select(*VEHICLE)  # a trip has no more samples than its vehicle
+    return grade_arrivals(detect_arrivals(segment_trips(on_route(s, p), tie, p, seen), placed, tie, p, seen), p)
 
 
 def arrivals_summary(arrivals: DataFrame) -> DataFrame:
