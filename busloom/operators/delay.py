@@ -62,9 +62,9 @@ def calendar_cuts(seg: DataFrame, ts: str = "t_origem") -> DataFrame:
 
 
 def add_reference(
-    seg: DataFrame, keys: tuple[str, ...] = ("cl", "ordem_origem", "faixa"), p: Params = Params()
+    seg: DataFrame, keys: tuple[str, ...] = ("cl", "ordem_origem", "faixa"), p: Params = Params(), bound: DataFrame | None = None
 ) -> DataFrame:
-    ref = with_group_median(seg, list(keys), "tempo_percurso_s", "percurso_tipico_s", "n_referencia")
+    ref = with_group_median(seg, list(keys), "tempo_percurso_s", "percurso_tipico_s", "n_referencia", bound=bound)
     return ref.where(F.col("n_referencia") >= p.min_reference)
 
 
@@ -80,11 +80,11 @@ def add_delay(seg: DataFrame, p: Params = Params()) -> DataFrame:
 
 def add_headway(
     df: DataFrame, keys=("cl", "cp_destino"), ts: str = "t_chegada", out: str = "headway_s",
-    tie: str = "viagem_id",
+    tie: str = "viagem_id", bound: DataFrame | None = None,
 ) -> DataFrame:
     """Seconds since the previous vehicle of the line at the stop."""
     return (
-        lagged(df, list(keys), [ts, tie], {"_tp": ts})
+        lagged(df, list(keys), [ts, tie], {"_tp": ts}, bound=bound)
         .withColumn(out, seconds_between(ts, "_tp"))
         .drop("_tp")
     )
@@ -110,12 +110,17 @@ def midpoint_cell(seg: DataFrame, res: int = 9) -> DataFrame:
     )
 
 
+def by_order(arrivals: DataFrame) -> DataFrame:
+    """At least as many rows of a line and order as it has segments: each ends in an arrival of its own."""
+    return arrivals.select("cl", (F.col("ordem") - 1).alias("ordem_origem"))
+
+
 def build_segments(arrivals, line_stops, lines, p: Params = Params()) -> DataFrame:
     """The whole delay table."""
     seg = consecutive_segments(arrivals, p)
     seg = attach_length(seg, line_stops)
-    seg = add_delay(add_reference(calendar_cuts(seg), p=p), p)
-    seg = add_headway(seg)
+    seg = add_delay(add_reference(calendar_cuts(seg), p=p, bound=by_order(arrivals)), p)
+    seg = add_headway(seg, bound=arrivals.select("cl", F.col("cp").alias("cp_destino")))
     return midpoint_cell(seg.join(terminals(lines), "cl", "left"))
 
 
@@ -168,7 +173,7 @@ def hourly_typical(arrivals: DataFrame, before=None, p: Params = Params()) -> Da
     """Typical time per line, segment and hour, deviation and ratio; optionally learnt before a cut."""
     seg = consecutive_segments(arrivals, p).withColumn("hora", cal.local_hour("t_origem"))
     where = None if before is None else F.col("t_chegada") < before
-    seg = with_group_median(seg, ["cl", "ordem_origem", "hora"], "tempo_percurso_s", "tipico_s", where=where)
+    seg = with_group_median(seg, ["cl", "ordem_origem", "hora"], "tempo_percurso_s", "tipico_s", where=where, bound=by_order(arrivals))
     return seg.withColumn("desvio_s", F.col("tempo_percurso_s") - F.col("tipico_s")).withColumn(
         "razao", F.col("tempo_percurso_s") / F.nullif("tipico_s", F.lit(0.0))
     )

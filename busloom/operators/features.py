@@ -136,9 +136,13 @@ def arrival_errors(pairs: DataFrame) -> DataFrame:
     return group_quantiles(pairs, keys, "erro_s", {"erro_chegada_s": 0.5})
 
 
-def stop_state(df: DataFrame, errors: DataFrame) -> DataFrame:
-    """Last error at the stop, mean of the last three, last headway, time since; strictly before the poll."""
-    o = Ordered(errors, ["cl", "cp"], ["t_chegada", "viagem_id"])
+def stop_state(df: DataFrame, errors: DataFrame, polls: DataFrame | None = None) -> DataFrame:
+    """Last error at the stop, mean of the last three, last headway, time since; strictly before the poll.
+
+    `polls`: the rows that the errors were taken from, if they are cheaper to count.
+    """
+    seen = None if polls is None else polls.select("cl", "cp")
+    o = Ordered(errors, ["cl", "cp"], ["t_chegada", "viagem_id"], bound=seen)
     o.lag({"_e1": "erro_chegada_s", "_t1": "t_chegada"}).lag({"_e2": "erro_chegada_s"}, 2)
     n = 1 + F.col("_e1").isNotNull().cast("int") + F.col("_e2").isNotNull().cast("int")
     total = F.col("erro_chegada_s") + F.coalesce("_e1", F.lit(0.0)) + F.coalesce("_e2", F.lit(0.0))
@@ -146,7 +150,7 @@ def stop_state(df: DataFrame, errors: DataFrame) -> DataFrame:
     out = asof_join(
         df, e, ["cl", "cp"], "ts_coleta", "t_chegada",
         {"erro_anterior_parada_s": "erro_chegada_s", "erro_media3_parada_s": "_m3", "headway_anterior_s": "_hw"},
-        "viagem_id", event_time_out="_et",
+        "viagem_id", event_time_out="_et", bound=None if seen is None else seen.unionByName(df.select("cl", "cp")),
     )
     return out.withColumn("desde_ultimo_s", seconds_between("ts_coleta", "_et")).drop("_et")
 
@@ -170,7 +174,7 @@ def modelling_table(pairs, arrivals, links, p: Params = P) -> DataFrame:
     typical = hourly_typical(arrivals, before=F.lit(cut["corte"]))
     err = arrival_errors(d)
     d = active_vehicles(route_fraction(calendar_features(d), links))
-    d = trip_state(line_state(stop_state(d, err), err), typical)
+    d = trip_state(line_state(stop_state(d, err, polls=d), err), typical)
     return d.withColumns({"alvo_erro_s": F.col("erro_s"), "alvo_atrasado": (F.col("erro_s") >= p.late_error_s).cast("int")})
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busloom.operators.hot import is_small, slice_groups
+from busloom.operators.hot import is_small, none_above, slice_groups
 from busloom.operators.ordered import Ordered
 from busloom.session import HOT_GROUP_ROWS, setting
 
@@ -57,11 +57,11 @@ def ranked_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str
 
 
 def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count: str | None = None
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count: str | None = None, bound: DataFrame | None = None
 ) -> DataFrame:
-    """One row per key with the named quantiles of `value` (nulls ignored)."""
+    """One row per key with the named quantiles of `value` (nulls ignored). `bound`: see `any_hot`."""
     df = df.select(*keys, value)
-    if not any_hot(df, keys, [value]):
+    if not any_hot(df, keys, [value], bound):
         return _native(df, keys, value, probs, count)
     if not keys:
         return ranked_quantiles(df, keys, value, probs, count)
@@ -83,25 +83,28 @@ def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, cond, "left").drop(*["_j_" + k for k in keys])
 
 
-def any_hot(df: DataFrame, keys: list[str], values: list[str]) -> bool:
+def any_hot(df: DataFrame, keys: list[str], values: list[str], bound: DataFrame | None = None) -> bool:
     """Whether some group has more different values than the hot limit; free for inputs known to be small.
 
-    `percentile` keeps each value once with its count, so many rows of few values are no burden.
+    `percentile` keeps each value once with its count, so many rows of few values are no burden. Values are estimated only where
+    some group has the rows for it; `bound` has some of the keys alone and at least as many rows of each, and is cheaper to count.
     """
     if is_small(df):
         return False
     limit = setting(df.sparkSession, HOT_GROUP_ROWS)
+    if keys and none_above(df.select(*keys) if bound is None else bound, limit // 2):
+        return False
     n = df.groupBy(*keys).agg(*[F.approx_count_distinct(v).alias(f"_n{i}") for i, v in enumerate(values)])
     # an estimate, so from half the limit on
     return not n.where(F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in range(len(values))]) > limit / 2).isEmpty()
 
 
-def summarize(df: DataFrame, keys: list[str], aggs: list, quantiles: dict[str, dict[str, float]]) -> DataFrame:
+def summarize(df: DataFrame, keys: list[str], aggs: list, quantiles: dict[str, dict[str, float]], bound: DataFrame | None = None) -> DataFrame:
     """Plain aggregates and exact quantiles of several columns by key.
 
     One pass and one shuffle unless a group is hot; then each column is ranked across slices.
     """
-    if not any_hot(df, keys, list(quantiles)):
+    if not any_hot(df, keys, list(quantiles), bound):
         q = [F.percentile(v, p).alias(o) for v, names in quantiles.items() for o, p in names.items()]
         return df.groupBy(*keys).agg(*aggs, *q)
     out = df.groupBy(*keys).agg(*aggs)
@@ -111,11 +114,11 @@ def summarize(df: DataFrame, keys: list[str], aggs: list, quantiles: dict[str, d
 
 
 def with_group_median(
-    df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, where=None
+    df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, where=None, bound: DataFrame | None = None
 ) -> DataFrame:
     """Join each row with the median of its group, optionally from a subset of the rows."""
     src = df if where is None else df.where(where)
-    ref = group_quantiles(src, keys, value, {out: 0.5}, count)
+    ref = group_quantiles(src, keys, value, {out: 0.5}, count, bound)
     return df.join(ref, keys, "left")
 
 

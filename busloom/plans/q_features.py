@@ -8,7 +8,7 @@ from busloom.functions import calendar as cal
 from busloom.functions.geo import num, sql_x, sql_y
 from busloom.operators import features as W
 from busloom.operators.delay import hourly_typical
-from busloom.plans.q_delay import epoch, pairs_of, rounded, seg_of
+from busloom.plans.q_delay import epoch, kept, pairs_of, rounded, seg_of
 from busloom.plans.registry import query
 from busloom.plans.standins import Bus, derive, oracle, sql_hour, sql_weekday
 from busloom.session import cut_lineage
@@ -97,8 +97,8 @@ FROM pairs p ASOF LEFT JOIN (SELECT cl, cp, t_chegada, e, avg(e) OVER (w ROWS BE
   QUALIFY row_number() OVER (PARTITION BY cl, cp, t_chegada ORDER BY viagem_id DESC) = 1) s
 ON s.cl = p.cl AND s.cp = p.cp AND p.ts_coleta > s.t_chegada"""))
 def w05(spark, sf):
-    p = pairs_of(Bus(spark, sf))
-    out = W.stop_state(p, W.arrival_errors(p))
+    p = kept(pairs_of(Bus(spark, sf)), "qid", "cl", "cp", "viagem_id", "t_chegada", "ts_coleta", "erro_s")
+    out = W.stop_state(p, W.arrival_errors(p), polls=p)
     return rounded(out, "erro_media3_parada_s").select("qid", "erro_anterior_parada_s", "erro_media3_parada_s", "headway_anterior_s", "desde_ultimo_s")
 
 
@@ -107,8 +107,8 @@ SELECT qid, e AS erro_anterior_linha_s FROM pairs p ASOF LEFT JOIN (
   SELECT cl, t_chegada, e FROM arr_err QUALIFY row_number() OVER (PARTITION BY cl, t_chegada ORDER BY concat(viagem_id, '|', cp) DESC) = 1) s
 ON s.cl = p.cl AND p.ts_coleta > s.t_chegada"""))
 def w06(spark, sf):
-    p = pairs_of(Bus(spark, sf))
-    return W.line_state(p, W.arrival_errors(p)).select("qid", "erro_anterior_linha_s")
+    p = kept(pairs_of(Bus(spark, sf)), "qid", "cl", "cp", "viagem_id", "t_chegada", "ts_coleta", "erro_s")
+    return W.line_state(p.select("qid", "cl", "ts_coleta"), cut_lineage(W.arrival_errors(p))).select("qid", "erro_anterior_linha_s")
 
 
 @query("w07_trip_state", oracle("pairs seg_raw", """
@@ -120,7 +120,7 @@ ON s.viagem_id = p.viagem_id AND p.ts_coleta > s.t_chegada"""))
 def w07(spark, sf):
     b = Bus(spark, sf)
     t = hourly_typical(b.arrivals, before=F.timestamp_seconds(F.lit(1705881600)))
-    return rounded(W.trip_state(pairs_of(b), t), "razao_percurso").select("qid", "desvio_percurso_s", "razao_percurso")
+    return rounded(W.trip_state(kept(pairs_of(b), "qid", "viagem_id", "ts_coleta"), t), "razao_percurso").select("qid", "desvio_percurso_s", "razao_percurso")
 
 
 @query("w08_cutoff_instant", oracle("pairs", f"""
@@ -150,10 +150,14 @@ LEFT JOIN bins o ON o.cl = g.cl AND o.cp = g.cp AND o.b = g.b
 WINDOW w AS (PARTITION BY g.cl, g.cp ORDER BY g.b ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE em IS NOT NULL""")
 
 
+def series_pairs(b):
+    return kept(pairs_of(b), "cl", "cp", "t_chegada", "erro_s", "prefixo", "headway_obs_s")
+
+
 @query("w10_regular_series", oracle("series", """
 SELECT cl, cp, b * 10800 AS bin, observado, round(em, 6) AS erro_medio, ex AS erro_max, CAST(hw AS DOUBLE) AS headway, vol AS volume FROM series"""))
 def w10(spark, sf):
-    s = W.regular_series(pairs_of(Bus(spark, sf)), 180, 8)
+    s = W.regular_series(series_pairs(Bus(spark, sf)), 180, 8)
     return rounded(epoch(s, "bin"), "erro_medio").select("cl", "cp", "bin", "observado", "erro_medio", "erro_max", "headway", "volume")
 
 
@@ -162,18 +166,22 @@ SELECT cl, cp, b * 10800 AS bin, round(em, 6) AS alvo, round(p, 6) AS primeiro,
   SELECT *, lag(em, 8) OVER w AS p, sum(vol) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS v FROM series WINDOW w AS (PARTITION BY cl, cp ORDER BY b))
 WHERE p IS NOT NULL AND observado"""))
 def w11(spark, sf):
-    s = W.sliding_windows(W.regular_series(pairs_of(Bus(spark, sf)), 180, 8), 8)
+    s = W.sliding_windows(W.regular_series(series_pairs(Bus(spark, sf)), 180, 8), 8)
     return epoch(s, "bin").select("cl", "cp", "bin", F.round("alvo", 6).alias("alvo"), F.round(F.col("passos")[0]["erro_medio"], 6).alias("primeiro"),
                                   F.aggregate("passos", F.lit(0).cast("long"), lambda a, x: a + x["volume"]).alias("volume"))
 
 
+def node_pairs(b):
+    return kept(pairs_of(b), "cl", "cp", "t_chegada", "erro_s", "headway_obs_s", "lat", "lon")
+
+
 @query("w12_stop_nodes", oracle("pairs", f"""
 , d AS (SELECT *, t_chegada < (SELECT quantile_cont(t_chegada, {R7}) FROM pairs) AS cedo FROM pairs)
 SELECT cp, count(*) AS n, round(avg(erro_s), 6) AS erro_medio, round(coalesce(stddev_samp(erro_s), 0), 6) AS erro_desvio, count(DISTINCT cl) AS linhas,
   median(erro_s) AS erro_mediano, CAST(median(headway_obs_s) AS DOUBLE) AS headway, any_value(alvo) AS alvo
 FROM d LEFT JOIN (SELECT cp, median(erro_s) AS alvo FROM d WHERE NOT cedo GROUP BY 1) f USING (cp) WHERE cedo GROUP BY cp""".strip()))
 def w12(spark, sf):
-    return rounded(W.stop_nodes(pairs_of(Bus(spark, sf))), "erro_medio", "erro_desvio").drop("lat", "lon")
+    return rounded(W.stop_nodes(node_pairs(Bus(spark, sf))), "erro_medio", "erro_desvio").drop("lat", "lon")
 
 
 @query("w13_stop_edges", oracle("pairs segments", f"""
@@ -184,7 +192,7 @@ WHERE cp_origem IN (SELECT cp FROM n) AND cp_destino IN (SELECT cp FROM n) GROUP
 UNION ALL SELECT p.cp, q.cp, 0.0, 'vizinhanca' FROM n p, n q WHERE p.cp <> q.cp AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 400""".strip()))
 def w13(spark, sf):
     b = Bus(spark, sf)
-    return W.stop_edges(cut_lineage(W.stop_nodes(pairs_of(b))), seg_of(b))
+    return W.stop_edges(cut_lineage(W.stop_nodes(node_pairs(b))), kept(seg_of(b), "cp_origem", "cp_destino", "tempo_percurso_s"))
 
 
 @query("w14_day_type", oracle("segments", "SELECT viagem_id, ordem_origem, tipo FROM segments"))
@@ -197,7 +205,8 @@ SELECT viagem_id, ordem_origem, coalesce(CASE WHEN count(*) FILTER (parte <> 'te
   median(tempo_percurso_s) FILTER (parte <> 'teste') OVER b, median(tempo_percurso_s) FILTER (parte <> 'teste') OVER c) AS percurso_tipico_s
 FROM split WINDOW a AS (PARTITION BY cl, ordem_origem, tipo, faixa), b AS (PARTITION BY cl, ordem_origem, faixa), c AS (PARTITION BY cl, ordem_origem)"""))
 def w15(spark, sf):
-    s = seg_of(Bus(spark, sf)).drop("percurso_tipico_s").withColumn("tipo", cal.day_type("t_origem", HOL))
+    s = seg_of(Bus(spark, sf)).withColumn("tipo", cal.day_type("t_origem", HOL))
+    s = kept(s, *ID, "cl", "tipo", "faixa", "t_origem", "tempo_percurso_s")
     s = W.time_split(s, ["t_origem", "viagem_id", "ordem_origem"])
     return W.hierarchical_reference(s, "tempo_percurso_s", W.BY_TYPE, F.col("parte") != "teste", "percurso_tipico_s").select(*ID, "percurso_tipico_s")
 
@@ -359,7 +368,8 @@ SELECT no, s AS inicio, round(CASE WHEN idade <= 15 THEN r15 ELSE 0 END, 6) AS r
   round(CASE WHEN idade <= 15 THEN d15 / 60 ELSE 0 END, 6) AS desvio15_min, round(CASE WHEN idade <= 15 THEN ln(1 + n15) ELSE 0 END, 6) AS log_n15,
   round(CASE WHEN idade <= 60 THEN ln(1 + idade) / {num(math.log1p(60))} ELSE 1 END, 6) AS idade, CAST(coalesce(idade <= 60, FALSE) AS INTEGER) AS presente FROM m""".strip()))
 def w29(spark, sf):
-    d = base_of(Bus(spark, sf))
+    need = (*ID, "cl", "faixa", "cp_origem", "cp_destino", "t_origem", "t_chegada", "tempo_percurso_s", "percurso_tipico_s")
+    d = W.model_base(seg_of(Bus(spark, sf)).select(*need))
     s = W.network_state(d, W.every_bin(d, 30))
     return rounded(epoch(s, "inicio"), "rel15", "rel60", "desvio15_min", "log_n15", "idade")
 

@@ -8,7 +8,7 @@ from busloom.operators import metrics as M
 from busloom.operators import models as ML
 from busloom.operators.asof import asof_join, seconds_between
 from busloom.plans.q_delay import pairs_of, rounded, seg_of
-from busloom.plans.q_features import ID, base_of
+from busloom.plans.q_features import ID, base_of, series_pairs
 from busloom.plans.registry import query
 from busloom.plans.standins import Bus, derive, oracle, sql_poisson
 
@@ -228,7 +228,7 @@ def m19(spark, sf):
   FROM series WINDOW w AS (PARTITION BY cl, cp ORDER BY b))
 SELECT count(*) AS n, round(avg(abs(u - em)), 5) AS mae_ultimo, round(avg(abs(m3 - em)), 5) AS mae_media3, round(avg(abs(m - em)), 5) AS mae_media FROM w WHERE p IS NOT NULL AND observado""".strip()))
 def m20(spark, sf):
-    w = W.sliding_windows(W.regular_series(pairs_of(Bus(spark, sf)), 180, 8), 8)
+    w = W.sliding_windows(W.regular_series(series_pairs(Bus(spark, sf)), 180, 8), 8)
     return rounded(M.sequence_baselines(w), "mae_ultimo", "mae_media3", "mae_media", digits=5)
 
 

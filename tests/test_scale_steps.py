@@ -1,15 +1,24 @@
 """What keeps steps small: columns nobody reads, the side that is repeated, cells as wide as segments."""
 
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from busloom.operators import arrivals as A
 from busloom.operators import features as W
 from busloom.operators import fleet as V
+from busloom.operators import metrics as M
 from busloom.operators import polyline as PL
 from busloom.operators.asof import asof_join
-from busloom.operators.hot import leaf_bytes
+from busloom.operators.hot import leaf_bytes, none_above
 from busloom.operators.ordered import latest_per_key
 from busloom.operators.quantiles import any_hot
+from busloom.operators.rolling import rolling_median
 from busloom.operators.spatial import connected_components, nearest_one
+from busloom.operators.studies import probe_against_fleet
+from busloom.session import DEFAULTS, DENSE_WINDOW_ROWS, SMALL_INPUT_BYTES
 
 
 def plan(df):
@@ -67,3 +76,79 @@ def test_rounds_of_joins_keep_their_real_size(spark):
     got = connected_components(edges, "a", "b")
     assert got.count() == 3001 and got.select("component").distinct().count() == 1
     assert leaf_bytes(got) < 10 << 20  # was a number of more digits than Python reads
+
+
+def test_groups_are_counted_by_buckets_or_bounds(spark, hot):
+    d = spark.range(500).select((F.col("id") % 20).alias("k"), F.col("id").alias("v"))
+    assert none_above(d.select("k"), 25) and not none_above(d.select("k"), 24)
+    assert any_hot(d, ["k"], ["v"])  # 25 values a group, an estimate from 20 on
+    assert not any_hot(d, ["k"], ["v"], bound=spark.range(3).select(F.col("id").alias("k")))  # the cheaper rows decide
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """A folder with lineitems: 2,000 orders of seven."""
+    at = tmp_path_factory.mktemp("lines")
+    d = spark.range(14_000).select(
+        (F.col("id") / 7).cast("long").alias("l_orderkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"),
+        (F.col("id") * 31 % 97).alias("l_partkey"), (F.col("id") * 17 % 89).alias("l_suppkey"))
+    d.write.parquet(f"{at}/lineitem.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", [
+    "w05_stop_state", "w06_line_state", "w10_regular_series", "w11_sliding_windows", "w12_stop_nodes", "w13_stop_edges", "f12_short_horizon",
+    "d09_delay_summary", "w15_hierarchical_reference", "m20_sequence_baselines"])
+def test_pairs_and_segments_are_built_once(spark, lines, name):
+    assert "Relation [" not in plan(__spark_entry__.queries()[name](spark, lines))  # the steps read what was stored, not the tables again
+
+
+def test_dense_windows_leave_the_frame_early(spark):
+    assert DEFAULTS[DENSE_WINDOW_ROWS] <= 100
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(seconds=i // 2), float(i * 7 % 60), i) for i in range(300)] + [(1, None, 4.0, 900), (1, None, 9.0, 901)]
+    d = spark.createDataFrame(rows, "k int, t timestamp, v double, i int")
+    thin = {r.i: (r.m, r.n) for r in rolling_median(d, ["k"], "t", "v", 60, "m", "n").collect()}
+    spark.conf.set(SMALL_INPUT_BYTES, "0")
+    try:
+        out = rolling_median(d, ["k"], "t", "v", 60, "m", "n")
+        assert "FlatMapGroupsInPandas" in plan(out)
+        assert {r.i: (r.m, r.n) for r in out.collect()} == thin
+        p = d.where("t IS NOT NULL").select("k", "t", F.col("i").cast("string").alias("pid"), "v")
+        met = probe_against_fleet(p, p.select("k", "t", F.col("v").alias("vel_kmh")), "k", 1, 3)
+        assert "struct" not in dict(met.dtypes)["pid"] and met.where("pid = '299'").head()["n"] == 120
+    finally:
+        spark.conf.unset(SMALL_INPUT_BYTES)
+
+
+def test_weights_compare_digits(spark):
+    d = spark.range(5000).withColumn("u", M.draw(F.lit(7), "id") / float(1 << 52))
+    want = F.lit(len(M.POISSON_CDF))
+    for k, c in reversed(list(enumerate(M.POISSON_CDF))):
+        want = F.when(F.col("u") < c, k).otherwise(want)
+    w = M.poisson_weight(F.lit(7), F.col("id"))
+    assert d.where(want != w).isEmpty() and d.select(w).distinct().count() > 4
+    assert "conv(" not in plan(d.select(w))
+
+
+def test_steps_of_a_line_come_from_its_segments(spark):
+    pts = spark.createDataFrame(
+        [(1, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (3.0, 0.0), (3.0, 0.0), (3.0, 1200.0), (503.0, 1200.0)])] + [(2, 0, 0.0, 0.0), (2, 1, 0.0, 1000.0), (3, 0, 5.0, 5.0), (3, 1, 9.0, 5.0)],
+        "linha int, seq int, x double, y double")
+    segs = PL.polyline_segments(pts, "linha", "seq")
+    out = PL.resample(segs, "linha", 500.0)
+    assert "Union" not in plan(out)  # no ordered pass over all the places
+    got = {(r.linha, round(r.s, 3)): r for r in out.collect()}
+    assert {k for k in got} == {(1, 0.0), (1, 500.0), (1, 1000.0), (1, 1500.0), (1, 1703.0), (2, 0.0), (2, 500.0), (2, 1000.0), (3, 0.0), (3, 4.0)}
+    at = PL.point_at(out.select("linha", "s"), segs, "linha", "s").collect()
+    assert all(abs(got[r.linha, round(r.s, 3)].x - r.x) + abs(got[r.linha, round(r.s, 3)].y - r.y) < 1e-9 for r in at)
+    assert (got[1, 500.0].ux, got[1, 500.0].uy) == (0.0, 1.0) and got[1, 1500.0].ux == 1.0
+
+
+def test_tracks_are_simplified_once(spark):
+    rows = [(1, "a", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=30 * i), 400.0 * i, 60.0 * (i % 2)) for i in range(8)]
+    pos = spark.createDataFrame(rows, "cl int, prefixo string, rid int, ta timestamp, x double, y double")
+    stops = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 800.0, 0.0)], "cl int, cp int, x double, y double")
+    out = A.observed_shape(pos, stops, p=A.Params(min_track_points=5))
+    assert out.count() == 8 and out.head()["cobertura"] == 1.0
+    assert "FlatMapGroupsInPandas" not in plan(out)
