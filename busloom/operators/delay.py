@@ -10,17 +10,18 @@ from busloom.functions import calendar as cal
 from busloom.functions.geo import cell_id
 from busloom.operators.asof import seconds_between
 from busloom.operators.ordered import lagged
-from busloom.operators.quantiles import summarize, with_group_median
+from busloom.operators.quantiles import group_quantiles, summarize, with_group_median
+from busloom.session import cut_lineage
 
 
-def consecutive_segments(arrivals: DataFrame, p: Params = Params()) -> DataFrame:
+def consecutive_segments(arrivals: DataFrame, p: Params = Params(), bound: DataFrame | None = None) -> DataFrame:
     """Stop-to-stop passages of a trip; the confidence filter comes before the lag."""
     prev = {
         "t_origem": "t_chegada", "ordem_origem": "ordem", "cp_origem": "cp",
         "_lat0": "lat", "_lon0": "lon",
     }
     a = arrivals.where(F.col("confianca") >= p.min_confidence_delay)
-    t = lagged(a, ["viagem_id"], ["ordem", "t_chegada"], prev)
+    t = lagged(a, ["viagem_id"], ["ordem", "t_chegada"], prev, bound=bound)
     t = (
         t.where(F.col("ordem") - F.col("ordem_origem") == 1)
         .withColumnRenamed("cp", "cp_destino")
@@ -115,30 +116,35 @@ def by_order(arrivals: DataFrame) -> DataFrame:
     return arrivals.select("cl", (F.col("ordem") - 1).alias("ordem_origem"))
 
 
-def build_segments(arrivals, line_stops, lines, p: Params = Params()) -> DataFrame:
-    """The whole delay table."""
-    seg = consecutive_segments(arrivals, p)
+def build_segments(arrivals, line_stops, lines, p: Params = Params(), seen: DataFrame | None = None) -> DataFrame:
+    """The whole delay table. `seen`: at least as many rows of each trip, line, stop and order as arrivals has, cheaper to count."""
+    seen = arrivals if seen is None else seen
+    seg = consecutive_segments(arrivals, p, seen.select("viagem_id"))
     seg = attach_length(seg, line_stops)
-    seg = add_delay(add_reference(calendar_cuts(seg), p=p, bound=by_order(arrivals)), p)
-    seg = add_headway(seg, bound=arrivals.select("cl", F.col("cp").alias("cp_destino")))
+    seg = add_delay(add_reference(calendar_cuts(seg), p=p, bound=by_order(seen)), p)
+    seg = add_headway(seg, bound=seen.select("cl", F.col("cp").alias("cp_destino")))
     return midpoint_cell(seg.join(terminals(lines), "cl", "left"))
 
 
 def delay_summary(seg: DataFrame) -> DataFrame:
-    rows = summarize(
-        seg, [],
-        [
-            F.count("*").alias("trechos"),
-            F.countDistinct("viagem_id").alias("viagens"),
-            F.countDistinct("cl").alias("linhas"),
-            F.round(F.avg("atrasado"), 4).alias("taxa_atraso"),
-        ],
-        {
-            "atraso_s": {"_m": 0.5, "_p": 0.9},
-            "percurso_tipico_s": {"_r": 0.5},
-            "velocidade_kmh": {"_v": 0.5},
-        },
+    # every column's values with their counts in one pass; trips and lines are only counted
+    measures, names = ["atrasado", "atraso_s", "percurso_tipico_s", "velocidade_kmh"], ["viagem_id", "cl"]
+    part = lambda c, v, w: F.struct(F.lit(c).alias("c"), v.cast("double").alias("v"), w.cast("string").alias("w"))
+    parts = [part(c, F.col(c), F.lit(None)) for c in measures] + [part(c, F.lit(None), F.col(c)) for c in names]
+    d = seg.select(F.explode(F.array(*parts)).alias("_p")).select("_p.*").groupBy("c", "v", "w").agg(F.count("*").alias("n"))
+    d = cut_lineage(d.groupBy("c", "v").agg(F.sum("n").alias("n"), F.count("w").alias("k")))
+    of = lambda c, x: F.sum(F.when(F.col("c") == c, x))
+    late = F.col("v").isNotNull()
+    rows = d.agg(
+        F.coalesce(of("atrasado", F.col("n")), F.lit(0)).alias("trechos"),
+        F.coalesce(of("viagem_id", F.col("k")), F.lit(0)).alias("viagens"),
+        F.coalesce(of("cl", F.col("k")), F.lit(0)).alias("linhas"),
+        F.round(of("atrasado", F.col("v") * F.col("n")) / of("atrasado", F.when(late, F.col("n"))), 4).alias("taxa_atraso"),
     )
+    q = group_quantiles(d.where(F.col("c").isin(measures[1:])), ["c"], "v", {"m": 0.5, "p": 0.9}, weight="n")
+    at = lambda c, x, out: F.max(F.when(F.col("c") == c, F.col(x))).alias(out)
+    rows = rows.crossJoin(F.broadcast(q.agg(  # one row each
+        at("atraso_s", "m", "_m"), at("atraso_s", "p", "_p"), at("percurso_tipico_s", "m", "_r"), at("velocidade_kmh", "m", "_v"))))
     return rows.select(
         "trechos", "viagens", "linhas", "taxa_atraso",
         F.round("_m", 1).alias("atraso_mediano_s"),

@@ -16,19 +16,20 @@ from busloom.operators.ordered import Ordered
 from busloom.session import HOT_GROUP_ROWS, setting
 
 
-def _native(df, keys, value, probs, count):
-    aggs = [F.percentile(value, p).alias(o) for o, p in probs.items()]
+def _native(df, keys, value, probs, count, weight=None):
+    times = 1 if weight is None else F.col(weight)
+    aggs = [F.percentile(value, p, times).alias(o) for o, p in probs.items()]
     if count:
-        aggs.append(F.count(value).alias(count))
+        aggs.append((F.count(value) if weight is None else F.sum(F.when(F.col(value).isNotNull(), times))).alias(count))
     return df.groupBy(*keys).agg(*aggs)
 
 
-def ranked_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count=None):
-    """Quantiles by distributed rank: no task ever sees a whole group."""
+def ranked_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count=None, weight: str | None = None):
+    """Quantiles by distributed rank: no task ever sees a whole group. `weight`: how many times a row counts."""
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count("*").alias("_n"))
+        .agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     )
     cum = Ordered(counted, keys, [value]).running_sum({"_hi": F.col("_n")}).df
     cum = cum.withColumn("_lo", F.col("_hi") - F.col("_n"))  # ranks _lo .. _hi - 1
@@ -57,21 +58,22 @@ def ranked_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str
 
 
 def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count: str | None = None, bound: DataFrame | None = None
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count: str | None = None, bound: DataFrame | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """One row per key with the named quantiles of `value` (nulls ignored). `bound`: see `any_hot`."""
-    df = df.select(*keys, value)
+    """One row per key with the named quantiles of `value` (nulls ignored). `bound`: see `any_hot`. `weight`: how many times a row counts."""
+    df = df.select(*keys, value, *([weight] if weight else []))
     if not any_hot(df, keys, [value], bound):
-        return _native(df, keys, value, probs, count)
+        return _native(df, keys, value, probs, count, weight)
     if not keys:
-        return ranked_quantiles(df, keys, value, probs, count)
+        return ranked_quantiles(df, keys, value, probs, count, weight)
     limit = setting(df.sparkSession, HOT_GROUP_ROWS)
     # at most rows / limit hot keys
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     ks = hot.select(*[F.col(k).alias("_hot_" + k) for k in keys])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_hot_" + k)) for k in keys])
-    cold_part = _native(df.join(ks, cond, "left_anti"), keys, value, probs, count)
-    hot_part = ranked_quantiles(df.join(ks, cond, "left_semi"), keys, value, probs, count)
+    cold_part = _native(df.join(ks, cond, "left_anti"), keys, value, probs, count, weight)
+    hot_part = ranked_quantiles(df.join(ks, cond, "left_semi"), keys, value, probs, count, weight)
     return cold_part.unionByName(hot_part)
 
 
@@ -99,26 +101,33 @@ def any_hot(df: DataFrame, keys: list[str], values: list[str], bound: DataFrame
     return not n.where(F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in range(len(values))]) > limit / 2).isEmpty()
 
 
-def summarize(df: DataFrame, keys: list[str], aggs: list, quantiles: dict[str, dict[str, float]], bound: DataFrame | None = None) -> DataFrame:
-    """Plain aggregates and exact quantiles of several columns by key.
+def summarize(
+    df: DataFrame, keys: list[str], aggs: list, quantiles: dict[str, dict[str, float]], bound: DataFrame | None = None, weight: str | None = None
+) -> DataFrame:
+    """Plain aggregates and exact quantiles of several columns by key. `weight`: how many times a row counts in the quantiles.
 
     One pass and one shuffle unless a group is hot; then each column is ranked across slices.
     """
     if not any_hot(df, keys, list(quantiles), bound):
-        q = [F.percentile(v, p).alias(o) for v, names in quantiles.items() for o, p in names.items()]
+        times = 1 if weight is None else F.col(weight)
+        q = [F.percentile(v, p, times).alias(o) for v, names in quantiles.items() for o, p in names.items()]
         return df.groupBy(*keys).agg(*aggs, *q)
     out = df.groupBy(*keys).agg(*aggs)
     for v, names in quantiles.items():
-        out = _join_null_safe(out, group_quantiles(df, keys, v, names), keys)
+        out = _join_null_safe(out, group_quantiles(df, keys, v, names, weight=weight), keys)
     return out
 
 
 def with_group_median(
     df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, where=None, bound: DataFrame | None = None
 ) -> DataFrame:
-    """Join each row with the median of its group, optionally from a subset of the rows."""
+    """Join each row with the median of its group, optionally from a subset of the rows.
+
+    Values are counted first: from some groups a task on, `percentile` sorts its input rows, and of counts there are few.
+    """
     src = df if where is None else df.where(where)
-    ref = group_quantiles(src, keys, value, {out: 0.5}, count, bound)
+    times = src.groupBy(*keys, value).agg(F.count("*").alias("_times"))
+    ref = group_quantiles(times, keys, value, {out: 0.5}, count, bound, "_times")
     return df.join(ref, keys, "left")
 
 

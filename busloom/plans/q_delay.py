@@ -16,7 +16,7 @@ def epoch(df, *cols):
 
 
 def seg_of(b: Bus):
-    return D.build_segments(b.arrivals, b.line_stops, b.lines)
+    return D.build_segments(b.arrivals, b.line_stops, b.lines, seen=b.passage_rows)
 
 
 def pairs_of(b: Bus):
@@ -100,7 +100,7 @@ SELECT count(*) AS trechos, count(DISTINCT viagem_id) AS viagens, count(DISTINCT
   round(median(percurso_tipico_s), 1) AS percurso_tipico_mediano_s,
   round(median(velocidade_kmh), 1) AS velocidade_mediana_kmh FROM segments"""))
 def d09(spark, sf):
-    return D.delay_summary(kept(seg_of(Bus(spark, sf)), "viagem_id", "cl", "atrasado", "atraso_s", "percurso_tipico_s", "velocidade_kmh"))
+    return D.delay_summary(seg_of(Bus(spark, sf)))
 
 
 @query("d10_od_flows", oracle("segments", """

@@ -51,6 +51,13 @@ SELECT o, k, t0, cl, concat('L', CAST(cl % 15 AS VARCHAR(9))) AS letreiro, cl %
 FROM d
 """, ["lineitem"], ["t_chegada"])
 
+# a row for each lineitem, at least as many of each key as passages has: enough to see that no group is hot
+_add("passage_rows", """
+SELECT o % 29 + 1 AS cl, CAST(10000 + o % 211 AS VARCHAR(9)) AS prefixo, ((o % 29 + 1) % 10) * 100 + n AS cp, n AS ordem,
+  concat(CAST(o % 29 + 1 AS VARCHAR(9)), '-', CAST(10000 + o % 211 AS VARCHAR(9)), '-', CAST(1704067200 + (o * 7919) % 2592000 AS VARCHAR(12))) AS viagem_id
+FROM (SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n FROM {lineitem})
+""", ["lineitem"])
+
 _add("arrivals", """
 SELECT cl, letreiro, sentido, prefixo, viagem_id, cp, ordem, t_chegada, metodo, dist_min_m, salto_m,
   salto_s, confianca, lat, lon

@@ -1,23 +1,27 @@
 """What keeps steps small: columns nobody reads, the side that is repeated, cells as wide as segments."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from busloom.operators import arrivals as A
+from busloom.operators import delay as D
 from busloom.operators import features as W
 from busloom.operators import fleet as V
+from busloom.operators import forecast as FC
 from busloom.operators import metrics as M
 from busloom.operators import polyline as PL
 from busloom.operators.asof import asof_join
 from busloom.operators.hot import leaf_bytes, none_above
 from busloom.operators.ordered import latest_per_key
-from busloom.operators.quantiles import any_hot
+from busloom.operators.quantiles import any_hot, with_group_median
 from busloom.operators.rolling import rolling_median
 from busloom.operators.spatial import connected_components, nearest_one
 from busloom.operators.studies import probe_against_fleet
+from busloom.plans.standins import Bus
 from busloom.session import DEFAULTS, DENSE_WINDOW_ROWS, SMALL_INPUT_BYTES
 
 
@@ -103,6 +107,65 @@ def test_pairs_and_segments_are_built_once(spark, lines, name):
     assert "Relation [" not in plan(__spark_entry__.queries()[name](spark, lines))  # the steps read what was stored, not the tables again
 
 
+def test_pairs_are_shuffled_once(spark):
+    t = dt.datetime(2024, 1, 1, 12)
+    at = lambda s: t + dt.timedelta(seconds=s)
+    fc = spark.createDataFrame(
+        [(1, 2, "v", "", at(0), at(600), 600, 1), (1, 2, "v", "", at(0), at(660), 660, 2), (1, 2, "v", "", at(60), at(9000), 900, 3), (1, 2, "v", "", at(60), at(540), 480, 4),
+         (1, 3, None, "", at(0), at(60), 60, 5)],
+        "cl long, cp long, prefixo string, parada_nome string, ts_coleta timestamp, t_previsto timestamp, horizonte_s long, qid long")
+    arr = spark.createDataFrame([(1, 2, "v", "a", 1, at(630), 0.9, -23.5, -46.6)], "cl long, cp long, prefixo string, viagem_id string, ordem long, t_chegada timestamp, confianca double, lat double, lon double")
+    out = FC.build_pairs(fc, arr, spark.createDataFrame([(2, "s")], "cp long, nome string"))
+    assert {(r.qid, r.erro_s) for r in out.select("qid", "erro_s").collect()} == {(2, -30), (4, 90)}
+    keys = out.select("erro_s")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(cl#\d+L?, cp#\d+L?, prefixo#\d+", keys)) == 1  # polls were shuffled before the match as well
+    assert not re.search(r"hashpartitioning\([^)]*ts_coleta", keys)
+
+
+def test_pairs_are_counted_by_error(spark, hot):
+    p = spark.range(300).select(F.concat(F.lit("h"), F.col("id") % 2).alias("h"), (F.col("id") * 7 % 97 - 40).cast("int").alias("erro_s")).withColumn("erro_abs_s", F.abs("erro_s"))
+    plain = {r.h: (r.n, r.q) for r in FC.error_table(p, ["h"], {"q": 0.9}, []).collect()}
+    assert {r.h: (r.n, r.q) for r in FC.error_table(FC.error_counts(p, ["h"]), ["h"], {"q": 0.9}, [], weight="_n").collect()} == plain
+
+
+def _segments(spark, n):
+    i = F.col("id")
+    return spark.range(n).select(
+        F.when(i % 11 > 0, F.concat(F.lit("v"), (i / 5).cast("long"))).alias("viagem_id"), (i % 3).alias("cl"), (i % 4 == 0).cast("int").alias("atrasado"),
+        F.when(i % 7 > 0, (i * 13 % 90 - 30).cast("double")).alias("atraso_s"), (i % 50 + 0.5).cast("double").alias("percurso_tipico_s"), (i * 31 % 77).cast("double").alias("velocidade_kmh"))
+
+
+def test_delay_summary_stores_counts(spark):
+    out = D.delay_summary(_segments(spark, 400))
+    assert "Range" not in plan(out)  # built once
+    d = _segments(spark, 400)
+    q = lambda c, x: F.round(F.percentile(c, x), 1)
+    want = d.agg(F.count("*"), F.countDistinct("viagem_id"), F.countDistinct("cl"), F.round(F.avg("atrasado"), 4), q("atraso_s", 0.5), q("atraso_s", 0.9),
+                 q("percurso_tipico_s", 0.5), q("velocidade_kmh", 0.5)).head()
+    assert tuple(out.head()) == tuple(want)
+    assert tuple(D.delay_summary(_segments(spark, 0)).head()) == (0, 0, 0, None, None, None, None, None)
+
+
+def test_delay_summary_hot(spark, hot):
+    d = _segments(spark, 400)
+    assert tuple(D.delay_summary(d).head())[4:6] == tuple(d.agg(F.round(F.percentile("atraso_s", 0.5), 1), F.round(F.percentile("atraso_s", 0.9), 1)).head())
+
+
+def test_reference_medians_count_values_first(spark):
+    d = spark.range(600).select((F.col("id") % 200).alias("k"), F.when(F.col("id") % 9 > 0, (F.col("id") % 5).cast("double")).alias("v"))
+    out = with_group_median(d, ["k"], "v", "m", "n")
+    assert "count(1)" in plan(out)
+    want = {r.k: (r.m, r.n) for r in d.groupBy("k").agg(F.percentile("v", 0.5).alias("m"), F.count("v").alias("n")).collect()}
+    assert {r.k: (r.m, r.n) for r in out.collect()} == want and out.count() == 600
+
+
+def test_rows_bound_passages(spark, lines):
+    b = Bus(spark, lines)
+    keys = ["cl", "cp", "prefixo", "viagem_id", "ordem"]
+    assert b.arrivals.select(*keys).exceptAll(b.passage_rows.select(*keys)).isEmpty()
+    assert "Aggregate" not in plan(b.passage_rows)
+
+
 def test_dense_windows_leave_the_frame_early(spark):
     assert DEFAULTS[DENSE_WINDOW_ROWS] <= 100
     t0 = dt.datetime(2024, 1, 1)
