@@ -14,26 +14,37 @@ from busloom.operators.ordered import latest_per_key
 from busloom.operators.quantiles import summarize
 
 
-def clean_forecasts(fc: DataFrame, order: str, p: Params = Params()) -> DataFrame:
-    """Known promise and vehicle, horizon in range, the last row per line, stop, vehicle and poll."""
-    ok = fc.where(
+def valid_forecasts(fc: DataFrame, p: Params = Params()) -> DataFrame:
+    """Known promise and vehicle, horizon in range."""
+    return fc.where(
         F.col("t_previsto").isNotNull()
         & F.col("prefixo").isNotNull()
         & F.col("horizonte_s").between(0, p.horizon_max_s)
     )
-    return latest_per_key(ok, ["cl", "cp", "prefixo", "ts_coleta"], [order])
 
 
-def match_arrivals(fc: DataFrame, arrivals: DataFrame, p: Params = Params(), raw: DataFrame | None = None) -> DataFrame:
+def last_polls(fc: DataFrame, order: str) -> DataFrame:
+    """The last row per line, stop, vehicle and poll."""
+    return latest_per_key(fc, ["cl", "cp", "prefixo", "ts_coleta"], [order])
+
+
+def clean_forecasts(fc: DataFrame, order: str, p: Params = Params()) -> DataFrame:
+    return last_polls(valid_forecasts(fc, p), order)
+
+
+def match_arrivals(
+    fc: DataFrame, arrivals: DataFrame, p: Params = Params(), raw: DataFrame | None = None, seen: DataFrame | None = None
+) -> DataFrame:
     """First arrival at or after the poll (less the tolerance); unmatched forecasts stay. `raw`: the forecasts before
-    cleaning, enough to see that no group is hot."""
+    cleaning, enough to see that no group is hot. `seen`: at least as many rows of each line, stop and vehicle as arrivals has."""
+    seen = arrivals if seen is None else seen
     a = arrivals.where(F.col("confianca") >= p.min_confidence_match)
-    a = add_headway(a, ("cl", "cp"), out="headway_obs_s")
+    a = add_headway(a, ("cl", "cp"), out="headway_obs_s", bound=seen.select("cl", "cp"))
     a = a.withColumn("celula", cell_id("lat", "lon"))  # before the join: one per arrival
     us = p.past_tolerance_s * 1_000_000
     q = fc.withColumn("_key", F.timestamp_micros(F.unix_micros("ts_coleta") - us))
     by = ["cl", "cp", "prefixo"]
-    bound = None if raw is None else raw.select(*by).unionByName(arrivals.select(*by))
+    bound = None if raw is None else raw.select(*by).unionByName(seen.select(*by))
     cols = ("viagem_id", "ordem", "confianca", "headway_obs_s", "lat", "lon", "celula")
     return asof_join(
         q, a, by, "_key", "t_chegada", {c: c for c in cols}, "viagem_id",
@@ -71,9 +82,16 @@ def finish_pairs(df: DataFrame) -> DataFrame:
     return df.withColumns({c: to_int(c) for c in ("horizonte_s", "erro_s", "erro_abs_s", "headway_obs_s")})
 
 
-def build_pairs(fc, arrivals, stops, order: str = "qid", p: Params = Params()) -> DataFrame:
-    m = match_arrivals(clean_forecasts(fc, order, p), arrivals, p, raw=fc)
-    return finish_pairs(fill_stop_names(with_error(m, p), stops))
+def build_pairs(
+    fc, arrivals, stops, order: str = "qid", p: Params = Params(), raw: DataFrame | None = None, seen: DataFrame | None = None
+) -> DataFrame:
+    """`raw` and `seen`: rows to count instead of forecasts and arrivals, see `match_arrivals`.
+
+    A poll is matched by itself, so polls repeated are dropped after the match: the rows lie by line, stop and vehicle then,
+    and are not shuffled again.
+    """
+    m = match_arrivals(valid_forecasts(fc, p), arrivals, p, raw=fc if raw is None else raw, seen=seen)
+    return finish_pairs(fill_stop_names(with_error(last_polls(m, order), p), stops))
 
 
 def share(cond, out: str, digits: int = 4):
@@ -103,13 +121,19 @@ def pair_summary(matched: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def error_table(
-    pairs: DataFrame, keys: list[str], probs: dict[str, float], extra: list, min_n: int = 1
+    pairs: DataFrame, keys: list[str], probs: dict[str, float], extra: list, min_n: int = 1, weight: str | None = None
 ) -> DataFrame:
-    """Counts, given aggregates and quantiles of the error by key."""
-    out = summarize(pairs, keys, [F.count("*").alias("n"), *extra], {"erro_s": probs})
+    """Counts, given aggregates and quantiles of the error by key. `weight`: how many pairs a row stands for."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    out = summarize(pairs, keys, [n.alias("n"), *extra], {"erro_s": probs}, weight=weight)
     return out.where(F.col("n") >= min_n)
 
 
+def error_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """How many pairs (`_n`) each key has of each error: errors are whole seconds within a bound, so this is a small table."""
+    return pairs.groupBy(*keys, "erro_s", "erro_abs_s").agg(F.count("*").alias("_n"))
+
+
 def line_ranking(pairs: DataFrame, min_n: int = 50, p: Params = Params()) -> DataFrame:
     return error_table(
         pairs, ["letreiro", "sentido"], {"erro_mediano_s": 0.5, "p90_erro_s": 0.9},
