@@ -63,9 +63,10 @@ def calendar_cuts(seg: DataFrame, ts: str = "t_origem") -> DataFrame:
 
 
 def add_reference(
-    seg: DataFrame, keys: tuple[str, ...] = ("cl", "ordem_origem", "faixa"), p: Params = Params(), bound: DataFrame | None = None
+    seg: DataFrame, keys: tuple[str, ...] = ("cl", "ordem_origem", "faixa"), p: Params = Params(), bound: DataFrame | None = None,
+    store: bool = False,
 ) -> DataFrame:
-    ref = with_group_median(seg, list(keys), "tempo_percurso_s", "percurso_tipico_s", "n_referencia", bound=bound)
+    ref = with_group_median(seg, list(keys), "tempo_percurso_s", "percurso_tipico_s", "n_referencia", bound=bound, store=store)
     return ref.where(F.col("n_referencia") >= p.min_reference)
 
 
@@ -116,14 +117,32 @@ def by_order(arrivals: DataFrame) -> DataFrame:
     return arrivals.select("cl", (F.col("ordem") - 1).alias("ordem_origem"))
 
 
-def build_segments(arrivals, line_stops, lines, p: Params = Params(), seen: DataFrame | None = None) -> DataFrame:
-    """The whole delay table. `seen`: at least as many rows of each trip, line, stop and order as arrivals has, cheaper to count."""
+# columns that the reference, the midpoint and the headway read
+_AFTER = ["cl", "ordem_origem", "faixa", "tempo_percurso_s", "lat", "lon", "_lat0", "_lon0"]
+_HEADWAY = ["cl", "cp_destino", "t_chegada", "viagem_id"]
+
+
+def build_segments(
+    arrivals, line_stops, lines, p: Params = Params(), seen: DataFrame | None = None, columns: list[str] | None = None
+) -> DataFrame:
+    """The whole delay table. `seen`: at least as many rows of each trip, line, stop and order as arrivals has, cheaper to count.
+
+    `columns`: these alone, for who reads them more than once. The reference and its join read the segments as well, so they are stored
+    before it with what the columns need, and the medians as a table of known size: trips are put in order once, and segments meet their
+    median without a shuffle while the medians are few.
+    """
     seen = arrivals if seen is None else seen
+    store = columns is not None
     seg = consecutive_segments(arrivals, p, seen.select("viagem_id"))
-    seg = attach_length(seg, line_stops)
-    seg = add_delay(add_reference(calendar_cuts(seg), p=p, bound=by_order(seen)), p)
-    seg = add_headway(seg, bound=seen.select("cl", F.col("cp").alias("cp_destino")))
-    return midpoint_cell(seg.join(terminals(lines), "cl", "left"))
+    seg = calendar_cuts(attach_length(seg, line_stops))
+    if store:
+        need = [*columns, *_AFTER, *(_HEADWAY if "headway_s" in columns else [])]
+        seg = cut_lineage(seg.select(*[c for c in seg.columns if c in need]))
+    seg = add_delay(add_reference(seg, p=p, bound=by_order(seen), store=store), p)
+    if not store or "headway_s" in columns:
+        seg = add_headway(seg, bound=seen.select("cl", F.col("cp").alias("cp_destino")))
+    seg = midpoint_cell(seg.join(terminals(lines), "cl", "left"))
+    return seg.select(*columns) if store else seg
 
 
 def delay_summary(seg: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from busloom.operators.hot import is_small, none_above, slice_groups
 from busloom.operators.ordered import Ordered
-from busloom.session import HOT_GROUP_ROWS, setting
+from busloom.session import HOT_GROUP_ROWS, cut_round, setting
 
 
 def _native(df, keys, value, probs, count, weight=None):
@@ -119,15 +119,19 @@ def summarize(
 
 
 def with_group_median(
-    df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, where=None, bound: DataFrame | None = None
+    df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, where=None, bound: DataFrame | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Join each row with the median of its group, optionally from a subset of the rows.
 
     Values are counted first: from some groups a task on, `percentile` sorts its input rows, and of counts there are few.
+    `store`: the medians are stored with their real size, for a result that is read more than once.
     """
     src = df if where is None else df.where(where)
     times = src.groupBy(*keys, value).agg(F.count("*").alias("_times"))
     ref = group_quantiles(times, keys, value, {out: 0.5}, count, bound, "_times")
+    if store:
+        ref = cut_round(ref)
     return df.join(ref, keys, "left")
 
 

@@ -95,7 +95,7 @@ def match_by_id_or_place(
 
 # -- polygons
 def zone_cells(edges: DataFrame, zone: str, order: str, cell: float) -> DataFrame:
-    """Per grid cell, the zones whose box touches it, in order, with their edges.
+    """Per grid cell, the zones whose box touches it, in order, with those of their edges that a ray to the east from the cell may cross.
 
     `edges` has x1, y1, x2, y2 of every ring of the zone, holes included.
     """
@@ -108,9 +108,17 @@ def zone_cells(edges: DataFrame, zone: str, order: str, cell: float) -> DataFram
     def span(lo, hi):
         return F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
 
+    def met(e):
+        # level edges, those above or below the cell and those west of it count for none of its points; the margin is for rounding
+        m = F.lit(1e-6 * cell) + 1e-9 * (F.abs(e["x1"]) + F.abs(e["x2"]) + F.abs(e["y1"]) + F.abs(e["y2"]))
+        beside = (F.greatest(e["y1"], e["y2"]) < F.col("_cy") * cell - m) | (F.least(e["y1"], e["y2"]) > (F.col("_cy") + 1) * cell + m)
+        return (e["y1"] != e["y2"]) & ~beside & ~(F.greatest(e["x1"], e["x2"]) < F.col("_cx") * cell - m)
+
     return (
         z.withColumn("_cx", span("_ax", "_bx"))
         .withColumn("_cy", span("_ay", "_by"))
+        .withColumn("_edges", F.filter("_edges", met))
+        .where(F.size("_edges") > 0)
         .groupBy("_cx", "_cy")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(zone).alias("zone"), F.col("_edges").alias("edges")))).alias("_zones"))
     )

@@ -46,13 +46,18 @@ def rec(text: str) -> str:
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def late_of(b):
-    s = seg_of(b).where("atrasado = 1")
+#: What late passages are made of: the places, instants and ids that are clustered, and what is reported of them.
+PLACED = ["viagem_id", "ordem_origem", "t_origem", "t_chegada", "lat", "lon", "atrasado"]
+REPORTED = ["atraso_s", "cp_destino", "letreiro", "prefixo", "hora", "regiao_origem", "regiao_destino"]
+
+
+def late_of(seg):
+    s = seg.where("atrasado = 1")
     pid = F.split("viagem_id", "-")[2].cast("long") * 10 + F.col("ordem_origem")
+    names = {"atraso_s": "valor", "cp_destino": "cp"}
     return C.with_xy(s).select(
-        pid.alias("id"), cal.local_date("t_origem").alias("dia"), F.col("t_chegada").alias("t"), "x", "y", F.col("atraso_s").alias("valor"),
-        F.col("cp_destino").alias("cp"), "letreiro", "prefixo", "viagem_id", "lat", "lon", "hora", "regiao_origem", "regiao_destino",
-        F.unix_seconds("t_chegada").alias("ts"))
+        pid.alias("id"), cal.local_date("t_origem").alias("dia"), F.col("t_chegada").alias("t"), "x", "y", "viagem_id", "lat", "lon",
+        F.unix_seconds("t_chegada").alias("ts"), *[F.col(c).alias(names.get(c, c)) for c in REPORTED if c in seg.columns])
 
 
 @query("c01_unified_base", oracle("pairs", """
@@ -113,9 +118,9 @@ def c09(spark, sf):
     return rounded(C.impacted_stops(C.stop_samples(b), b), "taxa").select("cp", "taxa")
 
 
-def daily(b, **kw):
+def daily(seg):
     """Late passages with their episode label."""
-    late = cut_lineage(late_of(b))
+    late = cut_lineage(late_of(seg))
     lab = DB.st_dbscan(late, "id", "x", "y", 400.0, 4, by=["dia"], t="ts", eps_t=7200.0)
     return late.join(lab.drop("nucleo"), ["dia", "id"])
 
@@ -132,7 +137,7 @@ def ep(body, uses="late"):
 SELECT e.rotulo, count(*) AS n, round(avg(valor), 6) AS atraso_medio_s, count(DISTINCT cp) AS paradas, min(t) AS inicio, max(t) AS fim, round(quantile_cont(sqrt(pow(x - mx, 2) + pow(y - my, 2)), 0.9), 4) AS raio_m,
   median(valor) AS atraso_mediano_s, round(avg(valor) * count(*), 3) AS impacto FROM ep e JOIN mid m ON m.dia = e.dia AND m.rotulo = e.rotulo GROUP BY e.rotulo"""))
 def c10(spark, sf):
-    s = C.cluster_summary(daily(Bus(spark, sf)))
+    s = C.cluster_summary(daily(seg_of(Bus(spark, sf), *PLACED, *REPORTED)))
     s = rounded(rounded(rounded(s, "impacto", digits=3), "atraso_medio_s"), "raio_m", digits=4)
     return s.select("rotulo", "n", "atraso_medio_s", "paradas", F.unix_seconds("inicio").alias("inicio"), F.unix_seconds("fim").alias("fim"), "raio_m", "atraso_mediano_s", "impacto")
 
@@ -156,7 +161,7 @@ def c10_stops(spark, sf):
   QUALIFY row_number() OVER (PARTITION BY rotulo ORDER BY count(*) DESC, fl) <= 5)
 SELECT rotulo, string_agg(fl, '; ' ORDER BY n DESC, fl) AS fluxos FROM f GROUP BY 1"""))
 def c11(spark, sf):
-    return C.top_flows(daily(Bus(spark, sf))).select("rotulo", F.array_join("fluxos", "; ").alias("fluxos"))
+    return C.top_flows(daily(seg_of(Bus(spark, sf), *PLACED, *REPORTED))).select("rotulo", F.array_join("fluxos", "; ").alias("fluxos"))
 
 
 @query("c12_label_back", rec(oracle("pts", dbscan_sql("pts", 150.0, 5).strip() + " SELECT pts.id, coalesce(rotulo, -3) AS rotulo FROM pts LEFT JOIN lab ON lab.id = pts.id")))
@@ -167,7 +172,7 @@ def c12(spark, sf):
 
 @query("c13_daily_episodes", ep(" SELECT CAST(dia AS BIGINT) AS dia, id, rotulo FROM ep"))
 def c13(spark, sf):
-    return daily(Bus(spark, sf)).select(F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("long").alias("dia"), "id", "rotulo")
+    return daily(seg_of(Bus(spark, sf), *PLACED, *REPORTED)).select(F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("long").alias("dia"), "id", "rotulo")
 
 
 @query("c14_parameter_grid", rec(oracle("late", f"""
@@ -180,7 +185,7 @@ c AS (SELECT eps, count(*) FILTER (d >= 5) AS paradas_recorrentes FROM (SELECT e
 SELECT n.*, episodios, maior, tamanho_mediano, duracao_mediana_min, paradas_recorrentes FROM (SELECT eps, count(*) AS eventos, round(100 * avg(CASE WHEN rotulo = -1 THEN 1 ELSE 0 END), 6) AS ruido_pct FROM m GROUP BY 1) n
 LEFT JOIN z ON z.eps = n.eps LEFT JOIN c ON c.eps = n.eps""".strip())))
 def c14(spark, sf):
-    late = cut_lineage(late_of(Bus(spark, sf)))
+    late = cut_lineage(late_of(seg_of(Bus(spark, sf), *PLACED, *REPORTED)))
     grid = late.withColumn("eps", F.explode(F.array(F.lit(300.0), F.lit(600.0))))
     lab = DB.st_dbscan(grid, "id", "x", "y", F.col("eps"), 4, by=["eps", "dia"], t="ts", eps_t=7200.0)
     return rounded(C.grid_measures(cut_lineage(grid.join(lab.drop("nucleo"), ["eps", "dia", "id"])), ["eps"]), "ruido_pct", "duracao_mediana_min")
@@ -194,7 +199,7 @@ def zoned(b, df):
  SELECT CAST(dia AS BIGINT) AS dia, rotulo, count(*) AS n, count(DISTINCT letreiro) AS linhas_n, round((max(t) - min(t)) / 60, 6) AS duracao_min, CAST((min(t) - 10800) // 3600 % 24 AS INTEGER) AS hora_inicio
 FROM ep WHERE rotulo <> -1 GROUP BY 1, 2"""))
 def c15(spark, sf):
-    e = C.episode_table(daily(Bus(spark, sf)))
+    e = C.episode_table(daily(seg_of(Bus(spark, sf), *PLACED, *REPORTED)))
     return rounded(e, "duracao_min").select(F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("long").alias("dia"), "rotulo", "n", F.size("linhas").cast("long").alias("linhas_n"), "duracao_min", "hora_inicio")
 
 
@@ -206,9 +211,10 @@ SELECT p.zona, passagens, coalesce(episodios, 0) AS episodios, coalesce(dias, 0)
 FROM (SELECT zona, count(*) AS passagens FROM segz GROUP BY 1) p LEFT JOIN e ON e.zona = p.zona""", "late segz"))
 def c16(spark, sf):
     b = Bus(spark, sf)
-    z = cut_lineage(zoned(b, daily(b)).where("rotulo <> -1"))
+    s = seg_of(b, *PLACED)
+    z = zoned(b, daily(s).where("rotulo <> -1").select("dia", "rotulo", "lat", "lon"))
     e = modal_value(z.where("zona IS NOT NULL"), ["dia", "rotulo"], "zona", "zona")
-    return rounded(C.per_zone(e, zoned(b, seg_of(b)), "zona"), "por_10mil")
+    return rounded(C.per_zone(e, zoned(b, s.select("lat", "lon")), "zona"), "por_10mil")
 
 
 @query("c17_episode_profile", ep("""
@@ -216,7 +222,7 @@ def c16(spark, sf):
 SELECT count(*) AS episodios, round(avg(CASE WHEN v = 1 THEN 1 ELSE 0 END), 6) AS um_veiculo, round(avg(CASE WHEN l >= 2 THEN 1 ELSE 0 END), 6) AS duas_linhas,
   median(v) AS veiculos_mediana, median(g) AS viagens_mediana, round(quantile_cont(l, 0.9), 6) AS linhas_p90 FROM e"""))
 def c17(spark, sf):
-    return rounded(C.episode_profile(daily(Bus(spark, sf))), "um_veiculo", "duas_linhas", "linhas_p90")
+    return rounded(C.episode_profile(daily(seg_of(Bus(spark, sf), *PLACED, *REPORTED))), "um_veiculo", "duas_linhas", "linhas_p90")
 
 
 SHUFFLES = {"hora_tipo": (["cl", "sentido", "hora", "tipo"], 3), "hora_dia": (["cl", "sentido", "hora", "dia"], 2)}
@@ -254,19 +260,19 @@ s AS (SELECT {sql_x('lon')} AS x, {sql_y('lat')} AS y, t_chegada AS t, atrasado
 SELECT episodio, t // 900 * 900 AS bloco, count(*) AS n, round(avg(atrasado), 6) AS taxa FROM e JOIN s ON t BETWEEN a - 5400 AND b + 5400 AND pow(s.x - e.x, 2) + pow(s.y - e.y, 2) <= 490000 GROUP BY 1, 2"""))
 def c19(spark, sf):
     b = Bus(spark, sf)
-    e = cut_lineage(C.episode_table(daily(b)))
+    e = cut_lineage(C.episode_table(daily(seg_of(b, *PLACED, *REPORTED))))
     return rounded(C.episode_context(e, seg_of(b).withColumn("t", F.col("t_chegada"))), "taxa").withColumn("bloco", F.unix_seconds("bloco"))
 
 
 @query("q21_stop_recurrence", ep("""
  SELECT cp, count(DISTINCT dia) AS dias, count(DISTINCT rotulo) AS episodios, count(*) AS ocorrencias, median(valor) AS mediana_s FROM ep WHERE rotulo <> -1 GROUP BY 1"""))
 def q21(spark, sf):
-    d = daily(Bus(spark, sf)).where("rotulo <> -1")
+    d = daily(seg_of(Bus(spark, sf), *PLACED, *REPORTED)).where("rotulo <> -1")
     return C.summarize(d, ["cp"], [F.countDistinct("dia").alias("dias"), F.countDistinct("rotulo").alias("episodios"), F.count("*").alias("ocorrencias")], {"valor": {"mediana_s": 0.5}})
 
 
 @query("q22_episode_filter", ep("""
  SELECT rotulo, count(*) AS n, round(avg(valor), 6) AS atraso_medio_s FROM ep WHERE rotulo <> -1 GROUP BY 1 HAVING count(*) >= 5 ORDER BY 3 DESC, 1 LIMIT 10"""))
 def q22(spark, sf):
-    e = C.cluster_summary(daily(Bus(spark, sf))).where("n >= 5")
+    e = C.cluster_summary(daily(seg_of(Bus(spark, sf), *PLACED, *REPORTED))).where("n >= 5")
     return rounded(e, "atraso_medio_s").orderBy(F.desc("atraso_medio_s"), "rotulo").limit(10).select("rotulo", "n", "atraso_medio_s")

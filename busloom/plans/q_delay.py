@@ -15,8 +15,9 @@ def epoch(df, *cols):
     return df.withColumns({c: F.unix_seconds(c) for c in cols})
 
 
-def seg_of(b: Bus):
-    return D.build_segments(b.arrivals, b.line_stops, b.lines, seen=b.passage_rows)
+def seg_of(b: Bus, *cols):
+    """The delay table; with columns, these alone, from stored segments (see `build_segments`)."""
+    return D.build_segments(b.arrivals, b.line_stops, b.lines, seen=b.passage_rows, columns=list(cols) or None)
 
 
 def pairs_of(b: Bus):

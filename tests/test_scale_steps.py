@@ -14,6 +14,7 @@ from busloom.operators import fleet as V
 from busloom.operators import forecast as FC
 from busloom.operators import metrics as M
 from busloom.operators import polyline as PL
+from busloom.operators import spatial as S
 from busloom.operators.asof import asof_join
 from busloom.operators.hot import leaf_bytes, none_above
 from busloom.operators.ordered import latest_per_key
@@ -21,6 +22,7 @@ from busloom.operators.quantiles import any_hot, with_group_median
 from busloom.operators.rolling import rolling_median
 from busloom.operators.spatial import connected_components, nearest_one
 from busloom.operators.studies import probe_against_fleet
+from busloom.plans.q_delay import seg_of
 from busloom.plans.standins import Bus
 from busloom.session import DEFAULTS, DENSE_WINDOW_ROWS, SMALL_INPUT_BYTES
 
@@ -107,6 +109,40 @@ def test_pairs_and_segments_are_built_once(spark, lines, name):
     assert "Relation [" not in plan(__spark_entry__.queries()[name](spark, lines))  # the steps read what was stored, not the tables again
 
 
+def test_named_segments_are_ordered_once(spark, lines):
+    b = Bus(spark, lines)
+    cols = ["viagem_id", "ordem_origem", "t_origem", "lat", "lon", "celula", "atrasado", "atraso_s", "headway_s", "extensao_m", "hora", "regiao_origem"]
+    whole, named = seg_of(b), seg_of(b, *cols)
+    assert named.columns == cols and named.count() > 1000
+    assert named.exceptAll(whole.select(*cols)).isEmpty() and whole.select(*cols).exceptAll(named).isEmpty()
+    slim = seg_of(b, "lat", "lon", "atrasado")
+    assert not re.search("Window|Aggregate|l_orderkey", plan(slim))  # neither trips nor medians are made again by who reads them
+    assert "BroadcastHashJoin" in slim._jdf.queryExecution().sparkPlan().toString()  # few medians, of known size
+
+
+def test_episodes_and_passages_of_zones_share_segments(spark, lines, tmp_path):
+    spark.read.parquet(f"{lines}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"n{i}") for i in range(25)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    out = __spark_entry__.queries()["c16_episodes_per_zone"](spark, str(tmp_path))
+    assert "l_orderkey" not in plan(out)
+    b = Bus(spark, str(tmp_path))
+    want = S.locate(seg_of(b), S.zone_cells(b.zone_edges, "zona", "ordem", 0.01), 0.01).groupBy("zona").count().collect()
+    assert {(r.zona, r.passagens) for r in out.collect()} == {tuple(r) for r in want} and len(want) > 3
+
+
+def test_cells_hold_the_edges_a_ray_may_cross(spark):
+    ring = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (6.0, 9.0), (6.0, 4.0), (3.0, 4.5), (3.0, 9.0), (0.0, 9.0), (0.0, 0.0)]
+    sides = [("u", 1, *p, *q) for p, q in zip(ring, ring[1:])]
+    e = spark.createDataFrame(sides, "zona string, ordem int, x1 double, y1 double, x2 double, y2 double")
+    cells = S.zone_cells(e, "zona", "ordem", 3.0)
+    kept = {(r._cx, r._cy): len(r._zones[0].edges) for r in cells.collect()}
+    assert max(kept.values()) < 8 and kept[2, 0] == 1  # was all eight in every cell
+    at = [(i, (i % 41) / 4 - 0.5, (i // 41) / 4 - 0.5) for i in range(41 * 41)]
+    inside = lambda x, y: sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for _, _, x1, y1, x2, y2 in sides) % 2
+    got = S.locate(spark.createDataFrame(at, "i int, lon double, lat double"), cells, 3.0).collect()
+    assert {r.i for r in got if r.zona} == {i for i, x, y in at if inside(x, y)}
+
+
 def test_pairs_are_shuffled_once(spark):
     t = dt.datetime(2024, 1, 1, 12)
     at = lambda s: t + dt.timedelta(seconds=s)
