@@ -8,6 +8,8 @@ HOT_GROUP_ROWS = "spark.busloom.hotGroupRows"
 SMALL_INPUT_BYTES = "spark.busloom.smallInputBytes"
 DENSE_WINDOW_ROWS = "spark.busloom.denseWindowRows"
 
+STORED_PARTITIONS = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
 DEFAULTS = {
     HOT_GROUP_ROWS: 4_000_000,  # a group above this is split into slices
     SMALL_INPUT_BYTES: 256 << 20,  # below this no group can be hot: skip the check
@@ -70,9 +72,16 @@ def cut_round(df):
     """`cut_lineage` for steps that follow each other: the result is known by its real size.
 
     A checkpoint keeps the size estimated for its plan, a product at each join, so a loop of joins multiplies the digits of
-    that number round by round. A stored plan is measured while it is written.
+    that number round by round. A stored plan is measured while it is written. It keeps one partition for each of the shuffle
+    unless told otherwise, however few its rows are, and so do the rounds after it.
     """
-    df = df.persist()
+    conf = df.sparkSession.conf
+    before = conf.get(STORED_PARTITIONS, None)
+    conf.set(STORED_PARTITIONS, "true")
+    try:
+        df = df.persist()
+    finally:
+        conf.unset(STORED_PARTITIONS) if before is None else conf.set(STORED_PARTITIONS, before)
     out = cut_lineage(df)
     df.unpersist()
     return out

@@ -24,7 +24,7 @@ from busloom.operators.spatial import connected_components, nearest_one
 from busloom.operators.studies import probe_against_fleet
 from busloom.plans.q_delay import seg_of
 from busloom.plans.standins import Bus
-from busloom.session import DEFAULTS, DENSE_WINDOW_ROWS, SMALL_INPUT_BYTES
+from busloom.session import DEFAULTS, DENSE_WINDOW_ROWS, SMALL_INPUT_BYTES, STORED_PARTITIONS, cut_round
 
 
 def plan(df):
@@ -84,6 +84,16 @@ def test_rounds_of_joins_keep_their_real_size(spark):
     assert leaf_bytes(got) < 10 << 20  # was a number of more digits than Python reads
 
 
+def test_rounds_keep_few_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        d = cut_round(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count())
+        assert d.rdd.getNumPartitions() < 16 and d.count() == 100  # was 64, and in each round that followed
+        assert spark.conf.get(STORED_PARTITIONS, None) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_groups_are_counted_by_buckets_or_bounds(spark, hot):
     d = spark.range(500).select((F.col("id") % 20).alias("k"), F.col("id").alias("v"))
     assert none_above(d.select("k"), 25) and not none_above(d.select("k"), 24)
