@@ -64,8 +64,9 @@ def tables(spark, at, rows, empty=False):
         "benchmark": (some([(1, ITEM), (2, None), (3, ""), (None, ITEM), (4, "tiny")]), "item_id long, text string"),
         "pages": (some([(1, "http://a.example.com/x", "<article><p>hi</p></article>"), (2, None, None), (3, "no url", ""), (3, "HTTPS://User@B.a.Example.com.:80/", "<p>x"), (None, "http://a.example.com", "y")]), "page_id long, url string, html string"),
         "conversations": (some([(1, 0, "user", "a\\b</s>"), (1, 1, "assistant", "[INST]<s>\\\\[IMG]"), (1, 1, "assistant", None), (2, None, None, None), (None, 3, "tool", "x"), (2, 5, "assistant", "")]), "conv_id long, turn long, role string, text string"),
+        "embeddings": (some([(50, [0.5, 0.25], 1), (51, [0.25, 0.5], 1), (52, [0.5, 0.125], 2), (53, None, 1), (None, [0.5, None], None)]), "vec_id long, embedding array<float>, label int"),
     }
-    clash = {"documents": ["node", "n", "size", "shard", "_hash", "t", "prefix", "rep", "score", "_given", "ids"], "pages": ["host", "list", "pattern", "start"], "conversations": ["content", "size"], "labels": ["label", "text"], "benchmark": ["doc_id"]}
+    clash = {"documents": ["node", "n", "size", "shard", "_hash", "t", "prefix", "rep", "score", "_given", "ids"], "pages": ["host", "list", "pattern", "start"], "conversations": ["content", "size"], "labels": ["label", "text"], "benchmark": ["doc_id"], "embeddings": []}
     for name, (data, schema) in given.items():
         df = spark.createDataFrame(data, schema)
         for c in clash[name]:
