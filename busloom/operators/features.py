@@ -438,11 +438,13 @@ def network_state(base: DataFrame, asked: DataFrame) -> DataFrame:
     """
     d = base.withColumns({"no": F.concat_ws(">", "cp_origem", "cp_destino"), "_rel": relative_deviation()})
     ev = d.where("alvo_s IS NOT NULL").select("no", "t_chegada", "viagem_id", "alvo_s", "_rel")
-    ev = rolling_median(ev, ["no"], "t_chegada", "_rel", 900, "rel15", "_a")
-    ev = rolling_median(ev, ["no"], "t_chegada", "_rel", 3600, "rel60", "_b")
-    ev = rolling_median(ev, ["no"], "t_chegada", "alvo_s", 900, "desvio15", "n15")
+    seen = ev  # each of the steps keeps its rows: they are counted before any median is
+    ev = rolling_median(ev, ["no"], "t_chegada", "_rel", 900, "rel15", "_n15", seen)
+    ev = rolling_median(ev, ["no"], "t_chegada", "_rel", 3600, "rel60", "_n60", seen)
+    ev = rolling_median(ev, ["no"], "t_chegada", "alvo_s", 900, "desvio15", "n15", seen)
     m = asof_join(
-        asked.select("no", "inicio"), ev, ["no"], "inicio", "t_chegada", {c: c for c in ("rel15", "rel60", "desvio15", "n15")}, "viagem_id", 3600, event_time_out="_et")
+        asked.select("no", "inicio"), ev, ["no"], "inicio", "t_chegada", {c: c for c in ("rel15", "rel60", "desvio15", "n15")}, "viagem_id", 3600,
+        event_time_out="_et", bound=asked.select("no").unionByName(seen.select("no")))
     age = seconds_between("inicio", "_et") / 60
     in15, in60 = F.coalesce(age <= 15, F.lit(False)), F.coalesce(age <= 60, F.lit(False))
     zero = F.lit(0.0)

@@ -76,10 +76,10 @@ def edges_of(df: DataFrame, n: int) -> list[float]:
 def bucketed(df: DataFrame, edges: list[float], out: str = "_slice") -> DataFrame:
     splits = [float("-inf"), *edges, float("inf")]
     return (
-        Bucketizer(splits=splits, inputCol="_ord", outputCol="_b", handleInvalid="keep")
+        Bucketizer(splits=splits, inputCol="_ord", outputCol="_hot_bucket", handleInvalid="keep")
         .transform(df)
-        .withColumn(out, F.coalesce(F.col("_b").cast("int"), F.lit(-1)))
-        .drop("_b")
+        .withColumn(out, F.coalesce(F.col("_hot_bucket").cast("int"), F.lit(-1)))
+        .drop("_hot_bucket")
     )
 
 

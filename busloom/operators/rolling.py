@@ -28,10 +28,12 @@ def _dense(df: DataFrame, keys: list[str], time: str, lookback_s: float) -> int:
 
 
 def rolling_median(
-    df: DataFrame, keys: list[str], time: str, value: str, lookback_s: float, median: str, count: str
+    df: DataFrame, keys: list[str], time: str, value: str, lookback_s: float, median: str, count: str, seen: DataFrame | None = None
 ) -> DataFrame:
-    """Median and count of `value` over (t - lookback, t]; peers of the same instant included."""
-    total = _dense(df, keys, time, lookback_s)
+    """Median and count of `value` over (t - lookback, t]; peers of the same instant included. `seen`: rows with the keys and
+    instants of `df`, cheaper to count."""
+    seen = df if seen is None else seen.select(*keys, time)
+    total = _dense(seen, keys, time, lookback_s)
     if not total:
         w = (
             Window.partitionBy(*keys)
@@ -43,17 +45,17 @@ def rolling_median(
             .withColumns({median: F.percentile(value, 0.5).over(w), count: F.count(value).over(w)})
             .drop("_us")
         )
-    return _sliced_rolling(df, keys, time, value, lookback_s, median, count, total)
+    n = max(2, 1 + total // setting(df.sparkSession, HOT_GROUP_ROWS))
+    edges = edges_of(seen.select(as_number(seen, time).alias("_ord")), n)
+    return _sliced_rolling(df, keys, time, value, lookback_s, median, count, edges)
 
 
-def _sliced_rolling(df, keys, time, value, lookback_s, median, count, total):
+def _sliced_rolling(df, keys, time, value, lookback_s, median, count, edges):
     """Every row also visits the slices its look-back reaches; pandas rolls inside a slice.
 
     Cost is n log w instead of n w, and a group is one slice plus its look-back.
     """
-    n = max(2, 1 + total // setting(df.sparkSession, HOT_GROUP_ROWS))
     base = df.withColumn("_ord", as_number(df, time))
-    edges = edges_of(base, n)
     base = bucketed(base, edges, "_own")
     base = bucketed(base.withColumn("_ord", F.col("_ord") + float(lookback_s)), edges, "_last")
     rows = base.drop("_ord").withColumn("_slice", F.explode(F.sequence("_own", "_last")))

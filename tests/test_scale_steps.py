@@ -17,7 +17,7 @@ from busloom.operators import polyline as PL
 from busloom.operators import spatial as S
 from busloom.operators.asof import asof_join
 from busloom.operators.hot import leaf_bytes, none_above
-from busloom.operators.ordered import latest_per_key
+from busloom.operators.ordered import Ordered, latest_per_key
 from busloom.operators.quantiles import any_hot, with_group_median
 from busloom.operators.rolling import rolling_median
 from busloom.operators.spatial import connected_components, nearest_one
@@ -230,6 +230,29 @@ def test_dense_windows_leave_the_frame_early(spark):
         spark.conf.unset(SMALL_INPUT_BYTES)
 
 
+def test_network_state_of_dense_pairs(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    base = spark.createDataFrame(
+        [(f"v{i:03}", i % 2 + 1, 3, at(i * 37), at(i * 37 + 60 + i % 5), None if i % 19 == 0 else float(i * 7 % 60 - 20), float(i % 11 * 10)) for i in range(300)],
+        "viagem_id string, cp_origem int, cp_destino int, t_origem timestamp, t_chegada timestamp, alvo_s double, percurso_tipico_s double")
+    state = lambda: {(r.no, r.inicio): tuple(round(x, 9) for x in r[2:]) for r in W.network_state(base, W.every_bin(base, 5)).collect()}
+    thin = state()
+    spark.conf.set(SMALL_INPUT_BYTES, "0")
+    spark.conf.set(DENSE_WINDOW_ROWS, "3")
+    try:
+        assert state() == thin  # all three medians are sliced: a column's name was taken
+    finally:
+        spark.conf.unset(SMALL_INPUT_BYTES)
+        spark.conf.unset(DENSE_WINDOW_ROWS)
+    assert len(thin) == 74 and sum(v[-1] for v in thin.values()) > 60
+
+
+def test_slices_leave_columns_alone(spark, hot):
+    d = spark.range(300).select((F.col("id") % 2).alias("k"), "id", F.lit(7).alias("_b"))
+    assert Ordered(d, ["k"], ["id"]).row_number("n").df.where("_b = 7").count() == 300
+
+
 def test_weights_compare_digits(spark):
     d = spark.range(5000).withColumn("u", M.draw(F.lit(7), "id") / float(1 << 52))
     want = F.lit(len(M.POISSON_CDF))
