@@ -1,6 +1,7 @@
 """What keeps steps small: columns nobody reads, the side that is repeated, cells as wide as segments."""
 
 import datetime as dt
+import math
 import re
 
 import pytest
@@ -277,6 +278,23 @@ def test_steps_of_a_line_come_from_its_segments(spark):
     assert (got[1, 500.0].ux, got[1, 500.0].uy) == (0.0, 1.0) and got[1, 1500.0].ux == 1.0
 
 
+def test_places_of_a_segment_are_not_grouped(spark):
+    pts = spark.createDataFrame(
+        [(1, 0, 0.0, 0.0), (1, 1, 5000.0, 0.0), (1, 2, 5000.0, 2.0), (1, 3, 5003.0, 2.0), (1, 4, 5003.0, 995.0), (1, 5, 5003.0, 1001.0), (1, 6, 9000.0, 1001.0)], "linha int, seq int, x double, y double")
+    segs = PL.polyline_segments(pts, "linha", "seq")
+    out = PL.resample(segs, "linha", 10.0)
+    steps = plan(out)
+    assert steps.index("Generate explode") < steps.index("Aggregate")  # places are spread after the grouping, which reads a few rows a segment
+    got = {round(r.s, 3): r for r in out.collect()}
+    assert sorted(got) == [10.0 * i for i in range(1001)] + [10001.0]
+    at = lambda off: {round(r.s, 3): r for r in PL.point_at(out.select("linha", "s", (F.col("s") + off).alias("a")), segs, "linha", "a").collect()}
+    mid, back, ahead = at(0.0), at(-5.0), at(5.0)
+    for s, r in got.items():
+        dx, dy = ahead[s].x - back[s].x, ahead[s].y - back[s].y
+        want = (mid[s].x, mid[s].y, dx / math.hypot(dx, dy), dy / math.hypot(dx, dy))
+        assert all(abs(a - b) < 1e-9 for a, b in zip((r.x, r.y, r.ux, r.uy), want))
+
+
 def test_tracks_are_simplified_once(spark):
     rows = [(1, "a", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=30 * i), 400.0 * i, 60.0 * (i % 2)) for i in range(8)]
     pos = spark.createDataFrame(rows, "cl int, prefixo string, rid int, ta timestamp, x double, y double")
