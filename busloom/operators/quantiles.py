@@ -88,10 +88,10 @@ def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def any_hot(df: DataFrame, keys: list[str], values: list[str], bound: DataFrame | None = None) -> bool:
     """Whether some group has more different values than the hot limit; free for inputs known to be small.
 
-    `percentile` keeps each value once with its count, so many rows of few values are no burden. Values are estimated only where
+    `percentile` keeps each value once with its count, so many rows of few values are no burden, and without values none is hot. Values are estimated only where
     some group has the rows for it; `bound` has some of the keys alone and at least as many rows of each, and is cheaper to count.
     """
-    if is_small(df):
+    if not values or is_small(df):
         return False
     limit = setting(df.sparkSession, HOT_GROUP_ROWS)
     if keys and none_above(df.select(*keys) if bound is None else bound, limit // 2):

@@ -15,11 +15,12 @@ from busloom.operators import fleet as V
 from busloom.operators import forecast as FC
 from busloom.operators import metrics as M
 from busloom.operators import polyline as PL
+from busloom.operators import reports as R
 from busloom.operators import spatial as S
 from busloom.operators.asof import asof_join
 from busloom.operators.hot import leaf_bytes, none_above
 from busloom.operators.ordered import Ordered, latest_per_key
-from busloom.operators.quantiles import any_hot, with_group_median
+from busloom.operators.quantiles import any_hot, summarize, with_group_median
 from busloom.operators.rolling import rolling_median
 from busloom.operators.spatial import connected_components, nearest_one
 from busloom.operators.studies import probe_against_fleet
@@ -54,6 +55,15 @@ def test_many_rows_of_few_values_are_not_hot(spark, hot):
     assert any_hot(d, ["k"], ["few", "many"])
 
 
+def test_groups_without_quantiles_are_not_looked_at(spark, hot):
+    d = spark.range(500).select((F.col("id") % 2).alias("k"))
+    assert not any_hot(d, ["k"], [])  # no values to count: failed on groups above half the limit
+    assert {(r.k, r.n) for r in summarize(d, ["k"], [F.count("*").alias("n")], {}).collect()} == {(0, 250), (1, 250)}
+    pairs = spark.range(300).select((F.col("id") % 2).alias("cl"), (F.col("id") % 3).alias("cp"), (F.col("id") * 7 % 600).cast("int").alias("erro_s"), F.lit(0.9).alias("confianca"), F.lit("s").alias("parada_nome"), F.lit("L").alias("letreiro"))
+    stops = R.critical_stops(pairs, spark.createDataFrame([(0, 1, 4), (1, 1, 6)], "cl long, cp long, ordem int"))
+    assert {(r.stop, r.rows, r.position) for r in stops.collect()} == {(0, 100, None), (1, 100, 6), (2, 100, None)}
+
+
 def test_a_layer_is_not_repeated(spark):
     pts = spark.createDataFrame([("p", 0.0, 0.0, 0.0), ("p", 100.0, 100.0, 0.0)], "par string, s double, x double, y double")
     layer = spark.range(40).select(F.col("id").alias("feicao"), F.lit(3.0).alias("x"), (F.col("id") / 10).alias("y"))
