@@ -94,8 +94,10 @@ def build_pairs(
     return finish_pairs(fill_stop_names(with_error(last_polls(m, order), p), stops))
 
 
-def share(cond, out: str, digits: int = 4):
-    return F.round(F.avg(F.when(cond, 1).otherwise(0)), digits).alias(out)
+def share(cond, out: str, digits: int = 4, weight: str | None = None):
+    """Share of the rows that meet `cond`. `weight`: how many rows a row stands for."""
+    hit = F.avg(F.when(cond, 1).otherwise(0)) if weight is None else F.sum(F.when(cond, F.col(weight)).otherwise(0)) / F.sum(weight)
+    return F.round(hit, digits).alias(out)
 
 
 def pair_summary(matched: DataFrame, p: Params = Params()) -> DataFrame:

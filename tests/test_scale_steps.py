@@ -24,7 +24,7 @@ from busloom.operators.quantiles import any_hot, summarize, with_group_median
 from busloom.operators.rolling import rolling_median
 from busloom.operators.spatial import connected_components, nearest_one
 from busloom.operators.studies import probe_against_fleet
-from busloom.plans.q_delay import seg_of
+from busloom.plans.q_delay import pairs_of, seg_of
 from busloom.plans.standins import Bus
 from busloom.session import DEFAULTS, DENSE_WINDOW_ROWS, SMALL_INPUT_BYTES, STORED_PARTITIONS, cut_round
 
@@ -185,6 +185,14 @@ def test_pairs_are_counted_by_error(spark, hot):
     assert {r.h: (r.n, r.q) for r in FC.error_table(FC.error_counts(p, ["h"]), ["h"], {"q": 0.9}, [], weight="_n").collect()} == plain
 
 
+def test_horizons_are_counted_by_error(spark, lines, hot):
+    out = __spark_entry__.queries()["f11_error_by_horizon"](spark, lines)
+    assert "Relation [" not in plan(out)  # pairs are built once, not anew to look for hot bands
+    p = pairs_of(Bus(spark, lines)).withColumn("h", FC.horizon_band("horizonte_s", [300, 900, 1800], ["<5", "5-15", "15-30", "30-60"]))
+    want = p.groupBy("h").agg(F.count("*"), F.round(F.avg("erro_abs_s"), 6), FC.share(F.col("erro_s") >= 60, "a"), FC.share(F.col("erro_s") <= -60, "b"), F.percentile("erro_s", 0.5))
+    assert sorted(map(tuple, out.select("faixa_h", "n", "mae_s", "tarde", "cedo", "erro_mediano_s").collect())) == sorted(map(tuple, want.collect()))
+
+
 def _segments(spark, n):
     i = F.col("id")
     return spark.range(n).select(
